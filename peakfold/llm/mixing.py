@@ -45,12 +45,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     ranked = ranked.withColumn("__cap", most * F.col("source_size")).withColumn("__r", F.col("__cap") / F.col("__w"))
     before = total.orderBy("__r", "skey").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0.0)
-    level = ranked.withColumn("__t", share * F.sum("source_size").over(total)).withColumn("__W", F.sum("__w").over(total))
-    level = level.withColumn("__left", F.col("__t") - F.coalesce(F.sum("__cap").over(before), zero)).withColumn("__wl", F.col("__W") - F.coalesce(F.sum("__w").over(before), zero))
+    level = ranked.withColumn("__t", share * F.sum("source_size").over(total)).withColumn("__all", F.sum("__w").over(total))
+    level = level.withColumn("__left", F.col("__t") - F.coalesce(F.sum("__cap").over(before), zero)).withColumn("__wl", F.col("__all") - F.coalesce(F.sum("__w").over(before), zero))
     level = level.withColumn("__capped", F.col("__left") * F.col("__w") >= F.col("__cap") * F.col("__wl"))
     c = F.when(F.col("__capped"), F.col("__cap")).otherwise(zero)
     w = F.when(F.col("__capped"), F.col("__w")).otherwise(zero)
-    level = level.withColumn("__rest", (F.col("__t") - F.sum(c).over(total)) / (F.col("__W") - F.sum(w).over(total)))
+    level = level.withColumn("__rest", (F.col("__t") - F.sum(c).over(total)) / (F.col("__all") - F.sum(w).over(total)))
     return level.select("skey", "source_size", F.when(F.col("__capped"), F.col("__cap")).otherwise(F.col("__rest") * F.col("__w")).alias("target"))
 
 
