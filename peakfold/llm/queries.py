@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakfold.llm import mixing, sharding
+from peakfold.llm import mixing, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(by: int):
+    """crc32(doc_id as text) mod `by`; null for a null doc_id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=remainder(3) != 1, most_per_class=3000, threshold=0.7)
+    return out.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_rows(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0, block_words=64)
 
@@ -24,7 +34,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_mixing, op6_sharding)}
+    return {f.__name__: f for f in (op1_toxicity, op5_mixing, op6_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
