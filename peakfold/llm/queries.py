@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakfold.llm import langid, mixing, sharding, toxicity
+from peakfold.llm import langid, mixing, pii, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"), most_train=1000, least=0.9)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = langid.language_id(table(spark, sf_dir, "documents"), learn=remainder(5) != 0, most=4000)
     return out.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
@@ -39,7 +43,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op4_language, op5_mixing, op6_sharding)}
+    return {f.__name__: f for f in (op1_toxicity, op3_pii, op4_language, op5_mixing, op6_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
