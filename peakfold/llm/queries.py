@@ -20,7 +20,7 @@ def remainder(by: int):
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=remainder(3) != 1, most_per_class=3000, threshold=0.7)
+    out = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=remainder(3) != 1, most_per_class=2000, threshold=0.7)
     return out.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 

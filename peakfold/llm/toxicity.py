@@ -151,19 +151,31 @@ def train(texts: list[str], labels: np.ndarray, share: float, window: int = 6, d
     return Model(theta, window, float(a / scale), float(b - a * centre / scale))
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, learn: Column, most_per_class: int) -> tuple[list[str], np.ndarray, float]:
-    """At most `most_per_class` texts of each label, chosen by a hash of doc_id, and the share of label 1 among all."""
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, most_per_class: int) -> Model:
+    """Train on at most `most_per_class` documents of each label, chosen by a hash of doc_id, in one task.
+
+    Only the model, of fixed size, comes to the driver.
+    """
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    marks = marks.where(learn).withColumn("h", F.xxhash64("doc_id"))
+    marks = marks.where(learn & F.col("y").isin(0, 1)).withColumn("h", F.xxhash64("doc_id"))
     counts = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a label
+    n = counts.get(0, 0) + counts.get(1, 0)
+    share = counts.get(1, 0) / n if n else 0.5
     picked = None
     for y in (0, 1):
         part = marks.where(F.col("y") == y).orderBy("h", "doc_id").limit(most_per_class)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").collect()  # bounded by most_per_class
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    n = counts.get(0, 0) + counts.get(1, 0)
-    return [r["text"] or "" for r in rows], np.array([r["y"] for r in rows], np.int64), counts.get(1, 0) / n if n else 0.5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((i, t or "", y) for b in batches for i, t, y in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "y")]))
+        m = train([t for _, t, _ in rows], np.array([y for _, _, y in rows], np.int64), share)
+        yield pa.RecordBatch.from_pydict({"theta": [m.theta.tobytes()], "window": [m.window], "slope": [m.slope], "offset": [m.offset]})
+
+    taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")  # bounded by most_per_class
+    got = taught.repartition(1).mapInArrow(run, "theta binary, window long, slope double, offset double").collect()
+    if not got:
+        return train([], np.zeros(0, np.int64), share)
+    return Model(np.frombuffer(got[0]["theta"], np.float32), got[0]["window"], got[0]["slope"], got[0]["offset"])
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -180,6 +192,6 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> Da
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(score, "doc_id long, score double, predicted int")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, most_per_class: int = 3000, threshold: float = 0.7) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, most_per_class: int = 2000, threshold: float = 0.7) -> DataFrame:
     """Train on the labelled documents for which `learn` holds (a condition on doc_id), score all."""
-    return score_documents(docs, train(*sample_labelled(docs, labels, learn, most_per_class)), threshold)
+    return score_documents(docs, fit(docs, labels, learn, most_per_class), threshold)

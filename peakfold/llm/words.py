@@ -63,28 +63,34 @@ def code_matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(words: list[str], sizes: tuple[int, ...], buckets: int, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(word, bucket) of every character n-gram of the words, and of each word as a whole."""
+    """(word, bucket) of every character n-gram of the words and of each word as a whole, by word; memory by chunks."""
+    chunk = 1 << 15
+    parts = [_grams(words[a : a + chunk], sizes, buckets, whole) for a in range(0, len(words), chunk)]
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    return np.concatenate([w + np.int32(i * chunk) for i, (w, _) in enumerate(parts)]), np.concatenate([b for _, b in parts])
+
+
+def _grams(words: list[str], sizes: tuple[int, ...], buckets: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
     m, owner = code_matrix(words)
     m = m.astype(np.uint64)
     width = (m != 0).sum(1)
     who, where = [], []
     for n in sizes:
-        h = np.zeros((len(m), max(0, m.shape[1] - n + 1)), np.uint64)
+        h = np.zeros((len(m), m.shape[1] - n + 1), np.uint64)
         for k in range(n):
             h = (h ^ m[:, k : k + h.shape[1]]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         r, c = np.nonzero(np.arange(h.shape[1])[None, :] + n <= width[:, None])
         who.append(owner[r])
         where.append(((h[r, c] + np.uint64(n)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)) % np.uint64(buckets))
-    if whole and len(m):
+    if whole:
         h = np.zeros(len(m), np.uint64)
         for k in range(m.shape[1]):
             h = (h ^ m[:, k]) * np.uint64(0x94D049BB133111EB)
             h ^= h >> np.uint64(31)
         who.append(owner)
         where.append((h >> np.uint64(7)) % np.uint64(buckets))
-    if not who:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    who, where = np.concatenate(who), np.concatenate(where).astype(np.int64)
+    who, where = np.concatenate(who).astype(np.int32), np.concatenate(where).astype(np.int32)
     order = np.argsort(who, kind="stable")
     return who[order], where[order]
