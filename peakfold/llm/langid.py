@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from peakfold.llm.words import as_strings, grams, slices, split_words
 
 SIZES = (1, 2, 3, 4)
+#: Log likelihood that a change of language between two words costs.
+PENALTY = 6.0
 #: First code points of script ranges (Unicode blocks); scripts not listed count as one.
 SCRIPTS = [
     (0x0041, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0700, "Other"), (0x0900, "Devanagari"), (0x0980, "Bengali"),
@@ -116,7 +118,7 @@ def viterbi(score: np.ndarray, ends: np.ndarray, penalty: float) -> np.ndarray:
     return label
 
 
-def train(texts: list[str], langs: list[str], penalty: float = 6.0, buckets: int = 1 << 18, alpha: float = 0.5, least_share: float = 0.005) -> Model:
+def train(texts: list[str], langs: list[str], penalty: float = PENALTY, buckets: int = 1 << 18, alpha: float = 0.5, least_share: float = 0.005) -> Model:
     """Smoothed n-gram frequencies of each language; a language uses the scripts with at least `least_share` of its letters."""
     names = sorted(set(langs))
     counts = np.zeros((buckets, len(names)), np.float64)
@@ -161,25 +163,31 @@ def spans(model: Model, text: str | None) -> list[tuple[str, int, int]]:
     return [(model.langs[labels[a]], a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
-def sample_taught(docs: DataFrame, learn: Column, most: int) -> tuple[list[str], list[str]]:
-    """At most `most` documents, those of the smallest hash of doc_id within each language in equal parts."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & learn).select("doc_id", "lang")
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a language
+def fit(docs: DataFrame, learn: Column, most: int) -> Model:
+    """Train on about `most` documents, in equal parts of each language those of the smallest hash of doc_id, in one task.
+
+    Only the model comes to the driver: a table of fixed length for each language.
+    """
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & learn)
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     if not counts:
-        return [], []
+        return train([], [])
     each = max(1, most // len(counts))
-    # A threshold on the hash keeps about `each` rows of a language, and no task sees them all.
-    limits = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.2 * each / r["n"]))])
+    # A threshold on the hash keeps about `each` rows of a language without any sort.
+    limits = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, each / n))])
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & learn).where(u < limits[F.col("lang")]).select("doc_id", "lang", "text", u.alias("u")).orderBy("u", "doc_id", "text").limit(2 * most).collect()
-    took: dict[str, int] = {}
-    texts, langs = [], []
-    for r in rows:
-        if took.get(r["lang"], 0) < each:
-            took[r["lang"]] = took.get(r["lang"], 0) + 1
-            texts.append(r["text"] or "")
-            langs.append(r["lang"])
-    return texts, langs
+    taught = known.where(u < limits[F.col("lang")]).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((k, i, t or "") for b in batches for i, k, t in zip(*[b.column(c).to_pylist() for c in ("doc_id", "lang", "text")]))
+        m = train([t for _, _, t in rows], [k for k, _, _ in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([m.langs], pa.list_(pa.string())), pa.array([m.score.tobytes()], pa.binary()), pa.array([m.uses.tobytes()], pa.binary())], names=["langs", "score", "uses"])
+
+    got = taught.repartition(1).mapInArrow(run, "langs array<string>, score binary, uses binary").collect()
+    if not got:
+        return train([], [])
+    r = got[0]
+    return Model(list(r["langs"]), np.frombuffer(r["score"], np.float32).reshape(-1, len(r["langs"])), np.frombuffer(r["uses"], bool).reshape(len(NAMES), -1), PENALTY)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -196,7 +204,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def language_id(docs: DataFrame, learn: Column, most: int = 4000) -> DataFrame:
-    return identify(docs, train(*sample_taught(docs, learn, most)))
+    return identify(docs, fit(docs, learn, most))
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
