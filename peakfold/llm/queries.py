@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakfold.llm import langid, mixing, pii, sharding, topk, toxicity, warc
+from peakfold.llm import decontaminate, langid, mixing, pii, sharding, topk, toxicity, warc
 from peakfold.llm.common import Scratch
 
 
@@ -25,6 +25,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per contaminated document."""
+    pairs = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), seed=5, threshold=0.5)
+    named = F.format_string("%d:%.4f", "item_id", "coverage")
+    return pairs.groupBy("doc_id").agg(F.max("coverage").alias("coverage"), F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_set(named)), ",").alias("items"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"), most_train=1000, least=0.9)
 
@@ -83,7 +90,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_pii, op4_language, op5_mixing, op6_sharding, op9_topk, op10_warc)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_pii, op4_language, op5_mixing, op6_sharding, op9_topk, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
