@@ -16,13 +16,11 @@ def as_strings(column) -> pa.Array:
     return pc.fill_null(a.cast(pa.large_string()), "")
 
 
-def split_words(texts: pa.Array, lower_ascii: bool = False) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(codes, ends, words): codes of all words in order, end of each text in codes, and the distinct words.
 
     Words are runs of bytes other than space and \\x09-\\x0D.
     """
-    if lower_ascii:
-        texts = pc.ascii_lower(texts)
     parts = pc.ascii_split_whitespace(texts)
     ends = np.asarray(parts.offsets)[1:].astype(np.int64) - parts.offsets[0].as_py()
     coded = parts.flatten().dictionary_encode()
