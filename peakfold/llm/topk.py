@@ -93,11 +93,13 @@ def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, least
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, cells: int = 16, sample: int = 4096, column: str = "embedding", ident: str = "vec_id") -> DataFrame:
-    """query_id, rank, vec_id, score.  `is_query`: condition on vec_id.  Pivots are fitted on at most `sample` vectors."""
+    """query_id, rank, vec_id, score.  `is_query`: condition on vec_id.  Pivots are fitted on about `sample` vectors, of a small enough hash, at most twice as many."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
     rows = scratch.save(quantised(vectors, column, ident), "rows")
-    known = rows.select("vec_id", "v", "dim").withColumn("h", F.xxhash64("vec_id")).orderBy("h", "vec_id", "v").limit(sample).collect()  # bounded by `sample`
+    u = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / (1 << 30)
+    known = rows.where(u < sample / max(rows.count(), 1)).select("vec_id", "v").limit(2 * sample).collect()  # bounded by `sample`
+    known = sorted(known or rows.select("vec_id", "v").limit(sample).collect())
     schema = "query_id long, rank int, vec_id long, score long"
     if not known:
         return spark.createDataFrame([], schema)
