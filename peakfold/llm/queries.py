@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakfold.llm import decontaminate, jaccard, langid, mixing, pii, sharding, topk, toxicity, warc
+from peakfold.llm import decontaminate, jaccard, langid, mixing, pii, repeats, sharding, topk, toxicity, warc
 from peakfold.llm.common import Scratch
 
 
@@ -54,6 +54,10 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=80).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(table(spark, sf_dir, "documents"), least=50).drop("spans")
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, cells=16, sample=4096)
 
@@ -94,7 +98,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_pii, op4_language, op5_mixing, op6_sharding, op7_jaccard, op9_topk, op10_warc)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_pii, op4_language, op5_mixing, op6_sharding, op7_jaccard, op8_repeats, op9_topk, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
