@@ -103,7 +103,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     ahead = at * block_words - F.when(F.col("tail_at") < at, short).otherwise(0)
     limit = F.when(F.expr("slot div blocks") < F.col("epochs"), full).otherwise(F.least(full, F.greatest(F.col("part") - ahead, F.lit(0))))
     slots = slots.withColumn("block", permuted(at, F.col("blocks"), F.col("key"))).withColumn("words", limit.cast("long"))
-    slots = slots.withColumn("shard", F.pmod(F.xxhash64("key", "slot", F.lit(seed + 1)), F.lit(shards)).cast("int")).select("skey", "slot", "shard", "block", "words")
+    slots = slots.withColumn("shard", F.pmod(F.xxhash64("key", "slot", F.lit(seed + 1)), F.lit(shards)).cast("int")).withColumn("epoch", F.expr("slot div blocks")).select("skey", "slot", "epoch", "shard", "block", "words")
 
     spans = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}"))))
     hit = spans.join(slots, ["skey", "block"])
@@ -132,7 +132,7 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     names = [c for c in ("doc_id", "text", "lang", "source", "n_chars") if c in docs.columns]
     keyed = docs.select(*names).withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "__h"])
     _, _, hit, _ = mix_plan(keyed, keep=("__h",), **how)
-    pieces = hit.groupBy(F.col("skey").alias("__k"), F.col("doc_id").alias("__d"), F.col("__h").alias("__t")).agg(F.array_sort(F.collect_list(F.struct("first", "slot", "n"))).alias("__p"))
+    pieces = hit.groupBy(F.col("skey").alias("__k"), F.col("doc_id").alias("__d"), F.col("__h").alias("__t")).agg(F.array_sort(F.collect_list(F.struct("epoch", "first", "n"))).alias("__p"))
     left = keyed.withColumn("__s", source_key(F.col("source")))
     both = left.join(pieces, (F.col("__s") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t"))).select(*names, "__p")
     words = F.regexp_extract_all("text", F.lit(WORD[:-1] + r"+[\x20\x09-\x0D]*"), F.lit(0))

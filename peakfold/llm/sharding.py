@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakfold.llm.common import Scratch, dense_index
+from peakfold.llm.common import Scratch, dense_index, maybe_broadcast
 
 #: Rows of one group that are ordered in one task.
 GROUP_ROWS = 4096
@@ -84,3 +84,19 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 4, seed: in
     placed = scratch.save(fixed.select(*names).unionByName(free.select(*names)), "placed")
     out = dense_index(placed, ["shard"], F.shiftrightunsigned("g", 54), [F.col("g"), F.col("h")], "slot")
     return out.select("doc_id", "size", "text_crc32", "shard", "slot", *keep)
+
+
+def shard_corpus(docs: DataFrame, shards: int = 40, **how) -> DataFrame:
+    """The rows of docs with their shard and slot; rows equal in doc_id and text share out their slots."""
+    scratch = Scratch(docs.sparkSession, "corpus")
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    keyed = docs.select(*names).withColumn("__h", F.xxhash64("text"))
+    placed = shard_documents(keyed, shards, keep=("__h",), **how)
+    spots = placed.groupBy(F.col("doc_id").alias("__d"), F.col("__h").alias("__t")).agg(F.array_sort(F.collect_list(F.struct("shard", "slot"))).alias("__s"))
+    spots = scratch.save(spots, "spots")
+    if spots.where(F.size("__s") > 1).isEmpty():
+        keyed = keyed.withColumn("__k", F.lit(1))
+    else:
+        keyed = keyed.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy("__h")))
+    both = keyed.join(maybe_broadcast(spots, spots.count()), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t")))
+    return both.select(*names, F.element_at("__s", F.col("__k"))["shard"].alias("shard"), F.element_at("__s", F.col("__k"))["slot"].alias("slot"))
