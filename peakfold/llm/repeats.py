@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 
 from peakfold.llm.common import Scratch, maybe_broadcast, partitions
 
-PAGE = 2 << 20
+PAGE = 1 << 20
 #: Bytes of a gram; anchors are the least of least - GRAM + 1 neighbouring grams.
 GRAM = 20
 #: Anchors of a bucket, about.
-BUCKET = 1_500_000
+BUCKET = 300_000
 #: Bytes to which suffixes are sorted and common prefixes told, at least the shortest passage.
 EXTRA = 6
 KEY = np.uint64((1 << 40) - 1)
@@ -43,47 +43,62 @@ BASE = 0x9E3779B97F4A7C15
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes from every position, by doubling; the last GRAM - 1 positions are of no use."""
+    """Hash of the GRAM bytes from every position, by doubling."""
     m = [pow(BASE, 1 << k, 1 << 64) for k in range(5)]
     h = data.astype(np.uint64) + np.uint64(1)
-    kept = {}
+    four = h
     for k in range(4):
         step = 1 << k
         h = h[:-step] * np.uint64(m[k]) + h[step:]
-        kept[2 * step] = h
-    h = kept[16][: len(data) - GRAM + 1] * np.uint64(m[2]) + kept[4][16 : 16 + len(data) - GRAM + 1]
+        four = h if step == 2 else four
+    h = h[: len(data) - GRAM + 1] * np.uint64(m[2]) + four[16 : 16 + len(data) - GRAM + 1]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
 
 
+def least_grams(data: np.ndarray, least: int, block: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every gram, distance from every passage's start to its gram of least hash, the leftmost of equal ones).
+
+    Block by block, so that what is worked on stays in the cache.
+    """
+    w = least - GRAM + 1
+    n = len(data) - least + 1
+    hashes, out = np.zeros(len(data) - GRAM + 1, np.uint64), np.zeros(n, np.uint8)
+    for a in range(0, n, block):
+        z = min(n, a + block)
+        h = gram_hashes(data[a : z + least - 1])
+        hashes[a : a + len(h)] = h
+        v, off, size = (h >> np.uint64(32)).astype(np.uint32), np.zeros(len(h), np.uint8), 1
+        while size < w:
+            d = min(size, w - size)
+            right = v[d:] < v[:-d]
+            off = np.where(right, off[d:] + np.uint8(d), off[:-d])
+            v = np.minimum(v[d:], v[:-d])
+            size += d
+        out[a:z] = off
+    return hashes, out
+
+
 def anchors(data: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(position, hash, first start, last start, document) of every anchor: of the passages of `least` bytes that start
     from first to last, the anchor's gram has the least hash (the leftmost of equal ones)."""
     none = np.zeros(0, np.int64)
     starts = np.concatenate([[0], ends[:-1]])
-    if not len(data) or (ends - starts).max(initial=0) < least:
-        return none, none.astype(np.uint64), none, none, none
-    h = gram_hashes(data)
-    w = least - GRAM + 1
-    v, off = (h >> np.uint64(32)).astype(np.uint32), np.zeros(len(h), np.uint8)
-    size = 1
-    while size * 2 <= w:
-        right = v[size:] < v[:-size]
-        v, off = np.where(right, v[size:], v[:-size]), np.where(right, off[size:] + np.uint8(size), off[:-size])
-        size *= 2
-    if size < w:
-        d = w - size
-        right = v[d:] < v[:-d]
-        off = np.where(right, off[d:] + np.uint8(d), off[:-d])
     long = np.flatnonzero(ends - starts >= least)
-    n = (ends - starts - least + 1)[long]
-    doc = np.repeat(long, n)
-    t = np.repeat(starts[long] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    at = t + off[t]
-    cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])]))
-    last = np.concatenate([cut[1:], [len(t)]]) - 1
-    return at[cut], h[at[cut]], t[cut], t[last], doc[cut]
+    if not len(long):
+        return none, none.astype(np.uint64), none, none, none
+    h, off = least_grams(data, least)
+    inside = np.zeros(len(off) + 1, bool)
+    new = np.ones(len(off) + 1, bool)
+    new[1:-1] = off[1:] != off[:-1] - np.uint8(1)
+    for a, z in zip(starts[long].tolist(), (ends[long] - least + 1).tolist()):
+        inside[a:z] = True
+        new[a] = True
+    first = np.flatnonzero(new[:-1] & inside[:-1])
+    last = np.flatnonzero(inside[:-1] & (new[1:] | ~inside[1:]))
+    at = first + off[first]
+    return at, h[at], first, last, np.searchsorted(ends, first, "right")
 
 
 def distinct_keys(h: np.ndarray, doc: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,11 +125,10 @@ def contexts(data: np.ndarray, starts: np.ndarray, at: np.ndarray, first: np.nda
     out = np.zeros((len(at), wide + 3), np.uint8)
     out[:, 0], out[:, 1] = last - first, at - first
     out[:, 2] = first > starts[doc]
-    span = np.arange(wide)
-    spot = first[:, None] - 1 + span[None, :]
-    live = span[None, :] <= (last - first + least)[:, None]
-    live[:, 0] = out[:, 2] > 0
-    out[:, 3:] = np.where(live, data[np.clip(spot, 0, len(data) - 1)], 0)
+    size = (last - first + least).astype(np.int64)
+    for k in range(wide):
+        live = size >= k if k else out[:, 2] > 0
+        out[live, 3 + k] = data[first[live] - 1 + k]
     return out
 
 
@@ -142,8 +156,7 @@ def distinct_rows(rows: np.ndarray, lead: np.ndarray | None = None) -> tuple[np.
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     pad = -rows.shape[1] % 8
     words = np.ascontiguousarray(np.pad(rows, ((0, 0), (0, pad)))).view(">u8").astype(np.uint64)
-    keys = [*words.T[::-1]] + ([lead] if lead is not None else [])
-    order = np.lexsort(keys)
+    order = sorted_by([lead.astype(np.uint64), *words.T] if lead is not None else [*words.T])
     new = (words[order][1:] != words[order][:-1]).any(1)
     if lead is not None:
         new |= lead[order][1:] != lead[order][:-1]
@@ -153,6 +166,22 @@ def distinct_rows(rows: np.ndarray, lead: np.ndarray | None = None) -> tuple[np.
     return order[np.concatenate([[True], new])], place
 
 
+def sorted_by(cols: list[np.ndarray]) -> np.ndarray:
+    """Order by the columns in turn: by the first, then those groups again in which a later one differs."""
+    order = np.argsort(cols[0])
+    tied = cols[0][order][1:] == cols[0][order][:-1]
+    differ = np.zeros(len(tied), bool)
+    for c in cols[1:]:
+        differ |= c[order][1:] != c[order][:-1]
+    group = np.concatenate([[0], np.cumsum(~tied)]) if len(order) else order
+    mixed = np.zeros(len(order), bool)
+    mixed[group[1:][differ & tied]] = True
+    again = mixed[group]
+    part = order[again]
+    order[again] = part[np.lexsort([*[c[part] for c in cols[:0:-1]], group[again]])]
+    return order
+
+
 def suffix_array(rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted suffixes of contexts: (row, passage, common prefix with the suffix before, byte to the left or -1).
 
@@ -162,14 +191,17 @@ def suffix_array(rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray,
     count = rows[:, 0].astype(np.int64) + 1
     row = np.repeat(np.arange(len(rows)), count)
     o = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    padded = np.pad(rows, ((0, 0), (0, 8 * words))).astype(np.uint64)
+    padded = np.pad(rows, ((0, 0), (0, 8 * words)))
     eight = np.zeros((len(rows), rows.shape[1] + 8 * (words - 1)), np.uint64)
     for k in range(8):
-        eight = (eight << np.uint64(8)) | padded[:, k : k + eight.shape[1]]
-    cols = [eight[row, 4 + o + 8 * j] for j in range(words)]
+        eight <<= np.uint64(8)
+        eight |= padded[:, k : k + eight.shape[1]]
+    spot = row * eight.shape[1] + 4 + o
+    cols = [eight.ravel()[spot + 8 * j] for j in range(words)]
+    del eight
     over = 8 * words - (least + EXTRA)
     cols[-1] = cols[-1] >> np.uint64(8 * over) << np.uint64(8 * over)
-    order = np.lexsort(cols[::-1])
+    order = sorted_by(cols)
     same = np.ones(max(0, len(order) - 1), bool)
     lcp = np.zeros(len(order), np.int64)
     for c in cols[:-1]:
@@ -232,14 +264,15 @@ def intervals(lcp: np.ndarray, left: np.ndarray, least: int) -> list[tuple[int,
     return [(d, a, z) for d, a, z in out if z - a > 1]
 
 
-def least_documents(rows: np.ndarray, low: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, passage, least doc_id of the interval of depth `least`) of all passages, by row."""
+def least_documents(rows: np.ndarray, low: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, least doc_id of the interval of depth `least`) of every passage of the rows, in order."""
     row, o, lcp, _ = suffix_array(rows, least)
+    count = rows[:, 0].astype(np.int64) + 1
     root = np.flatnonzero(lcp < least)
     m = np.minimum.reduceat(low[row], root) if len(row) else low[:0]
-    m = np.repeat(m, np.diff(np.concatenate([root, [len(row)]])))
-    order = np.lexsort((o, row))
-    return row[order], o[order], m[order]
+    out = np.empty(len(row), np.int64)
+    out[(np.cumsum(count) - count)[row] + o] = np.repeat(m, np.diff(np.concatenate([root, [len(row)]])))
+    return np.repeat(np.arange(len(rows)), count), out
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str, columns: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
@@ -279,9 +312,10 @@ def dedup(docs: DataFrame, least: int = 50) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("g", F.unhex(F.sha2("text", 256)))
     slim = scratch.save(rows.select("d", "doc_id", "g", F.length("text").cast("long").alias("n_bytes")), "slim")
+    rows_in = slim.count()
     first = slim.groupBy("g").agg(F.min("d").alias("f"))
-    slim = scratch.save(slim.join(first, "g"), "first")
-    copies = scratch.save(slim.where("d > f").select(F.col("d").alias("cd"), F.col("g").alias("cg")).distinct(), "copies")
+    slim = scratch.save(slim.join(first, "g"), "first", rows_in)
+    copies = scratch.save(slim.where("d > f").select(F.col("d").alias("cd"), F.col("g").alias("cg")).distinct(), "copies", rows_in)
     total = slim.where("d = f").agg(F.sum("n_bytes")).first()[0] or 0
     buckets = int(max(spread, -(-total * 2 // (least - GRAM + 2) // BUCKET)))
 
@@ -335,7 +369,7 @@ def dedup(docs: DataFrame, least: int = 50) -> DataFrame:
 
     sent = pages.select("page", "ids", "sizes", "data").mapInArrow(send_keys, "bucket int, page long, keys binary, two binary")
     bits = sent.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "page long, bucket int, bits binary")
-    bits = scratch.save(bits.groupBy("page").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits")), "bits")
+    bits = scratch.save(bits.groupBy("page").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits")), "bits", total // PAGE * 2000)
     release(bits)
     bytes_of = bits.agg(F.sum(F.aggregate("bits", F.lit(0), lambda a, x: a + F.length(x["bits"]) + 12))).first()[0] or 0
     marked = pages.join(F.broadcast(bits) if bytes_of <= 16 << 20 else bits, "page")
@@ -356,7 +390,7 @@ def dedup(docs: DataFrame, least: int = 50) -> DataFrame:
             one, place = distinct_rows(ctx)
             m = np.full(len(one), LAST)
             np.minimum.at(m, place, low)
-            row, o, doc = least_documents(ctx[one], m, least)
+            row, doc = least_documents(ctx[one], m, least)
             # Runs of passages of one context with one answer.
             new = np.concatenate([[True], (row[1:] != row[:-1]) | (doc[1:] != doc[:-1])])
             at = np.flatnonzero(new)
@@ -375,7 +409,7 @@ def dedup(docs: DataFrame, least: int = 50) -> DataFrame:
 
     asked = marked.select("page", "ids", "sizes", "data", "bits").mapInArrow(send_contexts, "bucket int, page long, ctx binary, low binary")
     told = asked.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(decide, "page long, bucket int, runs binary, sizes2 binary, docs binary")
-    told = scratch.save(told.groupBy("page").agg(F.collect_list(F.struct("bucket", "runs", "sizes2", "docs")).alias("told")), "told")
+    told = scratch.save(told.groupBy("page").agg(F.collect_list(F.struct("bucket", "runs", "sizes2", "docs")).alias("told")), "told", total // PAGE * 2000)
     release(told)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
