@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if it was counted and has at most this many slim rows.
 BROADCAST_ROWS = 2_000_000
+#: Slim rows of one file of a scratch table whose size is known, and files at least.
+FILE_ROWS, LEAST_FILES = 50_000, 6
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,16 +23,29 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Have Spark hand Python at most `most` bytes at once (a longer row comes alone), so that memory outside the heap
+    doesn't depend on how long texts are.  A smaller bound of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m"))
+    if now > most:
+        spark.conf.set(key, str(most))
+
+
 class Scratch:
     """Tables written to the shared folder, so that lineage is cut and a lost executor costs one stage."""
 
     def __init__(self, spark: SparkSession, tag: str):
+        bounded_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write and reread.  `rows`: a bound on the rows, if known, which then go to a file for every FILE_ROWS."""
         self.n += 1
+        if rows is not None:
+            df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
         path = f"{self.root}/{self.n:03d}-{name}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)

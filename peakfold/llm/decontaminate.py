@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakfold.llm.common import bounded_batches
 from peakfold.llm.words import as_strings, slices, split_words
 
 BLOCK_BYTES = 8 << 20
@@ -155,6 +156,7 @@ def blocks(bench: DataFrame, seed: int) -> Iterator[Items]:
 def contaminated(docs: DataFrame, bench: DataFrame, seed: int = 5, threshold: float = 0.5) -> DataFrame:
     """doc_id, item_id, coverage, n_tiles, tiles ("item start:document start:words", comma-joined): a row for each pair."""
     schema = "doc_id long, item_id long, coverage double, n_tiles int, tiles string"
+    bounded_batches(docs.sparkSession)
     out = None
     for index in blocks(bench, seed):
         shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by BLOCK_BYTES
@@ -176,6 +178,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, seed: int = 5, threshold: fl
 
 def decontaminate(docs: DataFrame, bench: DataFrame, seed: int = 5, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that no item contaminates; columns unchanged."""
+    bounded_batches(docs.sparkSession)
     for index in blocks(bench, seed):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 

@@ -173,12 +173,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
     rows = scratch.save(given.mapInArrow(sets, schema), "sets")
     slim = rows.select("doc_id", "text_hash", "n", "node", "prefix", "band", "first")
+    total = slim.count()
     classes = slim.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.min(F.when(F.col("doc_id").isNotNull(), F.col("doc_id"))).alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("band").alias("band"), F.first("first").alias("first"))
-    classes = scratch.save(classes.select("node", "r.doc_id", "r.text_hash", "least", "n", "prefix", "band", "first"), "classes")
+    classes = scratch.save(classes.select("node", "r.doc_id", "r.text_hash", "least", "n", "prefix", "band", "first"), "classes", total)
 
     # Copies of a class's row are left out; they are all that makes a node come twice.
     copies = slim.where("n > 0").join(classes.select("node", F.col("doc_id").alias("d"), F.col("text_hash").alias("t")), "node").where(~(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))))
-    copies = scratch.save(copies.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")), "copies")
+    copies = scratch.save(copies.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")), "copies", total)
     own = rows.where("n > 0").join(maybe_broadcast(copies, copies.count()), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left_anti")
     posted = own.select("node", F.explode("h1").alias("h"))
     shared = posted.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("df > 1")
@@ -189,14 +190,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     keys = keys.unionByName(own.select(F.explode("h2").alias("h"), "node")).join(classes.select("node", "band"), "node")
     keys = keys.select("h", "node", F.explode(F.array(F.col("band") - 1, F.col("band"))).alias("band"))
     keys = scratch.save(keys, "keys")
+    posted_keys = keys.count()
     leaders = keys.groupBy("h", "band").agg(F.min("node").alias("b"), F.max("node").alias("c")).where("b <> c").drop("c")
-    cells = components(keys.join(leaders, ["h", "band"]).select(F.col("node").alias("a"), "b").where("a <> b"), scratch, "cells")
+    cells = components(keys.join(leaders, ["h", "band"]).select(F.col("node").alias("a"), "b").where("a <> b"), scratch, "cells", posted_keys)
     cells = cells.withColumnRenamed("component", "cell").join(classes, "node")
-    cells = scratch.save(cells.select("cell", "node", "doc_id", "text_hash", "n", "band"), "cells")
+    cells = scratch.save(cells.select("cell", "node", "doc_id", "text_hash", "n", "band"), "cells", total)
     scratch.drop(keys, copies)
 
     weight = cells.groupBy("cell").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    cells = scratch.save(cells.join(weight, "cell"), "blocks")
+    cells = scratch.save(cells.join(weight, "cell"), "blocks", total)
     found = cells.count()
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,9 +218,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     many = full.where("blocks > 1")
     lead = many.join(many.groupBy("cell", "band").agg(F.min("node").alias("node")), ["cell", "band", "node"])
     lead = lead.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "s", F.lit(True).alias("new"), F.col("node").alias("part"))
-    links = scratch.save(tile_links(tiles.unionByName(lead), ["cell", "block"], percent, spread), "links")
+    links = scratch.save(tile_links(tiles.unionByName(lead), ["cell", "block"], percent, spread), "links", found)
     if not many.isEmpty():
-        parts = components(links, scratch, "parts")
+        parts = components(links, scratch, "parts", found)
         state = many.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
         state = scratch.save(state, "state")
         sizes = state.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("m"), F.sum(F.length("s") / 8).alias("e"))
@@ -228,7 +230,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         every = state.select("cell", spot.alias("block"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), "node", "s", F.lit(False).alias("new"), "part")
         minor = state.where("part <> main").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("node"), F.col("others").cast("long")).cast("int").alias("other"), "node", "s", F.lit(True).alias("new"), "part")
         links = links.unionByName(tile_links(every.unionByName(minor), ["cell", "block", "other"], percent, spread))
-    joined = components(links, scratch, "joined")
+    joined = components(links, scratch, "joined", found)
     ids = classes.select("node", "least").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = ids.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = ids.join(named, "component").select("node", "component_id")
@@ -242,10 +244,11 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     Rows with an empty set all stay; a row that is repeated as a whole stays once.
     """
     scratch = Scratch(docs.sparkSession, "keep")
-    found = scratch.save(near_duplicates(docs, words, percent), "found")
+    total = docs.count()
+    found = scratch.save(near_duplicates(docs, words, percent), "found", total)
     one = found.where("n_shingles > 0").groupBy(F.coalesce("component_id", "node").alias("c"), F.col("component_id").isNull().alias("z")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")).alias("r"))
     one = one.select(F.col("r.doc_id").alias("__d"), F.col("r.text_hash").alias("__t")).unionByName(found.where("n_shingles = 0").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).distinct())
-    one = scratch.save(one, "one")
+    one = scratch.save(one, "one", total)
     kept = docs.withColumn("__h", F.xxhash64("text")).join(maybe_broadcast(one, one.count()), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t")), "left_semi")
     if found.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
         return kept.drop("__h")

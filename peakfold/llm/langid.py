@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peakfold.llm.common import bounded_batches
 from peakfold.llm.words import as_strings, grams, slices, split_words
 
 SIZES = (1, 2, 3, 4)
@@ -192,6 +193,7 @@ def fit(docs: DataFrame, learn: Column, most: int) -> Model:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score of every row."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,6 +211,7 @@ def language_id(docs: DataFrame, learn: Column, most: int = 4000) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
     """The rows of `docs` whose language is known with a share of at least `least` of the letters; columns unchanged."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -78,7 +78,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     base = scratch.save(base, "sizes")
     order = F.xxhash64(F.col("doc_id"), F.lit(seed))
     placed = dense_index(base, ["skey"], F.shiftrightunsigned(order, 54).cast("int") % BUCKETS, [order, F.col("doc_id"), F.col("size"), *[F.col(c) for c in keep]], "start", F.col("size"))
-    placed = scratch.save(placed, "placed")
+    placed = scratch.save(placed, "placed", base.count())
     sizes = base.groupBy("skey").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, most)
 

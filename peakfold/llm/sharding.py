@@ -40,9 +40,9 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 4, seed: in
     rows = rows.withColumn("h", F.xxhash64("doc_id", "g", F.lit(seed), *keep))
     # Group sizes: counted once; rows of groups of one never join again.
     rows = scratch.save(rows, "rows")
+    total = rows.count()
     groups = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    state = scratch.save(rows.join(groups, "g", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")), "start")
-    total = state.count()
+    state = scratch.save(rows.join(groups, "g", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")), "start", total)
     quota = total // shards
 
     alone = state.where("n = 1")
@@ -63,14 +63,14 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 4, seed: in
         movers = movers.join(F.broadcast(room), "to", "left")  # one row a shard
         movers = movers.withColumn("shard", F.when(F.coalesce("stay", F.lit(0)) + F.col("rank") < quota, F.col("to")).otherwise(F.col("shard")))
         names = linked.columns
-        after = scratch.save(asked.where("stays").select(*names).unionByName(movers.select(*names)), f"round{k}")
+        after = scratch.save(asked.where("stays").select(*names).unionByName(movers.select(*names)), f"round{k}", total)
         if k:
             scratch.drop(linked)
         linked = after
 
     # Every shard keeps the first `quota` of its linked rows, groups in turn, large groups last; the rest fills the gaps.
     ranked = dense_index(linked, ["shard"], F.concat((F.col("n") > GROUP_ROWS).cast("int").cast("string"), mixed_bucket(F.col("n"), F.col("g"), F.col("h"))), [F.col("g"), F.col("h")], "rank")
-    ranked = scratch.save(ranked, "ranked")
+    ranked = scratch.save(ranked, "ranked", total)
     names = [c for c in state.columns]
     fixed = ranked.where(F.col("rank") < quota)
     free = ranked.where(F.col("rank") >= quota).select(*names).unionByName(alone.select(*names))
@@ -81,7 +81,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 4, seed: in
     ends = ends.agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("ends"))  # one row, an entry a shard
     free = free.withColumn("__k", F.lit(0)).join(F.broadcast(ends.withColumn("__k", F.lit(0))), "__k")
     free = free.withColumn("shard", F.element_at(F.filter("ends", lambda e: e["end"] > F.col("at")), 1)["shard"])
-    placed = scratch.save(fixed.select(*names).unionByName(free.select(*names)), "placed")
+    placed = scratch.save(fixed.select(*names).unionByName(free.select(*names)), "placed", total)
     out = dense_index(placed, ["shard"], F.shiftrightunsigned("g", 54), [F.col("g"), F.col("h")], "slot")
     return out.select("doc_id", "size", "text_crc32", "shard", "slot", *keep)
 
@@ -93,7 +93,7 @@ def shard_corpus(docs: DataFrame, shards: int = 40, **how) -> DataFrame:
     keyed = docs.select(*names).withColumn("__h", F.xxhash64("text"))
     placed = shard_documents(keyed, shards, keep=("__h",), **how)
     spots = placed.groupBy(F.col("doc_id").alias("__d"), F.col("__h").alias("__t")).agg(F.array_sort(F.collect_list(F.struct("shard", "slot"))).alias("__s"))
-    spots = scratch.save(spots, "spots")
+    spots = scratch.save(spots, "spots", keyed.count())
     if spots.where(F.size("__s") > 1).isEmpty():
         keyed = keyed.withColumn("__k", F.lit(1))
     else:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peakfold.llm.common import bounded_batches
 from peakfold.llm.words import as_strings, grams, slices, split_words
 
 SIZES = (3, 4, 5)
@@ -180,6 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most_per_class: int)
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """doc_id, score, predicted of every row."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
