@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
-def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Have Spark hand Python at most `most` bytes at once (a longer row comes alone), so that memory outside the heap
     doesn't depend on how long texts are.  A smaller bound of the session stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

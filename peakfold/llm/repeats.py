@@ -34,7 +34,7 @@ PAGE = 1 << 20
 #: Bytes of a gram; anchors are the least of least - GRAM + 1 neighbouring grams.
 GRAM = 20
 #: Anchors of a bucket, about.
-BUCKET = 300_000
+BUCKET = 150_000
 #: Bytes to which suffixes are sorted and common prefixes told, at least the shortest passage.
 EXTRA = 6
 KEY = np.uint64((1 << 40) - 1)
