@@ -9,6 +9,9 @@ neighbours, and stack-scans the common-prefix intervals; an interval with severa
 repeat (as far as DEPTH bytes tell).  Pages get back the least document of every interval of depth `least`, and remove what
 starts in a smaller document.
 
+Pages are a bucketed table whose ids are chosen so that every task writes to one bucket: writing them shuffles nothing, and
+neither do the two joins that bring answers to pages.
+
 A passage or anchor that very many documents share is sent once a page, whatever the number of its documents.  Equal
 texts are told apart by a digest first: all but the first are removed whole.
 
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -275,6 +279,31 @@ def least_documents(rows: np.ndarray, low: np.ndarray, least: int) -> tuple[np.n
     return np.repeat(np.arange(len(rows)), count), out
 
 
+def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket in which Spark's bucketBy puts a long: its Murmur3 hash (fixed constants) modulo the buckets."""
+    u32 = np.uint32
+    with np.errstate(over="ignore"):
+        rot = lambda x, r: (x << u32(r)) | (x >> u32(32 - r))
+        h = np.full(len(ids), 42, u32)
+        raw = ids.astype(np.int64).view(np.uint64)
+        for k in (raw & np.uint64(0xFFFFFFFF), raw >> np.uint64(32)):
+            h = rot(h ^ (rot(k.astype(u32) * u32(0xCC9E2D51), 15) * u32(0x1B873593)), 13) * u32(5) + u32(0xE6546B64)
+        h ^= u32(8)
+        h = (h ^ (h >> u32(16))) * u32(0x85EBCA6B)
+        h = (h ^ (h >> u32(13))) * u32(0xC2B2AE35)
+        h ^= h >> u32(16)
+    return h.view(np.int32).astype(np.int64) % buckets
+
+
+def ids_in_bucket(task: int, buckets: int) -> Iterator[int]:
+    """Distinct ids of a task, all of one bucket."""
+    start = task << 40
+    while True:
+        ids = np.arange(start, start + 16 * buckets)
+        yield from ids[bucket_of(ids, buckets) == task % buckets].tolist()
+        start += len(ids)
+
+
 def grouped(batches: Iterator[pa.RecordBatch], key: str, columns: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
     """Rows of each key, from batches sorted by it."""
     last, held = None, []
@@ -322,13 +351,12 @@ def dedup(docs: DataFrame, least: int = 50) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        serial = TaskContext.get().partitionId() << 32
+        serial = ids_in_bucket(TaskContext.get().partitionId(), spread)
         held, size = [], 0
 
         def page():
-            nonlocal serial, held, size
-            serial += 1
-            out = pa.RecordBatch.from_arrays([pa.array([serial]), pa.array([[d for d, _, _ in held]], pa.list_(pa.int64())), pa.array([[len(t) for _, t, _ in held]], pa.list_(pa.int64())), pa.array([b"".join(g for *_, g in held)], pa.large_binary()).cast(pa.binary()), pa.array([b"".join(t for _, t, _ in held)], pa.binary())], names=["page", "ids", "sizes", "gs", "data"])
+            nonlocal held, size
+            out = pa.RecordBatch.from_arrays([pa.array([next(serial)], pa.int64()), pa.array([[d for d, _, _ in held]], pa.list_(pa.int64())), pa.array([[len(t) for _, t, _ in held]], pa.list_(pa.int64())), pa.array([b"".join(g for *_, g in held)], pa.binary()), pa.array([b"".join(t for _, t, _ in held)], pa.binary())], names=["page", "ids", "sizes", "gs", "data"])
             held, size = [], 0
             return out
 
@@ -342,7 +370,10 @@ def dedup(docs: DataFrame, least: int = 50) -> DataFrame:
             yield page()
 
     own = rows.join(maybe_broadcast(copies, copies.count()), (F.col("d") == F.col("cd")) & (F.col("g") == F.col("cg")), "left_anti").where(F.length("text") >= least)
-    pages = scratch.save(own.select("d", "text", "g").mapInArrow(pack, "page long, ids array<long>, sizes array<long>, gs binary, data binary"), "pages")
+    packed = own.select("d", "text", "g").mapInArrow(pack, "page long, ids array<long>, sizes array<long>, gs binary, data binary")
+    name = f"pages_{uuid.uuid4().hex}"
+    packed.write.bucketBy(spread, "page").option("path", f"{scratch.root}/pages").option("compression", "zstd").saveAsTable(name)
+    pages = spark.table(name)
 
     def send_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page, _, ends, data, _ in page_rows(batches, ()):
@@ -371,8 +402,7 @@ def dedup(docs: DataFrame, least: int = 50) -> DataFrame:
     bits = sent.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "page long, bucket int, bits binary")
     bits = scratch.save(bits.groupBy("page").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits")), "bits", total // PAGE * 2000)
     release(bits)
-    bytes_of = bits.agg(F.sum(F.aggregate("bits", F.lit(0), lambda a, x: a + F.length(x["bits"]) + 12))).first()[0] or 0
-    marked = pages.join(F.broadcast(bits) if bytes_of <= 16 << 20 else bits, "page")
+    marked = pages.join(bits.hint("shuffle_hash"), "page")  # bits of a page are a few kB
 
     def send_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page, ids, ends, data, (own_bits,) in page_rows(batches, ("bits",)):
@@ -439,9 +469,7 @@ def dedup(docs: DataFrame, least: int = 50) -> DataFrame:
                 out.append((gs[32 * k : 32 * k + 32], int(c.sum()), len(s), hashlib.sha256(data[a:z][~c].tobytes()).hexdigest(), ",".join(f"{x}:{y}" for x, y in zip(s.tolist(), e.tolist()))))
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["rg", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    size_of = told.agg(F.sum(F.aggregate("told", F.lit(0), lambda a, x: a + F.length(x["runs"]) + F.length(x["sizes2"]) + F.length(x["docs"])))).first()[0] or 0
-    both = bits.join(told, "page", "left") if size_of else bits.withColumn("told", F.lit(None).cast(told.schema["told"].dataType))
-    full = pages.join(F.broadcast(both) if bytes_of + size_of <= 32 << 20 else both, "page", "left")
+    full = pages.join(bits.join(told, "page", "left").hint("shuffle_hash"), "page", "left")
     done = full.select("page", "ids", "sizes", "data", "bits", "told", "gs").mapInArrow(remove, "rg binary, n_removed long, n_spans long, kept_sha256 string, spans string")
     done = scratch.save(done, "done").dropDuplicates(["rg"])
     # Short texts lose nothing, copies of a smaller document lose all.
