@@ -207,7 +207,7 @@ def train(texts: list[str], steps: int = 150, rate: float = 0.5, prior: float =
                 y.append(labels[i])
                 near_chain.append(np.bincount([k for k in around[i][0] if k >= 0], minlength=LABELS))
                 near_skip.append(np.bincount([k for k in around[i][1] if k >= 0], minlength=LABELS))
-    unary, chain, agree = np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), 2.0
+    unary, chain, agree = np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), 4.0
     unary[0, 0] = 4.0
     if not rows:
         return Field(unary, chain, agree)

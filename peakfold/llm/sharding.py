@@ -2,7 +2,7 @@
 
 Documents of equal text are linked (each to its group, never to each other pair by pair).  Shards start from a hash.  In
 every round a linked document asks for the shard where most of its neighbours are; a shard admits as many as its quota
-leaves, whole groups in turn.  Documents without neighbours cut no edge wherever they are: they fill the shards up at the
+leaves, whole groups in turn; a group larger than a shard asks in parts.  Documents without neighbours cut no edge wherever they are: they fill the shards up at the
 end, so that row counts are at most one apart (law `rows`).
 
 Cases: null texts have 0 bytes and are a group of their own kind (null links only with null); a null doc_id is a value
@@ -42,12 +42,14 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 4, seed: in
     rows = scratch.save(rows, "rows")
     total = rows.count()
     groups = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    state = scratch.save(rows.join(groups, "g", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")), "start", total)
+    # A group of more rows than a shard should give it moves in as many parts as it needs shards.
     quota = total // shards
+    state = rows.join(groups, "g", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    state = state.withColumn("g", F.when(F.col("n") > 0.8 * quota, F.xxhash64("g", F.pmod("h", F.ceil(F.col("n") / max(1.0, 0.8 * quota)).cast("long")))).otherwise(F.col("g")))
+    state = scratch.save(state.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")), "start", total)
 
     alone = state.where("n = 1")
     linked = state.where("n > 1")
-    per_shard = Window.partitionBy("shard")
     for k in range(rounds):
         near = linked.groupBy("g", "shard").agg(F.count(F.lit(1)).alias("near"))
         held = linked.groupBy("shard").agg(F.count(F.lit(1)).alias("held"))
