@@ -66,16 +66,17 @@ def permuted(k: Column, n: Column, key: Column, inverse: bool = False) -> Column
     return F.aggregate(F.array(*[F.lit(i) for i in rounds]), k.cast("long"), step)
 
 
-def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 64, shards: int = 64, seed: int = 5, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 64, shards: int = 64, seed: int = 5, keep: tuple[str, ...] = (), distinct: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The mix as four tables: placed documents, targets, taken word ranges and slots.
 
     placed: skey, doc_id, size, start (in the source's stream of words) and the columns of `keep`; targets: skey,
     source_size, target; taken: a placed document, slot, shard and its words [first, first + n); slots: skey, slot, shard,
-    block, words.  Sizes are counted once and written to the shared folder.
+    block, words.  Sizes are counted once and written to the shared folder; `distinct` takes
+    rows that are equal in all of these as one.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     base = docs.select(F.col("doc_id").alias("doc_id"), source_key(F.col("source")).alias("skey"), word_count(F.col("text")).alias("size"), *[F.col(c) for c in keep])
-    base = scratch.save(base, "sizes")
+    base = scratch.save(base.distinct() if distinct else base, "sizes")
     order = F.xxhash64(F.col("doc_id"), F.lit(seed))
     placed = dense_index(base, ["skey"], F.shiftrightunsigned(order, 54).cast("int") % BUCKETS, [order, F.col("doc_id"), F.col("size"), *[F.col(c) for c in keep]], "start", F.col("size"))
     placed = scratch.save(placed, "placed", base.count())
@@ -106,7 +107,8 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     slots = slots.withColumn("shard", F.pmod(F.xxhash64("key", "slot", F.lit(seed + 1)), F.lit(shards)).cast("int")).withColumn("epoch", F.expr("slot div blocks")).select("skey", "slot", "epoch", "shard", "block", "words")
 
     spans = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}"))))
-    hit = spans.join(slots, ["skey", "block"])
+    # Spark takes what a generator makes to be as small as what it reads and would broadcast it: slots are shuffled.
+    hit = spans.join(slots.hint("merge"), ["skey", "block"])
     begin = F.greatest(F.col("start"), F.col("block") * block_words)
     end = F.least(F.col("start") + F.col("size"), F.col("block") * block_words + F.col("words"))
     hit = hit.withColumn("first", begin - F.col("start")).withColumn("n", end - begin).where("n > 0")
@@ -130,11 +132,12 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     word stays with it, white space before the first and after the last word goes.  n_chars is counted anew.
     """
     names = [c for c in ("doc_id", "text", "lang", "source", "n_chars") if c in docs.columns]
-    keyed = docs.select(*names).withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "__h"])
-    _, _, hit, _ = mix_plan(keyed, keep=("__h",), **how)
-    pieces = hit.groupBy(F.col("skey").alias("__k"), F.col("doc_id").alias("__d"), F.col("__h").alias("__t")).agg(F.array_sort(F.collect_list(F.struct("epoch", "first", "n"))).alias("__p"))
-    left = keyed.withColumn("__s", source_key(F.col("source")))
-    both = left.join(pieces, (F.col("__s") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t"))).select(*names, "__p")
+    identity = ["__s", "__n", "__d", "__h"]
+    keyed = docs.select(*names).withColumns({"__s": source_key(F.col("source")), "__n": F.col("doc_id").isNull(), "__d": F.coalesce("doc_id", F.lit(0)), "__h": F.xxhash64("text")})
+    _, _, hit, _ = mix_plan(keyed, keep=("__h",), distinct=True, **how)
+    pieces = hit.groupBy(F.col("skey").alias("__s"), F.col("doc_id").isNull().alias("__n"), F.coalesce("doc_id", F.lit(0)).alias("__d"), "__h").agg(F.array_sort(F.collect_list(F.struct("epoch", "first", "n"))).alias("__p"))
+    # One shuffle of the texts: they are grouped by what they are joined on.
+    both = keyed.dropDuplicates(identity).join(pieces, identity).select(*names, "__p")
     words = F.regexp_extract_all("text", F.lit(WORD[:-1] + r"+[\x20\x09-\x0D]*"), F.lit(0))
     both = both.withColumn("__w", words)
     def piece(p):
