@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,25 +38,25 @@ NAMES = sorted({n for _, n in SCRIPTS})
 SCRIPT_OF = np.array([NAMES.index(n) for _, n in SCRIPTS])
 
 
+#: Script of each code point, or 254 for no letter, or 255 for not asked yet.
+KIND = np.full(0x110000, 255, np.uint8)
+
+
 def letters_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(letters, script) of each word; the script is that of most letters, -1 without any."""
-    n, script = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
-    for i, w in enumerate(words):
-        if w.isascii():
-            k = len(w) if w.isalpha() else sum(map(str.isalpha, w))
-            n[i] = k
-            if k:
-                script[i] = NAMES.index("Latin")
-            continue
-        own = [ord(c) for c in w if c.isalpha()]
-        n[i] = len(own)
-        if own:
-            script[i] = np.bincount(SCRIPT_OF[np.maximum(np.searchsorted(STARTS, own, "right") - 1, 0)], minlength=len(NAMES)).argmax()
-    return n, script
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    for c in np.unique(codes[KIND[codes] == 255]).tolist():
+        KIND[c] = SCRIPT_OF[max(0, np.searchsorted(STARTS, c, "right") - 1)] if chr(c).isalpha() else 254
+    kind = KIND[codes]
+    live = kind < 254
+    owner = np.repeat(np.arange(len(words)), [len(w) for w in words])[live]
+    table = np.bincount(owner * len(NAMES) + kind[live], minlength=len(words) * len(NAMES)).reshape(len(words), len(NAMES))
+    n = table.sum(1)
+    return n, np.where(n > 0, table.argmax(1), -1)
 
 
 def bare(words: list[str]) -> list[str]:
-    return [unicodedata.normalize("NFC", w).lower().strip(".,;:!?\"'()[]{}") or w for w in words]
+    return [(w if w.isascii() else unicodedata.normalize("NFC", w)).lower().strip(".,;:!?\"'()[]{}") or w for w in words]
 
 
 @dataclass
@@ -67,15 +67,12 @@ class Model:
     score: np.ndarray
     uses: np.ndarray
     penalty: float
-    cache: dict = field(default_factory=dict)
 
     def word_scores(self, words: list[str], script: np.ndarray) -> np.ndarray:
         """Log likelihood ratio of every word against the mean language; ruled-out languages get a large negative score."""
         who, where = grams(bare(words), SIZES, len(self.score))
-        out = np.zeros((len(words), len(self.langs)), np.float32)
-        n = np.maximum(np.bincount(who, minlength=len(words)), 1)
-        for k in range(len(self.langs)):
-            out[:, k] = np.bincount(who, self.score[where, k], minlength=len(words)) / np.sqrt(n)
+        n = np.bincount(who, minlength=len(words))  # each word has a gram: itself
+        out = np.add.reduceat(self.score[where], np.cumsum(n) - n, axis=0) / np.sqrt(n)[:, None] if len(words) else np.zeros((0, len(self.langs)))
         allowed = np.where((script >= 0)[:, None], self.uses[np.maximum(script, 0)], True)
         allowed |= ~allowed.any(1, keepdims=True)
         out = np.where(allowed, out, -1e4).astype(np.float32)

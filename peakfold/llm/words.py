@@ -90,5 +90,5 @@ def _grams(words: list[str], sizes: tuple[int, ...], buckets: int, whole: bool)
         who.append(owner)
         where.append((h >> np.uint64(7)) % np.uint64(buckets))
     who, where = np.concatenate(who).astype(np.int32), np.concatenate(where).astype(np.int32)
-    order = np.argsort(who, kind="stable")
+    order = np.argsort(who, kind="stable")  # a radix sort on 32 bits
     return who[order], where[order]
