@@ -6,7 +6,7 @@ depth `least` or more lies within one.  Only anchors that two documents have are
 PAGE bytes) first send the distinct anchor keys of each bucket and get back one bit a key, then the distinct
 contexts of shared anchors with the least doc_id that has each.  A bucket sorts its suffixes, finds the common prefixes of
 neighbours, and stack-scans the common-prefix intervals; an interval with several bytes to its left is a maximal
-repeat (as far as DEPTH bytes tell).  Pages get back the least document of every interval of depth `least`, and remove what
+repeat.  Pages get back the least document of every interval of depth `least`, and remove what
 starts in a smaller document.
 
 Pages are a bucketed table whose ids are chosen so that every task writes to one bucket: writing them shuffles nothing, and
@@ -26,6 +26,7 @@ import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,10 @@ PAGE = 1 << 20
 GRAM = 20
 #: Anchors of a bucket, about.
 BUCKET = 150_000
-#: Bytes to which suffixes are sorted and common prefixes told, at least the shortest passage.
-EXTRA = 6
 KEY = np.uint64((1 << 40) - 1)
 LAST = (1 << 63) - 1
+#: In place of a left byte: several, or the start of a document.
+DIVERSE = -2
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -123,20 +124,22 @@ def by_bucket(u: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(b[a]), int(a), int(z)
 
 
-def contexts(data: np.ndarray, starts: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
-    """A row of bytes for each anchor: passages less one, anchor's place, whether a byte is to the left, it, the bytes."""
-    wide = 2 * least - GRAM + 1
+def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, doc: np.ndarray, least: int, extra: int = 0) -> np.ndarray:
+    """A row of bytes for each anchor: passages less one, anchor's place, twice the number of bytes (at most `extra`) after
+    the last passage plus whether a byte is to the left, it, the bytes."""
+    wide = 2 * least - GRAM + 1 + extra
     out = np.zeros((len(at), wide + 3), np.uint8)
     out[:, 0], out[:, 1] = last - first, at - first
-    out[:, 2] = first > starts[doc]
-    size = (last - first + least).astype(np.int64)
+    after = np.minimum(ends[doc] - last - least, extra)
+    out[:, 2] = (first > starts[doc]) + 2 * after
+    size = (last - first + least + after).astype(np.int64)
     for k in range(wide):
-        live = size >= k if k else out[:, 2] > 0
+        live = size >= k if k else out[:, 2] % 2 > 0
         out[live, 3 + k] = data[first[live] - 1 + k]
     return out
 
 
-def shared_contexts(data, ends, ids, bits: dict[int, bytes], buckets: int, least: int):
+def shared_contexts(data, ends, ids, bits: dict[int, bytes], buckets: int, least: int, extra: int = 0):
     """Distinct contexts of a page's shared anchors: (bucket of each, context rows, least doc_id, and of every shared
     anchor: first start, document, place of its context)."""
     at, h, first, last, doc = anchors(data, ends, least)
@@ -147,7 +150,7 @@ def shared_contexts(data, ends, ids, bits: dict[int, bytes], buckets: int, least
             keep[a:z] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=z - a).astype(bool)
     live = keep[back] if len(back) else np.zeros(0, bool)
     at, first, last, doc, bucket = at[live], first[live], last[live], doc[live], (u[back[live]] >> np.uint64(40)).astype(np.int64)
-    rows = contexts(data, np.concatenate([[0], ends[:-1]]), at, first, last, doc, least)
+    rows = contexts(data, np.concatenate([[0], ends[:-1]]), ends, at, first, last, doc, least, extra)
     order, place = distinct_rows(rows, bucket)
     low = np.full(len(order), LAST)
     np.minimum.at(low, place, ids[doc])
@@ -186,12 +189,14 @@ def sorted_by(cols: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def suffix_array(rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def suffix_array(rows: np.ndarray, least: int, extra: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted suffixes of contexts: (row, passage, common prefix with the suffix before, byte to the left or -1).
 
-    Suffixes are compared to least + EXTRA bytes; common prefixes are exact from `least` to there and else 0.
+    Suffixes are compared to least + extra bytes, where extra doesn't leave the 8-byte word that least ends in; common
+    prefixes are exact from `least` to there and else 0.
     """
-    words = -(-(least + EXTRA) // 8)
+    words = -(-(least + extra) // 8)
+    assert 8 * (words - 1) <= least
     count = rows[:, 0].astype(np.int64) + 1
     row = np.repeat(np.arange(len(rows)), count)
     o = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
@@ -203,7 +208,7 @@ def suffix_array(rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray,
     spot = row * eight.shape[1] + 4 + o
     cols = [eight.ravel()[spot + 8 * j] for j in range(words)]
     del eight
-    over = 8 * words - (least + EXTRA)
+    over = 8 * words - (least + extra)
     cols[-1] = cols[-1] >> np.uint64(8 * over) << np.uint64(8 * over)
     order = sorted_by(cols)
     same = np.ones(max(0, len(order) - 1), bool)
@@ -214,58 +219,38 @@ def suffix_array(rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray,
     equal = np.full(len(x), 8 * words - over)
     for b in range(7, -1, -1):
         equal = np.where((x >> np.uint64(8 * (7 - b))) & np.uint64(255) != 0, 8 * (words - 1) + b, equal)
-    lcp[1:] = np.where(same & (equal >= least), np.minimum(equal, least + EXTRA), 0)
-    left = np.where((o > 0) | (rows[row, 2] > 0), rows[row, 3 + o].astype(np.int64), -1)
+    has = (least + rows[row, 0].astype(np.int64) - o + rows[row, 2] // 2)[order]  # bytes of the suffix in its context
+    equal = np.minimum(equal, np.minimum(has[1:], has[:-1]))
+    lcp[1:] = np.where(same & (equal >= least), equal, 0)
+    left = np.where((o > 0) | (rows[row, 2] % 2 > 0), rows[row, 3 + o].astype(np.int64), -1)
     return row[order], o[order], lcp, left[order]
 
 
-def intervals(lcp: np.ndarray, left: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+def intervals(lcp: np.ndarray, left: np.ndarray, least: int, extra: int = 0) -> list[tuple[int, int, int]]:
     """Maximal repeats (length, first, end) in a suffix array: common-prefix intervals of depth `least` or more with
     different bytes, or none, to the left.  Runs of suffixes equal to the full depth are one step of the stack scan."""
-    out: list[tuple[int, int, int]] = []
-    top = least + EXTRA
-    step = np.flatnonzero(lcp < top)  # starts of classes of suffixes equal to the full depth
-    stops = np.concatenate([step[1:], [len(lcp)]])
-    stack: list[list] = []  # [depth, first, left byte or None if diverse]
-
-    def join(a, b):
-        return a if a == b and a is not None and a != -1 else None
-
-    def close(depth: int, end: int):
-        carried = None
-        begin = None
-        while stack and stack[-1][0] > depth:
-            d, begin, mark = stack.pop()
-            if mark is None:
-                out.append((d, begin, end))
-            carried = mark
-            if stack and stack[-1][0] > depth:
-                stack[-1][2] = join(stack[-1][2], mark)
-        return begin, carried
-
-    alone = (stops - step == 1) & (lcp[step] < least) & np.concatenate([lcp[step[1:]] < least, [True]]) if len(step) else step
-    for a, z in zip(step[~alone].tolist(), stops[~alone].tolist()) if len(step) else []:
-        marks = left[a:z]
-        mark = int(marks[0]) if (marks == marks[0]).all() and marks[0] != -1 else None
-        depth = int(lcp[a])
-        begin, carried = close(depth, a)
-        if depth >= least:
-            if stack and stack[-1][0] == depth:
-                if begin is not None:
-                    stack[-1][2] = join(stack[-1][2], carried)
-            else:
-                stack.append([depth, begin if begin is not None else a, carried])
-            if mark is None or stack[-1][2] != mark:
-                stack[-1][2] = None
-        stack.append([top if z - a > 1 else top + 1, a, mark if z - a > 1 else (mark if mark is not None else -2)])
-        if z - a == 1:
-            # one suffix is no repeat; it only lends its left byte to what contains it
-            single = stack.pop()
-            nxt = int(lcp[z]) if z < len(lcp) else 0
-            if nxt >= least and not (stack and stack[-1][0] >= nxt):
-                stack.append([nxt, a, single[2] if single[2] != -2 else None])
-    close(0, len(lcp))
-    return [(d, a, z) for d, a, z in out if z - a > 1]
+    top = least + extra
+    first = np.flatnonzero(lcp < top)  # of classes of suffixes equal to the full depth
+    end = np.concatenate([first[1:], [len(lcp)]]).astype(np.int64)
+    depth = np.where(lcp[first] >= least, lcp[first], 0)
+    low, high = (f.reduceat(left, first) if len(first) else left for f in (np.minimum, np.maximum))
+    own = np.where((low == high) & (low >= 0), low, DIVERSE)
+    ahead = np.concatenate([depth[1:], [0]]).astype(np.int64) if len(first) else depth
+    busy = (depth > 0) | (ahead > 0)  # of other classes only the class itself can be a repeat
+    out = [(top, int(a), int(z)) for a, z in zip(first[own == DIVERSE].tolist(), end[own == DIVERSE].tolist()) if z - a > 1]
+    stack: list[list[int]] = []  # depth, first suffix, byte to the left or DIVERSE
+    for a, z, mark, deep in zip(first[busy].tolist(), end[busy].tolist(), own[busy].tolist(), ahead[busy].tolist()):
+        begin = a
+        while stack and stack[-1][0] > deep:
+            d, begin, seen = stack.pop()
+            mark = mark if mark == seen else DIVERSE
+            if mark == DIVERSE:
+                out.append((d, begin, z))
+        if stack and stack[-1][0] == deep:
+            stack[-1][2] = mark if mark == stack[-1][2] else DIVERSE
+        elif deep:
+            stack.append([deep, begin, mark])
+    return out
 
 
 def least_documents(rows: np.ndarray, low: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -332,8 +317,22 @@ def page_rows(batches: Iterator[pa.RecordBatch], rest: tuple[str, ...]):
             yield b.column("page")[i].as_py(), ids, ends, np.frombuffer(b.column("data")[i].as_buffer(), np.uint8), [b.column(c)[i].as_py() for c in rest]
 
 
-def dedup(docs: DataFrame, least: int = 50) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start:end of removed bytes, comma-joined)."""
+@dataclass
+class Shared:
+    """What the documents share, page by page: slim (d, doc_id, g, n_bytes, f: least d of the text), pages, bits of their
+    shared anchors, both joined as marked."""
+
+    scratch: Scratch
+    slim: DataFrame
+    pages: DataFrame
+    bits: DataFrame
+    marked: DataFrame
+    buckets: int
+    spread: int
+    total: int
+
+
+def shared_anchors(docs: DataFrame, least: int) -> Shared:
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
     spread = partitions(spark)
@@ -403,6 +402,13 @@ def dedup(docs: DataFrame, least: int = 50) -> DataFrame:
     bits = scratch.save(bits.groupBy("page").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits")), "bits", total // PAGE * 2000)
     release(bits)
     marked = pages.join(bits.hint("shuffle_hash"), "page")  # bits of a page are a few kB
+    return Shared(scratch, slim, pages, bits, marked, buckets, spread, total)
+
+
+def dedup(docs: DataFrame, least: int = 50) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start:end of removed bytes, comma-joined)."""
+    x = shared_anchors(docs, least)
+    scratch, slim, pages, bits, marked, buckets, spread, total = x.scratch, x.slim, x.pages, x.bits, x.marked, x.buckets, x.spread, x.total
 
     def send_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page, ids, ends, data, (own_bits,) in page_rows(batches, ("bits",)):
@@ -480,3 +486,36 @@ def dedup(docs: DataFrame, least: int = 50) -> DataFrame:
         "doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"), F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copy, F.lit(empty)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("g")))).alias("kept_sha256"), F.when(copy, F.concat(F.lit("0:"), F.col("n_bytes").cast("string"))).otherwise(F.coalesce("spans", F.lit(""))).alias("spans"),
     )
+
+
+def repeat_groups(docs: DataFrame, least: int = 50) -> DataFrame:
+    """Maximal repeats of `least` bytes or more with all their occurrences: repeat, length, doc_id, start, a row each.
+
+    One row stands for all rows of a text (the least doc_id).  Lengths are told up to the next multiple of 8 bytes: a longer
+    repeat shows as overlapping ones of that length.  `repeat` numbers them within the result.  Unlike `dedup` this sends every
+    occurrence to its bucket, so a passage that very many documents hold makes a large bucket.
+    """
+    x = shared_anchors(docs, least)
+    extra = -least % 8
+    buckets = x.buckets
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ids, ends, data, (own_bits,) in page_rows(batches, ("bits",)):
+            bucket, ctx, _, begin, doc, place = shared_contexts(data, ends, ids, {b["bucket"]: b["bits"] for b in own_bits}, buckets, least, extra)
+            starts = np.concatenate([[0], ends[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[place].astype(np.int32)), pa.array([r.tobytes() for r in ctx[place]], pa.binary()), pa.array(ids[doc]), pa.array(begin - starts[doc])], names=["bucket", "ctx", "d", "start"])
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, held in grouped(batches, "bucket", ("ctx", "d", "start")):
+            rows = np.frombuffer(b"".join(c for c, _, _ in held), np.uint8).reshape(len(held), -1)
+            d, start = np.array([r[1] for r in held]), np.array([r[2] for r in held])
+            row, o, lcp, left = suffix_array(rows, least, extra)
+            found = intervals(lcp, left, least, extra)
+            at = np.concatenate([np.arange(a, z) for _, a, z in found]) if found else np.zeros(0, np.int64)
+            size = np.array([z - a for _, a, z in found], np.int64)
+            which = np.repeat(np.arange(len(found)), size)
+            yield pa.RecordBatch.from_arrays([pa.array((bucket << 32) + which), pa.array(np.repeat(np.array([n for n, _, _ in found], np.int64), size)), pa.array(d[row[at]]), pa.array(start[row[at]] + o[at])], names=["repeat", "length", "doc_id", "start"])
+
+    sent = x.marked.select("page", "ids", "sizes", "data", "bits").mapInArrow(send, "bucket int, ctx binary, d long, start long")
+    out = sent.repartition(x.spread, "bucket").sortWithinPartitions("bucket", "d", "start").mapInArrow(groups, "repeat long, length long, doc_id long, start long")
+    return out.withColumn("doc_id", F.when(F.col("doc_id") < LAST, F.col("doc_id")))

@@ -94,17 +94,47 @@ def test_suffix_array_and_intervals():
     rng = random.Random(5)
     base = bytes(rng.choice(b"abcd") for _ in range(60))
     texts = [b"Q" + base[:56] + b"1" * 20, b"R" + base[:56] + b"2" * 20, b"R" + base[:53] + b"333" + b"4" * 20]
-    rows = np.zeros((3, 84), np.uint8)
+    rows = np.zeros((3, 90), np.uint8)
     for i, t in enumerate(texts):
-        rows[i, 0], rows[i, 2] = 3, 1
+        rows[i, 0], rows[i, 2] = 3, 1 + 2 * 6
         rows[i, 3 : 3 + len(t)] = np.frombuffer(t, np.uint8)
-    row, o, lcp, left = repeats.suffix_array(rows, 50)
+    row, o, lcp, left = repeats.suffix_array(rows, 50, 6)
     suffix = lambda k: texts[row[k]][1 + o[k] : 1 + o[k] + 56]
     got = [suffix(k) for k in range(len(row))]
     assert got == sorted(got)
     for k in range(1, len(row)):
         n = next((i for i, (x, y) in enumerate(zip(got[k - 1], got[k])) if x != y), 56)
         assert lcp[k] == (n if n >= 50 else 0)
-    found = {(d, frozenset((int(row[k]), int(o[k])) for k in range(a, z))) for d, a, z in repeats.intervals(lcp, left, 50)}
+    found = {(d, frozenset((int(row[k]), int(o[k])) for k in range(a, z))) for d, a, z in repeats.intervals(lcp, left, 50, 6)}
     assert (53, frozenset({(0, 0), (1, 0), (2, 0)})) in found and (56, frozenset({(0, 0), (1, 0)})) in found
-    assert all(len({left[k] for k in range(a, z)}) > 1 or -1 in {left[k] for k in range(a, z)} for _, a, z in repeats.intervals(lcp, left, 50))
+    assert all(len({left[k] for k in range(a, z)}) > 1 or -1 in {left[k] for k in range(a, z)} for _, a, z in repeats.intervals(lcp, left, 50, 6))
+
+
+def test_repeat_groups(spark):
+    """Every pair of equal passages of 50 bytes in different places is in a group; groups hold equal bytes, all of them, and
+    can't be extended to the left."""
+    rows = passages(11, 25)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    least = {}
+    for d, t in rows:
+        least[t] = min(d, least.get(t, d))
+    text = {d: t.encode() for t, d in least.items()}
+    groups = {}
+    for r in repeats.repeat_groups(df).collect():
+        groups.setdefault((r.repeat, r.length), set()).add((r.doc_id, r.start))
+    want = {}
+    for d, b in text.items():
+        for k in range(len(b) - 49):
+            want.setdefault(b[k : k + 50], set()).add((d, k))
+    covered = set()
+    for (_, n), places in groups.items():
+        said = {text[d][s : s + n] for d, s in places}
+        assert len(said) == 1 and len(places) > 1 and len(next(iter(said))) == n >= 50
+        before = {text[d][s - 1] if s else None for d, s in places}
+        assert len(before) > 1 or None in before or n == 56
+        if n < 56:
+            whole = next(iter(said))
+            assert places == {(d, k) for d, b in text.items() for k in range(len(b) - n + 1) if b[k : k + n] == whole}
+        covered |= {(d, s + i) for d, s in places for i in range(n)}
+    shared = {p for v in want.values() if len({d for d, _ in v}) > 1 for p in v}
+    assert {(d, s) for d, s in shared if s == 0 or (d, s - 1) not in shared} <= covered
