@@ -43,13 +43,17 @@ def site_choices(df: DataFrame, sequence: str, residues: str, k: int) -> DataFra
     return x.drop("__all")
 
 
+def _labelled(ions: Column, name: str, charge: int) -> Column:
+    return F.transform(ions, lambda z, i: F.struct(F.lit(name).alias("ion"), (i + 1).alias("index"), F.lit(charge).alias("charge"), z.alias("mz")))
+
+
 def fragments(df: DataFrame, sequence: str, most_charge: int = 2) -> DataFrame:
     """One row an ion: `ion` (b or y), `index`, `charge`, `mz` of a plain sequence."""
     m = chem.residue_masses(F.col(sequence))
     rows = []
     for c in range(1, most_charge + 1):
         for name, ions in (("b", chem.b_ions(m, c)), ("y", chem.y_ions(m, c))):
-            rows.append(F.transform(ions, lambda z, i, name=name, c=c: F.struct(F.lit(name).alias("ion"), (i + 1).alias("index"), F.lit(c).alias("charge"), z.alias("mz"))))
+            rows.append(_labelled(ions, name, c))
     x = df.where(F.length(sequence) > 1).withColumn("__f", F.explode(F.concat(*rows)))
     return x.select(*df.columns, "__f.ion", "__f.index", "__f.charge", "__f.mz")
 
