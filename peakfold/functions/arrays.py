@@ -163,19 +163,28 @@ def spectral_angle(a: Column, b: Column) -> Column:
 def pearson(a: Column, b: Column) -> Column:
     """0 without variance."""
     n = F.size(a)
-    sa, sb = total(a), total(b)
-    cov = dot(a, b) - sa * sb / n
-    var = (dot(a, a) - sa * sa / n) * (dot(b, b) - sb * sb / n)
-    return F.when(var > 0, cov / F.sqrt(var)).otherwise(_zero())
+
+    def ratio(sa, sb, aa, bb, ab):
+        var = (aa - sa * sa / n) * (bb - sb * sb / n)
+        return F.when(var > 0, (ab - sa * sb / n) / F.sqrt(var)).otherwise(_zero())
+
+    return once(total(a), total(b), dot(a, a), dot(b, b), dot(a, b), use=ratio)
 
 
 def average_ranks(a: Column) -> Column:
-    """Ranks from 1, ties share their mean."""
-    return F.transform(a, lambda x: F.size(F.filter(a, lambda y: y < x)) + (F.size(F.filter(a, lambda y: y == x)) + 1) / 2)
+    """Ranks from 1, ties share their mean: the first place in the sorted array, plus half the number of equals after it."""
+    sort = F.array_sort(a)
+    return once(sort, F.reverse(sort), use=lambda up, down: F.transform(a, lambda x: (F.array_position(up, x) + (F.size(a) + 1 - F.array_position(down, x))) / 2))
+
+
+def once(*values: Column, use) -> Column:
+    """use(values), with each value evaluated once however often `use` names it: they are bound as fields of a struct."""
+    bound = F.array(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)]))
+    return F.transform(bound, lambda s: use(*[s[f"v{i}"] for i in range(len(values))]))[0]
 
 
 def spearman(a: Column, b: Column) -> Column:
-    return pearson(average_ranks(a), average_ranks(b))
+    return once(average_ranks(a), average_ranks(b), use=pearson)
 
 
 def squared_error(a: Column, b: Column) -> Column:

@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from peakfold.functions.distributions import gaussian_sf
 
 
-def benjamini_hochberg(df: DataFrame, group: list[str], p: str, out: str = "q") -> DataFrame:
+def benjamini_hochberg(df: DataFrame, group: list[str], p: str, out: str = "q", ranges: int = 1) -> DataFrame:
     """Adjusted p-values per group: the least of n p' / rank over all p' at or above p.  Ties share one value.
 
-    Ranks come from counts of distinct p-values, so one row a distinct value is sorted rather than one a row.
+    With `ranges` over 1 a group's order is cut into that many ranges, so no task sorts a whole group.
     """
-    per = df.groupBy(*group, p).agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(*group)
-    per = per.withColumn("__rank", F.sum("__c").over(w.orderBy(p))).withColumn("__n", F.sum("__c").over(w))
-    per = per.withColumn(out, F.least(F.lit(1.0), F.min(F.col("__n") * F.col(p) / F.col("__rank")).over(w.orderBy(F.desc(p)))))
-    return df.join(per.select(*group, p, out), [*group, p])
+    from peakfold.operators.running import running
+
+    x = running(df, group, p, {"__rank": ("sum", F.lit(1))}, ranges=ranges)
+    if ranges == 1:
+        x = x.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*group)))
+    else:
+        x = x.join(df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")), group)
+    x = running(x, group, p, {"__least": ("min", F.col("__n") * F.col(p) / F.col("__rank"))}, descending=True, ranges=ranges)
+    return x.withColumn(out, F.least(F.lit(1.0), F.col("__least"))).drop("__n", "__rank", "__least")
 
 
 def pi0(df: DataFrame, group: list[str], p: str, low: float = 0.05, high: float = 1.0) -> DataFrame:
@@ -45,19 +49,18 @@ def top_share(df: DataFrame, group: list[str], score: str, share: float) -> Data
     return df.join(cut, group).where(F.col(score) >= F.col("__c")).drop("__c")
 
 
-def tdc_q_values(df: DataFrame, group: list[str], score: str, decoy: Column, out: str = "q", higher: bool = True) -> DataFrame:
+def tdc_q_values(df: DataFrame, group: list[str], score: str, decoy: Column, out: str = "q", higher: bool = True, ranges: int = 1) -> DataFrame:
     """Target-decoy q-values: running decoys / targets from the best score, then the running minimum from the worst.
 
-    Without targets so far the rate is 1.  Counts are per distinct score, so ties share one value and order can't matter.
+    Without targets so far the rate is 1.  Equal scores share one value, so their order can't matter.  With `ranges` over 1
+    a group's order is cut into that many ranges, so no task sorts a whole group.
     """
-    best = F.desc(score) if higher else F.asc(score)
-    worst = F.asc(score) if higher else F.desc(score)
-    w = Window.partitionBy(*group)
-    per = df.groupBy(*group, score).agg(F.count(F.when(decoy, 1)).alias("__d"), F.count(F.when(~decoy, 1)).alias("__t"))
-    per = per.withColumn("__dd", F.sum("__d").over(w.orderBy(best))).withColumn("__tt", F.sum("__t").over(w.orderBy(best)))
-    per = per.withColumn("__f", F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("__dd"), F.col("__tt")), F.lit(1.0))))
-    per = per.withColumn(out, F.min("__f").over(w.orderBy(worst)))
-    return df.join(per.select(*group, score, out), [*group, score])
+    from peakfold.operators.running import running
+
+    x = running(df, group, score, {"__d": ("sum", decoy.cast("long")), "__t": ("sum", (~decoy).cast("long"))}, descending=higher, ranges=ranges)
+    x = x.withColumn("__f", F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("__d"), F.col("__t")), F.lit(1.0))))
+    x = running(x, group, score, {"__q": ("min", F.col("__f"))}, descending=not higher, ranges=ranges)
+    return x.withColumn(out, F.col("__q")).drop("__d", "__t", "__f", "__q")
 
 
 def compete(df: DataFrame, key: list[str], score: str, tie: list) -> DataFrame:

@@ -20,6 +20,7 @@ from peakfold.operators import generators as gen
 from peakfold.operators import joins, kernels, scans, setops
 from peakfold.operators import statistics as st
 from peakfold.operators import windows as win
+from peakfold.operators.running import ranges_for
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -525,7 +526,7 @@ r AS (SELECT *, count(*) OVER (PARTITION BY l_returnflag ORDER BY p) AS rank, co
 SELECT l_returnflag, l_orderkey, l_extendedprice, round(least(1.0, min(n * p / rank) OVER (PARTITION BY l_returnflag ORDER BY p DESC)), 9) AS q FROM r
 """)
 def bh_adjust(spark, d):
-    return st.benjamini_hochberg(p_values(spark, d), ["l_returnflag"], "p").select("l_returnflag", "l_orderkey", "l_extendedprice", F.round("q", 9).alias("q"))
+    return st.benjamini_hochberg(p_values(spark, d), ["l_returnflag"], "p", ranges=ranges_for(t(spark, d, "lineitem"))).select("l_returnflag", "l_orderkey", "l_extendedprice", F.round("q", 9).alias("q"))
 
 
 @query("""
@@ -546,7 +547,7 @@ SELECT l_linestatus, s AS l_extendedprice, round(min(f) OVER (PARTITION BY l_lin
 """)
 def tdc_qvalue(spark, d):
     x = t(spark, d, "lineitem").select("l_linestatus", "l_extendedprice", "l_returnflag")
-    q = st.tdc_q_values(x, ["l_linestatus"], "l_extendedprice", F.col("l_returnflag") == "R")
+    q = st.tdc_q_values(x, ["l_linestatus"], "l_extendedprice", F.col("l_returnflag") == "R", ranges=ranges_for(x))
     return q.select("l_linestatus", "l_extendedprice", F.round("q", 9).alias("q")).distinct()
 
 

@@ -133,3 +133,20 @@ def test_hysteresis_query(spark):
         best[key] = (b["l_orderkey"], b["l_extendedprice"])
     got = {r.l_partkey: (r.l_orderkey, r.l_extendedprice) for r in catalog.queries()["best_with_hysteresis"](spark, SF).collect()}
     assert got == best
+
+
+@pytest.mark.parametrize("ranges", [1, 5])
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_in_ranges(spark, ranges, descending):
+    from pyspark.sql import functions as F
+
+    from peakfold.operators.running import running
+
+    rng = np.random.default_rng(5)
+    rows = [(int(g), float(v), int(a)) for g, v, a in zip(rng.integers(0, 3, 300), rng.integers(0, 40, 300), rng.integers(-5, 9, 300))]
+    df = spark.createDataFrame(rows, "g int, v double, a int")
+    got = running(df, ["g"], "v", {"s": ("sum", F.col("a")), "m": ("min", F.col("a"))}, descending, ranges).collect()
+    for r in got:
+        live = [a for g, v, a in rows if g == r.g and (v >= r.v if descending else v <= r.v)]
+        assert (r.s, r.m) == (sum(live), min(live))
+    assert len(got) == len(rows)
