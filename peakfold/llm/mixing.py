@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakfold.llm.common import Scratch, dense_index
+from peakfold.llm.common import Scratch, dense_index, partitions
 
 #: Bytes that separate words; every other byte belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -95,9 +95,10 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     with_tail = F.ceil((F.col("part") + short) / block_words).cast("long")
     extra = F.when(plain <= F.col("tail_at"), plain).otherwise(F.greatest(with_tail, F.col("tail_at") + 1))
     plan = plan.withColumn("n_slots", F.col("epochs") * F.col("blocks") + F.when(F.col("part") > 0, extra).otherwise(0))
-    # Slots are made in chunks, dealt over all tasks, so that a hot source's list is nowhere in one place.
+    # Slots are made in chunks, dealt over all tasks, so that a hot source's list is nowhere in one place.  The number of
+    # tasks is given, or Spark would merge them for the few rows that chunks are.
     chunk = 16384
-    chunks = plan.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_slots - 1) div {chunk}")))).repartition("skey", "c")
+    chunks = plan.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_slots - 1) div {chunk}")))).repartition(partitions(docs.sparkSession), "skey", "c")
     slots = chunks.withColumn("slot", F.explode(F.sequence(F.col("c") * chunk, F.least((F.col("c") + 1) * chunk, F.col("n_slots")) - 1)))
     at = F.expr("slot % blocks")
     full = F.when(F.expr("slot % blocks") == F.col("tail_at"), F.col("tail")).otherwise(F.lit(block_words))
