@@ -70,7 +70,7 @@ def test_forest_and_transitions(spark):
     _, out = f.random_forest(df, ["a", "b"], "y", trees=10)
     r = out.groupBy("y").agg(F.avg("probability").alias("p")).orderBy("y").collect()
     assert r[0].p < 0.2 and r[1].p > 0.8
-    rows = [("p", m, s, v * s) for m, v in (("a", 1.0), ("b", 2.0), ("c", 3.0)) for s in (1, 2, 4)] + [("p", "bad", s, v) for s, v in ((1, 0.1), (2, 9.0), (4, 0.2))]
+    rows = [("p", m, s, v) for m, v in (("a", 10.0), ("b", 20.0), ("c", 30.0)) for s in range(6)] + [("p", "bad", s, 9.0 * (s % 2)) for s in range(6)]
     x = spark.createDataFrame(rows, "pep string, ion string, sample int, v double")
     assert {r.ion for r in f.select_transitions(x, ["pep"], "ion", "sample", "v").collect()} == {"a", "b", "c"}
     d = f.delta_time_summary(spark.createDataFrame([("k", float(i % 5), float(i)) for i in range(40)], "k string, d double, s double"), ["k"], "d", "s").first()
