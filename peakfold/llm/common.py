@@ -33,13 +33,19 @@ def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
 
 
 class Scratch:
-    """Tables written to the shared folder, so that lineage is cut and a lost executor costs one stage."""
+    """Tables written to the shared folder, so that lineage is cut and a lost executor costs one stage.
+
+    Results read them lazily, so they stay until `clean_up` is called or the cluster clears its checkpoint folder.
+    """
+
+    roots: list[str] = []
 
     def __init__(self, spark: SparkSession, tag: str):
         bounded_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
         self.n = 0
+        Scratch.roots.append(self.root)
 
     def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         """Write and reread.  `rows`: a bound on the rows, if known, which then go to a file for every FILE_ROWS."""
@@ -64,6 +70,15 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Delete all scratch tables of this process; results that weren't written yet can't be read afterwards."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("pages_") and t.tableType == "EXTERNAL":
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    while Scratch.roots:
+        delete_path(spark, Scratch.roots.pop())
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -138,3 +138,12 @@ def test_repeat_groups(spark):
         covered |= {(d, s + i) for d, s in places for i in range(n)}
     shared = {p for v in want.values() if len({d for d, _ in v}) > 1 for p in v}
     assert {(d, s) for d, s in shared if s == 0 or (d, s - 1) not in shared} <= covered
+
+
+def test_clean_up(spark):
+    from peakfold.llm.common import Scratch, clean_up
+
+    assert repeats.dedup(spark.createDataFrame(passages(2, 10), "doc_id long, text string")).count() > 0
+    assert Scratch.roots and any(t.name.startswith("pages_") for t in spark.catalog.listTables())
+    clean_up(spark)
+    assert not Scratch.roots and not any(t.name.startswith("pages_") for t in spark.catalog.listTables())
