@@ -191,7 +191,7 @@ def squared_error(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
 
 
-def scribe_score(predicted: Column, acquired: Column) -> Column:
+def fit_error_score(predicted: Column, acquired: Column) -> Column:
     """ln(1 / sum of squared differences) of the two vectors at length 1; floored at 0."""
     e = squared_error(normalize_l2(predicted), normalize_l2(acquired))
     return F.when(e > 0, F.greatest(-F.ln(e), _zero())).otherwise(_zero())

@@ -756,8 +756,8 @@ def spearman(spark, d):
 WITH n AS (SELECT a, x, y, sqrt(list_dot_product(x, x)) AS nx, sqrt(list_dot_product(y, y)) AS ny FROM {PAIRS})
 SELECT a, round(greatest(-ln(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] / nx - y[i] / ny) ** 2))), 0), 7) AS score FROM n
 """)
-def scribe_score(spark, d):
-    return spectra(spark, d).select("a", F.round(A.scribe_score(F.col("x"), F.col("y")), 7).alias("score"))
+def fit_error_score(spark, d):
+    return spectra(spark, d).select("a", F.round(A.fit_error_score(F.col("x"), F.col("y")), 7).alias("score"))
 
 
 @query(f"""

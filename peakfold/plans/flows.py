@@ -60,11 +60,11 @@ def fasta_search(scans: DataFrame, proteins: DataFrame, charge: int = 2, enzyme:
 
 
 def spectrum_search(spectra: DataFrame, library: DataFrame, ppm: float = 20.0, k: int = 2) -> DataFrame:
-    """spectra and library (id, precursor_mz, vector): the best k library entries of each spectrum by scribe score, with the
+    """spectra and library (id, precursor_mz, vector): the best k library entries of each spectrum by fit error score, with the
     margin to the next."""
     a = spectra.select(F.col("id").alias("spectrum"), F.col("precursor_mz").alias("a_mz"), F.col("vector").alias("a_vec"))
     b = library.select(F.col("id").alias("entry"), F.col("precursor_mz").alias("b_mz"), F.col("vector").alias("b_vec"))
-    s = joins.band_join(a, b, "a_mz", "b_mz", ppm).withColumn("score", A.scribe_score(F.col("b_vec"), F.col("a_vec")))
+    s = joins.band_join(a, b, "a_mz", "b_mz", ppm).withColumn("score", A.fit_error_score(F.col("b_vec"), F.col("a_vec")))
     w = Window.partitionBy("spectrum").orderBy(F.desc("score"), "entry")
     s = s.withColumn("rank", F.row_number().over(w)).withColumn("delta", F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0.0)))
     return s.where(F.col("rank") <= k).select("spectrum", "entry", "score", "delta", "rank")
