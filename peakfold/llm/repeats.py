@@ -22,8 +22,10 @@ empty table gives an empty result; other columns are not read.  A task needs mem
 
 from __future__ import annotations
 
+import functools
 import gc
 import hashlib
+import itertools
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -332,7 +334,8 @@ class Shared:
     total: int
 
 
-def shared_anchors(docs: DataFrame, least: int) -> Shared:
+def shared_anchors(docs: DataFrame, least: int, within: bool = False) -> Shared:
+    """Anchors that two documents have, or with `within` those that are in two places."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
     spread = partitions(spark)
@@ -377,7 +380,9 @@ def shared_anchors(docs: DataFrame, least: int) -> Shared:
     def send_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page, _, ends, data, _ in page_rows(batches, ()):
             _, h, _, _, doc = anchors(data, ends, least)
-            u, two, _ = distinct_keys(h, doc, buckets)
+            u, two, back = distinct_keys(h, doc, buckets)
+            if within:
+                two = np.bincount(back, minlength=len(u)) > 1
             low = np.ascontiguousarray(u.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
             parts = list(by_bucket(u))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in parts], pa.int32()), pa.array([page] * len(parts), pa.int64()), pa.array([low[a:z].tobytes() for _, a, z in parts], pa.binary()), pa.array([np.packbits(two[a:z]).tobytes() for _, a, z in parts], pa.binary())], names=["bucket", "page", "keys", "two"])
@@ -488,34 +493,125 @@ def dedup(docs: DataFrame, least: int = 50) -> DataFrame:
     )
 
 
+def refined(rows: list[tuple[bytes, int, int]], depth: int, step: int) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """Groups that agree on `depth` bytes, told apart by the next `step`: rows (bytes that follow, fewer at a text's end; byte
+    to the left; group).  (order of the rows, maximal repeats of `depth` bytes or more in that order); one of depth + step bytes
+    may go on."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][2], rows[i][0]))
+    group = np.array([rows[i][2] for i in order])
+    left = np.array([rows[i][1] for i in order])
+    has = np.array([len(rows[i][0]) for i in order])
+    m = np.frombuffer(b"".join(rows[i][0].ljust(step, b"\0") for i in order), np.uint8).reshape(len(rows), step)
+    differ = m[1:] != m[:-1]
+    equal = np.where(differ.any(1), differ.argmax(1), step)
+    lcp = np.zeros(len(rows), np.int64)
+    lcp[1:] = np.where(group[1:] == group[:-1], depth + np.minimum(equal, np.minimum(has[1:], has[:-1])), 0)
+    return order, intervals(lcp, left, depth, step)
+
+
 def repeat_groups(docs: DataFrame, least: int = 50) -> DataFrame:
-    """Maximal repeats of `least` bytes or more with all their occurrences: repeat, length, doc_id, start, a row each.
+    """Maximal repeats of `least` bytes or more with all their occurrences, within a text too: repeat, length, doc_id, start, a
+    row each.
 
-    One row stands for all rows of a text (the least doc_id).  Lengths are told up to the next multiple of 8 bytes: a longer
-    repeat shows as overlapping ones of that length.  `repeat` numbers them within the result.  Unlike `dedup` this sends every
-    occurrence to its bucket, so a passage that very many documents hold makes a large bucket.
+    One row stands for all rows of a text (the least doc_id).  Suffixes that agree on all bytes of their contexts and have
+    different bytes to the left are compared further, by at most twice the depth a round, until every repeat has ended.
+    `repeat` numbers them within the result.  Unlike `dedup` this sends every occurrence to its bucket, so a passage that very
+    many documents hold makes a large bucket; a text of one short period has rows by the square of its length.
     """
-    x = shared_anchors(docs, least)
+    x = shared_anchors(docs, least, within=True)
     extra = -least % 8
-    buckets = x.buckets
+    buckets, spread = x.buckets, x.spread
+    schema = "repeat long, length long, doc_id long, start long, page long, at long, more boolean"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, ends, data, (own_bits,) in page_rows(batches, ("bits",)):
+        for page, ids, ends, data, (own_bits,) in page_rows(batches, ("bits",)):
             bucket, ctx, _, begin, doc, place = shared_contexts(data, ends, ids, {b["bucket"]: b["bits"] for b in own_bits}, buckets, least, extra)
             starts = np.concatenate([[0], ends[:-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[place].astype(np.int32)), pa.array([r.tobytes() for r in ctx[place]], pa.binary()), pa.array(ids[doc]), pa.array(begin - starts[doc])], names=["bucket", "ctx", "d", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[place].astype(np.int32)), pa.array([r.tobytes() for r in ctx[place]], pa.binary()), pa.array(ids[doc]), pa.array(begin - starts[doc]), pa.array(np.full(len(doc), page)), pa.array(begin)], names=["bucket", "ctx", "d", "start", "page", "at"])
+
+    def told(found: list[tuple[int, int, int]], top: int, serial: Iterator[int], d, start, page, at, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+        """Rows of the intervals; of those of depth `top` it isn't known yet where they end."""
+        k = 0
+        while k < len(found):
+            size, part = 0, []
+            while k < len(found) and (not part or size < most):
+                part.append(found[k])
+                size += found[k][2] - found[k][1]
+                k += 1
+            n = np.array([z - a for _, a, z in part])
+            i = np.concatenate([np.arange(a, z) for _, a, z in part])
+            length = np.repeat(np.array([n for n, _, _ in part]), n)
+            name = np.repeat(np.array([next(serial) for _ in part]), n)
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(length), pa.array(d[i]), pa.array(start[i]), pa.array(page[i]), pa.array(at[i]), pa.array(length == top)], names=["repeat", "length", "doc_id", "start", "page", "at", "more"])
+
+    def serials() -> Iterator[int]:
+        from pyspark import TaskContext
+
+        return itertools.count(TaskContext.get().partitionId() << 32)
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, held in grouped(batches, "bucket", ("ctx", "d", "start")):
-            rows = np.frombuffer(b"".join(c for c, _, _ in held), np.uint8).reshape(len(held), -1)
-            d, start = np.array([r[1] for r in held]), np.array([r[2] for r in held])
+        serial = serials()
+        for _, held in grouped(batches, "bucket", ("ctx", "d", "start", "page", "at")):
+            rows = np.frombuffer(b"".join(h[0] for h in held), np.uint8).reshape(len(held), -1)
+            d, start, page, at = (np.array([h[j] for h in held]) for j in range(1, 5))
             row, o, lcp, left = suffix_array(rows, least, extra)
-            found = intervals(lcp, left, least, extra)
-            at = np.concatenate([np.arange(a, z) for _, a, z in found]) if found else np.zeros(0, np.int64)
-            size = np.array([z - a for _, a, z in found], np.int64)
-            which = np.repeat(np.arange(len(found)), size)
-            yield pa.RecordBatch.from_arrays([pa.array((bucket << 32) + which), pa.array(np.repeat(np.array([n for n, _, _ in found], np.int64), size)), pa.array(d[row[at]]), pa.array(start[row[at]] + o[at])], names=["repeat", "length", "doc_id", "start"])
-
-    sent = x.marked.select("page", "ids", "sizes", "data", "bits").mapInArrow(send, "bucket int, ctx binary, d long, start long")
-    out = sent.repartition(x.spread, "bucket").sortWithinPartitions("bucket", "d", "start").mapInArrow(groups, "repeat long, length long, doc_id long, start long")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") < LAST, F.col("doc_id")))
+            yield from told(intervals(lcp, left, least, extra), least + extra, serial, d[row], start[row] + o, page[row], at[row] + o)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for page, held in grouped(batches, "page", ("repeat", "at")):
+            yield pa.RecordBatch.from_arrays([pa.array([page], pa.int64()), *[pa.array([np.array([h[j] for h in held], np.int64).tobytes()], pa.binary()) for j in range(2)]], names=["page", "repeats", "ats"])
+
+    def fetching(depth: int, step: int):
+        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for page, ids, ends, data, (repeats, ats) in page_rows(batches, ("repeats", "ats")):
+                repeat, at = np.frombuffer(repeats, np.int64), np.frombuffer(ats, np.int64)
+                doc = np.searchsorted(ends, at, "right")
+                starts = np.concatenate([[0], ends[:-1]])[doc]
+                left = np.where(at > starts, data[at - 1].astype(np.int64), -1)
+                begin = at + depth
+                stop = np.minimum(begin + step, ends[doc])
+                some = max(1, (1 << 22) // step)
+                for a in range(0, len(at), some):
+                    cut = slice(a, a + some)
+                    rest = [data[b:e].tobytes() for b, e in zip(begin[cut].tolist(), stop[cut].tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(repeat[cut]), pa.array(rest, pa.binary()), pa.array(left[cut]), pa.array(ids[doc[cut]]), pa.array((at - starts)[cut]), pa.array(np.full(len(rest), page)), pa.array(at[cut])], names=["repeat", "rest", "left", "d", "start", "page", "at"])
+
+        return fetch
+
+    def refining(depth: int, step: int):
+        def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            serial = serials()
+
+            def tell(held):
+                order, found = refined([(h[0], h[1], h[-1]) for h in held], depth, step)
+                yield from told(found, depth + step, serial, *(np.array([held[i][j] for i in order]) for j in range(2, 6)))
+
+            held: list[tuple] = []  # of whole groups
+            for repeat, rows in grouped(batches, "repeat", ("rest", "left", "d", "start", "page", "at")):
+                if held and (len(held) + len(rows)) * step > 1 << 23:
+                    yield from tell(held)
+                    held = []
+                held += [(*r, repeat) for r in rows]
+            if held:
+                yield from tell(held)
+
+        return refine
+
+    sent = x.marked.select("page", "ids", "sizes", "data", "bits").mapInArrow(send, "bucket int, ctx binary, d long, start long, page long, at long")
+    now = x.scratch.save(sent.repartition(spread, "bucket").sortWithinPartitions("bucket", "d", "start").mapInArrow(groups, schema), "groups")
+    depth, base, parts = least + extra, 0, []
+    while True:
+        parts.append(now.where("not more").select((F.col("repeat") + base).alias("repeat"), "length", F.when(F.col("doc_id") < LAST, F.col("doc_id")).alias("doc_id"), "start"))
+        open_ = now.where("more")
+        size = open_.groupBy("repeat").count().agg(F.sum("count").alias("n"), F.max("count").alias("largest")).first()
+        if not size["n"]:
+            break
+        # A round compares 64 bytes at least; what it sends beyond that stays within the texts' size, a group within 64 MB.
+        step = int(max(64, min(depth, (1 << 26) // size["largest"], max(x.total, 1 << 26) // size["n"])))
+        asked = open_.select("page", "repeat", "at").repartition(spread, "page").sortWithinPartitions("page").mapInArrow(pack, "page long, repeats binary, ats binary")
+        met = x.pages.select("page", "ids", "sizes", "data").join(asked.hint("shuffle_hash"), "page")
+        rest = met.mapInArrow(fetching(depth, step), "repeat long, rest binary, left long, d long, start long, page long, at long")
+        now = x.scratch.save(rest.repartition(spread, "repeat").sortWithinPartitions("repeat", "d", "start").mapInArrow(refining(depth, step), schema), "groups")
+        release(now)
+        depth, base = depth + step, base + (spread << 32)
+    return functools.reduce(DataFrame.unionByName, parts)

@@ -140,6 +140,44 @@ def test_repeat_groups(spark):
     assert {(d, s) for d, s in shared if s == 0 or (d, s - 1) not in shared} <= covered
 
 
+def maximal_repeats(text, least):
+    """(length, places) of every pair of places with different bytes (or none) on both sides."""
+    grams = {}
+    for d, b in text.items():
+        for k in range(len(b) - least + 1):
+            grams.setdefault(b[k : k + least], []).append((d, k))
+    found = set()
+    for places in grams.values():
+        for i, (d, s) in enumerate(places):
+            for e, t in places[:i]:
+                x, y = text[d], text[e]
+                if s == 0 or t == 0 or x[s - 1] != y[t - 1]:
+                    n = least
+                    while s + n < len(x) and t + n < len(y) and x[s + n] == y[t + n]:
+                        n += 1
+                    found.add(x[s : s + n])
+    return {(len(w), frozenset((d, k) for d, k in grams[w[:least]] if text[d][k : k + len(w)] == w)) for w in found}
+
+
+@pytest.mark.parametrize("least", [50, 64])
+def test_repeat_groups_have_no_longest_length(spark, monkeypatch, least):
+    """Repeats of several hundred bytes, nested ones, ones within a text and ones at both ends of texts come out whole."""
+    monkeypatch.setattr(repeats, "PAGE", 3000)
+    monkeypatch.setattr(repeats, "BUCKET", 50)
+    rng = random.Random(12)
+    other = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    p, q = other(500), other(900)
+    rows = [(1, other(40) + p + other(30)), (2, other(9) + p + other(50)), (3, p[100:400] + "!"), (4, "?" + p[:300]), (5, q), (6, "x" + q), (7, other(20) + q[:613] + "zz" + q[615:]), (8, other(7) + q[200:500] + "--" + q[200:500] + "+"), (9, "ab" * 90), (10, "c" * 130), (11, q)]
+    groups = {}
+    for r in repeats.repeat_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), least).collect():
+        groups.setdefault((r.repeat, r.length), []).append((r.doc_id, r.start))
+    got = [(n, frozenset(v)) for (_, n), v in groups.items()]
+    want = maximal_repeats({d: t.encode() for d, t in rows[:-1]}, least)
+    assert len({k for k, _ in groups}) == len(groups) == len(set(got)) and all(len(v) == len(set(v)) for v in groups.values())
+    assert set(got) == want and max(n for n, _ in want) == 900
+    assert (500, frozenset({(1, 40), (2, 9)})) in want
+
+
 def test_clean_up(spark):
     from peakfold.llm.common import Scratch, clean_up
 
