@@ -20,6 +20,7 @@ from peakfold.operators import generators as gen
 from peakfold.operators import joins, kernels, scans, setops
 from peakfold.operators import statistics as st
 from peakfold.operators import windows as win
+from peakfold.operators.components import bridge_components
 from peakfold.operators.running import ranges_for
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -863,8 +864,8 @@ def lda_semisup(spark, d):
 
 @query()
 def parsimony_groups(spark, d):
-    b = t(spark, d, "lineitem").where("l_quantity >= 49").select((F.col("l_orderkey") % 97).alias("component"), F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("grp"), F.col("l_discount").alias("error"))
-    return kernels.parsimony_groups(b, "item", "grp", "error", "component")
+    b = t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("grp")).agg(F.min("l_discount").alias("error"))
+    return kernels.parsimony_groups(b.join(bridge_components(b, "item", "grp"), "grp"), "item", "grp", "error", "component")
 
 
 @query()
