@@ -15,6 +15,7 @@ from peakfold.operators import generators as gen
 from peakfold.operators import joins, kernels, setops
 from peakfold.operators import statistics as st
 from peakfold.operators import windows as win
+from peakfold.operators.components import bridge_components
 
 
 def peak_matches(scans: DataFrame, ions: DataFrame, ppm: float) -> DataFrame:
@@ -127,16 +128,9 @@ def localize(peptides: DataFrame, evidence: DataFrame, residues: str, k: int, pp
 
 
 def protein_groups(bridge: DataFrame, scores: DataFrame) -> DataFrame:
-    """bridge (seq, accession), scores (seq, pep): parsimonious groups per connected component, found by min-label joins."""
+    """bridge (seq, accession), scores (seq, pep): parsimonious groups per connected component, found by star contraction."""
     b = bridge.join(scores.groupBy("seq").agg(F.min("pep").alias("error")), "seq")
-    labels = b.select("accession").distinct().withColumn("component", F.col("accession"))
-    for _ in range(32):
-        per = b.join(labels, "accession").groupBy("seq").agg(F.min("component").alias("component"))
-        new = b.join(per, "seq").groupBy("accession").agg(F.min("component").alias("component")).checkpoint()
-        changed = new.join(labels.withColumnRenamed("component", "old"), "accession").where("component <> old").limit(1).count()
-        labels = new
-        if not changed:
-            break
+    labels = bridge_components(b, "seq", "accession")
     return kernels.parsimony_groups(b.join(labels, "accession").withColumnRenamed("accession", "grp"), "seq", "grp", "error", "component")
 
 

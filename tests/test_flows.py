@@ -90,6 +90,17 @@ def test_protein_groups(spark):
     assert {r.members: r.q for r in flows.protein_q_values(g).collect()} == {"P3;P4": 0.0, "P1": 0.0, "DECOY_P5": 0.5}
 
 
+def test_protein_groups_of_a_long_path(spark):
+    """100 proteins, each sharing a peptide with the next, are one component."""
+    pairs = [(f"s{i:03d}", f"P{j:03d}") for i in range(99) for j in (i, i + 1)]
+    bridge = spark.createDataFrame(pairs, "seq string, accession string")
+    scores = spark.createDataFrame([(f"s{i:03d}", 0.01) for i in range(99)], "seq string, pep double")
+    g = flows.protein_groups(bridge, scores).collect()
+    assert {r.component for r in g} == {"P000"} and sum(r.n_items for r in g) == 99
+    # By ties the last protein with two peptides claims both: 98, 96, ..., 2, and what is left goes to the end.
+    assert sorted(r.members for r in g) == sorted([f"P{i:03d}" for i in range(2, 99, 2)] + ["P001"])
+
+
 def test_library_upkeep(spark):
     lib = spark.createDataFrame([("s1", 500.0, 2, "PEPTIDEK", "PEPTIDEK", 1.0, [(m, 1.0) for m in sorted(ions("PEPTIDEK"))]), ("s2", 500.0, 2, "PEPTIDEK", "PEPTIDEK", 3.0, [(1.0, 1.0)]), ("s1", 400.0, 2, "NOTHEREK", "NOTHEREK", 1.0, [(1.0, 1.0)])], f"source string, precursor_mz double, charge int, modseq string, seq string, score double, peaks {PEAKS}")
     proteins = spark.createDataFrame([("P1", "MKPEPTIDEKAA"), ("P2", "GGPEPTIDEK")], "accession string, sequence string")
