@@ -1,10 +1,11 @@
 """Operator 3: personal data by patterns and a skip-chain conditional random field.
 
-Four patterns give the base spans.  The field then labels tokens: neighbours on the chain share a transition potential,
-and distant tokens that repeat or resemble each other (same letters and digits, same last digits, an address and its
-local part) share an agreement potential.  Tokens of base spans are evidence, loopy message passing carries it along
-the skip edges, and a token whose entity label reaches `least` becomes an added span.  A token on no skip edge of an
-entity keeps what the patterns say.  Weights are trained by pseudo-likelihood on a bounded sample, labelled by the patterns.
+Four patterns give the base spans.  The field then labels all tokens (and runs of 7 to 19 digits in several tokens as one):
+neighbours on the chain share a transition potential, and distant tokens that repeat or resemble each other (same letters and
+digits, same last digits, an address and its local part) share an agreement potential.  Tokens of base spans are evidence,
+loopy message passing carries it along the edges until it settles, and a token whose entity label reaches `least` becomes an
+added span, in texts without base spans too.  Weights are trained by pseudo-likelihood on a bounded sample, labelled by the
+patterns.
 
 Skip edges join each token to the next one of its key, so a key in n tokens has n - 1 edges, never all pairs.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+RUN = re.compile(r"\(?[0-9][0-9().-]*+(?:\x20\(?[0-9][0-9().-]*+)++")
 EDGE = ".,;:!?()[]{}<>\"'"
 
 
@@ -111,96 +114,133 @@ class Field:
     def __init__(self, unary: np.ndarray, chain: np.ndarray, agree: float):
         self.unary, self.chain, self.agree = unary, chain, agree
 
-    def posterior(self, nodes: list[list[int]], clamped: np.ndarray, edges: np.ndarray, kinds: np.ndarray, rounds: int = 30) -> np.ndarray:
-        """Beliefs by loopy message passing, damped.  clamped: label or -1; kinds: 0 chain, 1 skip."""
-        u = np.stack([self.unary[f].sum(0) for f in nodes])
+    def posterior(self, nodes: list[list[int]], clamped: np.ndarray, edges: np.ndarray, kinds: np.ndarray, rounds: int | None = None, longest: int | None = None) -> np.ndarray:
+        """Beliefs by loopy message passing, until no message moves (or for `rounds`).  clamped: label or -1; kinds: 0 chain,
+        1 skip; longest: nodes of the largest of the separate parts.
+
+        Only edges out of a node whose messages moved are computed again.  Steps are damped after 30 rounds, and shrink after
+        twice as many as `longest` more, so that loops can't swing for ever.
+        """
+        u = self.unary[np.array(nodes)].sum(1)
         hold = np.flatnonzero(clamped >= 0)
         u[hold] = -30.0
         u[hold, clamped[hold]] = 0.0
         u -= u.max(1, keepdims=True)
-        if not len(edges):
-            p = np.exp(u)
-            return p / p.sum(1, keepdims=True)
-        skip = self.agree * np.eye(LABELS)
-        pot = np.where((kinds == 0)[:, None, None], self.chain, skip)
-        src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-        pot = np.exp(np.concatenate([pot, pot.transpose(0, 2, 1)]))
-        back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-        msg = np.zeros((len(src), LABELS))
-        for _ in range(rounds):
-            total = u.copy()
-            np.add.at(total, dst, msg)
-            x = total[src] - msg[back]
-            x = np.exp(x - x.max(1, keepdims=True))
-            new = np.log(np.einsum("ei,eij->ej", x, pot) + 1e-300)
-            new -= new.max(1, keepdims=True)
-            moved = np.abs(new - msg).max()
-            msg = 0.5 * msg + 0.5 * new
-            if moved < 1e-4:
-                break
-        total = u.copy()
-        np.add.at(total, dst, msg)
+        total = u
+        if len(edges):
+            src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
+            way = np.concatenate([np.where(kinds == 0, 0, 2), np.where(kinds == 0, 1, 2)])
+            pots = [np.exp(self.chain), np.exp(self.chain.T), np.exp(self.agree * np.eye(LABELS))]
+            back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
+            msg = np.zeros((len(src), LABELS))
+            live, done, step = np.arange(len(src)), 0, 1.0
+            shrink = 30 + 2 * (longest or len(nodes)) + 300
+            while len(live) and (rounds is None or done < rounds):
+                x = total[src[live]] - msg[back[live]]
+                x = np.exp(x - x.max(1, keepdims=True))
+                new = np.empty_like(x)
+                for k, pot in enumerate(pots):
+                    at = way[live] == k
+                    new[at] = x[at] @ pot
+                new = np.log(new + 1e-300)
+                new -= new.max(1, keepdims=True)
+                done += 1
+                step = 1.0 if done <= 30 else 0.5 if done <= shrink else 0.99 * step
+                move = step * (new - msg[live])
+                msg[live] += move
+                np.add.at(total, dst[live], move)
+                far = np.abs(move).max(1) > 1e-5
+                moved = np.zeros(len(nodes), bool)
+                moved[dst[live[far]]] = True
+                again = moved[src]
+                if step < 1:
+                    again[live[far]] = True
+                live = np.flatnonzero(again)
         p = np.exp(total - total.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
 
-def graph(text: str, base: list[tuple[int, int, int]], most_plain: int | None = None):
-    """Nodes of a document: base spans, and tokens that share a key with one.  (spans, labels or -1, edges, edge kinds).
+@lru_cache(1 << 16)
+def traits(token: str) -> tuple[list[int], list[str]]:
+    return shape(token), keys(token)
 
-    With most_plain, up to that many tokens without such a key join as label 0 (for training).
-    """
+
+def number_runs(text: str) -> list[tuple[int, int]]:
+    """Groups of digits that stand side by side, in several tokens: 7 to 19 digits together."""
+    out = []
+    for m in RUN.finditer(text):
+        a, b = m.start(), m.start() + len(m.group().rstrip(EDGE))
+        outside = (text[a - 1] if a else " ") + (text[b] if b < len(text) else " ")
+        if 7 <= len(DIGIT.findall(m.group())) <= 19 and all(c in EDGE or c in " \t\n\v\f\r" for c in outside):
+            out.append((a, b))
+    return out
+
+
+def graph(text: str, base: list[tuple[int, int, int]]):
+    """Nodes of a document: base spans, runs of numbers and all other tokens.  (spans, labels, edges, edge kinds); labels are
+    0 for tokens and runs that share no key with a base span and -1 for those that do."""
     spans = [(a, b) for _, a, b in base]
     labels = [k + 1 for k, _, _ in base]
     known: dict[str, list[int]] = {}
     for i, (a, b) in enumerate(spans):
-        for k in keys(text[a:b]):
+        for k in traits(text[a:b])[1]:
             known.setdefault(k, []).append(i)
-    taken = sorted(spans)
-    at, plain = 0, 0
-    for m in TOKEN.finditer(text):
-        a, b = m.span()
-        while at < len(taken) and taken[at][1] <= a:
-            at += 1
-        if at < len(taken) and taken[at][0] < b:
-            continue
+    from_base = set(known)
+
+    def add(a: int, b: int) -> None:
+        mine = traits(text[a:b])[1]
+        for k in mine:
+            known.setdefault(k, []).append(len(spans))
+        spans.append((a, b))
+        labels.append(-1 if not from_base.isdisjoint(mine) else 0)
+
+    def free(found: Iterator[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        at, reach = 0, -1  # reach: the furthest end of taken spans that start before the token's end
+        for a, b in found:
+            while at < len(taken) and taken[at][0] < b:
+                reach = max(reach, taken[at][1])
+                at += 1
+            if reach <= a:
+                yield a, b
+
+    if RUN.search(text):
+        for a, b in list(free(iter(number_runs(text)), sorted(spans))):
+            add(a, b)
+    for a, b in list(free((m.span() for m in TOKEN.finditer(text)), sorted(spans))):
         while a < b and text[a] in EDGE:
             a += 1
         while b > a and text[b - 1] in EDGE:
             b -= 1
-        if b <= a:
-            continue
-        mine = [k for k in keys(text[a:b]) if k in known]
-        if mine:
-            for k in mine:
-                known[k].append(len(spans))
-            spans.append((a, b))
-            labels.append(-1)
-        elif most_plain is not None and plain < most_plain:
-            plain += 1
-            spans.append((a, b))
-            labels.append(0)
+        if b > a:
+            add(a, b)
     order = sorted(range(len(spans)), key=lambda i: spans[i])
     place = {i: j for j, i in enumerate(order)}
-    edges = {(place[i], place[j]): 1 for v in known.values() for s in [sorted(v, key=lambda i: place[i])] for i, j in zip(s, s[1:]) if i != j}
+    edges = {}
+    for v in known.values():
+        if len(v) > 1:
+            s = sorted({place[i] for i in v})
+            edges.update(((i, j), 1) for i, j in zip(s, s[1:]))
     for j in range(len(order) - 1):
-        a, b = spans[order[j]], spans[order[j + 1]]
-        if b[0] >= a[1] and not text[a[1] : b[0]].strip(EDGE + " \t\n\r"):
+        if spans[order[j + 1]][0] >= spans[order[j]][1]:
             edges.setdefault((j, j + 1), 0)
-    pairs = np.array(sorted(edges), np.int64).reshape(-1, 2)
-    return [spans[i] for i in order], np.array([labels[i] for i in order], np.int64), pairs, np.array([edges[tuple(p)] for p in pairs.tolist()], np.int64)
+    pairs = np.array(list(edges), np.int64).reshape(-1, 2)
+    return [spans[i] for i in order], np.array([labels[i] for i in order], np.int64), pairs, np.array(list(edges.values()), np.int64)
 
 
-def train(texts: list[str], steps: int = 150, rate: float = 0.5, prior: float = 1e-3) -> Field:
-    """Pseudo-likelihood: every labelled token given its neighbours' labels; unlabelled tokens take no part."""
+def train(texts: list[str], most_plain: int = 40, steps: int = 150, rate: float = 0.5, prior: float = 1e-3) -> Field:
+    """Pseudo-likelihood: every labelled token given its neighbours' labels; unlabelled tokens take no part, and of
+    a text's tokens without a label of the patterns the first `most_plain` do."""
     rows, near_chain, near_skip, y = [], [], [], []
     for text in texts:
-        spans, labels, edges, kinds = graph(text, base_spans(text), most_plain=40)
+        spans, labels, edges, kinds = graph(text, base_spans(text))
+        plain = 0
         around = [([], []) for _ in spans]
         for (i, j), k in zip(edges.tolist(), kinds.tolist()):
             around[i][k].append(labels[j])
             around[j][k].append(labels[i])
         for i, (a, b) in enumerate(spans):
-            if labels[i] >= 0:
+            plain += labels[i] == 0
+            if labels[i] > 0 or labels[i] == 0 and plain <= most_plain:
                 x = np.zeros(FEATURES)
                 x[shape(text[a:b])] += 1
                 rows.append(x)
@@ -228,14 +268,39 @@ def train(texts: list[str], steps: int = 150, rate: float = 0.5, prior: float =
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], crf: Field, least: float) -> list[tuple[int, int, int]]:
-    if not base:
-        return []
-    spans, labels, edges, kinds = graph(text, base)
-    if (labels >= 0).all():
-        return []
-    p = crf.posterior([shape(text[a:b]) for a, b in spans], labels, edges, kinds)
-    best = p.argmax(1)
-    return [(int(best[i]) - 1, *spans[i]) for i in range(len(spans)) if labels[i] < 0 and best[i] and p[i, best[i]] >= least]
+    return next(all_added_spans([(text, base)], crf, least))
+
+
+def all_added_spans(docs: list[tuple[str, list[tuple[int, int, int]]]], crf: Field, least: float, most: int = 20_000) -> Iterator[list[tuple[int, int, int]]]:
+    """Added spans of each (text, base spans); texts of about `most` nodes are solved at once, as separate parts of a graph."""
+    held: list[tuple] = []
+
+    def solve() -> Iterator[list[tuple[int, int, int]]]:
+        size = [len(g[0]) for _, g in held]
+        begin = np.cumsum([0, *size])
+        if not begin[-1]:
+            yield from ([] for _ in held)
+            return
+        labels = np.concatenate([g[1] for _, g in held])
+        edges = np.concatenate([g[2] + b for (_, g), b in zip(held, begin)])
+        nodes = [traits(text[a:b])[0] for text, g in held for a, b in g[0]]
+        p = crf.posterior(nodes, np.where(labels > 0, labels, -1), edges, np.concatenate([g[3] for _, g in held]), longest=max(size))
+        best = p.argmax(1)
+        got: list[list[tuple[int, int, int]]] = [[] for _ in held]
+        for i in np.flatnonzero((labels <= 0) & (best > 0) & (p.max(1) >= least)).tolist():
+            k = int(np.searchsorted(begin, i, "right")) - 1
+            got[k].append((int(best[i]) - 1, *held[k][1][0][i - begin[k]]))
+        yield from got
+
+    n = 0
+    for text, base in docs:
+        held.append((text, graph(text, base)))
+        n += len(held[-1][1][0])
+        if n >= most:
+            yield from solve()
+            held, n = [], 0
+    if held:
+        yield from solve()
 
 
 def said(spans: list[tuple[int, int, int]]) -> str:
@@ -268,10 +333,9 @@ def find(docs: DataFrame, crf: Field, least: float = 0.9) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[] for _ in range(7)]
-            for v in b.column("text"):
-                text = v.as_py() or ""
-                base = base_spans(text)
-                more = added_spans(text, base, shared.value, least)
+            texts = [v.as_py() or "" for v in b.column("text")]
+            found = [(t, base_spans(t)) for t in texts]
+            for (_, base), more in zip(found, all_added_spans(found, shared.value, least)):
                 for k in range(4):
                     cols[k].append(sum(x[0] == k for x in base))
                 cols[4].append(hashlib.sha256(said(base).encode()).hexdigest())

@@ -199,6 +199,33 @@ def test_message_passing_on_a_tree_is_exact():
     assert np.allclose(got, want / want.sum(1, keepdims=True), atol=1e-3)
 
 
+def test_field_covers_all_tokens():
+    """Every token is a node, repeated ones share an edge without any base span, a number in several tokens is one node."""
+    t = "Call 644-555-7859 then (644-555-7859), or 644 555 7859; tell noone about noone 7"
+    assert pii.base_spans(t) == []
+    spans, labels, edges, kinds = pii.graph(t, [])
+    said = [t[a:b] for a, b in spans]
+    assert said == ["Call", "644-555-7859", "then", "644-555-7859", "or", "644 555 7859", "tell", "noone", "about", "noone", "7"]
+    assert {tuple(e) for e, k in zip(edges.tolist(), kinds) if k == 1} == {(1, 3), (3, 5), (7, 9)}
+    assert {tuple(e) for e, k in zip(edges.tolist(), kinds) if k == 0} == {(i, i + 1) for i in range(10)} and (labels == 0).all()
+    unary = np.zeros((pii.FEATURES, pii.LABELS))
+    unary[0, 0], unary[11, 4] = 4.0, 5.0  # ten digits speak for a phone number, not enough alone
+    alone, together = "tell 644-555-7859 now", "tell 644-555-7859 now 644-555-7859 and 644 555 7859"
+    f = pii.Field(unary, np.zeros((pii.LABELS, pii.LABELS)), 3.0)
+    assert pii.added_spans(alone, [], f, 0.9) == []
+    assert [together[a:b] for k, a, b in pii.added_spans(together, [], f, 0.9) if k == 3] == ["644-555-7859", "644-555-7859", "644 555 7859"]
+    assert list(pii.all_added_spans([(alone, []), ("", []), (together, [])], f, 0.9, most=1)) == list(pii.all_added_spans([(alone, []), ("", []), (together, [])], f, 0.9))
+
+
+def test_messages_reach_far_mentions():
+    n, agree = 120, 8.0
+    f = pii.Field(np.zeros((pii.FEATURES, pii.LABELS)), np.zeros((pii.LABELS, pii.LABELS)), agree)
+    edges = np.array([[i, i + 1] for i in range(n)])
+    p = f.posterior([[0]] * (n + 1), np.array([4] + [-1] * n), edges, np.ones(n, int))
+    keep = (np.exp(agree) - 1) / (np.exp(agree) + pii.LABELS - 1)
+    assert np.allclose(p[:, 4], [1 / pii.LABELS + (1 - 1 / pii.LABELS) * keep**k for k in range(n + 1)], atol=1e-3)
+
+
 # -- languages ---------------------------------------------------------------------------------------------------------
 
 
