@@ -5,13 +5,16 @@ within one step of distance are an annulus, of which a table of bounded size kee
 the greatest norm.  For a query q and a vector x, 2 <q, x> = |q|^2 + |x|^2 - |q - x|^2, and the triangle inequality
 bounds |q - x| from below by how far q is outside the annulus.  Annuli are expanded in the order of that bound, nearest
 part first; the k-th best score found so far, at first that within the sample the pivots come from, stops the expansion:
-an annulus whose bound is below it is not joined.  Annuli are searched in tiles of at most TILE vectors and
-QUERIES queries.
+an annulus whose bound is below it is not joined.  What is left is searched in tiles of at most about TILE vectors of an
+annulus and QUERIES queries of one cell, and a tile's vectors are sent only to those blocks of queries whose bounds ask for
+the annulus.
 
 Cases: vectors that are null, or hold null or non-finite components, take no part, nor do rows without vec_id or with a
-component beyond 32 bits; shorter vectors count as padded with zeros; rows equal in vec_id and vector are one; a query
-never meets rows of its own vec_id; ties go to the smaller vec_id; fewer candidates than k give fewer rows; an empty
-table gives an empty result; other columns are not read.
+component of 256 x beyond HUGE, which no array<float> holds; large components are exact; scores beyond 64 bits are the largest (or
+least) 64-bit number, and what ties there goes to the smaller vec_id; shorter vectors count as padded with zeros; every row
+is a candidate, equal rows too; every row that asks is a query with results of its own, so a query row that is there twice
+has them twice; a query never meets rows of its own vec_id; ties go to the smaller vec_id; fewer candidates than k give
+fewer rows; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,21 +27,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakfold.llm.common import Scratch
+from peakfold.llm.common import Scratch, maybe_broadcast
 
-TILE, QUERIES, RINGS = 8192, 1024, 32
+TILE, QUERIES, RINGS, NEAR = 1 << 15, 1 << 14, 32, 1 << 13
+LEAST = -(2**63)
+#: Squares of greater components aren't finite.
+HUGE = 1e150
+
+
+def pack(q: np.ndarray) -> bytes:
+    """Integers as 32 bits each where they fit, else as the doubles they are; the last byte tells which."""
+    if (np.abs(q) < 2**31).all():
+        return q.astype(np.int32).tobytes() + b"i"
+    return q.tobytes() + b"d"
 
 
 def unpack(blobs, dim: int) -> np.ndarray:
     out = np.zeros((len(blobs), dim), np.float64)
     for i, b in enumerate(blobs):
-        v = np.frombuffer(b, np.int32)
+        v = np.frombuffer(b[:-1], np.int32 if b[-1:] == b"i" else np.float64)
         out[i, : len(v)] = v
     return out
 
 
 def quantised(vectors: DataFrame, column: str, ident: str) -> DataFrame:
-    """vec_id, v (packed 32-bit integers), dim of the rows that take part."""
+    """vec_id, v (packed integers), dim of the rows that take part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -49,14 +62,15 @@ def quantised(vectors: DataFrame, column: str, ident: str) -> DataFrame:
                 x = v.values
                 if x.null_count:
                     continue
-                q = np.floor(256 * np.asarray(x, dtype=np.float64))
-                if np.isfinite(q).all() and (np.abs(q) < 2**31).all():
+                with np.errstate(over="ignore"):
+                    q = np.floor(256 * np.asarray(x, dtype=np.float64))
+                if np.isfinite(q).all() and (np.abs(q) < HUGE).all():
                     ids.append(i)
-                    blobs.append(q.astype(np.int32).tobytes())
+                    blobs.append(pack(q))
                     dims.append(len(q))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary()), pa.array(dims, pa.int32())], names=["vec_id", "v", "dim"])
 
-    return vectors.select(F.col(ident).cast("long"), F.col(column).cast("array<double>")).mapInArrow(run, "vec_id long, v binary, dim int").dropDuplicates(["vec_id", "v"])
+    return vectors.select(F.col(ident).cast("long"), F.col(column).cast("array<double>")).mapInArrow(run, "vec_id long, v binary, dim int")
 
 
 def fit_pivots(x: np.ndarray, cells: int, rounds: int = 5, seed: int = 9) -> np.ndarray:
@@ -64,8 +78,7 @@ def fit_pivots(x: np.ndarray, cells: int, rounds: int = 5, seed: int = 9) -> np.
     rng = np.random.default_rng(seed)
     p = x[rng.permutation(len(x))[:cells]].copy()
     for _ in range(rounds):
-        d = (x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1)[None, :]
-        near = d.argmin(1)
+        near = distances(x, p).argmin(1)
         for k in range(len(p)):
             if (near == k).any():
                 p[k] = x[near == k].mean(0)
@@ -73,19 +86,46 @@ def fit_pivots(x: np.ndarray, cells: int, rounds: int = 5, seed: int = 9) -> np.
 
 
 def distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1)[None, :], 0))
+    """From every row of x to every row of p; from the differences, so that large norms cost no digits."""
+    return np.stack([np.linalg.norm(x - c, axis=1) for c in p], 1)
+
+
+def integer_products(q: np.ndarray, x: np.ndarray) -> list[int]:
+    """Exact inner products of q with the rows of x, cut to 64 bits."""
+    whole = [int(a) for a in q.tolist()]
+    return [min(max(sum(a * int(b) for a, b in zip(whole, row)), LEAST), -LEAST - 1) for row in x.tolist()]
+
+
+def floor_of(least: np.ndarray) -> np.ndarray:
+    """Scores to reach, as doubles that are no greater; LEAST stands for none."""
+    return np.where(least == LEAST, -np.inf, least.astype(np.float64) - 2048)
 
 
 def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, vec_id, score) of each query's k best of x with a score of at least `least`."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
-    exact = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(1, q.shape[1]) < 2**52
-    s = (q @ x.T).astype(np.int64) if exact else q.astype(np.int64) @ x.astype(np.int64).T
-    ok = (s >= least[:, None]) & (q_ids[:, None] != ids[None, :])
-    r, c = np.nonzero(ok)
-    v = s[r, c]
-    o = np.lexsort((c, -v, r))  # ids are sorted, so ties go to the smaller vec_id
+    width = max(1, q.shape[1])
+    s = q @ x.T
+    other = q_ids[:, None] != ids[None, :]
+    if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * width < 2**52:
+        s = s.astype(np.int64)
+        r, c = np.nonzero((s >= least[:, None]) & other)
+        v = s[r, c]
+    else:
+        # Doubles only bound these scores; those that may be among the k best are computed as integers.
+        slack = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :] * width * 2.0**-50 + 1
+        low = np.where(other, s - slack, -np.inf)
+        cut = np.partition(low, -k, axis=1)[:, -k] if len(x) >= k else np.full(len(q), -np.inf)
+        cut = np.where(cut < -(2.0**62), -np.inf, np.minimum(cut, 2.0**62))  # what is cut to 64 bits ties
+        r, c = np.nonzero(other & (s + slack >= np.maximum(cut, floor_of(least))[:, None]))
+        v = np.zeros(len(r), np.int64)
+        for i in np.unique(r):
+            at = np.flatnonzero(r == i)
+            v[at] = integer_products(q[i], x[c[at]])
+        ok = v >= least[r]
+        r, c, v = r[ok], c[ok], v[ok]
+    o = np.lexsort((c, ~v, r))  # ids are sorted, so ties go to the smaller vec_id
     r, c, v = r[o], c[o], v[o]
     place = np.arange(len(r)) - np.searchsorted(r, r)
     keep = place < k
@@ -96,8 +136,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, cells: int = 16, sam
     """query_id, rank, vec_id, score.  `is_query`: condition on vec_id.  Pivots are fitted on about `sample` vectors, of a small enough hash, at most twice as many."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
-    rows = scratch.save(quantised(vectors, column, ident), "rows")
-    u = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / (1 << 30)
+    rows = scratch.save(quantised(vectors, column, ident).withColumn("row", F.monotonically_increasing_id()), "rows")
+    u = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) / (1 << 30)
     known = rows.where(u < sample / max(rows.count(), 1)).select("vec_id", "v").limit(2 * sample).collect()  # bounded by `sample`
     known = sorted(known or rows.select("vec_id", "v").limit(sample).collect())
     schema = "query_id long, rank int, vec_id long, score long"
@@ -118,22 +158,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, cells: int = 16, sam
             cell = d.argmin(1)
             r = d[np.arange(len(x)), cell]
             ring = np.clip((r - low) // step + 1, 0, RINGS - 1)
-            yield pd.DataFrame({"part": (cell * RINGS + ring).astype(np.int32), "dist": r, "norm": np.sqrt((x * x).sum(1)), "vec_id": b.vec_id, "v": b.v})
+            yield pd.DataFrame({"part": (cell * RINGS + ring).astype(np.int32), "dist": r, "norm": np.linalg.norm(x, axis=1), "vec_id": b.vec_id, "row": b.row, "v": b.v})
 
-    index = scratch.save(rows.mapInPandas(place, "part int, dist double, norm double, vec_id long, v binary"), "index")
+    index = scratch.save(rows.mapInPandas(place, "part int, dist double, norm double, vec_id long, row long, v binary"), "index")
     rings = index.groupBy("part").agg(F.min("dist").alias("a"), F.max("dist").alias("b"), F.max("norm").alias("norm"), F.count(F.lit(1)).alias("n")).orderBy("part").toPandas()  # at most cells * RINGS rows
     n = int(rings.n.sum())
     tiles = {int(p): int(np.ceil(c / TILE)) for p, c in zip(rings.part, rings.n)}
-    asked = index.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    asked = scratch.save(asked, "asked")
-    blocks = max(1, int(np.ceil(asked.count() / QUERIES)))
+    asked = scratch.save(index.where(is_query).select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.floor(F.col("part") / RINGS).cast("int").alias("cell")), "asked")
+    # Queries of one cell ask for much the same annuli, so a block holds queries of one cell.
+    blocks = {r["cell"]: -(-r["count"] // QUERIES) for r in asked.groupBy("cell").count().collect()}  # a row a cell
     table = spark.sparkContext.broadcast(rings)
 
     def bounds(q: np.ndarray) -> np.ndarray:
         p, t = shared.value[0], table.value
         d = distances(q, p)[:, t.part.to_numpy() // RINGS]
         gap = np.maximum(np.maximum(d - t.b.to_numpy(), t.a.to_numpy() - d), 0)
-        return ((q * q).sum(1)[:, None] + t.norm.to_numpy()[None, :] ** 2 - gap**2) / 2 * (1 + 1e-9) + 1
+        own, most = np.linalg.norm(q, axis=1)[:, None] ** 2, t.norm.to_numpy()[None, :] ** 2
+        return (own + most - gap**2) / 2 + 1e-9 * (own + most) + 1
 
     def expand(first: bool):
         """Rows (part, tile, block, query) of the annuli to search; the first round takes the nearest of them."""
@@ -149,54 +190,55 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, cells: int = 16, sam
                     order = np.argsort(-ub, axis=1, kind="stable")
                     ahead = np.cumsum(t.n.to_numpy()[order], axis=1) - t.n.to_numpy()[order]
                     near = np.zeros(ub.shape, bool)
-                    np.put_along_axis(near, order, ahead < max(TILE, n // 20), axis=1)
+                    np.put_along_axis(near, order, ahead < max(NEAR, n // 20), axis=1)
                     if first:
-                        r, _, v = best(q_ids, q, ids, x, np.full(len(q), np.iinfo(np.int64).min), k)
-                        least = np.full(len(q), np.iinfo(np.int64).min)
+                        r, _, v = best(q_ids, q, ids, x, np.full(len(q), LEAST), k)
+                        least = np.full(len(q), LEAST)
                         full = np.bincount(r, minlength=len(q)) >= k
                         np.minimum.at(low_of := np.full(len(q), np.iinfo(np.int64).max), r, v)
                         least[full] = low_of[full]
                     else:
                         least = b.least.to_numpy()
-                    go = (near if first else ~near) & (ub >= least[:, None])
+                    go = (near if first else ~near) & (ub >= floor_of(least)[:, None])
                     i, j = np.nonzero(go)
                     parts = t.part.to_numpy()[j]
                     many = np.array([tiles[int(p)] for p in parts], np.int64)
                     i, parts = np.repeat(i, many), np.repeat(parts, many)
                     tile = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
-                    yield pd.DataFrame({"part": parts.astype(np.int32), "tile": tile.astype(np.int32), "block": ((q_ids[i].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(blocks)).astype(np.int32), "query_id": q_ids[i], "q": b.q.to_numpy()[i], "least": least[i]})
+                    cell, query = b.cell.to_numpy(), b["query"].to_numpy()
+                    block = [f"{c}-{((w * 0x9E3779B97F4A7C15) % (1 << 64) >> 33) % blocks[c]}" for c, w in zip(cell.tolist(), query.tolist())]
+                    yield pd.DataFrame({"part": parts.astype(np.int32), "tile": tile.astype(np.int32), "block": np.array(block, object)[i], "query": query[i], "query_id": q_ids[i], "q": b.q.to_numpy()[i], "least": least[i]})
 
         return run
 
     many = F.create_map(*[F.lit(x) for kv in tiles.items() for x in kv])
-    cut = index.withColumn("tile", F.pmod(F.xxhash64("vec_id", "v"), many[F.col("part")].cast("long")).cast("int"))
-    if blocks > 1:
-        cut = cut.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    else:
-        cut = cut.withColumn("block", F.lit(0))
-    cut = cut.select("part", "tile", "block", "vec_id", "v")
+    cut = index.select("part", F.pmod(F.xxhash64("row"), many[F.col("part")].cast("long")).cast("int").alias("tile"), "vec_id", "v")
+    key = ["part", "tile", "block"]
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [(np.zeros(0, np.int64),) * 3]
+        out = [(np.zeros(0, np.int64),) * 4]
         if len(left) and len(right):
             x, ids = unpack(right.v, dim), right.vec_id.to_numpy()
             for a in range(0, len(left), 256):
                 b = left.iloc[a : a + 256]
                 r, c, v = best(b.query_id.to_numpy(), unpack(b.q, dim), ids, x, b.least.to_numpy(), k)
-                out.append((b.query_id.to_numpy()[r], c, v))
-        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("query_id", "vec_id", "score"), zip(*out))})
-
-    def searched(spread: DataFrame) -> DataFrame:
-        key = ["part", "tile", "block"]
-        return spread.groupBy(*key).cogroup(cut.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score long")
-
-    wide = "part int, tile int, block int, query_id long, q binary, least long"
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    one = searched(asked.select("query_id", "q").mapInPandas(expand(True), wide))
+                out.append((b["query"].to_numpy()[r], b.query_id.to_numpy()[r], c, v))
+        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("query", "query_id", "vec_id", "score"), zip(*out))})
+
+    def searched(spread: DataFrame, name: str) -> DataFrame:
+        """A tile goes to the blocks that ask for it."""
+        spread = scratch.save(spread, name)
+        wanted = scratch.save(spread.select(*key).distinct(), f"{name}-tiles")
+        sent = cut.join(maybe_broadcast(wanted, wanted.count()), ["part", "tile"])
+        return spread.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(search, "query long, query_id long, vec_id long, score long")
+
+    wide = "part int, tile int, block string, query long, query_id long, q binary, least long"
+    ranked = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    one = searched(asked.mapInPandas(expand(True), wide), "first")
     one = scratch.save(one.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).drop("rank"), "near")
     # The k-th best so far; without k of them nothing can be ruled out.
-    least = one.groupBy("query_id").agg(F.min("score").alias("m"), F.count(F.lit(1)).alias("c"))
-    again = asked.join(least, "query_id", "left").withColumn("least", F.when(F.col("c") >= k, F.col("m")).otherwise(F.lit(-(2**63)))).select("query_id", "q", "least")
-    two = searched(again.mapInPandas(expand(False), wide))
+    least = one.groupBy("query").agg(F.min("score").alias("m"), F.count(F.lit(1)).alias("c"))
+    again = asked.join(least, "query", "left").withColumn("least", F.when(F.col("c") >= k, F.col("m")).otherwise(F.lit(LEAST))).select("query", "query_id", "q", "cell", "least")
+    two = searched(again.mapInPandas(expand(False), wide), "rest")
     both = one.unionByName(two).withColumn("rank", F.row_number().over(ranked).cast("int"))
     return both.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

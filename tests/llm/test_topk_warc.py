@@ -15,18 +15,16 @@ VECTORS = "vec_id long, embedding array<float>, label int"
 
 
 def brute(rows, k, by):
-    live = {}
+    """Every row that takes part is a candidate, and a query if its id is divisible; scores are integers of any length."""
+    live = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            live[(i, tuple(np.float32(v)))] = np.floor(256 * np.float32(v).astype(np.float64))
-    dim = max((len(v) for v in live.values()), default=0)
-    pad = {key: np.pad(v, (0, dim - len(v))) for key, v in live.items()}
-    out = set()
-    for q in {i for i, _ in pad if i % by == 0}:
-        for key, v in pad.items():
-            if key[0] == q:
-                s = sorted(((-int(v @ x), i) for (i, _), x in pad.items() if i != q))[:k]
-                out |= {(q, r + 1, i, -n) for r, (n, i) in enumerate(s)}
+            live.append((i, [int(x) for x in np.floor(256 * np.float32(v).astype(np.float64))]))
+    out = []
+    for q, v in live:
+        if q % by == 0:
+            s = sorted((-min(max(sum(a * b for a, b in zip(v, x)), -(2**63)), 2**63 - 1), i) for i, x in live if i != q)[:k]
+            out += [(q, r + 1, i, -n) for r, (n, i) in enumerate(s)]
     return sorted(out)
 
 
@@ -54,12 +52,33 @@ def test_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [3.0]), (6, [1.0, 2.0]), (6, [1.0, 2.0]), (None, [1.0, 1.0]), (10, []), (7, [-1.0, 0.5])]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS)
     got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 10 == 0).collect())
-    want = [(0, 1, 5, 256 * 768), (0, 2, 6, 0), (0, 3, 7, 0)]
-    del want
     assert got == brute(rows, 5, 10)
+    # (1, 2) has 5 x 65536 with each of the two rows of 6, 3 with (3), nothing with (-1, 0.5) and the empty vector.
+    assert [x for x in got if x[0] == 0] == [(0, 1, 6, 5 << 16), (0, 2, 6, 5 << 16), (0, 3, 5, 3 << 16), (0, 4, 7, 0), (0, 5, 10, 0)]
     assert topk.top_k(df.where("1 = 0"), F.lit(True)).count() == 0
 
 
+def test_repeats_and_large_components(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 1.0]), (1, [0.5, 1.0]), (2, [0.25, 1.0]), (3, [1e8, 0.0])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS)
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect())
+    assert [x[2] for x in got] == [3, 1, 1, 2] and got == brute(rows, 5, 50)
+    rng = np.random.default_rng(7)
+    rows = [(int(i), [float(x) for x in rng.normal(size=4) * 10.0 ** rng.integers(-2, 12)]) for i in range(200)]
+    rows += [(200, [3e38] * 4), (201, [-3e38] * 4), (202, [3e38, -3e38, 3e38, -3e38]), *rows[:20], *rows[10:12]]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS).repartition(3)
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 10 == 0, sample=30, cells=4).collect())
+    assert got == brute(rows, 5, 10)
+
+
+def test_one_hot_vector(spark, monkeypatch):
+    monkeypatch.setattr(topk, "TILE", 100)
+    rng = np.random.default_rng(8)
+    rows = [(int(i), [1.0, 2.0, 3.0] if i % 3 else [float(x) for x in rng.normal(size=3)]) for i in range(900)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS)
+    assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, sample=50, cells=3).collect()) == brute(rows, 5, 50)
+
+
 def pages(spark):
     big = "x" * 300_000
     rows = [(5, "http://a/5", "<p>one</p>"), (2, "http://a/2 b", "<p>one</p>"), (9, None, "<p>one</p>"), (3, "u3", None), (4, "u4", ""), (7, "u7", big), (8, "u8", "é\r\n\r\nWARC/1.1\r\n"), (8, "u8", "é\r\n\r\nWARC/1.1\r\n"), (None, "n", "<p>one</p>"), (None, None, "alone"), (1, "c\r\nX: y", big + "y")]
