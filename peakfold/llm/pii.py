@@ -1,13 +1,15 @@
 """Operator 3: personal data by patterns and a skip-chain conditional random field.
 
-Four patterns give the base spans.  The field then labels all tokens (and runs of 7 to 19 digits in several tokens as one):
-neighbours on the chain share a transition potential, and distant tokens that repeat or resemble each other (same letters and
-digits, same last digits, an address and its local part) share an agreement potential.  Tokens of base spans are evidence,
-loopy message passing carries it along the edges until it settles, and a token whose entity label reaches `least` becomes an
-added span, in texts without base spans too.  Weights are trained by pseudo-likelihood on a bounded sample, labelled by the
+Four patterns give the base spans.  The field then labels the whole text: neighbours on the chain share a transition
+potential, and distant tokens that repeat or resemble each other (same letters and digits, same last digits, an address and
+its local part) share an agreement potential.  Three kinds of nodes are open to what the patterns miss: tokens with a digit
+or an @, runs of 7 to 19 digits in several tokens, and addresses in words (name at host dot org).  A token with neither digit
+nor @ can be none of the four kinds, so it is observed as no entity; base spans are observed as what they are.  Loopy message
+passing carries this evidence along the edges until it settles, and a node whose entity label reaches `least` becomes an added
+span, in texts without base spans too.  Weights are trained by pseudo-likelihood on a bounded sample, labelled by the
 patterns.
 
-Skip edges join each token to the next one of its key, so a key in n tokens has n - 1 edges, never all pairs.
+Skip edges join each node to the next one of its key, so a key in n nodes has n - 1 edges, never all pairs.
 
 Cases: null and empty texts give no span; spans of a kind never overlap; added spans never overlap base ones; equal
 rows get equal rows; other columns are not read; one document is one task's work, in memory proportional to it.
@@ -34,9 +36,14 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
-TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+#: Tokens with a digit or an @.
+TOKEN = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
 RUN = re.compile(r"\(?[0-9][0-9().-]*+(?:\x20\(?[0-9][0-9().-]*+)++")
+#: Addresses in words: at, or at in brackets, for the @, and the same with dot.
+SPELT = re.compile(r"[A-Za-z0-9_%+.-]++\x20?(?:[(\[{]at[)\]}]|\x20at\x20)\x20?[A-Za-z0-9-]++(?:\x20?(?:[(\[{]dot[)\]}]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]++)++", re.I)
+WORDY = re.compile(r"\x20?(?:[(\[{](at|dot)[)\]}]|(?<=\x20)(at|dot)(?=\x20))\x20?", re.I)
 EDGE = ".,;:!?()[]{}<>\"'"
+BREAK = re.compile(r"[^\x20\x09-\x0D.,;:!?()\[\]{}<>\"']")
 
 
 def luhn(digits: str) -> bool:
@@ -77,6 +84,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def respelt(text: str) -> str:
+    """An address in words as the address that it means; other tokens as they are."""
+    return WORDY.sub(lambda m: "@" if (m[1] or m[2]).lower() == "at" else ".", text) if " " in text or "(" in text or "[" in text or "{" in text else text
+
+
 def shape(token: str) -> list[int]:
     """Indices of the features of a token; none tells whether a pattern matched."""
     digits = sum(c.isdigit() for c in token)
@@ -114,14 +126,14 @@ class Field:
     def __init__(self, unary: np.ndarray, chain: np.ndarray, agree: float):
         self.unary, self.chain, self.agree = unary, chain, agree
 
-    def posterior(self, nodes: list[list[int]], clamped: np.ndarray, edges: np.ndarray, kinds: np.ndarray, rounds: int | None = None, longest: int | None = None) -> np.ndarray:
+    def posterior(self, nodes: list[list[int]], beside: np.ndarray, clamped: np.ndarray, edges: np.ndarray, kinds: np.ndarray, rounds: int | None = None, longest: int | None = None) -> np.ndarray:
         """Beliefs by loopy message passing, until no message moves (or for `rounds`).  clamped: label or -1; kinds: 0 chain,
-        1 skip; longest: nodes of the largest of the separate parts.
+        1 skip; beside: how many neighbours of a node are observed as no entity; longest: nodes of the largest of the separate parts.
 
         Only edges out of a node whose messages moved are computed again.  Steps are damped after 30 rounds, and shrink after
         twice as many as `longest` more, so that loops can't swing for ever.
         """
-        u = self.unary[np.array(nodes)].sum(1)
+        u = self.unary[np.array(nodes)].sum(1) + beside[:, None] * self.chain[0]
         hold = np.flatnonzero(clamped >= 0)
         u[hold] = -30.0
         u[hold, clamped[hold]] = 0.0
@@ -161,13 +173,23 @@ class Field:
 
 
 @lru_cache(1 << 16)
-def traits(token: str) -> tuple[list[int], list[str]]:
+def traits(text: str) -> tuple[list[int], list[str]]:
+    token = respelt(text)
     return shape(token), keys(token)
 
 
+def spelt_addresses(text: str) -> list[tuple[int, int]]:
+    low = text if "at" in text else text.lower()
+    if " at " not in low and "at)" not in low and "at]" not in low and "at}" not in low:
+        return []
+    return [m.span() for m in SPELT.finditer(text) if "dot" in m.group().lower() or re.search(r"[(\[{]at", m.group(), re.I)]
+
+
 def number_runs(text: str) -> list[tuple[int, int]]:
     """Groups of digits that stand side by side, in several tokens: 7 to 19 digits together."""
     out = []
+    if not DIGIT.search(text):
+        return out
     for m in RUN.finditer(text):
         a, b = m.start(), m.start() + len(m.group().rstrip(EDGE))
         outside = (text[a - 1] if a else " ") + (text[b] if b < len(text) else " ")
@@ -177,8 +199,9 @@ def number_runs(text: str) -> list[tuple[int, int]]:
 
 
 def graph(text: str, base: list[tuple[int, int, int]]):
-    """Nodes of a document: base spans, runs of numbers and all other tokens.  (spans, labels, edges, edge kinds); labels are
-    0 for tokens and runs that share no key with a base span and -1 for those that do."""
+    """Nodes of a document that aren't observed as no entity: base spans, addresses in words, runs of numbers and tokens with
+    a digit or an @.  (spans, labels, edges, edge kinds, neighbours observed as no entity); labels are 0 for nodes that share
+    no key with a base span and -1 for those that do."""
     spans = [(a, b) for _, a, b in base]
     labels = [k + 1 for k, _, _ in base]
     known: dict[str, list[int]] = {}
@@ -203,8 +226,8 @@ def graph(text: str, base: list[tuple[int, int, int]]):
             if reach <= a:
                 yield a, b
 
-    if RUN.search(text):
-        for a, b in list(free(iter(number_runs(text)), sorted(spans))):
+    for found in (spelt_addresses(text), number_runs(text)):
+        for a, b in list(free(iter(found), sorted(spans))):
             add(a, b)
     for a, b in list(free((m.span() for m in TOKEN.finditer(text)), sorted(spans))):
         while a < b and text[a] in EDGE:
@@ -220,29 +243,36 @@ def graph(text: str, base: list[tuple[int, int, int]]):
         if len(v) > 1:
             s = sorted({place[i] for i in v})
             edges.update(((i, j), 1) for i, j in zip(s, s[1:]))
-    for j in range(len(order) - 1):
-        if spans[order[j + 1]][0] >= spans[order[j]][1]:
-            edges.setdefault((j, j + 1), 0)
+    # A neighbour on the chain is the next node, or a word between the two.
+    beside, end = [0] * len(order), 0
+    for j, i in enumerate(order):
+        a, b = spans[i]
+        if a >= end and BREAK.search(text, end, a):
+            beside[j] += 1
+            if j:
+                beside[j - 1] += 1
+        elif j and a >= end:
+            edges.setdefault((j - 1, j), 0)
+        end = max(end, b)
+    if order and BREAK.search(text, end):
+        beside[-1] += 1
     pairs = np.array(list(edges), np.int64).reshape(-1, 2)
-    return [spans[i] for i in order], np.array([labels[i] for i in order], np.int64), pairs, np.array(list(edges.values()), np.int64)
+    return [spans[i] for i in order], np.array([labels[i] for i in order], np.int64), pairs, np.array(list(edges.values()), np.int64), np.array(beside, np.int64)
 
 
-def train(texts: list[str], most_plain: int = 40, steps: int = 150, rate: float = 0.5, prior: float = 1e-3) -> Field:
-    """Pseudo-likelihood: every labelled token given its neighbours' labels; unlabelled tokens take no part, and of
-    a text's tokens without a label of the patterns the first `most_plain` do."""
+def train(texts: list[str], steps: int = 150, rate: float = 0.5, prior: float = 1e-3) -> Field:
+    """Pseudo-likelihood: every labelled node given its neighbours' labels; unlabelled nodes take no part."""
     rows, near_chain, near_skip, y = [], [], [], []
     for text in texts:
-        spans, labels, edges, kinds = graph(text, base_spans(text))
-        plain = 0
-        around = [([], []) for _ in spans]
+        spans, labels, edges, kinds, beside = graph(text, base_spans(text))
+        around = [([0] * n, []) for n in beside.tolist()]
         for (i, j), k in zip(edges.tolist(), kinds.tolist()):
             around[i][k].append(labels[j])
             around[j][k].append(labels[i])
         for i, (a, b) in enumerate(spans):
-            plain += labels[i] == 0
-            if labels[i] > 0 or labels[i] == 0 and plain <= most_plain:
+            if labels[i] >= 0:
                 x = np.zeros(FEATURES)
-                x[shape(text[a:b])] += 1
+                x[traits(text[a:b])[0]] += 1
                 rows.append(x)
                 y.append(labels[i])
                 near_chain.append(np.bincount([k for k in around[i][0] if k >= 0], minlength=LABELS))
@@ -284,7 +314,7 @@ def all_added_spans(docs: list[tuple[str, list[tuple[int, int, int]]]], crf: Fie
         labels = np.concatenate([g[1] for _, g in held])
         edges = np.concatenate([g[2] + b for (_, g), b in zip(held, begin)])
         nodes = [traits(text[a:b])[0] for text, g in held for a, b in g[0]]
-        p = crf.posterior(nodes, np.where(labels > 0, labels, -1), edges, np.concatenate([g[3] for _, g in held]), longest=max(size))
+        p = crf.posterior(nodes, np.concatenate([g[4] for _, g in held]), np.where(labels > 0, labels, -1), edges, np.concatenate([g[3] for _, g in held]), longest=max(size))
         best = p.argmax(1)
         got: list[list[tuple[int, int, int]]] = [[] for _ in held]
         for i in np.flatnonzero((labels <= 0) & (best > 0) & (p.max(1) >= least)).tolist():
@@ -308,23 +338,24 @@ def said(spans: list[tuple[int, int, int]]) -> str:
 
 
 def fit(docs: DataFrame, most: int) -> Field:
-    """Train in one task on about `most` of the texts with an @ or four digits, those of a small enough hash."""
-    marked = docs.where(F.col("text").rlike("@|[0-9]{4}"))
-    n = marked.count()
-    u = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / (1 << 30)
+    """Train in one task on about `most` different texts with an @ or four digits, those of a small enough hash."""
+    marked = docs.where(F.col("text").rlike("@|[0-9]{4}")).select(F.col("text").cast("string").alias("text"))
+    h = F.xxhash64("text")
+    n = marked.agg(F.approx_count_distinct(h)).first()[0]
+    u = F.pmod(h, F.lit(1 << 30)) / (1 << 30)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = train(sorted(t for b in batches for t in b.column("text").to_pylist()))
         yield pa.RecordBatch.from_pydict({"unary": [f.unary.tobytes()], "chain": [f.chain.tobytes()], "agree": [f.agree]})
 
-    taught = marked.where(u < most / max(n, 1)).select(F.col("text").cast("string").alias("text")).limit(4 * most)
+    taught = marked.where(u < most / max(n, 1)).distinct().orderBy(h, "text").limit(2 * most)
     got = taught.repartition(1).mapInArrow(run, "unary binary, chain binary, agree double").collect()  # one row
     if not got:
         return train([])
     return Field(np.frombuffer(got[0]["unary"]).reshape(FEATURES, LABELS), np.frombuffer(got[0]["chain"]).reshape(LABELS, LABELS), got[0]["agree"])
 
 
-def find(docs: DataFrame, crf: Field, least: float = 0.9) -> DataFrame:
+def find(docs: DataFrame, crf: Field, least: float = 0.8) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_added."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(crf)
@@ -347,5 +378,5 @@ def find(docs: DataFrame, crf: Field, least: float = 0.9) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def personal_data(docs: DataFrame, most_train: int = 1000, least: float = 0.9) -> DataFrame:
+def personal_data(docs: DataFrame, most_train: int = 1000, least: float = 0.8) -> DataFrame:
     return find(docs, fit(docs, most_train), least)

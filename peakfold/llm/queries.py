@@ -33,7 +33,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.personal_data(table(spark, sf_dir, "documents"), most_train=1000, least=0.9)
+    return pii.personal_data(table(spark, sf_dir, "documents"), most_train=1000, least=0.8)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

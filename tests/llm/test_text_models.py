@@ -181,6 +181,31 @@ def test_field_adds_repeated_mentions(spark, odd, none):
     assert pii.personal_data(none).count() == 0
 
 
+def test_field_finds_planted_mentions():
+    """What no pattern finds, planted beside a base mention of the same person or repeated; and what must not be marked."""
+    rng = random.Random(9)
+    said = lambda n: invented(rng, n, EN)
+    person = lambda i: (f"{rng.choice(EN)}.{rng.choice(EN)}{i}", f"{rng.choice(EN)}{i}", rng.choice(["com", "org"]))
+    phone = lambda: (rng.randint(200, 999), rng.randint(200, 999), rng.randint(1000, 9999))
+    train = []
+    for i in range(400):
+        (u, h, z), (a, b, c) = person(i), phone()
+        train.append(f"{said(8)} {u}@{h}.{z} {said(5)} +1 {a}-{b}-{c} {said(3)} 10.0.{i % 250}.7 in {rng.randint(1900, 2030)} no {rng.randint(1, 99)} {said(4)} {a}.{c} x{i} {rng.randint(10**5, 10**6)}")
+    crf = pii.train(train)
+    found = missed = false = 0
+    for i in range(300):
+        (u, h, z), (a, b, c) = person(i), phone()
+        base = f"{u}@{h}.{z} {said(3)} +1 {a}-{b}-{c}"
+        planted = [f"{u} at {h} dot {z}", f"{u}[at]{h}[dot]{z}", f"1{a}{b}{c}", f"{a} {b} {c}", f"({a}) {b}-{c}"]
+        t = f"{said(5)} {base} {said(9)} " + f" {said(4)} ".join(planted) + f" {said(3)} in {rng.randint(1900, 2030)} no {rng.randint(1, 99)} v{i}.2 {rng.randint(10**5, 10**6)} look at it on dot two"
+        want = set(planted)
+        got = {t[x:y] for _, x, y in pii.added_spans(t, pii.base_spans(t), crf, 0.8)}
+        found += len(want & got)
+        missed += len(want - got)
+        false += len(got - want)
+    assert found >= 0.9 * (found + missed) and false <= 0.02 * found, (found, missed, false)
+
+
 def test_message_passing_on_a_tree_is_exact():
     rng = np.random.default_rng(1)
     n = 5
@@ -189,25 +214,30 @@ def test_message_passing_on_a_tree_is_exact():
     edges, kinds = np.array([[0, 1], [1, 2], [1, 3], [3, 4]]), np.array([0, 1, 1, 0])
     nodes = [[int(x)] for x in rng.integers(0, pii.FEATURES, n)]
     clamped = np.array([-1, -1, 2, -1, -1])
-    got = f.posterior(nodes, clamped, edges, kinds, rounds=200)
+    beside = np.array([0, 2, 0, 1, 0])
+    got = f.posterior(nodes, beside, clamped, edges, kinds, rounds=200)
     want = np.zeros((n, pii.LABELS))
     for y in np.ndindex(*[pii.LABELS] * n):
         if y[2] == 2:
-            e = sum(f.unary[nodes[i][0], y[i]] for i in range(n)) + sum(f.chain[y[a], y[b]] if k == 0 else f.agree * (y[a] == y[b]) for (a, b), k in zip(edges, kinds))
+            e = sum(f.unary[nodes[i][0], y[i]] + beside[i] * f.chain[0, y[i]] for i in range(n)) + sum(f.chain[y[a], y[b]] if k == 0 else f.agree * (y[a] == y[b]) for (a, b), k in zip(edges, kinds))
             for i in range(n):
                 want[i, y[i]] += np.exp(e)
     assert np.allclose(got, want / want.sum(1, keepdims=True), atol=1e-3)
 
 
-def test_field_covers_all_tokens():
-    """Every token is a node, repeated ones share an edge without any base span, a number in several tokens is one node."""
-    t = "Call 644-555-7859 then (644-555-7859), or 644 555 7859; tell noone about noone 7"
+def test_field_covers_the_text():
+    """Nodes without any base span; words are observed; repeated tokens share an edge; a number in several tokens is one node."""
+    t = "Call 644-555-7859 then (644-555-7859), or 644 555 7859; x7 a1, jo at x dot org 7"
     assert pii.base_spans(t) == []
-    spans, labels, edges, kinds = pii.graph(t, [])
+    spans, labels, edges, kinds, beside = pii.graph(t, [])
     said = [t[a:b] for a, b in spans]
-    assert said == ["Call", "644-555-7859", "then", "644-555-7859", "or", "644 555 7859", "tell", "noone", "about", "noone", "7"]
-    assert {tuple(e) for e, k in zip(edges.tolist(), kinds) if k == 1} == {(1, 3), (3, 5), (7, 9)}
-    assert {tuple(e) for e, k in zip(edges.tolist(), kinds) if k == 0} == {(i, i + 1) for i in range(10)} and (labels == 0).all()
+    assert said == ["644-555-7859", "644-555-7859", "644 555 7859", "x7", "a1", "jo at x dot org", "7"]
+    assert {tuple(e) for e, k in zip(edges.tolist(), kinds) if k == 1} == {(0, 1), (1, 2)}
+    assert {tuple(e) for e, k in zip(edges.tolist(), kinds) if k == 0} == {(2, 3), (3, 4), (4, 5), (5, 6)} and (labels == 0).all()
+    assert beside.tolist() == [2, 2, 1, 0, 0, 0, 0]
+    assert pii.traits("jo.smith at x dot org") == pii.traits("jo.smith@x.org") == pii.traits("jo.smith [at] x[dot]org") and pii.traits("at dot") == pii.traits("at dot")
+
+
     unary = np.zeros((pii.FEATURES, pii.LABELS))
     unary[0, 0], unary[11, 4] = 4.0, 5.0  # ten digits speak for a phone number, not enough alone
     alone, together = "tell 644-555-7859 now", "tell 644-555-7859 now 644-555-7859 and 644 555 7859"
@@ -221,7 +251,7 @@ def test_messages_reach_far_mentions():
     n, agree = 120, 8.0
     f = pii.Field(np.zeros((pii.FEATURES, pii.LABELS)), np.zeros((pii.LABELS, pii.LABELS)), agree)
     edges = np.array([[i, i + 1] for i in range(n)])
-    p = f.posterior([[0]] * (n + 1), np.array([4] + [-1] * n), edges, np.ones(n, int))
+    p = f.posterior([[0]] * (n + 1), np.zeros(n + 1, int), np.array([4] + [-1] * n), edges, np.ones(n, int))
     keep = (np.exp(agree) - 1) / (np.exp(agree) + pii.LABELS - 1)
     assert np.allclose(p[:, 4], [1 / pii.LABELS + (1 - 1 / pii.LABELS) * keep**k for k in range(n + 1)], atol=1e-3)
 
