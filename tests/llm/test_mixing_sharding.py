@@ -57,10 +57,34 @@ def test_mix_meets_its_targets(spark, seed):
         taken[source[r.doc_id]] += r.taken
     assert len(got) == len(rows)
     for s, w in want.items():
-        assert abs(taken[s] - w) <= 1
+        assert abs(taken[s] - w) <= 0.01 * w + 1
     assert sorted(got) == sorted(mixing.mix_rows(df.repartition(7), block_words=64).collect())
 
 
+def test_slots_follow_the_draw(spark):
+    df, rows = corpus(spark, n=600)
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r[3]] += size(r[1])
+    want = targets(sizes, (3, 1, 2), 1.5, 2.0)
+    totals = {}
+    for shards, drift in ((16, 0.01), (16, 0.5), (5, 0.5)):
+        _, _, taken, slots = mixing.mix_plan(df, block_words=8, shards=shards, drift=drift)
+        table = {(r.skey, r.shard): r["count"] for r in slots.groupBy("skey", "shard").count().collect()}
+        per_shard = [sum(n for (_, j), n in table.items() if j == k) for k in range(shards)]
+        share = want["hot"] / sum(want.values())
+        hot = [table.get(("0hot", k), 0) / per_shard[k] for k in range(shards)]
+        # Counts vary from shard to shard as draws do: by about the binomial's standard deviation.
+        spread = (share * (1 - share) / (sum(per_shard) / shards)) ** 0.5
+        assert max(per_shard) - min(per_shard) < 0.2 * max(per_shard) and len(set(hot)) > shards // 2
+        assert 0.3 * spread < (sum((x - share) ** 2 for x in hot) / shards) ** 0.5 < 3 * spread
+        totals[shards, drift] = {r.skey: r.n for r in taken.groupBy("skey").agg(F.sum("n").alias("n")).collect()}
+        for s, w in want.items():
+            got = totals[shards, drift]["1" if s is None else "0" + s]
+            assert got <= 2 * sizes[s] and abs(got - w) <= drift * w + 1
+    assert totals[16, 0.5] != totals[5, 0.5]
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 3, 64, 97):
         df = spark.range(n).select("id", mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5)).alias("p"))
