@@ -1,19 +1,23 @@
 """Operator 10: a deterministic sharded WARC writer and its reader, as a data source named "warc".
 
-Records are sorted by page_id into shards of near equal bytes, whose bounds come from an exact histogram and not from a
-sample, so that reruns write the same files.  A task writes each shard as gzip members, one a record, and starts a new
-file when the compressed one reaches `roll_bytes`.  Headers and digests are made anew from the payload.  A task writes
-under a temporary name of its own; the driver renames the files of the tasks that succeeded and then puts the manifest in
-place, so a lost executor or a second attempt leaves no trace and a reader sees all files or none.
+Records are sorted by (page_id, payload digest, url) into shards of near equal bytes.  The bounds are exact: running totals
+of bytes over the whole order, made range by range, tell where each shard begins, so reruns write the same files and there are as
+many shards as the bytes ask for, wherever the page_ids lie.  A task writes each shard as gzip members, one a record, and
+starts a new file when the compressed one reaches `roll_bytes`.  Headers and digests are made anew from the payload.  A task
+writes under a temporary name of its own; the driver renames the files of the tasks that succeeded and then puts the manifest
+in place, so a lost executor or a second attempt leaves no trace and a reader sees all files or none.  A reader compares
+every file with the manifest's SHA-256.
 
 Cases: null html is an empty payload; a null url is named after the page; a null page_id sorts first and is named by
 digest; of equal payloads the smallest page_id is the response, also if several rows have it, and all others revisit it;
-an empty table gives a manifest without files; control characters in urls are percent-encoded; other columns are not read.
+rows equal in page_id, payload and url stay in one shard; an empty table gives a manifest without files; a folder that has a
+manifest is only written again in overwrite mode; control characters in urls are percent-encoded; other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import io
@@ -21,18 +25,22 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import quote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from peakfold.llm.common import Scratch, maybe_broadcast
+from peakfold.llm.common import Scratch, maybe_broadcast, partitions
 
-BINS = 4096
+#: Bytes that headers take, about.
+HEADERS = 512
 SCHEMA = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, block_digest_ok boolean, file string"
 #: Fixed values of the WARC 1.1 format.
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -45,6 +53,19 @@ def place(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark understands it, so that no executor takes it for one of its own disk."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def manifest(fs: pafs.FileSystem, root: str) -> list[dict]:
+    if fs.get_file_info(f"{root}/_manifest.json").type == pafs.FileType.NotFound:
+        return []
+    with fs.open_input_stream(f"{root}/_manifest.json", compression=None) as f:
+        return json.loads(f.read())["files"]
+
+
 def sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -81,8 +102,12 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Rows: shard, page_id, url, payload, first; sorted by shard within a task."""
 
-    def __init__(self, path: str, roll_bytes: int, date: str):
+    def __init__(self, path: str, roll_bytes: int, date: str, overwrite: bool):
         self.path, self.roll, self.date = path.rstrip("/"), roll_bytes, date
+        fs, root = place(self.path)
+        self.old = manifest(fs, root)
+        if self.old and not overwrite:
+            raise FileExistsError(f"{path} holds an archive already")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = place(self.path)
@@ -126,14 +151,16 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         fs, root = place(self.path)
         files = sorted(f for m in messages if m is not None for f in m.files)
-        for temp, final, *_ in files:
-            fs.move(temp, final)
         fs.create_dir(root, recursive=True)
+        with ThreadPoolExecutor(32) as pool:
+            list(pool.map(lambda f: fs.move(f[0], f[1]), files))
         lines = [{"file": final.rsplit("/", 1)[1], "records": n, "bytes": size, "sha256": digest} for _, final, n, size, digest in files]
         lines.sort(key=lambda x: x["file"])
         with fs.open_output_stream(f"{root}/_manifest.json.tmp", compression=None) as f:
             f.write(json.dumps({"files": lines}, indent=0).encode())
         fs.move(f"{root}/_manifest.json.tmp", f"{root}/_manifest.json")
+        for name in {x["file"] for x in self.old} - {x["file"] for x in lines}:
+            fs.delete_file(f"{root}/{name}")
         self._clean(fs, root)
 
     def abort(self, messages) -> None:
@@ -170,21 +197,39 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
+class Hashed(io.RawIOBase):
+    """A stream that hashes what is read of it."""
+
+    def __init__(self, raw):
+        self.raw, self.sha = raw, hashlib.sha256()
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        data = self.raw.read(len(into))
+        self.sha.update(data)
+        into[: len(data)] = data
+        return len(data)
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path.rstrip("/")
 
     def partitions(self):
         fs, root = place(self.path)
-        with fs.open_input_stream(f"{root}/_manifest.json", compression=None) as f:
-            return [OneFile(x["file"], x["sha256"]) for x in json.loads(f.read())["files"]] or [OneFile("", "")]
+        if fs.get_file_info(f"{root}/_manifest.json").type == pafs.FileType.NotFound:
+            raise FileNotFoundError(f"{self.path} has no manifest")
+        return [OneFile(x["file"], x["sha256"]) for x in manifest(fs, root)] or [OneFile("", "")]
 
     def read(self, partition: OneFile):
         if not partition.name:
             return
         fs, root = place(self.path)
         with fs.open_input_stream(f"{root}/{partition.name}", compression=None) as raw:
-            for h, block in records(raw):
+            hashed = Hashed(raw)
+            for h, block in records(io.BufferedReader(hashed, 1 << 20)):
                 if h["WARC-Type"] not in ("response", "revisit"):
                     continue
                 head, _, payload = block.partition(b"\r\n\r\n")
@@ -194,6 +239,8 @@ class WarcReader(DataSourceReader):
                     raise ValueError(f"payload of {h['WARC-Record-ID']} doesn't match its digest")
                 page, to = h.get("X-Page-ID"), h.get("X-Refers-To-Page-ID")
                 yield (int(page) if page else None, h["WARC-Target-URI"], h["WARC-Type"], digest, n, int(to) if to else None, h["WARC-Block-Digest"] == "sha1:" + sha1(block), partition.name)
+            if hashed.sha.hexdigest() != partition.sha256:
+                raise ValueError(f"{partition.name} doesn't match the manifest")
 
 
 class WarcSource(DataSource):
@@ -208,38 +255,67 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"])
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options["path"], int(self.options.get("roll_bytes", 1 << 30)), self.options.get("date", "1970-01-01T00:00:00Z"))
+        return WarcWriter(self.options["path"], int(self.options.get("roll_bytes", 1 << 30)), self.options.get("date", "1970-01-01T00:00:00Z"), overwrite)
+
+
+def shard_starts(slim: DataFrame, shard_bytes: int, scratch: Scratch) -> list[tuple[bool, int, bytes, int]]:
+    """(page_id is there, page_id, digest, url's hash) of the first record of every shard but the first, in order.
+
+    Ranges of the order are summed up on their own and then among each other; a shard gives one row to the driver.
+    """
+    key = ["there", "page_id", "digest", "u"]
+    sums = slim.groupBy(F.col("page_id").isNotNull().alias("there"), F.coalesce("page_id", F.lit(0)).alias("page_id"), "digest", "u").agg(F.sum(F.col("n") + HEADERS).alias("m"))
+    ranges = scratch.save(sums.repartitionByRange(partitions(slim.sparkSession), *key).withColumn("r", F.spark_partition_id()), "ranges")
+    ahead = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranges.groupBy("r").agg(F.sum("m").alias("t")).select("r", F.coalesce(F.sum("t").over(ahead), F.lit(0)).alias("o"))  # a row a range
+    inside = Window.partitionBy("r").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    spots = ranges.withColumn("i", F.coalesce(F.sum("m").over(inside), F.lit(0))).join(F.broadcast(totals), "r").withColumn("shard", F.floor((F.col("i") + F.col("o")) / shard_bytes))
+    first = spots.groupBy("shard").agg(F.min(F.struct(*key)).alias("k")).select("k.*").collect()
+    return sorted((r["there"], r["page_id"], bytes(r["digest"]), r["u"]) for r in first)[1:]
+
 
+def shard_of(starts: list[tuple[bool, int, bytes, int]]):
+    """Column function: the number of shards that start at or before a row's key."""
+    nulls = [x for x in starts if not x[0]]
+    rest = [x for x in starts if x[0]]
+    pages = np.array([x[1] for x in rest], np.int64)
 
-def write_pages(pages: DataFrame, path: str, shard_bytes: int = 1 << 30, roll_bytes: int = 1 << 30, least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
+    @F.pandas_udf("int")
+    def find(page_id: pd.Series, there: pd.Series, digest: pd.Series, u: pd.Series) -> pd.Series:
+        p = page_id.to_numpy(np.int64)
+        low = np.where(there, len(nulls) + np.searchsorted(pages, p, "left"), 0)
+        high = np.where(there, len(nulls) + np.searchsorted(pages, p, "right"), len(nulls))
+        for i in np.flatnonzero(low < high):  # shards that start with this page_id
+            low[i] = bisect.bisect_right(starts, (bool(there.iloc[i]), int(p[i]), bytes(digest.iloc[i]), int(u.iloc[i])))
+        return pd.Series(low.astype(np.int32))
+
+    return find
+
+
+def write_pages(pages: DataFrame, path: str, shard_bytes: int = 1 << 30, roll_bytes: int = 1 << 30, least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", mode: str = "append") -> None:
     """Write one record per row of pages (page_id, url, html).  Payloads of under `least_bytes` never become revisits."""
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    slim = scratch.save(rows.select("page_id", "digest", F.length("payload").cast("long").alias("n")), "slim")
+    rows = rows.withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("u", F.xxhash64("url"))
+    slim = scratch.save(rows.select("page_id", "digest", "u", F.length("payload").cast("long").alias("n")), "slim")
     firsts = slim.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1 and first is not null").drop("c")
     firsts = scratch.save(firsts, "firsts")
-
-    # Shard bounds: an exact histogram of bytes over BINS equal ranges of page_id.
-    total = slim.agg(F.min("page_id").alias("a"), F.max("page_id").alias("b"), F.sum(F.col("n") + 512).alias("bytes")).first()
-    low, high = total["a"] or 0, total["b"] or 0
-    wide = (high - low) // BINS + 1
-    shards = max(1, -(-(total["bytes"] or 0) // shard_bytes))
-    spot = F.coalesce(F.expr(f"(page_id - {low}L) div {wide}L"), F.lit(-1).cast("long"))
-    bins = slim.withColumn("bin", spot).groupBy("bin").agg(F.sum(F.col("n") + 512).alias("m"))
-    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("shard", F.least(F.expr("0") + F.floor(F.coalesce(F.sum("m").over(before), F.lit(0)) / shard_bytes), F.lit(shards - 1)).cast("int")).select("bin", "shard")  # at most BINS + 1 rows
+    starts = shard_starts(slim, shard_bytes, scratch)
 
     full = rows.join(maybe_broadcast(firsts, firsts.count()), "digest", "left").withColumn("first", F.when(F.col("page_id").eqNullSafe(F.col("first")) | (F.length("payload") < least_bytes), F.lit(None)).otherwise(F.col("first")))
-    full = full.withColumn("bin", spot).join(F.broadcast(bins), "bin").select("shard", "page_id", "url", "payload", "first", "digest")
-    full = full.repartitionById(int(shards), F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "url").drop("digest")
+    if starts:
+        full = full.withColumn("shard", shard_of(starts)(F.coalesce("page_id", F.lit(0)), F.col("page_id").isNotNull(), "digest", "u"))
+    else:
+        full = full.withColumn("shard", F.lit(0))
+    full = full.select("shard", "page_id", "url", "payload", "first", "digest", "u")
+    full = full.repartitionById(len(starts) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "u", "url").drop("digest", "u")
     spark.dataSource.register(WarcSource)
-    full.write.format("warc").mode("append").option("path", path).option("roll_bytes", str(roll_bytes)).option("date", date).save()
+    full.write.format("warc").mode(mode).option("path", qualified(spark, path)).option("roll_bytes", str(roll_bytes)).option("date", date).save()
     scratch.drop(slim, firsts)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The archives' records; a payload or block that doesn't match its digest is an error or a false block_digest_ok."""
+    """The archives' records; a payload, block or file that doesn't match its digest is an error or a false block_digest_ok."""
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").option("path", path).load()
+    return spark.read.format("warc").option("path", qualified(spark, path)).load()

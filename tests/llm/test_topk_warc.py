@@ -127,3 +127,43 @@ def test_a_damaged_archive_is_an_error(spark, tmp_path):
     f.write_bytes(f.read_bytes()[:-40])
     with pytest.raises(Exception, match="EOF|cut off|Compressed|incomplete"):
         warc.read_records(spark, f"file://{tmp_path}/w").collect()
+
+
+def test_shards_follow_the_bytes(spark, tmp_path):
+    """Page_ids at both ends, one far outlier, and a third of all rows with one page_id or none."""
+    html = lambda i: f"<p>{i}</p>" + "x" * 5000
+    rows = [(i, html(i)) for i in range(300)] + [(1 << 60, html(-1)), (-(2**63), html(-2)), (2**63 - 1, html(-3))]
+    rows += [(7, html(1000 + i)) for i in range(100)] + [(None, html(2000 + i)) for i in range(100)]
+    df = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    warc.write_pages(df, f"file://{tmp_path}/w", shard_bytes=100_000, roll_bytes=1 << 30)
+    back = warc.read_records(spark, f"file://{tmp_path}/w")
+    assert sorted(map(str, (r.page_id for r in back.collect()))) == sorted(str(i) for i, _ in rows)
+    sizes = [r["c"] for r in back.groupBy("file").agg(F.count(F.lit(1)).alias("c")).collect()]
+    assert len(sizes) > 25 and max(sizes) <= 20
+    order = [r for r in back.select("file", "page_id").orderBy("file").collect()]
+    ends = {}
+    for r in order:
+        key = -(2**64) if r.page_id is None else r.page_id
+        a, b = ends.get(r.file, (key, key))
+        ends[r.file] = (min(a, key), max(b, key))
+    ends = [ends[f] for f in sorted(ends)]
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_an_archive_is_not_written_over(spark, tmp_path):
+    df, rows = pages(spark)
+    path = f"file://{tmp_path}/w"
+    warc.write_pages(df, path, shard_bytes=1000, roll_bytes=1)
+    with pytest.raises(Exception, match="holds an archive already"):
+        warc.write_pages(df, path)
+    warc.write_pages(df.where("page_id = 5"), path, mode="overwrite")
+    assert [r.page_id for r in warc.read_records(spark, path).collect()] == [5] and len(list((tmp_path / "w").glob("*.gz"))) == 1
+
+
+def test_a_replaced_file_is_an_error(spark, tmp_path):
+    df, _ = pages(spark)
+    warc.write_pages(df, f"file://{tmp_path}/w")
+    warc.write_pages(df.where("page_id = 5"), f"file://{tmp_path}/other")
+    next((tmp_path / "w").glob("*.gz")).write_bytes(next((tmp_path / "other").glob("*.gz")).read_bytes())
+    with pytest.raises(Exception, match="doesn't match the manifest"):
+        warc.read_records(spark, f"file://{tmp_path}/w").collect()
