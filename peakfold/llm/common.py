@@ -15,9 +15,12 @@ FILE_ROWS, LEAST_FILES = 50_000, 6
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir; where that is unset one of our own, but only if driver and
+    executors are one process: on a cluster each would write to its own disk."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = "file://" + tempfile.mkdtemp(prefix="peakfold-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
@@ -39,6 +42,8 @@ class Scratch:
     """
 
     roots: list[str] = []
+    #: Catalog tables that name files of scratch tables.
+    tables: list[str] = []
 
     def __init__(self, spark: SparkSession, tag: str):
         bounded_batches(spark)
@@ -72,9 +77,8 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 def clean_up(spark: SparkSession) -> None:
     """Delete all scratch tables of this process; results that weren't written yet can't be read afterwards."""
-    for t in spark.catalog.listTables():
-        if t.name.startswith("pages_") and t.tableType == "EXTERNAL":
-            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    while Scratch.tables:
+        spark.sql(f"DROP TABLE IF EXISTS {Scratch.tables.pop()}")
     while Scratch.roots:
         delete_path(spark, Scratch.roots.pop())
 

@@ -6,8 +6,11 @@ depth `least` or more lies within one.  Only anchors that two documents have are
 PAGE bytes) first send the distinct anchor keys of each bucket and get back one bit a key, then the distinct
 contexts of shared anchors with the least doc_id that has each.  A bucket sorts its suffixes, finds the common prefixes of
 neighbours, and stack-scans the common-prefix intervals; an interval with several bytes to its left is a maximal
-repeat.  Pages get back the least document of every interval of depth `least`, and remove what
-starts in a smaller document.
+repeat.  For `dedup` an outermost interval that passes this test begins a group, whose least document is that of all its
+occurrences.  One that fails it has one byte to its left: its occurrences are among those of the passage one byte before,
+and are all of them if that passage's interval is deeper than `least`, so then the group goes on; where the interval branches
+there, each branch begins a group.  Pages get back the least documents of the groups, and remove what starts in a smaller
+document.
 
 Pages are a bucketed table whose ids are chosen so that every task writes to one bucket: writing them shuffles nothing, and
 neither do the two joins that bring answers to pages.
@@ -228,9 +231,9 @@ def suffix_array(rows: np.ndarray, least: int, extra: int = 0) -> tuple[np.ndarr
     return row[order], o[order], lcp, left[order]
 
 
-def intervals(lcp: np.ndarray, left: np.ndarray, least: int, extra: int = 0) -> list[tuple[int, int, int]]:
-    """Maximal repeats (length, first, end) in a suffix array: common-prefix intervals of depth `least` or more with
-    different bytes, or none, to the left.  Runs of suffixes equal to the full depth are one step of the stack scan."""
+def scan(lcp: np.ndarray, left: np.ndarray, least: int, extra: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(depth, first, end, whether bytes to the left differ or are none) of all common-prefix intervals of depth `least` or more
+    in a suffix array.  Runs of suffixes equal to the full depth are one step of the stack scan."""
     top = least + extra
     first = np.flatnonzero(lcp < top)  # of classes of suffixes equal to the full depth
     end = np.concatenate([first[1:], [len(lcp)]]).astype(np.int64)
@@ -239,31 +242,57 @@ def intervals(lcp: np.ndarray, left: np.ndarray, least: int, extra: int = 0) ->
     own = np.where((low == high) & (low >= 0), low, DIVERSE)
     ahead = np.concatenate([depth[1:], [0]]).astype(np.int64) if len(first) else depth
     busy = (depth > 0) | (ahead > 0)  # of other classes only the class itself can be a repeat
-    out = [(top, int(a), int(z)) for a, z in zip(first[own == DIVERSE].tolist(), end[own == DIVERSE].tolist()) if z - a > 1]
+    many = end - first > 1
+    out: list[tuple[int, int, int, bool]] = []
     stack: list[list[int]] = []  # depth, first suffix, byte to the left or DIVERSE
     for a, z, mark, deep in zip(first[busy].tolist(), end[busy].tolist(), own[busy].tolist(), ahead[busy].tolist()):
         begin = a
         while stack and stack[-1][0] > deep:
             d, begin, seen = stack.pop()
             mark = mark if mark == seen else DIVERSE
-            if mark == DIVERSE:
-                out.append((d, begin, z))
+            out.append((d, begin, z, mark == DIVERSE))
         if stack and stack[-1][0] == deep:
             stack[-1][2] = mark if mark == stack[-1][2] else DIVERSE
         elif deep:
             stack.append([deep, begin, mark])
-    return out
+    found = np.array(out, np.int64).reshape(-1, 4)
+    return tuple(np.concatenate([x, y]) for x, y in zip((np.full(many.sum(), top), first[many], end[many], own[many] == DIVERSE), (*found[:, :3].T, found[:, 3] > 0)))
+
+
+def intervals(lcp: np.ndarray, left: np.ndarray, least: int, extra: int = 0) -> list[tuple[int, int, int]]:
+    """Maximal repeats (length, first, end) in a suffix array: the intervals that pass the left-extension test."""
+    depth, first, end, diverse = scan(lcp, left, least, extra)
+    return list(zip(depth[diverse].tolist(), first[diverse].tolist(), end[diverse].tolist()))
+
 
+def outermost(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Indices of the intervals that lie in no other, in order."""
+    order = np.lexsort((-end, first))
+    return order[np.concatenate([[True], first[order][1:] >= np.maximum.accumulate(end[order])[:-1]])] if len(order) else order
 
-def least_documents(rows: np.ndarray, low: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, least doc_id of the interval of depth `least`) of every passage of the rows, in order."""
-    row, o, lcp, _ = suffix_array(rows, least)
+
+def least_documents(rows: np.ndarray, low: np.ndarray, least: int, extra: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, least doc_id of the repeat group) of every passage of the rows, in order."""
+    row, o, lcp, left = suffix_array(rows, least, extra)
     count = rows[:, 0].astype(np.int64) + 1
-    root = np.flatnonzero(lcp < least)
-    m = np.minimum.reduceat(low[row], root) if len(row) else low[:0]
-    out = np.empty(len(row), np.int64)
-    out[(np.cumsum(count) - count)[row] + o] = np.repeat(m, np.diff(np.concatenate([root, [len(row)]])))
-    return np.repeat(np.arange(len(rows)), count), out
+    place = (np.cumsum(count) - count)[row] + o
+    depth, first, end, diverse = scan(lcp, left, least, extra)
+    groups = outermost(first, end)
+    depth, first, end, diverse = depth[groups], first[groups], end[groups], diverse[groups]
+    # Suffixes in no interval are groups of their own.
+    document, reach, begins = low[row], np.full(len(row), least + extra), np.ones(len(row), bool)
+    if len(groups):
+        least_of = np.minimum.reduceat(np.append(document, LAST), np.stack([first, end], 1).ravel())[::2]
+        n = end - first
+        inside = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        document[inside], reach[inside], begins[inside] = np.repeat(least_of, n), np.repeat(depth, n), np.repeat(diverse, n)
+    out, before, new = np.empty(len(row), np.int64), np.empty(len(row), np.int64), np.empty(len(row), bool)
+    out[place], before[place], new[place] = document, reach, begins
+    if len(row):
+        new[1:] |= before[:-1] == least  # it branches right after the passage before
+        new[np.cumsum(count) - count] = True
+    last = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)) if len(new) else place
+    return np.repeat(np.arange(len(rows)), count), out[last]
 
 
 def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
@@ -374,6 +403,7 @@ def shared_anchors(docs: DataFrame, least: int, within: bool = False) -> Shared:
     own = rows.join(maybe_broadcast(copies, copies.count()), (F.col("d") == F.col("cd")) & (F.col("g") == F.col("cg")), "left_anti").where(F.length("text") >= least)
     packed = own.select("d", "text", "g").mapInArrow(pack, "page long, ids array<long>, sizes array<long>, gs binary, data binary")
     name = f"pages_{uuid.uuid4().hex}"
+    Scratch.tables.append(name)
     packed.write.bucketBy(spread, "page").option("path", f"{scratch.root}/pages").option("compression", "zstd").saveAsTable(name)
     pages = spark.table(name)
 
@@ -413,16 +443,17 @@ def shared_anchors(docs: DataFrame, least: int, within: bool = False) -> Shared:
 def dedup(docs: DataFrame, least: int = 50) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start:end of removed bytes, comma-joined)."""
     x = shared_anchors(docs, least)
+    extra = -least % 8
     scratch, slim, pages, bits, marked, buckets, spread, total = x.scratch, x.slim, x.pages, x.bits, x.marked, x.buckets, x.spread, x.total
 
     def send_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page, ids, ends, data, (own_bits,) in page_rows(batches, ("bits",)):
-            bucket, ctx, low, *_ = shared_contexts(data, ends, ids, {x["bucket"]: x["bits"] for x in own_bits}, buckets, least)
+            bucket, ctx, low, *_ = shared_contexts(data, ends, ids, {x["bucket"]: x["bits"] for x in own_bits}, buckets, least, extra)
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
             parts = list(zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)]))
             yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in parts], pa.int32()), pa.array([page] * len(parts), pa.int64()), pa.array([ctx[a:z].tobytes() for a, z in parts], pa.binary()), pa.array([low[a:z].tobytes() for a, z in parts], pa.binary())], names=["bucket", "page", "ctx", "low"])
 
-    width = 2 * least - GRAM + 4
+    width = 2 * least - GRAM + 4 + extra
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, held in grouped(batches, "bucket", ("page", "ctx", "low")):
@@ -431,7 +462,7 @@ def dedup(docs: DataFrame, least: int = 50) -> DataFrame:
             one, place = distinct_rows(ctx)
             m = np.full(len(one), LAST)
             np.minimum.at(m, place, low)
-            row, doc = least_documents(ctx[one], m, least)
+            row, doc = least_documents(ctx[one], m, least, extra)
             # Runs of passages of one context with one answer.
             new = np.concatenate([[True], (row[1:] != row[:-1]) | (doc[1:] != doc[:-1])])
             at = np.flatnonzero(new)
@@ -457,7 +488,7 @@ def dedup(docs: DataFrame, least: int = 50) -> DataFrame:
         for _, ids, ends, data, (own_bits, answers, gs) in page_rows(batches, ("bits", "told", "gs")):
             mark = np.zeros(len(data) + 1, np.int64)
             if answers:
-                _, ctx, _, begin, doc, place = shared_contexts(data, ends, ids, {x["bucket"]: x["bits"] for x in own_bits}, buckets, least)
+                _, ctx, _, begin, doc, place = shared_contexts(data, ends, ids, {x["bucket"]: x["bits"] for x in own_bits}, buckets, least, extra)
                 answers = sorted(answers, key=lambda x: x["bucket"])  # as shared_contexts sorts them
                 runs = np.frombuffer(b"".join(x["runs"] for x in answers), np.uint8).astype(np.int64)
                 sizes = np.frombuffer(b"".join(x["sizes2"] for x in answers), np.uint8).astype(np.int64)
