@@ -3,28 +3,37 @@
 A word is the mean of the vectors of its character n-grams and of itself; a window of words is the sum of its words over
 the window's length; a linear softmax over two classes reads the window.  Vectors and softmax are trained together in
 numpy, so a misspelling nobody has seen shares most of its vectors with the word it imitates.  A document's score is that
-of its most toxic window, calibrated on the training documents.  A toxic document need not be toxic throughout: after each
+of its most toxic window.  A toxic document need not be toxic throughout: after each
 round, only those windows of toxic documents that the model finds most toxic train on.
 
-Cases: null and empty texts get the calibrated score of no evidence; null labels don't train; of several labels of
+Scores are calibrated on training documents that the model at hand has not seen: each half of them is judged by a model of
+the other half.  A logistic curve gives the slope, and the cut (0.7) is put where precision and recall of these judgements
+balance best (the largest F score, recall counting BETA times), so the score at the cut is a decision, not a probability.
+
+Cases: null and empty texts, and those without words, have the lowest score; null labels don't train; of several labels of
 a document the highest counts; with no labels, or of one kind only, every document gets that share as its score; repeated rows are
-scored alike, each on its own; a null doc_id is never labelled or held out; other columns are not read.
+scored alike, each on its own, and train once; of several texts of a doc_id one trains; a null doc_id is never labelled or
+held out; other columns are not read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakfold.llm.common import bounded_batches
 from peakfold.llm.words import as_strings, grams, slices, split_words
 
 SIZES = (3, 4, 5)
+#: How many times recall counts in choosing the cut.
+BETA = 1.2
+LEAST = -50.0
 
 
 @dataclass
@@ -42,8 +51,9 @@ class Model:
         return np.bincount(who, self.theta[where], minlength=len(words)) / n
 
     def evidence(self, codes: np.ndarray, ends: np.ndarray, words: list[str]) -> np.ndarray:
-        """Log odds of each text's most toxic window, without the bias."""
-        return np.maximum(best_windows(self.word_values(words)[codes], ends, self.window)[0], -50.0)
+        """Log odds of each text's most toxic window, without the bias; the least for texts without words."""
+        best, at = best_windows(self.word_values(words)[codes], ends, self.window)
+        return np.where(at < 0, LEAST, np.maximum(best, LEAST))
 
     def scores(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.offset, -40, 40)))
@@ -75,8 +85,9 @@ def best_windows(values: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.
     return best, at
 
 
-def train(texts: list[str], labels: np.ndarray, share: float, window: int = 6, dim: int = 8, buckets: int = 1 << 18, rounds: int = 3, steps: int = 400, batch: int = 512, seed: int = 1) -> Model:
-    """share: of toxic documents among all labelled ones; the sample may have another."""
+def train(texts: list[str], labels: np.ndarray, share: float, window: int = 6, dim: int = 8, buckets: int = 1 << 18, rounds: int = 3, steps: int = 400, batch: int = 512, seed: int = 1, least_docs: int = 6) -> Model:
+    """share: of toxic documents among all labelled ones; the sample may have another.  Buckets that fewer than `least_docs`
+    documents have stay 0, or the model would know documents by their rare words.  Not calibrated."""
     prior = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     if not len(texts) or labels.min() == labels.max():
         return Model(np.zeros(buckets, np.float32), window, 1.0, prior if len(texts) else 0.0)
@@ -90,6 +101,13 @@ def train(texts: list[str], labels: np.ndarray, share: float, window: int = 6, d
     seen_out, seen_bias = np.full((dim, 2), 1e-4, np.float32), np.full(2, 1e-4, np.float32)
     who, where = grams(plain(words), SIZES, buckets)
     first = np.searchsorted(who, np.arange(len(words) + 1))
+    spread = np.zeros(buckets, np.int64)
+    for a, z in zip(starts.tolist(), ends.tolist()):
+        w = np.unique(codes[a:z])
+        n = first[w + 1] - first[w]
+        spread[np.unique(where[np.repeat(first[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())])] += 1
+    live = spread >= least_docs
+    emb[~live] = 0
     toxic, clean = np.flatnonzero((labels == 1) & (ends > starts)), np.flatnonzero((labels == 0) & (ends > starts))
     if not len(toxic) or not len(clean):
         return Model(np.zeros(buckets, np.float32), window, 1.0, prior)
@@ -124,6 +142,7 @@ def train(texts: list[str], labels: np.ndarray, share: float, window: int = 6, d
             g_bag = (p @ out.T) / window
             g_vec = np.stack([np.bincount(of, g_bag[own, d], minlength=len(w)) for d in range(dim)], 1) / n[:, None]
             g_gram = np.repeat(g_vec, n, axis=0).astype(np.float32)
+            gram, g_gram = gram[live[gram]], g_gram[live[gram]]
             u, back = np.unique(gram, return_inverse=True)
             g = np.stack([np.bincount(back, g_gram[:, d], minlength=len(u)) for d in range(dim)], 1).astype(np.float32)
             seen[u] += (g * g).mean(1)
@@ -133,14 +152,19 @@ def train(texts: list[str], labels: np.ndarray, share: float, window: int = 6, d
             seen_bias += g_bias**2
             out -= 0.1 * g_out / np.sqrt(seen_out)
             bias -= 0.1 * g_bias / np.sqrt(seen_bias)
-        theta = (emb @ (out[:, 1] - out[:, 0])).astype(np.float32)
-        model = Model(theta, window, 1.0, 0.0)
+        model = Model((emb @ (out[:, 1] - out[:, 0])).astype(np.float32), window, 1.0, prior)
         evidence, chosen = best_windows(model.word_values(words)[codes], ends, window)
-    # Calibration: logistic regression on the best window, each class weighted to its true share.
+    return model
+
+
+def calibrated(model: Model, evidence: np.ndarray, labels: np.ndarray, share: float, threshold: float) -> Model:
+    """evidence: of documents that the model's kind had not seen.  Each class is weighted to its true share."""
+    if not len(labels) or labels.min() == labels.max():
+        return model
     weight = np.where(labels == 1, share / max(1, (labels == 1).sum()), (1 - share) / max(1, (labels == 0).sum()))
     centre, scale = evidence.mean(), evidence.std() + 1e-9
     x = (evidence - centre) / scale
-    a, b = 1.0, prior
+    a, b = 1.0, float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
         g = np.array([(weight * (p - labels) * x).sum() + 1e-4 * a, (weight * (p - labels)).sum()])
@@ -148,14 +172,27 @@ def train(texts: list[str], labels: np.ndarray, share: float, window: int = 6, d
         h = np.array([[(v * x * x).sum() + 1e-4, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-6]])
         step = np.linalg.solve(h, g)
         step *= min(1.0, 2.0 / (np.abs(step).max() + 1e-12))
-        a, b = max(a - step[0], 0.0), b - step[1]
-    return Model(theta, window, float(a / scale), float(b - a * centre / scale))
+        a, b = max(a - step[0], 1e-6), b - step[1]
+    # The largest F score is flat, so the cut is the middle of those within 2 % of it, half way to the next document below.
+    order = np.argsort(-evidence, kind="stable")
+    e, w = evidence[order], weight[order]
+    hits = np.cumsum(w * labels[order])
+    f = np.where(np.append(e[1:] < e[:-1], True), hits / (np.cumsum(w) + BETA**2 * share), 0)
+    k = int(np.median(np.flatnonzero(f >= 0.98 * f.max())))
+    cut = (e[k] + e[min(k + 1, len(e) - 1)]) / 2
+    slope = float(a / scale)
+    return Model(model.theta, model.window, slope, float(np.log(threshold / (1 - threshold)) - slope * cut))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, most_per_class: int) -> Model:
-    """Train on at most `most_per_class` documents of each label, chosen by a hash of doc_id, in one task.
+def half_of(doc_id: int) -> int:
+    return zlib.crc32(f"half {doc_id}".encode()) % 2
 
-    Only the model, of fixed size, comes to the driver.
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, most_per_class: int, most_bytes: int, threshold: float) -> Model:
+    """Train on at most `most_per_class` documents and `most_bytes` of text of each label, chosen by a hash of doc_id: one task
+    trains on all, two on a half each.
+
+    Only models and evidence, of bounded size, come to the driver.
     """
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     marks = marks.where(learn & F.col("y").isin(0, 1)).withColumn("h", F.xxhash64("doc_id"))
@@ -166,17 +203,30 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most_per_class: int)
     for y in (0, 1):
         part = marks.where(F.col("y") == y).orderBy("h", "doc_id").limit(most_per_class)
         picked = part if picked is None else picked.unionByName(part)
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # One text of each doc_id, at most 2 * most_per_class of them; then as many as stay within most_bytes.
+    sized = given.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "h", "y").agg(F.min(F.struct(F.xxhash64("text").alias("t"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("b"))).alias("r"))
+    upto = Window.partitionBy("y").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sized = sized.withColumn("upto", F.sum("r.b").over(upto)).where(F.col("upto") <= most_bytes).select("doc_id", "y", F.col("r.t").alias("t"))
+    taught = given.join(F.broadcast(sized), "doc_id").where(F.xxhash64("text") == F.col("t")).dropDuplicates(["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((i, t or "", y) for b in batches for i, t, y in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "y")]))
-        m = train([t for _, t, _ in rows], np.array([y for _, _, y in rows], np.int64), share)
-        yield pa.RecordBatch.from_pydict({"theta": [m.theta.tobytes()], "window": [m.window], "slope": [m.slope], "offset": [m.offset]})
-
-    taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")  # bounded by most_per_class
-    got = taught.repartition(1).mapInArrow(run, "theta binary, window long, slope double, offset double").collect()
+        rows = sorted((i, t or "", y, k) for b in batches for i, t, y, k in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "y", "fold")]))
+        for k in sorted({r[3] for r in rows}):
+            own = [r for r in rows if r[3] == k]
+            side = [k == 2 or half_of(r[0]) == k for r in own]
+            m = train([r[1] for r, x in zip(own, side) if x], np.array([r[2] for r, x in zip(own, side) if x], np.int64), share)
+            unseen = [r for r, x in zip(own, side) if not x]
+            e = m.evidence(*split_words(pa.array([r[1] for r in unseen], pa.large_string()))) if unseen else np.zeros(0)
+            yield pa.RecordBatch.from_pydict({"fold": [k], "theta": [m.theta.tobytes() if k == 2 else b""], "window": [m.window], "slope": [m.slope], "offset": [m.offset], "evidence": [e.tobytes()], "labels": [np.array([r[2] for r in unseen], np.int64).tobytes()]})
+
+    folds = taught.withColumn("fold", F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)]))).select("doc_id", "text", "y", "fold")
+    got = folds.repartitionById(3, F.col("fold").cast("int")).mapInArrow(run, "fold long, theta binary, window long, slope double, offset double, evidence binary, labels binary").collect()
     if not got:
         return train([], np.zeros(0, np.int64), share)
-    return Model(np.frombuffer(got[0]["theta"], np.float32), got[0]["window"], got[0]["slope"], got[0]["offset"])
+    whole = next(r for r in got if r["fold"] == 2)
+    evidence, y = (np.concatenate([np.frombuffer(r[c], kind) for r in sorted(got, key=lambda r: r["fold"])]) for c, kind in (("evidence", np.float64), ("labels", np.int64)))
+    return calibrated(Model(np.frombuffer(whole["theta"], np.float32), whole["window"], whole["slope"], whole["offset"]), evidence, y, share, threshold)
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -194,6 +244,6 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> Da
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(score, "doc_id long, score double, predicted int")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, most_per_class: int = 2000, threshold: float = 0.7) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, most_per_class: int = 2000, most_bytes: int = 64 << 20, threshold: float = 0.7) -> DataFrame:
     """Train on the labelled documents for which `learn` holds (a condition on doc_id), score all."""
-    return score_documents(docs, fit(docs, labels, learn, most_per_class), threshold)
+    return score_documents(docs, fit(docs, labels, learn, most_per_class, most_bytes, threshold), threshold)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -46,13 +47,52 @@ def toxic_corpus(n, seed):
 def test_toxicity_learns_and_generalises():
     rows, held = toxic_corpus(600, 1), toxic_corpus(300, 2)
     model = toxicity.train([t for _, t, _ in rows], np.array([y for *_, y in rows]), 0.2, buckets=1 << 15, steps=200)
-    s = model.scores(model.evidence(*split_words(pa.array([t for _, t, _ in held], pa.large_string()))))
+    other = toxic_corpus(300, 3)
+    seen = lambda rows: model.evidence(*split_words(pa.array([t for _, t, _ in rows], pa.large_string())))
+    model = toxicity.calibrated(model, seen(other), np.array([y for *_, y in other]), 0.2, 0.7)
+    s = model.scores(seen(held))
     y = np.array([y for *_, y in held])
     assert (s[y == 1] >= 0.7).mean() > 0.95 and (s[y == 0] >= 0.7).mean() < 0.03
     odd = model.scores(model.evidence(*split_words(pa.array(["the zorglez erst", "the wh erst", ""], pa.large_string()))))
     assert odd[0] > 0.7 > odd[1] and odd[2] < 0.5
 
 
+def test_score_is_the_softmax_of_the_averaged_bag():
+    """By loops: a word is the mean of its n-grams' values, a text its best window, the score a logistic curve of that."""
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(rng.normal(size=512).astype(np.float32), 3, 0.7, -0.2)
+    texts = ["ab zorgle, (murk) ab x", "one", "", "a b c d e f g h"]
+    got = model.scores(model.evidence(*split_words(pa.array(texts, pa.large_string()))))
+    for t, s in zip(texts, got):
+        values = []
+        for w in t.split():
+            _, where = grams(toxicity.plain([w]), toxicity.SIZES, 512)
+            values.append(sum(float(model.theta[k]) for k in where) / max(1, len(where)))
+        best = max(sum(values[i : i + 3]) / 3 for i in range(max(1, len(values) - 2))) if values else -50
+        assert s == pytest.approx(1 / (1 + np.exp(-(0.7 * best - 0.2))), rel=1e-5)
+
+
+def test_cut_is_that_of_the_largest_f_score():
+    e, y = np.array([5.0, 4, 3, 2, 1, 0]), np.array([1, 1, 0, 1, 0, 0])
+    model = toxicity.calibrated(toxicity.Model(np.zeros(1, np.float32), 3, 1.0, 0.0), e, y, 0.5, 0.7)
+    assert ((model.scores(e) >= 0.7) == (e >= 2)).all() and (np.diff(model.scores(e)) < 0).all()
+
+
+def test_held_out_rows_teach_nothing(spark):
+    """Flipped labels and languages of held-out rows, and other texts with their ids, change no score of the rest."""
+    rows = [(i, t, ("en", "de")[i % 3 == 0], "s", y) for i, t, y in toxic_corpus(240, 4)]
+    out = lambda i, m, k: zlib.crc32(str(i).encode()) % m == k
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    runs = []
+    for poison in (False, True):
+        docs = spark.createDataFrame([(i, t, "xx" if poison and out(i, 5, 0) else lang, s) for i, t, lang, s, _ in rows], "doc_id long, text string, lang string, source string")
+        labels = spark.createDataFrame([(i, 0, 1 - y if poison and out(i, 3, 1) else y) for i, *_, y in rows], "doc_id long, quality int, toxic int")
+        tox = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels, learn % 3 != 1).collect()}
+        lang = {r.doc_id: (r.lang_pred, r.score) for r in langid.language_id(docs, learn % 5 != 0).collect()}
+        runs.append((tox, lang))
+    assert runs[0] == runs[1]
+
+
 def test_best_window_is_the_best():
     rng = np.random.default_rng(1)
     v = rng.normal(size=200)
