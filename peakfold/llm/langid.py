@@ -4,6 +4,10 @@ The script of a word (a range of code points) narrows the candidates to the lang
 n-grams score the word for each candidate; Viterbi with a penalty for every switch labels the words of a text, so mixed
 texts fall into spans.  A text's language is the one with most letters, its score that share of the letters.
 
+`keep_identified` also asks whether a text is in a learned language at all: how likely its different words' n-grams are in the
+languages they were labelled with, compared with what texts of these languages show that a model had not seen (each half of
+the training documents judged by a model of the other half).  Words of a script that nobody taught count as unlikely.
+
 Cases: texts that are null or have no letter give `und` with score 0; words without a letter take their neighbours'
 label; a script nobody taught leaves all languages as candidates; ties go to the language that sorts first; rows without
 a language or doc_id don't train; with nothing to learn from, every text is `und`; repeated rows are labelled alike;
@@ -12,6 +16,7 @@ other columns are not read.
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -61,12 +66,25 @@ def bare(words: list[str]) -> list[str]:
 
 @dataclass
 class Model:
-    """langs: sorted; score[bucket, lang]: log probability of an n-gram; uses[script, lang]."""
+    """langs: sorted; score[bucket, lang]: log probability of an n-gram less its mean over languages, base[bucket]; uses[script,
+    lang]; normal: how likely the words of texts are, if known."""
 
     langs: list[str]
     score: np.ndarray
     uses: np.ndarray
     penalty: float
+    base: np.ndarray
+    normal: "Normal | None" = None
+
+    def likely(self, words: list[str], script: np.ndarray) -> np.ndarray:
+        """Mean log probability of the n-grams of every word in every language; that of nothing known for untaught scripts."""
+        who, where = grams(bare(words), SIZES, len(self.score))
+        n = np.bincount(who, minlength=len(words))
+        if not len(words):
+            return np.zeros((0, len(self.langs)))
+        out = np.add.reduceat(self.score[where] + self.base[where, None], np.cumsum(n) - n, axis=0) / n[:, None]
+        out[(script >= 0) & ~self.uses.any(1)[np.maximum(script, 0)]] = self.base.min()
+        return out
 
     def word_scores(self, words: list[str], script: np.ndarray) -> np.ndarray:
         """Log likelihood ratio of every word against the mean language; ruled-out languages get a large negative score."""
@@ -80,6 +98,49 @@ class Model:
         return out
 
 
+@dataclass
+class Normal:
+    """Of words in texts of each language: mean and deviation of their likelihood; how much texts differ; the least z that stays."""
+
+    mean: np.ndarray
+    deviation: np.ndarray
+    between: float
+    least: float
+
+    def z(self, owner: np.ndarray, residual: np.ndarray, texts: int) -> np.ndarray:
+        """z of each text's mean over its different words; 0 without any."""
+        n = np.bincount(owner, minlength=texts)
+        m = np.bincount(owner, residual, minlength=texts) / np.maximum(n, 1)
+        return m / np.sqrt(1 / np.maximum(n, 1) + self.between**2)
+
+
+def different_words(model: Model, labels: np.ndarray, letters: np.ndarray, ends: np.ndarray, codes: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, label, likelihood) of the different words with letters of each text."""
+    owner = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
+    has = letters > 0
+    pair = np.unique((owner[has] * len(words) + codes[has]) * len(model.langs) + labels[has])
+    label, pair = pair % len(model.langs), pair // len(model.langs)
+    return pair // len(words), label, model.likely(words, letters_of(words)[1])[pair % len(words), label]
+
+
+def normal_of(judged: list[tuple[np.ndarray, np.ndarray, np.ndarray]], langs: int, share: float = 0.001, margin: float = 1.25, floor: float = 5.0) -> Normal:
+    """judged: of texts that a model had not seen.  `share` of them may lie under the least z but for `margin`."""
+    texts, label, value = (np.concatenate(x) for x in zip(*[(t + 10**9 * k, y, v) for k, (t, y, v) in enumerate(judged)]))
+    n = np.maximum(np.bincount(label, minlength=langs), 1)
+    mean = np.bincount(label, value, minlength=langs) / n
+    deviation = np.sqrt(np.maximum(np.bincount(label, value**2, minlength=langs) / n - mean**2, 1e-6))
+    _, owner = np.unique(texts, return_inverse=True)
+    out = Normal(mean, deviation, 0.0, -floor)
+    if len(owner):
+        residual, count = (value - mean[label]) / deviation[label], np.bincount(owner)
+        m = np.bincount(owner, residual) / count
+        some = count >= 20
+        if some.sum() >= 20:
+            out.between = float(np.sqrt(max(1e-4, np.var(m[some]) - (1 / count[some]).mean())))
+        out.least = min(-floor, margin * float(np.quantile(out.z(owner, residual, len(count)), share)))
+    return out
+
+
 def viterbi(score: np.ndarray, ends: np.ndarray, penalty: float) -> np.ndarray:
     """Best label of every word; texts advance in step, the longest first, so a step is one array operation."""
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
@@ -116,9 +177,11 @@ def viterbi(score: np.ndarray, ends: np.ndarray, penalty: float) -> np.ndarray:
     return label
 
 
-def train(texts: list[str], langs: list[str], penalty: float = PENALTY, buckets: int = 1 << 18, alpha: float = 0.5, least_share: float = 0.005) -> Model:
-    """Smoothed n-gram frequencies of each language; a language uses the scripts with at least `least_share` of its letters."""
+def train(texts: list[str], langs: list[str], penalty: float = PENALTY, buckets: int | None = None, alpha: float = 0.5, least_share: float = 0.005) -> Model:
+    """Smoothed n-gram frequencies of each language; a language uses the scripts with at least `least_share` of its letters.
+    Without `buckets` there are 2^18, and fewer beyond 32 languages, so that the table keeps within 32 MB up to 512 of them."""
     names = sorted(set(langs))
+    buckets = buckets or 1 << max(14, min(18, 23 - (max(1, len(names)) - 1).bit_length()))
     counts = np.zeros((buckets, len(names)), np.float64)
     scripts = np.zeros((len(NAMES), len(names)), np.float64)
     for k, lang in enumerate(names):
@@ -129,8 +192,9 @@ def train(texts: list[str], langs: list[str], penalty: float = PENALTY, buckets:
         n, script = letters_of(words)
         np.add.at(scripts[:, k], np.maximum(script, 0), n * often)
     score = np.log((counts + alpha) / (counts.sum(0) + alpha * buckets))
-    score = np.clip(score - score.mean(1, keepdims=True), -4, 4).astype(np.float32)
-    return Model(names, score, scripts >= least_share * np.maximum(scripts.sum(0), 1), penalty)
+    base = score.mean(1) if names else np.zeros(buckets)
+    score = np.clip(score - base[:, None], -4, 4).astype(np.float32)
+    return Model(names, score, scripts >= least_share * np.maximum(scripts.sum(0), 1), penalty, base.astype(np.float32))
 
 
 def label_words(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
@@ -142,14 +206,19 @@ def label_words(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return viterbi(model.word_scores(words, script)[codes], ends, model.penalty), n[codes], ends, codes, words
 
 
-def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-    labels, letters, ends, _, _ = label_words(model, texts)
+def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, share of the letters, z of the likelihood of the words, or 0 where what is normal isn't known)."""
+    labels, letters, ends, codes, words = label_words(model, texts)
     owner = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
     k = max(1, len(model.langs))
     mass = np.bincount(owner * k + labels, letters, minlength=len(ends) * k).reshape(len(ends), k)
     total = mass.sum(1)
     none = (total == 0) | (not model.langs)
-    return ["und" if x else model.langs[j] for x, j in zip(none, mass.argmax(1))], np.where(none, 0.0, mass.max(1) / np.maximum(total, 1))
+    z = np.zeros(len(ends))
+    if model.normal is not None and model.langs and len(words):
+        text, label, value = different_words(model, labels, letters, ends, codes, words)
+        z = model.normal.z(text, (value - model.normal.mean[label]) / model.normal.deviation[label], len(ends))
+    return ["und" if x else model.langs[j] for x, j in zip(none, mass.argmax(1))], np.where(none, 0.0, mass.max(1) / np.maximum(total, 1)), z
 
 
 def spans(model: Model, text: str | None) -> list[tuple[str, int, int]]:
@@ -161,8 +230,21 @@ def spans(model: Model, text: str | None) -> list[tuple[str, int, int]]:
     return [(model.langs[labels[a]], a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
-def fit(docs: DataFrame, learn: Column, most: int) -> Model:
+def judged_by_halves(langs: list[str], rows: list[tuple[str, str]]) -> Normal:
+    """rows: (language, text).  What is normal for texts of a model's languages that it hasn't seen."""
+    judged = []
+    for k in (0, 1):
+        m = train([t for _, t in rows[k::2]], [x for x, _ in rows[k::2]])
+        other = [(x, t) for x, t in rows[1 - k :: 2] if x in m.langs]
+        if other:
+            text, label, value = different_words(m, *label_words(m, pa.array([t for _, t in other], pa.large_string())))
+            judged.append((text, np.array([langs.index(x) for x in m.langs], np.int64)[label], value))
+    return normal_of(judged, len(langs)) if judged else Normal(np.zeros(len(langs)), np.ones(len(langs)), 0.0, -np.inf)
+
+
+def fit(docs: DataFrame, learn: Column, most: int, normal: bool = False) -> Model:
     """Train on about `most` documents, in equal parts of each language those of the smallest hash of doc_id, in one task.
+    `normal`: find out what is normal for texts of the languages, too.
 
     Only the model comes to the driver: a table of fixed length for each language.
     """
@@ -179,13 +261,12 @@ def fit(docs: DataFrame, learn: Column, most: int) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((k, i, t or "") for b in batches for i, k, t in zip(*[b.column(c).to_pylist() for c in ("doc_id", "lang", "text")]))
         m = train([t for _, _, t in rows], [k for k, _, _ in rows])
-        yield pa.RecordBatch.from_arrays([pa.array([m.langs], pa.list_(pa.string())), pa.array([m.score.tobytes()], pa.binary()), pa.array([m.uses.tobytes()], pa.binary())], names=["langs", "score", "uses"])
+        if normal and m.langs:
+            m.normal = judged_by_halves(m.langs, [(k, t) for k, _, t in rows])
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(m)]})
 
-    got = taught.repartition(1).mapInArrow(run, "langs array<string>, score binary, uses binary").collect()
-    if not got:
-        return train([], [])
-    r = got[0]
-    return Model(list(r["langs"]), np.frombuffer(r["score"], np.float32).reshape(-1, len(r["langs"])), np.frombuffer(r["uses"], bool).reshape(len(NAMES), -1), PENALTY)
+    got = taught.repartition(1).mapInArrow(run, "model binary").collect()  # one row, of a length given by the number of languages
+    return pickle.loads(got[0]["model"]) if got else train([], [])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -196,7 +277,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
-                lang, score = predict(shared.value, as_strings(b.column("text")))
+                lang, score, _ = predict(shared.value, as_strings(b.column("text")))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -207,14 +288,16 @@ def language_id(docs: DataFrame, learn: Column, most: int = 4000) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """The rows of `docs` whose language is known with a share of at least `least` of the letters; columns unchanged."""
+    """The rows of `docs` in a learned language: with letters, one language of at least `least` of them, and words as likely as
+    those of other texts of their languages.  Columns are unchanged."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bound = -np.inf if shared.value.normal is None else shared.value.normal.least
         for whole in batches:
             for b in slices(whole, "text"):
-                lang, score = predict(shared.value, as_strings(b.column("text")))
-                yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score)], pa.bool_()))
+                lang, score, z = predict(shared.value, as_strings(b.column("text")))
+                yield b.filter(pa.array([x != "und" and s >= least and y >= bound for x, s, y in zip(lang, score, z)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

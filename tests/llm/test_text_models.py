@@ -330,18 +330,43 @@ def model():
 def test_languages_and_spans(model):
     rng = random.Random(7)
     texts = [invented(rng, 30, EN), invented(rng, 30, DE), invented(rng, 30, ["да", "нет", "при"]), "", "123 !!", invented(rng, 20, EN) + " " + invented(rng, 40, DE)]
-    lang, score = langid.predict(model, pa.array(texts, pa.large_string()))
+    lang, score, _ = langid.predict(model, pa.array(texts, pa.large_string()))
     assert lang == ["en", "de", "ru", "und", "und", "de"] and (score[:3] > 0.95).all() and score[3] == score[4] == 0 and 0.5 < score[5] < 0.9
     s = langid.spans(model, texts[5])
     assert [x[0] for x in s] == ["en", "de"] and 17 <= s[0][2] <= 23
     assert langid.spans(model, None) == []
 
 
+def test_other_languages_and_noise_go(spark):
+    """Clean texts of two languages, mixed ones too, stay; planted texts of another language, another script and noise go."""
+    rng = random.Random(11)
+    other = ["zi", "ocz", "nik", "wsk", "ła", "prz", "ow"]
+    noise = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 9))) for _ in range(n))
+    clean = [(invented(rng, rng.choice([4, 20, 200]), stems), k) for k, stems in (("en", EN), ("de", DE)) for _ in range(400)]
+    clean += [(invented(rng, 20, EN) + " " + invented(rng, 30, DE), "de") for _ in range(20)]
+    bad = [invented(rng, 20, other) for _ in range(30)] + [noise(20) for _ in range(30)] + [invented(rng, 20, ["да", "нет", "при"]) for _ in range(20)] + ["".join(rng.choice("0123456789abcdef") for _ in range(400)) for _ in range(10)] + ["12 !!", ""]
+    rows = [(i, t, k) for i, (t, k) in enumerate(clean)] + [(10_000 + i, t, None) for i, t in enumerate(bad)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    kept = {r.doc_id for r in langid.keep_identified(df, langid.fit(df, F.lit(True), 4000, normal=True)).collect()}
+    assert len([i for i in kept if i < 10_000]) >= len(clean) - 1
+    # Noise of hexadecimal digits is one word, too little to tell.
+    gone = [t for i, t, _ in rows if i >= 10_000 and i not in kept]
+    assert len(gone) >= len(bad) - 10 and {t for i, t, _ in rows if i >= 10_000 and i in kept} <= set(bad[80:90])
+
+
+def test_many_languages_keep_a_bounded_table():
+    rng = random.Random(12)
+    langs = [f"l{k:03d}" for k in range(130)]
+    m = langid.train([invented(rng, 5, [k, "a", "b"]) for k in langs], langs)
+    assert m.score.nbytes <= 32 << 20 and langid.predict(m, pa.array(["l007l007 l007a"], pa.large_string()))[0] == ["l007"]
+    assert langid.train([], []).langs == []
+
+
 def test_language_of_odd_rows(spark, odd, none):
     rows = langid.language_id(odd, F.lit(True)).collect()
     assert len(rows) == odd.count() and {r.lang_pred for r in rows} <= {"en", "de", "fr", "und"} and all(0 <= r.score <= 1 for r in rows)
     assert all((r.lang_pred == "und") == (r.score == 0) for r in rows)
     assert langid.language_id(none, F.lit(True)).count() == 0
     assert {r.lang_pred for r in langid.language_id(odd.withColumn("lang", F.lit(None).cast("string")), F.lit(True)).collect()} == {"und"}
-    kept = langid.keep_identified(odd, langid.fit(odd, F.lit(True), 100))
-    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {1, 2, 3, 8, 9, 10, 11} and kept.where("text is null or trim(text) = ''").count() == 0
+    kept = langid.keep_identified(odd, langid.fit(odd, F.lit(True), 100, normal=True))
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {1, 2, 3, 8, 10, 11} and kept.where("text is null or trim(text) = ''").count() == 0
