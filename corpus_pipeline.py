@@ -15,8 +15,9 @@ from peakfold.llm.common import Scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters and texts of which no language has three tenths of the letters."""
-    return langid.keep_identified(docs, langid.fit(docs, F.lit(True), most=4000), least=0.3)
+    """Drops texts without letters, texts of which no language has three tenths of the letters, and texts whose words are too
+    unlikely in every learned language: other languages, other scripts, codes and noise."""
+    return langid.keep_identified(docs, langid.fit(docs, F.lit(True), most=4000, normal=True), least=0.3)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
