@@ -6,7 +6,7 @@ the greatest norm.  For a query q and a vector x, 2 <q, x> = |q|^2 + |x|^2 - |q
 bounds |q - x| from below by how far q is outside the annulus.  Annuli are expanded in the order of that bound, nearest
 part first; the k-th best score found so far, at first that within the sample the pivots come from, stops the expansion:
 an annulus whose bound is below it is not joined.  What is left is searched in tiles of at most about TILE vectors of an
-annulus and QUERIES queries of one cell, and a tile's vectors are sent only to those blocks of queries whose bounds ask for
+annulus and QUERIES queries of neighbouring cells, and a tile's vectors are sent only to those blocks of queries whose bounds ask for
 the annulus.
 
 Cases: vectors that are null, or hold null or non-finite components, take no part, nor do rows without vec_id or with a
@@ -132,6 +132,20 @@ def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, least
     return r[keep], ids[c[keep]], v[keep]
 
 
+def query_blocks(counts: dict[int, int], pivots: np.ndarray) -> dict[int, tuple[int, int]]:
+    """(first block, number of blocks) of the queries of each cell.  Queries of a cell, and of cells whose pivots are next to each
+    other along one axis, ask for much the same annuli, so they share blocks of about QUERIES; a large cell has several."""
+    axis = np.linalg.svd(pivots - pivots.mean(0), full_matrices=False)[2][0]
+    out, first, held = {}, 0, 0
+    for c in sorted(counts, key=lambda c: float(pivots[c] @ axis)):
+        if held and held + counts[c] > QUERIES:
+            first, held = first + 1, 0
+        many = -(-counts[c] // QUERIES)
+        out[c] = (first, many)
+        first, held = (first, held + counts[c]) if many == 1 else (first + many, 0)
+    return out
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, cells: int = 16, sample: int = 4096, column: str = "embedding", ident: str = "vec_id") -> DataFrame:
     """query_id, rank, vec_id, score.  `is_query`: condition on vec_id.  Pivots are fitted on about `sample` vectors, of a small enough hash, at most twice as many."""
     spark = vectors.sparkSession
@@ -165,8 +179,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, cells: int = 16, sam
     n = int(rings.n.sum())
     tiles = {int(p): int(np.ceil(c / TILE)) for p, c in zip(rings.part, rings.n)}
     asked = scratch.save(index.where(is_query).select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.floor(F.col("part") / RINGS).cast("int").alias("cell")), "asked")
-    # Queries of one cell ask for much the same annuli, so a block holds queries of one cell.
-    blocks = {r["cell"]: -(-r["count"] // QUERIES) for r in asked.groupBy("cell").count().collect()}  # a row a cell
+    blocks = query_blocks({r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}, pivots)  # a row a cell
     table = spark.sparkContext.broadcast(rings)
 
     def bounds(q: np.ndarray) -> np.ndarray:
@@ -206,8 +219,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, cells: int = 16, sam
                     i, parts = np.repeat(i, many), np.repeat(parts, many)
                     tile = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
                     cell, query = b.cell.to_numpy(), b["query"].to_numpy()
-                    block = [f"{c}-{((w * 0x9E3779B97F4A7C15) % (1 << 64) >> 33) % blocks[c]}" for c, w in zip(cell.tolist(), query.tolist())]
-                    yield pd.DataFrame({"part": parts.astype(np.int32), "tile": tile.astype(np.int32), "block": np.array(block, object)[i], "query": query[i], "query_id": q_ids[i], "q": b.q.to_numpy()[i], "least": least[i]})
+                    block = [blocks[c][0] + ((w * 0x9E3779B97F4A7C15) % (1 << 64) >> 33) % blocks[c][1] for c, w in zip(cell.tolist(), query.tolist())]
+                    yield pd.DataFrame({"part": parts.astype(np.int32), "tile": tile.astype(np.int32), "block": np.array(block, np.int64)[i], "query": query[i], "query_id": q_ids[i], "q": b.q.to_numpy()[i], "least": least[i]})
 
         return run
 
@@ -227,12 +240,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, cells: int = 16, sam
 
     def searched(spread: DataFrame, name: str) -> DataFrame:
         """A tile goes to the blocks that ask for it."""
-        spread = scratch.save(spread, name)
         wanted = scratch.save(spread.select(*key).distinct(), f"{name}-tiles")
         sent = cut.join(maybe_broadcast(wanted, wanted.count()), ["part", "tile"])
         return spread.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(search, "query long, query_id long, vec_id long, score long")
 
-    wide = "part int, tile int, block string, query long, query_id long, q binary, least long"
+    wide = "part int, tile int, block long, query long, query_id long, q binary, least long"
     ranked = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     one = searched(asked.mapInPandas(expand(True), wide), "first")
     one = scratch.save(one.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).drop("rank"), "near")

@@ -71,6 +71,20 @@ def test_repeats_and_large_components(spark):
     assert got == brute(rows, 5, 10)
 
 
+def test_blocks_hold_few_queries(monkeypatch):
+    monkeypatch.setattr(topk, "QUERIES", 10)
+    pivots = np.random.default_rng(1).normal(size=(6, 3))
+    counts = {0: 3, 1: 4, 2: 25, 3: 9, 5: 10}
+    got = topk.query_blocks(counts, pivots)
+    load = {}
+    for c, (a, n) in got.items():
+        assert n == -(-counts[c] // 10)
+        for k in range(a, a + n):
+            load[k] = load.get(k, 0) + counts[c] / n
+    assert set(got) == set(counts) and max(load.values()) <= 10 and sorted(load) == list(range(len(load)))
+    assert topk.query_blocks({c: 2 for c in range(5)}, pivots) == {c: (0, 1) for c in range(5)}
+
+
 def test_one_hot_vector(spark, monkeypatch):
     monkeypatch.setattr(topk, "TILE", 100)
     rng = np.random.default_rng(8)
