@@ -146,8 +146,39 @@ def test_tiling_matches_brute_force(seed):
     rng = random.Random(seed)
     item = [rng.randint(0, 3) for _ in range(rng.randint(5, 25))]
     doc = [rng.randint(0, 3) for _ in range(30)] + item[5:] + [9] + item[:5]
-    pairs = [(i, d) for i in range(len(item) - 2) for d in range(len(doc) - 2) if item[i : i + 3] == doc[d : d + 3]]
-    assert sorted(decontaminate.tiles(np.array(doc), np.array(item), pairs, 3)) == sorted(brute_tiles(doc, item, 3))
+    assert sorted(decontaminate.tiles(np.array(doc), np.array(item), 3)) == sorted(brute_tiles(doc, item, 3))
+
+
+def test_one_repeated_word_takes_linear_time():
+    import time
+
+    began = time.time()
+    for n, m in ((6000, 800), (20_000, 3000)):
+        index = decontaminate.index_items([1], ["w " * m], 5)
+        (t, i, share, got), = decontaminate.matches(index, *split_words(pa.array(["w " * n], pa.large_string())), 0.5)
+        assert (t, i, share, got) == (0, 0, 1.0, [(0, 0, m)])
+    doc, item = np.array(([1] * 70 + [2]) * 300), np.array([1] * 500)
+    assert sum(x[2] for x in decontaminate.tiles(doc, item, 5)) == 500 and time.time() - began < 5
+
+
+def test_matches_are_those_of_plain_tiling():
+    """Many items and texts at once, against tiling each pair by looking at every pair of places."""
+    rng = random.Random(21)
+    say = lambda n: [f"w{rng.randint(0, 6)}" for _ in range(n)]
+    items = [say(rng.randint(1, 14)) for _ in range(12)] + [["a passage without any spaces"[::1].replace(" ", "")]]
+    docs = [say(rng.randint(0, 30)) + rng.choice(items)[rng.randint(0, 3) :] for _ in range(40)] + [["x", "apassagewithoutanyspaces,"], []]
+    index = decontaminate.index_items(list(range(len(items))), [" ".join(x) for x in items], 3)
+    got = {(t, index.names[i]): (round(c, 9), sorted(g)) for t, i, c, g in decontaminate.matches(index, *split_words(pa.array([" ".join(d) for d in docs], pa.large_string())), 0.6)}
+    want = {}
+    for t, d in enumerate(docs):
+        d = [decontaminate.bare(w) for w in d]
+        for i, x in enumerate(items):
+            least = min(3, len(x))
+            if len(x) >= 3 or sum(map(len, x)) >= decontaminate.SHORT:
+                g = brute_tiles(d, x, least)
+                if g and sum(k for *_, k in g) >= 0.6 * len(x):
+                    want[t, i] = (round(sum(k for *_, k in g) / len(x), 9), sorted(g))
+    assert got == want and len(want) > 20
 
 
 def test_contamination(spark, odd, none):
