@@ -108,11 +108,19 @@ def fragment_frequency(df: DataFrame, mz: str, bins: int = 4000, pseudocount: fl
 
 
 def consensus_peaks(df: DataFrame, key: list[str], mz: str, intensity: str, gap_ppm: float, top: int | None = None) -> DataFrame:
-    """Peaks of many spectra merged where neighbours in m/z are within a tolerance: mean m/z, count, total intensity."""
+    """Peaks of many spectra merged with the least m/z of their group that is within a tolerance: mean m/z, count, total
+    intensity.  A long chain of neighbours is cut at every peak that is too far from where its group began.
+
+    Chains are found by a window; only what is in one chain is gathered, distinct m/z with their sums, and walked in order.
+    """
     w = Window.partitionBy(*key).orderBy(mz)
     far = F.col(mz) - F.lag(mz).over(w) > F.col(mz) * (gap_ppm * 1e-6)
-    x = df.withColumn("__new", F.coalesce(far, F.lit(True)).cast("int")).withColumn("__i", F.sum("__new").over(w))
-    out = x.groupBy(*key, "__i").agg(F.avg(mz).alias("mz"), F.count(F.lit(1)).alias("n"), F.sum(intensity).alias("intensity"))
+    same = df.groupBy(*key, mz).agg(F.count(F.lit(1)).alias("__n"), F.sum(intensity).alias("__t"))
+    x = same.withColumn("__new", F.coalesce(far, F.lit(True)).cast("int")).withColumn("__c", F.sum("__new").over(w))
+    chain = x.groupBy(*key, "__c").agg(F.array_sort(F.collect_list(F.col(mz).cast("double"))).alias("__m"))
+    begins = F.aggregate("__m", F.array().cast("array<double>"), lambda s, m: F.when((F.size(s) == 0) | (m - F.element_at(s, -1) > F.element_at(s, -1) * (gap_ppm * 1e-6)), F.array_append(s, m)).otherwise(s))
+    x = x.join(chain.select(*key, "__c", begins.alias("__s")), [*key, "__c"]).withColumn("__i", F.array_max(F.filter("__s", lambda s: s <= F.col(mz))))
+    out = x.groupBy(*key, "__i").agg((F.sum(F.col(mz) * F.col("__n")) / F.sum("__n")).alias("mz"), F.sum("__n").alias("n"), F.sum("__t").alias("intensity"))
     if top is not None:
         out = out.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), F.desc("intensity"), "mz"))).where(F.col("__r") <= top).drop("__r")
     return out.drop("__i")
@@ -131,11 +139,13 @@ def merge_spectra(df: DataFrame, key: list[str], rt: str, mz: str, intensity: st
     return out.join(df.groupBy(*key).agg(F.avg(rt).alias("rt")), key)
 
 
-def roc_auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
-    """Area under the ROC curve, ties by half: from counts per distinct score, so one row a score is sorted, not one a row."""
+def roc_auc(df: DataFrame, score: str, positive: Column, ranges: int = 1) -> DataFrame:
+    """Area under the ROC curve, ties by half: from counts per distinct score, so one row a score is sorted, not one a row, in
+    `ranges` of the score."""
+    from peakfold.operators.running import running
+
     per = df.groupBy(F.col(score).alias("s")).agg(F.count(F.when(positive, 1)).alias("p"), F.count(F.when(~positive, 1)).alias("n"))
-    w = Window.orderBy("s")
-    per = per.withColumn("below", F.sum("n").over(w) - F.col("n"))
+    per = running(per.withColumn("__g", F.lit(0)), ["__g"], "s", {"__upto": ("sum", F.col("n"))}, ranges=ranges).withColumn("below", F.col("__upto") - F.col("n"))
     return per.agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
 
 

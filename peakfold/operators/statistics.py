@@ -133,10 +133,10 @@ def symmetric_delta(forward: Column, inverse: Column) -> Column:
     return F.when(F.abs(forward) <= F.abs(inverse), forward).otherwise(inverse)
 
 
-def localization_fdr(df: DataFrame, score: str, threshold: float) -> DataFrame:
+def localization_fdr(df: DataFrame, score: str, threshold: float, ranges: int = 1) -> DataFrame:
     """p = 10^-score, adjusted; rows above the threshold or without a score go."""
     x = df.where(F.col(score).isNotNull()).withColumn("__p", F.pow(F.lit(10.0), -F.col(score))).withColumn("__g", F.lit(0))
-    return benjamini_hochberg(x, ["__g"], "__p", "fdr").where(F.col("fdr") <= threshold).drop("__p", "__g")
+    return benjamini_hochberg(x, ["__g"], "__p", "fdr", ranges).where(F.col("fdr") <= threshold).drop("__p", "__g")
 
 
 def best_localization(df: DataFrame, key: list[str]) -> DataFrame:
@@ -145,10 +145,15 @@ def best_localization(df: DataFrame, key: list[str]) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def k_fold(df: DataFrame, ident: list[str], folds: int, seed: int = 1) -> DataFrame:
-    """Fold of each row: a rank over a hash, so folds are equal to one row and reruns agree."""
-    w = Window.partitionBy(F.pmod(F.xxhash64(*ident), F.lit(1024))).orderBy(F.xxhash64(*ident, F.lit(seed)), *ident)
-    return df.withColumn("fold", (F.row_number().over(w) - 1) % folds)
+def k_fold(df: DataFrame, ident: list[str], folds: int, seed: int = 1, buckets: int = 1024) -> DataFrame:
+    """Fold of each row: its place in the order of a hash, so folds are equal to one row and reruns agree.  Rows are ordered
+    bucket by bucket, and a bucket's places follow those of the buckets before it."""
+    h = F.xxhash64(*ident, F.lit(seed))
+    x = df.withColumn("__h", h).withColumn("__b", F.pmod(F.col("__h"), F.lit(buckets)))
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = df.select(F.pmod(h, F.lit(buckets)).alias("__b")).groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__a"))
+    place = F.row_number().over(Window.partitionBy("__b").orderBy("__h", *ident)) - 1 + F.col("__a")
+    return x.join(F.broadcast(ahead), "__b").withColumn("fold", (place % folds).cast("int")).drop("__h", "__b", "__a")  # a row a bucket
 
 
 def lda_moments(df: DataFrame, label: Column, features: list[str]) -> DataFrame:

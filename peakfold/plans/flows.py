@@ -134,10 +134,10 @@ def protein_groups(bridge: DataFrame, scores: DataFrame) -> DataFrame:
     return kernels.parsimony_groups(b.join(labels, "accession").withColumnRenamed("accession", "grp"), "seq", "grp", "error", "component")
 
 
-def protein_q_values(groups: DataFrame) -> DataFrame:
+def protein_q_values(groups: DataFrame, ranges: int = 1) -> DataFrame:
     """groups (members, least_error): q-values from groups whose members are all decoys."""
     decoy = F.forall(F.split("members", ";"), lambda a: a.startswith("DECOY_"))
-    return st.tdc_q_values(groups.withColumn("decoy", decoy).withColumn("__g", F.lit(0)), ["__g"], "least_error", F.col("decoy"), higher=False).drop("__g")
+    return st.tdc_q_values(groups.withColumn("decoy", decoy).withColumn("__g", F.lit(0)), ["__g"], "least_error", F.col("decoy"), higher=False, ranges=ranges).drop("__g")
 
 
 def clean_library(entries: DataFrame, proteins: DataFrame, score: str = "score") -> DataFrame:

@@ -42,9 +42,9 @@ def mgf(spark: SparkSession, path: str) -> DataFrame:
 
 def msp(spark: SparkSession, path: str, source: str = "msp") -> DataFrame:
     """Library entries of MSP / SPTXT records; modifications are put into the sequence as bracketed names."""
-    raw = spark.read.text(path, lineSep="Name:").where(F.col("value").contains("eaks:"))
+    raw = spark.read.text(path, lineSep="\nName:").where(F.col("value").contains("eaks:"))
     part = lambda p: F.regexp_extract("value", p, 1)
-    name = F.trim(F.substring_index("value", "\n", 1))
+    name = F.trim(F.regexp_replace(F.substring_index("value", "\n", 1), "^(Name:)?", ""))
     mods = F.filter(F.regexp_extract_all("value", F.lit(r"[(/](\d+,[A-Z],[^)/\s]+)"), F.lit(1)), lambda m: m != "")
     seq = F.regexp_replace(F.substring_index(name, "/", 1), r"[^A-Z\[\]+0-9.-]", "")
     plain = strip_modifications(seq)

@@ -29,7 +29,12 @@ SELECT user_id, epoch_us(min(ts)) // 1000000 AS start, count(*) AS n, round(sum(
 
 
 def folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="peakfold-stream-")
+    """A folder that driver and executors share; a local one only where they are one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="peakfold-stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

@@ -150,3 +150,42 @@ def test_running_in_ranges(spark, ranges, descending):
         live = [a for g, v, a in rows if g == r.g and (v >= r.v if descending else v <= r.v)]
         assert (r.s, r.m) == (sum(live), min(live))
     assert len(got) == len(rows)
+
+
+def test_folds_are_equal(spark):
+    import collections
+
+    from peakfold.operators import statistics as st
+
+    for n, k, buckets in ((300, 5, 1024), (20_000, 5, 1024), (103, 4, 2), (3, 5, 8)):
+        rows = st.k_fold(spark.range(n), ["id"], k, buckets=buckets).collect()
+        sizes = collections.Counter(r.fold for r in rows)
+        assert len(rows) == n and max(sizes.values()) - min(sizes.get(f, 0) for f in range(k)) <= 1
+    assert sorted(st.k_fold(spark.range(500).repartition(7), ["id"], 3).collect()) == sorted(st.k_fold(spark.range(500), ["id"], 3).collect())
+
+
+def test_ranges_change_nothing(spark):
+    """Ranged plans, as large tables have them, against plans in one range."""
+    from pyspark.sql import functions as F
+
+    from peakfold.operators import aggregates as agg
+    from peakfold.operators import statistics as st
+    from peakfold.plans import catalog, flows
+
+    x = spark.range(3000).select("id", (F.pmod(F.xxhash64("id"), F.lit(700)) / 7.0).alias("s"), (F.pmod(F.hash("id"), F.lit(3)) == 0).alias("decoy"), (F.col("id") % 3).cast("string").alias("g"))
+    for ranges in (2, 5):
+        assert agg.roc_auc(x, "s", ~F.col("decoy"), ranges).first() == agg.roc_auc(x, "s", ~F.col("decoy")).first()
+        one, many = (sorted((r.id, round(r.q, 12)) for r in st.tdc_q_values(x, ["g"], "s", F.col("decoy"), ranges=k).collect()) for k in (1, ranges))
+        assert one == many
+        one, many = (sorted((r.id, round(r.fdr, 12)) for r in st.localization_fdr(x, "s", 0.5, k).collect()) for k in (1, ranges))
+        assert one == many and one
+        groups = x.select(F.when(F.col("decoy"), "DECOY_a").otherwise("b").alias("members"), F.col("s").alias("least_error"), "id")
+        one, many = (sorted((r.id, round(r.q, 12)) for r in flows.protein_q_values(groups, k).collect()) for k in (1, ranges))
+        assert one == many
+    ranges_for = catalog.ranges_for
+    plain = sorted(catalog.p_values(spark, "/root/testdata/sf0.001").collect())
+    try:
+        catalog.ranges_for = lambda df: 3
+        assert sorted(catalog.p_values(spark, "/root/testdata/sf0.001").collect()) == plain
+    finally:
+        catalog.ranges_for = ranges_for

@@ -136,3 +136,9 @@ def test_features_and_scans(spark, library, tmp_path):
 def test_predictions(spark):
     df = sinks.predicted(spark.createDataFrame([("AAK",), ("PEPTK",)], "s string"), lambda v: [float(len(x)) for x in v], "s", "rt", batch=1)
     assert {(r.s, r.rt) for r in df.collect()} == {("AAK", 3.0), ("PEPTK", 5.0)}
+
+
+def test_msp_full_names(spark, tmp_path):
+    (tmp_path / "x.sptxt").write_text("### comment\nName: AAAAK/2\nLibID: 1\nFullName: R.AAAAK.S/2\nComment: Parent=250.25\nNumPeaks: 1\n100.1\t3\tb1\n\nName: CCK/3\nFullName: K.CCK.M/3\nComment: Parent=99.5\nNumPeaks: 2\n90.5\t2\ta\n91.5\t4\tb\n\n")
+    rows = {r.seq: r for r in text.msp(spark, str(tmp_path / "x.sptxt")).collect()}
+    assert set(rows) == {"AAAAK", "CCK"} and rows["AAAAK"].precursor_mz == 250.25 and rows["AAAAK"].charge == 2 and rows["CCK"].charge == 3 and len(rows["CCK"].peaks) == 2
