@@ -232,7 +232,7 @@ def default_search(spark, d):
 
 
 @query("""
-WITH x AS (SELECT l_orderkey AS k, l_returnflag AS ion_type, l_linenumber AS ion_index, l_quantity AS predicted, CASE WHEN l_discount > 0.03 THEN l_extendedprice ELSE 0 END AS intensity, l_tax * 100 - 4 + l_partkey / 9.7e6 AS delta, o_totalprice AS tic
+WITH x AS (SELECT l_orderkey AS k, l_returnflag AS ion_type, l_linenumber AS ion_index, l_quantity AS predicted, CASE WHEN l_discount > 0.03 THEN l_extendedprice ELSE 0 END AS intensity, l_tax * 100 - 4 + l_partkey / 9712345.7 AS delta, o_totalprice AS tic
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 s AS (SELECT *, count(*) OVER g AS n, row_number() OVER (PARTITION BY k ORDER BY intensity DESC, delta DESC) AS r, sqrt(sum(predicted * predicted) OVER g) AS lp, sqrt(sum(intensity * intensity) OVER g) AS li FROM x WINDOW g AS (PARTITION BY k)),
 u AS (SELECT *, predicted / lp AS p, CASE WHEN li > 0 THEN intensity / li ELSE 0 END AS a FROM s),
@@ -245,7 +245,7 @@ SELECT k AS l_orderkey, n_matched, n_above, round(dm, 6) AS delta_mean, round(da
 """)
 def library_features(spark, d):
     x = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    x = x.select("l_orderkey", F.col("l_returnflag").alias("ion_type"), F.col("l_linenumber").alias("ion_index"), F.col("l_quantity").alias("predicted"), F.when(F.col("l_discount") > 0.03, F.col("l_extendedprice")).otherwise(F.lit(0.0)).alias("intensity"), (F.col("l_tax") * 100 - 4 + F.col("l_partkey") / 9.7e6).alias("delta"), F.col("o_totalprice").alias("tic"))
+    x = x.select("l_orderkey", F.col("l_returnflag").alias("ion_type"), F.col("l_linenumber").alias("ion_index"), F.col("l_quantity").alias("predicted"), F.when(F.col("l_discount") > 0.03, F.col("l_extendedprice")).otherwise(F.lit(0.0)).alias("intensity"), (F.col("l_tax") * 100 - 4 + F.col("l_partkey") / 9712345.7).alias("delta"), F.col("o_totalprice").alias("tic"))
     f = tracescore.match_features(x, ["l_orderkey"])
     digits = {"delta_mean": 6, "delta_abs": 4, "dot": 6, "hyperscore": 5, "fit_score": 5, "ln_sp": 5}
     return f.select("l_orderkey", "n_matched", "n_above", "ladder", *[F.round(c, k).alias(c) for c, k in digits.items()])
