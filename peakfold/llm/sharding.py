@@ -18,14 +18,28 @@ from pyspark.sql import functions as F
 from peakfold.llm.common import Scratch, dense_index, maybe_broadcast
 
 #: Rows of one group that are ordered in one task.
-GROUP_ROWS = 4096
+GROUP_ROWS = 512
 
 
-def mixed_bucket(n: Column, group_hash: Column, row_hash: Column) -> Column:
+def parts_of(n: Column) -> Column:
+    """Parts of about GROUP_ROWS rows of a group of n."""
+    return F.ceil(n / GROUP_ROWS).cast("long")
+
+
+def part_key(n: Column, group_hash: Column, part: Column) -> Column:
+    """Key of a group's part: the group's hash itself where there is one part."""
+    return F.when(n > GROUP_ROWS, F.xxhash64(group_hash, part)).otherwise(group_hash)
+
+
+def row_part(n: Column, row_hash: Column) -> Column:
+    return F.pmod(row_hash, parts_of(n))
+
+
+def mixed_bucket(n: Column, group_hash: Column, row_hash: Column, bits: int = 10) -> Column:
     """Bucket in the order of group hashes; a large group is spread over buckets of its own."""
-    high = F.shiftrightunsigned(group_hash, 54)
-    inner = F.pmod(row_hash, F.ceil(n / GROUP_ROWS).cast("long"))
-    return F.when(n > GROUP_ROWS, F.format_string("%016x-%08d", group_hash, inner)).otherwise(F.format_string("%03x", high))
+    high = F.shiftrightunsigned(group_hash, 64 - bits)
+    inner = row_part(n, row_hash)
+    return F.when(n > GROUP_ROWS, F.format_string("%016x-%08d", group_hash, inner)).otherwise(F.format_string("%05x", high))
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 4, seed: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -41,26 +55,33 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 4, seed: in
     # Group sizes: counted once; rows of groups of one never join again.
     rows = scratch.save(rows, "rows")
     total = rows.count()
-    groups = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # A shard's rows are ordered in 2^bits buckets, of about GROUP_ROWS rows or, in small tables, fewer.
+    bits = max(10, min(20, (total // shards // GROUP_ROWS).bit_length()))
+    groups = scratch.save(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "groups", total)
     # A group of more rows than a shard should give it moves in as many parts as it needs shards.
     quota = total // shards
-    state = rows.join(groups, "g", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    # Sizes of large groups, of which there are at most a row in GROUP_ROWS, come by a broadcast; the others' rows are shuffled.
+    large = groups.where(F.col("n") > GROUP_ROWS).withColumnRenamed("n", "__n")
+    state = rows.join(maybe_broadcast(large, total // GROUP_ROWS), "g", "left").withColumn("__k", F.when(F.col("__n").isNull(), F.col("g")).otherwise(F.col("h")))
+    state = state.join(groups.where(F.col("n") <= GROUP_ROWS).withColumnRenamed("g", "__k"), "__k", "left").withColumn("n", F.coalesce("__n", "n", F.lit(1))).drop("__k", "__n")
     state = state.withColumn("g", F.when(F.col("n") > 0.8 * quota, F.xxhash64("g", F.pmod("h", F.ceil(F.col("n") / max(1.0, 0.8 * quota)).cast("long")))).otherwise(F.col("g")))
     state = scratch.save(state.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")), "start", total)
 
     alone = state.where("n = 1")
     linked = state.where("n > 1")
     for k in range(rounds):
-        near = linked.groupBy("g", "shard").agg(F.count(F.lit(1)).alias("near"))
+        near = linked.groupBy("g", "shard").agg(F.count(F.lit(1)).alias("near"), F.max("n").alias("size_of"))
         held = linked.groupBy("shard").agg(F.count(F.lit(1)).alias("held"))
         # A shard that is over its quota attracts nobody.
         near = near.join(F.broadcast(held), "shard").withColumn("pull", F.when(F.col("held") < quota + 1, F.col("near")).otherwise(F.lit(-1)))  # one row a shard
-        best = near.groupBy("g").agg(F.max(F.struct("pull", F.xxhash64("g", "shard").alias("tie"), "shard")).alias("b"), F.max(F.struct("near", F.xxhash64("g", "shard").alias("tie"), "shard")).alias("m"))
-        best = best.select("g", F.when(F.col("b.pull") >= 0, F.col("b.shard")).otherwise(F.col("m.shard")).alias("to"))
-        asked = linked.join(best, "g").withColumn("stays", F.col("shard") == F.col("to"))
+        best = near.groupBy("g").agg(F.max("size_of").alias("size_of"), F.max(F.struct("pull", F.xxhash64("g", "shard").alias("tie"), "shard")).alias("b"), F.max(F.struct("near", F.xxhash64("g", "shard").alias("tie"), "shard")).alias("m"))
+        best = best.select(F.col("g").alias("__g"), "size_of", F.when(F.col("b.pull") >= 0, F.col("b.shard")).otherwise(F.col("m.shard")).alias("to"))
+        # The answer goes to every part of a group, so that no task gets all rows of a large one.
+        best = best.withColumn("__p", F.explode(F.sequence(F.lit(0).cast("long"), parts_of(F.col("size_of")) - 1))).select(part_key(F.col("size_of"), F.col("__g"), F.col("__p")).alias("__k"), "to")
+        asked = linked.withColumn("__k", part_key(F.col("n"), F.col("g"), row_part(F.col("n"), F.col("h")))).join(best, "__k").drop("__k").withColumn("stays", F.col("shard") == F.col("to"))
         stay = asked.groupBy("shard").agg(F.count(F.when(F.col("stays"), 1)).alias("stay"))
         movers = asked.where("not stays")
-        movers = dense_index(movers, ["to"], mixed_bucket(F.col("n"), F.col("g"), F.col("h")), [F.col("g"), F.col("h")], "rank")
+        movers = dense_index(movers, ["to"], mixed_bucket(F.col("n"), F.col("g"), F.col("h"), bits), [F.col("g"), F.col("h")], "rank")
         room = stay.withColumnRenamed("shard", "to")
         movers = movers.join(F.broadcast(room), "to", "left")  # one row a shard
         movers = movers.withColumn("shard", F.when(F.coalesce("stay", F.lit(0)) + F.col("rank") < quota, F.col("to")).otherwise(F.col("shard")))
@@ -71,12 +92,12 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 4, seed: in
         linked = after
 
     # Every shard keeps the first `quota` of its linked rows, groups in turn, large groups last; the rest fills the gaps.
-    ranked = dense_index(linked, ["shard"], F.concat((F.col("n") > GROUP_ROWS).cast("int").cast("string"), mixed_bucket(F.col("n"), F.col("g"), F.col("h"))), [F.col("g"), F.col("h")], "rank")
+    ranked = dense_index(linked, ["shard"], F.concat((F.col("n") > GROUP_ROWS).cast("int").cast("string"), mixed_bucket(F.col("n"), F.col("g"), F.col("h"), bits)), [F.col("g"), F.col("h")], "rank")
     ranked = scratch.save(ranked, "ranked", total)
     names = [c for c in state.columns]
     fixed = ranked.where(F.col("rank") < quota)
     free = ranked.where(F.col("rank") >= quota).select(*names).unionByName(alone.select(*names))
-    free = dense_index(free.withColumn("__one", F.lit(0)), ["__one"], F.shiftrightunsigned("g", 50), [F.col("g"), F.col("h")], "at").drop("__one")
+    free = dense_index(free.withColumn("__one", F.lit(0)), ["__one"], mixed_bucket(F.col("n"), F.col("g"), F.col("h"), bits + 4), [F.col("g"), F.col("h")], "at").drop("__one")
     held = spark.range(shards).select(F.col("id").cast("int").alias("shard")).join(F.broadcast(fixed.groupBy("shard").agg(F.count(F.lit(1)).alias("held"))), "shard", "left")  # one row a shard
     gap = held.withColumn("gap", F.lit(quota) + (F.col("shard") < total - quota * shards).cast("long") - F.coalesce("held", F.lit(0)))
     ends = gap.withColumn("end", F.sum("gap").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)))
@@ -84,7 +105,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 4, seed: in
     free = free.withColumn("__k", F.lit(0)).join(F.broadcast(ends.withColumn("__k", F.lit(0))), "__k")
     free = free.withColumn("shard", F.element_at(F.filter("ends", lambda e: e["end"] > F.col("at")), 1)["shard"])
     placed = scratch.save(fixed.select(*names).unionByName(free.select(*names)), "placed", total)
-    out = dense_index(placed, ["shard"], F.shiftrightunsigned("g", 54), [F.col("g"), F.col("h")], "slot")
+    out = dense_index(placed, ["shard"], mixed_bucket(F.col("n"), F.col("g"), F.col("h"), bits), [F.col("g"), F.col("h")], "slot")
     return out.select("doc_id", "size", "text_crc32", "shard", "slot", *keep)
 
 

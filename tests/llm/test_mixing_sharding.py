@@ -149,3 +149,16 @@ def test_shards_of_odd_rows(spark, odd, none):
     full = sharding.shard_corpus(odd, shards=4)
     assert full.count() == odd.count() and {"text", "skey", "shard", "slot"} <= set(full.columns)
     laws(full.collect(), 4)
+
+
+def test_large_groups_are_split(spark, monkeypatch):
+    """Groups of over GROUP_ROWS rows meet their sizes and answers in parts; the laws stay."""
+    monkeypatch.setattr(sharding, "GROUP_ROWS", 16)
+    texts = ["hot"] * 200 + [f"t{i % 9}" for i in range(180)] + [f"s{i}" for i in range(220)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = sharding.shard_documents(df, shards=6, keep=("text",)).collect()
+    laws(rows, 6)
+    split = collections.defaultdict(set)
+    for r in rows:
+        split[r.text].add(r.shard)
+    assert sum(len(split[f"t{i}"]) for i in range(9)) <= 25 and len(rows) == 600
