@@ -28,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakfold.llm.common import Scratch, maybe_broadcast, partitions
+from peakfold.llm.common import LEAST_FILES, Scratch, maybe_broadcast, partitions
 from peakfold.llm.graph import components
 from peakfold.llm.words import as_strings, slices, split_words
 
 #: Elements of the sets of one tile.
 BLOCK = 2_000_000
+#: Nodes with one shingle beyond which it is counted apart, and the share of nodes by which such shingles are found.
+HOT, HOT_SHARE = 4096, 64
 #: Share of all hashes that come first in the order.
 FIRST = 0.3
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -149,6 +151,24 @@ def tile_links(tiles: DataFrame, key: list[str], percent: int, spread: int) -> D
     return tiles.select(*key, "node", "s", "new", "part").repartition(spread, *key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
 
 
+def with_frequency(posted: DataFrame, scratch: Scratch) -> DataFrame:
+    """posted (node, h) with df, the number of rows of each h.
+
+    An h that very many nodes have shows in a fixed share of the nodes; such ones are counted by an aggregation and their counts
+    brought to the rows, so that no task gets all rows of an h.  Whether an h is told apart that way changes no count.
+    """
+    some = posted.where(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(HOT_SHARE)) == 0)
+    hot = scratch.save(some.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT / HOT_SHARE / 2).select("h"), "hot", LEAST_FILES)
+    n = hot.count()
+    count = F.count(F.lit(1))
+    if not n:
+        return posted.withColumn("df", count.over(Window.partitionBy("h")))
+    hot = maybe_broadcast(hot, n)
+    counted = scratch.save(posted.join(hot, "h", "left_semi").groupBy("h").agg(count.alias("df")), "often", n)
+    rest = posted.join(hot, "h", "left_anti").withColumn("df", count.over(Window.partitionBy("h")))
+    return rest.unionByName(posted.join(maybe_broadcast(counted, n), "h").select(*rest.columns))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, text_hash (xxhash64 of the text), n_shingles, node, component_id."""
     spark = docs.sparkSession
@@ -181,8 +201,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     copies = slim.where("n > 0").join(classes.select("node", F.col("doc_id").alias("d"), F.col("text_hash").alias("t")), "node").where(~(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))))
     copies = scratch.save(copies.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")), "copies", total)
     own = rows.where("n > 0").join(maybe_broadcast(copies, copies.count()), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left_anti")
-    posted = own.select("node", F.explode("h1").alias("h"))
-    shared = posted.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("df > 1")
+    shared = with_frequency(own.select("node", F.explode("h1").alias("h")), scratch).where("df > 1")
     by_node = Window.partitionBy("node")
     shared = shared.join(classes.select("node", "prefix", "first"), "node")
     shared = shared.withColumn("alone", F.col("first") - F.count(F.lit(1)).over(by_node)).withColumn("place", F.row_number().over(by_node.orderBy("df", "h")))

@@ -117,3 +117,24 @@ def test_odd_rows(spark, odd, none):
     texts = [r.text for r in kept.collect()]
     assert len([t for t in texts if t and t.startswith(rows[0][1][:30])]) >= 1 and len(texts) < len(rows)
     assert jaccard.keep_one(none).count() == 0
+
+
+def test_frequency_of_hot_shingles(spark, monkeypatch):
+    """A shingle of very many nodes is counted by an aggregation: the same counts, in no plan's window."""
+    import collections
+    import random
+
+    from pyspark.sql import functions as F
+
+    from peakfold.llm.common import Scratch
+
+    rng = random.Random(2)
+    rows = [(i, 77) for i in range(3000)] + [(i, 1000 + rng.randint(0, 400)) for i in range(3000)] + [(i, 5000 + i) for i in range(500)]
+    df = spark.createDataFrame(rows, "node long, h long")
+    want = collections.Counter(h for _, h in rows)
+    for hot in (10**9, 100):
+        monkeypatch.setattr(jaccard, "HOT", hot)
+        out = jaccard.with_frequency(df, Scratch(spark, "test"))
+        assert sorted((r.node, r.h, r.df) for r in out.collect()) == sorted((i, h, want[h]) for i, h in rows)
+    # With the hot one told apart, the window sees only the others.
+    assert out.where("df < 1000").agg(F.max("df")).first()[0] == max(n for h, n in want.items() if h != 77)
