@@ -41,7 +41,7 @@ def folder(spark: SparkSession) -> str:
 def events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     path = folder(spark)
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
-    e.repartitionByRange(4, "ts").write.parquet(f"{path}/in")
+    e.repartitionByRange(4 + e.count() // 1_000_000, "ts").write.parquet(f"{path}/in")
     return ops.stream_of(spark, f"{path}/in", e.schema, 2), path
 
 
