@@ -855,9 +855,13 @@ def peak_bounds(spark, d):
     return kernels.bounds(t(spark, d, "events").select("user_id", micros().alias("x"), "value"), ["user_id"], "x", "value")
 
 
-@query()
+@query("""
+WITH s AS (SELECT event_type, min(value) AS a, max(value) AS z, count(*) AS n, greatest(1.06 * stddev_pop(value) * count(*) ** -0.2, 1e-9) AS h FROM events GROUP BY 1),
+g AS (SELECT event_type, n, a + k * (z - a) / 99 AS x, k, sum(cos((a + k * (z - a) / 99 - value) * pi() / (4 * h))) AS y FROM events JOIN s USING (event_type), (SELECT range AS k FROM range(100)) WHERE abs(a + k * (z - a) / 99 - value) <= 2 * h GROUP BY ALL)
+SELECT event_type, round(arg_min(x, (-round(y, 9), k)), 6) AS mode, any_value(n) AS n FROM g GROUP BY 1
+""")
 def kde_mode(spark, d):
-    return kernels.kde_mode(t(spark, d, "events"), ["event_type"], "value")
+    return st.kde_mode(t(spark, d, "events"), ["event_type"], "value").withColumn("mode", F.round("mode", 6))
 
 
 @query()

@@ -189,3 +189,14 @@ def test_ranges_change_nothing(spark):
         assert sorted(catalog.p_values(spark, "/root/testdata/sf0.001").collect()) == plain
     finally:
         catalog.ranges_for = ranges_for
+
+
+def test_modes_of_groups(spark):
+    """The distributed density against the kernel's, a constant group and one value."""
+    from peakfold.operators import statistics as st
+
+    rng = np.random.default_rng(8)
+    rows = [("a", float(x)) for x in np.concatenate([rng.normal(5, 1, 300), rng.normal(20, 4, 200)])] + [("b", 2.5)] * 7 + [("c", 1.0)] + [("d", float(x)) for x in rng.random(50)]
+    got = {r.g: r.mode for r in st.kde_mode(spark.createDataFrame([*rows, ("a", None)], "g string, v double"), ["g"], "v").collect()}
+    for g in "abcd":
+        assert got[g] == pytest.approx(k.mode(np.array([v for h, v in rows if h == g])), abs=1e-9)
