@@ -408,3 +408,134 @@ def ion_names(spark, d):
     x = t(spark, d, "lineitem").withColumn("name", notation.ion_name(F.lower("l_returnflag"), F.col("l_linenumber"), (F.col("l_suppkey") % 3 + 1).cast("int")))
     x = x.withColumn("p", notation.parse_ion(F.col("name"))).withColumn("a", notation.archive(F.array(F.struct(F.lower("l_returnflag").alias("kind"), F.col("l_linenumber").alias("index"), F.col("l_suppkey").alias("mass")))))
     return x.select("l_orderkey", "l_linenumber", "l_partkey", "name", "p.kind", "p.index", "p.charge", F.col("a").alias("archived"), notation.from_archive(F.col("a"))[0]["mass"].alias("mass"))
+
+
+# -- expressions -------------------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_tax > 0 THEN ln(l_tax) ELSE 0 END, 8) AS ln, round(CASE WHEN l_quantity > 25 THEN log2(l_quantity - 25) ELSE 0 END, 8) AS log2, round(10 + (l_quantity - 1) / 49 * 90, 6) AS mapped,
+  round(CASE WHEN l_tax = 0.04 THEN (l_quantity + l_discount) / 2 ELSE l_quantity + (l_discount - l_quantity) * 0.01 / (0.04 - l_tax) END, 6) AS between, round(l_extendedprice * 20e-6, 9) AS width, round((l_extendedprice - o_totalprice) / o_totalprice * 1e6, 3) AS ppm,
+  abs(l_extendedprice - o_totalprice) <= greatest(l_extendedprice, o_totalprice) * 0.2 AS close FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+""")
+def scalar_maps(spark, d):
+    x = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    c = F.col
+    return x.select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.round(A.protected_log(c("l_tax")), 8).alias("ln"), F.round(A.protected_log(c("l_quantity") - 25, 2), 8).alias("log2"), F.round(A.map_range(c("l_quantity"), 1, 50, 10, 100), 6).alias("mapped"),
+        F.round(F.when(c("l_tax") == 0.04, (c("l_quantity") + c("l_discount")) / 2).otherwise(A.interpolate(F.lit(0.01).cast("double"), F.lit(0.0).cast("double"), c("l_quantity"), F.lit(0.04).cast("double") - c("l_tax"), c("l_discount"))), 6).alias("between"),
+        F.round(A.tolerance(c("l_extendedprice"), ppm=20), 9).alias("width"), F.round(A.delta_ppm(c("l_extendedprice"), c("o_totalprice")), 3).alias("ppm"), A.within_ppm(c("l_extendedprice"), c("o_totalprice"), 2e5).alias("close"),
+    )
+
+
+@query("""
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings), v AS (SELECT *, list_reverse(a) AS b FROM e)
+SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: (a[i] + b[i]) * abs(a[i]))), 6) AS added, round(list_sum(list_transform(range(1, 65), lambda i: a[i] * b[i])), 6) AS dot, round(list_sum(list_transform(range(1, 65), lambda i: a[i] * 2.5)), 6) AS scaled,
+  round(list_sum(list_transform(range(1, 65), lambda i: abs(a[i]) / (1 + abs(b[i])))), 6) AS ratio, round(list_sum(list_sort(a, 'DESC')[1:5]), 6) AS top, round(sqrt(list_var_pop(a)), 6) AS sd FROM v
+""")
+def array_arithmetic(spark, d):
+    x = t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a")).withColumn("b", F.reverse("a"))
+    a, b = F.col("a"), F.col("b")
+    size = lambda v: F.transform(v, lambda y: F.abs(y))
+    return x.select(
+        "vec_id", F.round(A.total(A.multiply(A.add(a, b), size(a))), 6).alias("added"), F.round(A.total(A.multiply(a, b)), 6).alias("dot"), F.round(A.total(A.scale(a, 2.5)), 6).alias("scaled"),
+        F.round(A.total(A.divide(size(a), F.transform(size(b), lambda y: 1 + y))), 6).alias("ratio"), F.round(A.top_sum(a, 5), 6).alias("top"), F.round(A.stdev(a), 6).alias("sd"),
+    )
+
+
+@query("""
+WITH p AS (SELECT vec_id, i * 10.0 AS mz, abs(CAST(embedding[i] AS DOUBLE)) AS y FROM embeddings, (SELECT unnest(range(1, 65)) AS i))
+SELECT vec_id, round(sum(y), 6) AS total, count(*) FILTER (mz BETWEEN 100 AND 300) AS trimmed, count(*) FILTER (y >= 0.5 * m) AS strong, round(coalesce(sum(y) FILTER (abs(mz - 200.05) <= 200.05 * 60000e-6), 0), 6) AS near, round(coalesce(max(y) FILTER (abs(mz - 200.05) <= 200.05 * 60000e-6), 0), 6) AS top_near
+FROM (SELECT *, max(y) OVER (PARTITION BY vec_id) AS m FROM p) GROUP BY 1
+""")
+def peak_filters(spark, d):
+    mz = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: i * F.lit(10.0).cast("double"))
+    x = t(spark, d, "embeddings").select("vec_id", A.peaks(mz, F.transform("embedding", lambda y: F.abs(y.cast("double")))).alias("p"))
+    p, at = F.col("p"), F.lit(200.05).cast("double")
+    return x.select("vec_id", F.round(A.peak_total(p), 6).alias("total"), F.size(A.trim(p, 100, 300)).cast("long").alias("trimmed"), F.size(A.base_peak_filter(p, 0.5)).cast("long").alias("strong"), F.round(A.intensity_near(p, at, 60000), 6).alias("near"), F.round(A.max_intensity_near(p, at, 60000), 6).alias("top_near"))
+
+
+@query("""
+WITH x AS (SELECT event_id, CAST(event_id * 1103515245 AS HUGEINT) + 12345 AS v FROM events), w AS (SELECT event_id, CAST(((v + 2147483648) % 4294967296) - 2147483648 AS BIGINT) % 2147483647 AS r FROM x)
+SELECT event_id, CAST(r AS INTEGER) AS random, round((r / 2147483647.0 + 1) / 2, 9) AS share FROM w
+""")
+def lcg_steps(spark, d):
+    r = seq.lcg(F.col("event_id").cast("int"))
+    return t(spark, d, "events").select("event_id", r.alias("random"), F.round(seq.unit_interval(r), 9).alias("share"))
+
+
+@query("""
+SELECT p_partkey, array_to_string(list_sort(list_distinct(string_split(p_type || ' ' || p_name || ' ' || p_type, ' '))), ';') AS accessions FROM part
+""")
+def accession_sets(spark, d):
+    joined = F.concat_ws(";", F.replace("p_type", F.lit(" "), F.lit(";")), F.replace("p_name", F.lit(" "), F.lit(";")), F.replace("p_type", F.lit(" "), F.lit(";")))
+    return t(spark, d, "part").select("p_partkey", F.array_join(seq.accessions(joined), ";").alias("accessions"))
+
+
+@query("""
+SELECT p_partkey FROM part a WHERE NOT EXISTS (SELECT 1 FROM part x WHERE x.p_size = 7 AND a.p_retailprice BETWEEN x.p_retailprice - 0.5 AND x.p_retailprice + 0.5 AND a.p_size BETWEEN x.p_partkey % 20 AND x.p_partkey % 20 + 25)
+""")
+def exclude_ions(spark, d):
+    from peakfold.operators import features
+
+    p = t(spark, d, "part")
+    x = p.where("p_size = 7").select((F.col("p_retailprice") - 0.5).alias("x_low"), (F.col("p_retailprice") + 0.5).alias("x_high"), (F.col("p_partkey") % 20).alias("x_start"), (F.col("p_partkey") % 20 + 25).alias("x_stop"))
+    return features.exclude_ions(p.select("p_partkey", F.col("p_retailprice").alias("mz"), F.col("p_size").alias("rt")), x, 1.0).select("p_partkey")
+
+
+@query(f"""
+SELECT p_partkey, regexp_matches({MODSEQ}, '[ST]\\[') AS any_mod, regexp_matches({MODSEQ}, 'C\\[\\+?57\\.02[0-9]*\\]') AS alkylated, regexp_replace({MODSEQ}, 'M', 'M[+15.99]', 'g') AS fixed FROM part
+""")
+def modification_filters(spark, d):
+    from peakfold.operators import features
+    from peakfold.plans.catalog import modseq
+
+    return t(spark, d, "part").select("p_partkey", features.has_modification(modseq(), "ST").alias("any_mod"), features.has_modification(modseq(), "C", "57.02").alias("alkylated"), features.apply_mass_map(modseq(), {"M": 15.99}).alias("fixed"))
+
+
+@query("""
+WITH s AS (SELECT p_partkey AS id, replace(upper(p_name), ' ', '') AS s FROM part), v AS (SELECT id, s, p_size AS pos FROM s JOIN part ON id = p_partkey WHERE p_size BETWEEN 1 AND len(s))
+SELECT id AS accession, id || '_' || pos || 'WK' AS variant, substr(s, 1, pos - 1) || 'WK' || substr(s, pos + 1) AS sequence FROM v
+""")
+def variant_sequences(spark, d):
+    from peakfold.operators import features
+
+    p = t(spark, d, "part")
+    proteins = p.select(F.col("p_partkey").alias("accession"), F.replace(F.upper("p_name"), F.lit(" "), F.lit("")).alias("sequence"))
+    return features.variant_sequences(proteins, p.select(F.col("p_partkey").alias("accession"), F.col("p_size").alias("position"), F.lit("WK").alias("residues"))).select("accession", "variant", "sequence")
+
+
+@query("""
+WITH x AS (SELECT p_size, replace(upper(p_name), ' ', '') AS s, max(p_retailprice) AS v FROM part GROUP BY ALL), b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY p_size ORDER BY v DESC, s) = 1),
+o AS (SELECT b.p_size, b.s, b.v, x.v AS w FROM b JOIN x USING (p_size) WHERE len(x.s) <> len(b.s) OR len(list_filter(range(1, len(b.s) + 1), lambda i: translate(x.s, 'INEK', 'LDQQ')[i] <> translate(b.s, 'INEK', 'LDQQ')[i])) > 2)
+SELECT b.p_size, b.s AS sequence, round(b.v - coalesce(max(w), 0), 4) AS margin FROM b LEFT JOIN o ON o.p_size = b.p_size GROUP BY b.p_size, b.s, b.v
+""")
+def dissimilar_margin(spark, d):
+    from peakfold.operators import features
+
+    x = t(spark, d, "part").groupBy("p_size", F.replace(F.upper("p_name"), F.lit(" "), F.lit("")).alias("sequence")).agg(F.max("p_retailprice").alias("v"))
+    return features.sequence_per_candidate_margin(x, ["p_size"], "sequence", "v").select("p_size", "sequence", F.round("margin", 4).alias("margin"))
+
+
+@query("""
+WITH b AS (SELECT event_type, avg(value) AS m, stddev_pop(value) AS s FROM events WHERE event_id % 2 = 0 GROUP BY 1)
+SELECT event_id, round((value - m) / s, 7) AS z FROM events JOIN b USING (event_type)
+""")
+def z_scores(spark, d):
+    from peakfold.operators import features
+
+    e = t(spark, d, "events")
+    return features.z_scores(e, agg.background(e.where("event_id % 2 = 0"), ["event_type"], "value"), ["event_type"], "value").select("event_id", F.round("z", 7).alias("z"))
+
+
+@query("""
+SELECT event_id, round(exp(-0.5 * ((value - 100) / 40) ** 2) / (40 * sqrt(2 * pi())), 10) AS gaussian, round(exp(-abs(value - 100) / 40) / 80, 10) AS laplace, round(CASE WHEN value < 100 THEN 0.5 * exp(-abs(value - 100) / 40) ELSE 1 - 0.5 * exp(-abs(value - 100) / 40) END, 10) AS laplace_cdf,
+  round(1 / (pi() * 40 * (1 + ((value - 100) / 40) ** 2)), 10) AS cauchy, round(exp(-(value - 100) / 40 - exp(-(value - 100) / 40)) / 40, 10) AS gumbel, round(exp(-exp(-(value - 100) / 40)), 10) AS gumbel_cdf,
+  round(value * exp(-value / 40) / 1600, 10) AS gamma, round(CASE WHEN abs(value - 100) <= 80 THEN pi() / 320 * cos((100 - value) * pi() / 160) ELSE 0 END, 10) AS bell, round(greatest(0, least(1, (value - 50) / 100)), 10) AS uniform FROM events
+""")
+def densities(spark, d):
+    from peakfold.functions import distributions as D
+
+    v = F.col("value")
+    cols = {"gaussian": D.gaussian_pdf(v, 100, 40), "laplace": D.laplace_pdf(v, 100, 40), "laplace_cdf": D.laplace_cdf(v, 100, 40), "cauchy": D.cauchy_pdf(v, 100, 40), "gumbel": D.gumbel_pdf(v, 100, 40), "gumbel_cdf": D.gumbel_cdf(v, 100, 40), "gamma": D.gamma_pdf(v, 2, 40), "bell": D.cosine_gaussian_pdf(v, 100, 40), "uniform": D.uniform_cdf(v, 50, 150)}
+    return t(spark, d, "events").select("event_id", *[F.round(c, 10).alias(n) for n, c in cols.items()])
