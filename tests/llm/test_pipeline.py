@@ -63,3 +63,25 @@ def test_contract_columns(spark, name):
     assert want <= set(df.columns)
     if name != "op2_decontaminate":
         assert df.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_stages_on_odd_rows(spark, odd, none):
+    """Nulls in every column, empty and long texts, repeated rows and extra columns of clashing names, through the whole chain; then
+    a table without rows."""
+    docs, names = odd, odd.columns
+    counts = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        assert {"doc_id", "text", "lang", "source", "n_chars"} <= set(out.columns)
+        if name in ("language_id", "near_duplicates", "decontamination"):
+            assert out.columns == names and all(r.text and r.text.strip() for r in rows)
+        counts.append(len(rows))
+        docs = spark.createDataFrame(rows, out.schema)
+    # Texts without letters go, then copies of 1, 2, 3 and the repeated row; a row without doc_id is a document like any other.
+    assert counts[0] >= counts[1] >= counts[2] >= counts[3] == counts[4] > 3
+    docs = none
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0
+        docs = spark.createDataFrame([], out.schema)
