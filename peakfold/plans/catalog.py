@@ -351,11 +351,11 @@ def consensus_peaks(spark, d):
 
 
 @query("""
-SELECT user_id, CAST(floor(value / 0.5) AS BIGINT) AS bin, round(sum(value * event_id) / sum(event_id), 6) AS mz, CAST(sum(event_id) AS BIGINT) AS intensity FROM events WHERE event_id > 0 GROUP BY 1, 2
+SELECT user_id, CAST(floor(value / 0.5) AS BIGINT) AS bin, round(sum(value * (event_id + 1)) / sum(event_id + 1), 6) AS mz, CAST(sum(event_id + 1) AS BIGINT) AS intensity FROM events GROUP BY 1, 2
 """)
 def merged_spectrum(spark, d):
-    e = t(spark, d, "events").where("event_id > 0").select("user_id", micros().alias("rt"), "value", "event_id")
-    return agg.merge_spectra(e, ["user_id"], "rt", "value", "event_id", 0.5).select("user_id", "bin", F.round("mz", 6).alias("mz"), "intensity")
+    e = t(spark, d, "events").select("user_id", micros().alias("rt"), "value", (F.col("event_id") + 1).alias("w"))
+    return agg.merge_spectra(e, ["user_id"], "rt", "value", "w", 0.5).select("user_id", "bin", F.round("mz", 6).alias("mz"), "intensity")
 
 
 @query("""
@@ -720,14 +720,16 @@ def expected_charge(spark, d):
     return t(spark, d, "part").select("p_partkey", seq.expected_charge(F.upper("p_name")).alias("charge"))
 
 
-@query("""
-SELECT c_custkey, round(m, 6) AS mass, round((m + 2 * 1.00727646681290::DOUBLE) / 2, 6) AS mz2 FROM (SELECT c_custkey, 57.021464::DOUBLE * len(regexp_extract_all(c_mktsegment, 'G')) + 103.009185::DOUBLE * len(regexp_extract_all(c_mktsegment, 'C'))
-  + 71.037114::DOUBLE * len(regexp_extract_all(c_mktsegment, 'A')) + 129.042593::DOUBLE * len(regexp_extract_all(c_mktsegment, 'E')) + 15.9949146195616::DOUBLE + 2 * 1.007825032071::DOUBLE AS m FROM customer)
+MASS_SUM = " + ".join(f"{m}::DOUBLE * (length(s) - length(replace(s, '{a}', '')))" for a, m in sorted(chem.RESIDUES.items()))
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, regexp_replace(upper(p_name || p_type || p_brand), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS s FROM part), m AS (SELECT p_partkey, {MASS_SUM} + 15.9949146195616::DOUBLE + 2 * 1.007825032071::DOUBLE AS m FROM p)
+SELECT p_partkey, round(m, 5) AS mass, round((m + 2 * 1.00727646681290::DOUBLE) / 2, 5) AS mz2 FROM m
 """)
 def sequence_masses(spark, d):
-    s = F.regexp_replace("c_mktsegment", "[^GCAE]", "")
-    m = chem.sequence_mass(s)
-    return t(spark, d, "customer").select("c_custkey", F.round(m, 6).alias("mass"), F.round(chem.charged_mass(m, F.lit(2)), 6).alias("mz2"))
+    m = chem.sequence_mass(F.regexp_replace(F.upper(F.concat("p_name", "p_type", "p_brand")), "[^ACDEFGHIKLMNPQRSTVWY]", ""))
+    return t(spark, d, "part").select("p_partkey", F.round(m, 5).alias("mass"), F.round(chem.charged_mass(m, F.lit(2)), 5).alias("mz2"))
 
 
 # -- 7 array functions -------------------------------------------------------------------------------------------------
