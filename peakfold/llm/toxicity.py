@@ -188,12 +188,8 @@ def half_of(doc_id: int) -> int:
     return zlib.crc32(f"half {doc_id}".encode()) % 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, most_per_class: int, most_bytes: int, threshold: float) -> Model:
-    """Train on at most `most_per_class` documents and `most_bytes` of text of each label, chosen by a hash of doc_id: one task
-    trains on all, two on a half each.
-
-    Only models and evidence, of bounded size, come to the driver.
-    """
+def taught(docs: DataFrame, labels: DataFrame, learn: Column, most_per_class: int, most_bytes: int) -> tuple[DataFrame, float]:
+    """(doc_id, text, y of the documents to train on; share of toxic documents among the labelled ones)."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     marks = marks.where(learn & F.col("y").isin(0, 1)).withColumn("h", F.xxhash64("doc_id"))
     counts = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a label
@@ -208,7 +204,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most_per_class: int,
     sized = given.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "h", "y").agg(F.min(F.struct(F.xxhash64("text").alias("t"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("b"))).alias("r"))
     upto = Window.partitionBy("y").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sized = sized.withColumn("upto", F.sum("r.b").over(upto)).where(F.col("upto") <= most_bytes).select("doc_id", "y", F.col("r.t").alias("t"))
-    taught = given.join(F.broadcast(sized), "doc_id").where(F.xxhash64("text") == F.col("t")).dropDuplicates(["doc_id"])
+    out = given.join(F.broadcast(sized), "doc_id").where(F.xxhash64("text") == F.col("t")).dropDuplicates(["doc_id"])
+    return out, share
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, most_per_class: int, most_bytes: int, threshold: float) -> Model:
+    """Train on at most `most_per_class` documents and `most_bytes` of text of each label, chosen by a hash of doc_id: one task
+    trains on all, two on a half each.
+
+    Only models and evidence, of bounded size, come to the driver.
+    """
+    rows_in, share = taught(docs, labels, learn, most_per_class, most_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((i, t or "", y, k) for b in batches for i, t, y, k in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "y", "fold")]))
@@ -220,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most_per_class: int,
             e = m.evidence(*split_words(pa.array([r[1] for r in unseen], pa.large_string()))) if unseen else np.zeros(0)
             yield pa.RecordBatch.from_pydict({"fold": [k], "theta": [m.theta.tobytes() if k == 2 else b""], "window": [m.window], "slope": [m.slope], "offset": [m.offset], "evidence": [e.tobytes()], "labels": [np.array([r[2] for r in unseen], np.int64).tobytes()]})
 
-    folds = taught.withColumn("fold", F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)]))).select("doc_id", "text", "y", "fold")
+    folds = rows_in.withColumn("fold", F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)]))).select("doc_id", "text", "y", "fold")
     got = folds.repartitionById(3, F.col("fold").cast("int")).mapInArrow(run, "fold long, theta binary, window long, slope double, offset double, evidence binary, labels binary").collect()
     if not got:
         return train([], np.zeros(0, np.int64), share)

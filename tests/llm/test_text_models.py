@@ -93,6 +93,21 @@ def test_held_out_rows_teach_nothing(spark):
     assert runs[0] == runs[1]
 
 
+def test_training_rows_and_bytes_are_bounded(spark):
+    """A labelled document that is there very often trains once; of each label no more than most_bytes of text do."""
+    rows = toxic_corpus(60, 8)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(0, rows[0][1])] * 400 + [(5, "another text of a toxic id")] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    out, share = toxicity.taught(docs, labels, F.lit(True), 1000, 1 << 30)
+    got = out.collect()
+    assert sorted(r.doc_id for r in got) == list(range(60)) and share == 0.2
+    out, _ = toxicity.taught(docs, labels, F.col("doc_id") % 2 == 0, 10, 3000)
+    got = out.collect()
+    for y in (0, 1):
+        mine = [r for r in got if r.y == y]
+        assert 0 < len(mine) <= 10 and sum(len(r.text) for r in mine) <= 3000 and all(r.doc_id % 2 == 0 for r in mine)
+
+
 def test_best_window_is_the_best():
     rng = np.random.default_rng(1)
     v = rng.normal(size=200)
