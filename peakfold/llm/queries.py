@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakfold.llm import decontaminate, jaccard, langid, mixing, pii, repeats, sharding, topk, toxicity, warc
+from peakfold.llm import codes, decontaminate, jaccard, langid, mixing, pii, repeats, sharding, topk, toxicity, warc
 from peakfold.llm.common import Scratch
 
 
@@ -139,9 +139,47 @@ FROM f
 """
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
+#: A round of training: pieces go to the entry of least distance (then least index), entries become the floor of the mean.
+OP11_ROUND = """, a{k} AS (
+  SELECT n, part, min(d * 64 + entry) AS best FROM (
+    SELECT p.n, p.part, c.entry, list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN c{k} c USING (part)
+  ) GROUP BY n, part
+)"""
+OP11_MEANS = """, s{k} AS (
+  SELECT part, entry, i, sum(x)::BIGINT AS s, count(*) AS m FROM (SELECT p.part, CAST(a.best % 64 AS BIGINT) AS entry, unnest(p.x) AS x, unnest(range(len(p.x))) AS i FROM p JOIN a{j} a USING (n, part)) GROUP BY ALL
+), c{k} AS (
+  SELECT c.part, c.entry, coalesce(f.x, c.x) AS x FROM c{j} c LEFT JOIN (SELECT part, entry, list((s - ((s % m) + m) % m) // m ORDER BY i) AS x FROM s{k} GROUP BY part, entry) f ON f.part = c.part AND f.entry = c.entry
+)"""
+OP11_SQL = (
+    """
+WITH v AS (
+  SELECT row_number() OVER () AS n, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT n, part, e[CAST(part * (len(e) // 16) + 1 AS BIGINT) : CAST((part + 1) * (len(e) // 16) AS BIGINT)] AS x FROM v, range(16) r(part)
+), f AS (
+  SELECT n, row_number() OVER (ORDER BY vec_id, n) - 1 AS entry FROM v QUALIFY entry < 64
+), c0 AS (
+  SELECT p.part, f.entry, p.x FROM p JOIN f USING (n)
+)"""
+    + OP11_ROUND.format(k=0) + OP11_MEANS.format(j=0, k=1) + OP11_ROUND.format(k=1) + OP11_MEANS.format(j=1, k=2) + OP11_ROUND.format(k=2)
+    + """, h AS (
+  SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, i)) AS sha FROM (SELECT part, entry, unnest(x) AS x, unnest(range(len(x))) AS i FROM c2)
+), o AS (
+  SELECT n, string_agg(printf('%02x', CAST(best % 64 AS BIGINT)), '' ORDER BY part) AS code, CAST(sum(best // 64) AS BIGINT) AS error FROM a2 GROUP BY n
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM v JOIN o USING (n), h
+"""
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_pii, op4_language, op5_mixing, op6_sharding, op7_jaccard, op8_repeats, op9_topk, op10_warc)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_pii, op4_language, op5_mixing, op6_sharding, op7_jaccard, op8_repeats, op9_topk, op10_warc, op11_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_jaccard": OP7_SQL, "op8_repeats": OP8_SQL, "op9_topk": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op7_jaccard": OP7_SQL, "op8_repeats": OP8_SQL, "op9_topk": OP9_SQL, "op10_warc": OP10_SQL, "op11_codes": OP11_SQL}
