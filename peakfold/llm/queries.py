@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakfold.llm import codes, decontaminate, jaccard, langid, mixing, pii, repeats, sharding, topk, toxicity, warc
+from peakfold.llm import codes, decontaminate, jaccard, langid, mixing, pii, ranking, repeats, sharding, topk, toxicity, warc
 from peakfold.llm.common import Scratch
 
 
@@ -177,9 +177,35 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 )
 
 
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP12_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP12_SQL = f"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, {OP12_TERMS} AS w FROM documents
+), d AS (
+  SELECT r, doc_id, len(w) AS n FROM t WHERE len(w) > 0
+), c AS (
+  SELECT count(*) AS n, sum(n)::BIGINT AS l FROM d
+), f AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM t) GROUP BY ALL
+), g AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * c.n + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM f, c GROUP BY term, c.n
+), i AS (
+  SELECT k, item_id, unnest(list_distinct(w)) AS term FROM (SELECT row_number() OVER () AS k, item_id, {OP12_TERMS} AS w FROM benchmark)
+), s AS (
+  SELECT k, item_id, doc_id, d.r, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * d.n * c.n) // c.l)))) AS BIGINT) AS score
+  FROM i JOIN f USING (term) JOIN g USING (term) JOIN d USING (r), c GROUP BY k, item_id, doc_id, d.r
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_pii, op4_language, op5_mixing, op6_sharding, op7_jaccard, op8_repeats, op9_topk, op10_warc, op11_codes)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_pii, op4_language, op5_mixing, op6_sharding, op7_jaccard, op8_repeats, op9_topk, op10_warc, op11_codes, op12_ranking)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_jaccard": OP7_SQL, "op8_repeats": OP8_SQL, "op9_topk": OP9_SQL, "op10_warc": OP10_SQL, "op11_codes": OP11_SQL}
+    return {"op7_jaccard": OP7_SQL, "op8_repeats": OP8_SQL, "op9_topk": OP9_SQL, "op10_warc": OP10_SQL, "op11_codes": OP11_SQL, "op12_ranking": OP12_SQL}
