@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakfold.llm import codes, decontaminate, jaccard, langid, mixing, pii, ranking, repeats, sharding, topk, toxicity, warc
+from peakfold.llm import codes, decontaminate, jaccard, langid, mixing, passages, pii, ranking, repeats, sharding, topk, toxicity, warc
 from peakfold.llm.common import Scratch
 
 
@@ -203,9 +203,36 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_
 """
 
 
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.dedup(table(spark, sf_dir, "documents"), least=50).drop("spans")
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), k AS (
+  SELECT r, doc_id, k, hash(array_to_string(w[k + 1 : k + 50], ' ')) AS s FROM (SELECT r, doc_id, w, unnest(range(0, greatest(len(w) - 49, 0))) AS k FROM d)
+), f AS (
+  SELECT s, min(doc_id) AS first FROM k GROUP BY 1
+), n AS (
+  SELECT r, k, CASE WHEN k - lag(k) OVER (PARTITION BY r ORDER BY k) <= 50 THEN 0 ELSE 1 END AS new FROM k JOIN f USING (s) WHERE first < doc_id
+), i AS (
+  SELECT r, k, sum(new) OVER (PARTITION BY r ORDER BY k) AS span FROM n
+), s AS (
+  SELECT r, min(k) AS a, max(k) + 50 AS z FROM i GROUP BY r, span
+), t AS (
+  SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS p FROM s
+), g AS (
+  SELECT r, sum(z - a) AS gone, max(z) AS z, flatten(list(w[p + 1 : a] ORDER BY a)) AS w FROM t JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(array_to_string(CASE WHEN gone IS NULL THEN d.w ELSE list_concat(g.w, d.w[g.z + 1 :]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_pii, op4_language, op5_mixing, op6_sharding, op7_jaccard, op8_repeats, op9_topk, op10_warc, op11_codes, op12_ranking)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_pii, op4_language, op5_mixing, op6_sharding, op7_jaccard, op8_repeats, op9_topk, op10_warc, op11_codes, op12_ranking, op13_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_jaccard": OP7_SQL, "op8_repeats": OP8_SQL, "op9_topk": OP9_SQL, "op10_warc": OP10_SQL, "op11_codes": OP11_SQL, "op12_ranking": OP12_SQL}
+    return {"op7_jaccard": OP7_SQL, "op8_repeats": OP8_SQL, "op9_topk": OP9_SQL, "op10_warc": OP10_SQL, "op11_codes": OP11_SQL, "op12_ranking": OP12_SQL, "op13_passages": OP13_SQL}
