@@ -10,8 +10,10 @@ document is contaminated by an item if tiles cover at least `threshold` of the i
 The benchmark is the side that is broadcast, in blocks of at most BLOCK_BYTES of text, one after the other; a larger benchmark
 takes more passes, never a larger broadcast.  A document's tiling is its own task's work: no shuffle, no group.
 
-Cases: null and empty texts match nothing; an item of fewer than `seed` words is one run of all its words if these have SHORT
-characters or more, as whole passages of scripts without spaces do, and else takes no part; equal items, or rows, each give their own result; ties between matches go to the first place in the item,
+Cases: null and empty texts match nothing; an item of fewer than `seed` words is one run of all its words, to be found as a
+whole with word boundaries, if these have `short` characters or more (24 unless told otherwise, for whole passages of scripts
+without spaces; 0 takes every item, and then an item of one common word contaminates what holds that word), and else takes no part; an
+item without words takes none; equal items, or rows, each give their own result; ties between matches go to the first place in the item,
 then in the document; rows with a null doc_id are judged like others; other columns stay as they are.
 """
 
@@ -67,13 +69,13 @@ class Items:
     seed: int
 
 
-def index_items(names: list, texts: list[str], seed: int) -> Items:
+def index_items(names: list, texts: list[str], seed: int, short: int = SHORT) -> Items:
     vocabulary: dict[str, int] = {}
     ids, keep = [], []
     codes, ends, words = split_words(pa.array(texts, pa.large_string()))
     known = np.array([vocabulary.setdefault(bare(w), len(vocabulary)) for w in words], np.int64)
     for name, a, z in zip(names, np.concatenate([[0], ends[:-1]]).tolist() if len(ends) else [], ends.tolist()):
-        if z - a >= seed or sum(len(words[c]) for c in codes[a:z]) >= SHORT:
+        if z - a >= seed or (z > a and sum(len(words[c]) for c in codes[a:z]) >= short):
             keep.append(name)
             ids.append(known[codes[a:z]])
     seeds = {}
@@ -172,7 +174,7 @@ def matches(index: Items, codes: np.ndarray, ends: np.ndarray, words: list[str],
     return sorted(out, key=lambda x: x[:2])
 
 
-def blocks(bench: DataFrame, seed: int) -> tuple[int, Iterator[Items]]:
+def blocks(bench: DataFrame, seed: int, short: int = SHORT) -> tuple[int, Iterator[Items]]:
     """The benchmark's items in blocks of about BLOCK_BYTES, each small enough to broadcast: their number, and one by one."""
     items = bench.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     n = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
@@ -180,12 +182,12 @@ def blocks(bench: DataFrame, seed: int) -> tuple[int, Iterator[Items]]:
     def made() -> Iterator[Items]:
         for k in range(n):
             rows = sorted(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect(), key=lambda r: (r["item_id"] is None, r["item_id"], r["text"]))
-            yield index_items([r["item_id"] for r in rows], [r["text"] for r in rows], seed)
+            yield index_items([r["item_id"] for r in rows], [r["text"] for r in rows], seed, short)
 
     return n, made()
 
 
-def contaminated(docs: DataFrame, bench: DataFrame, seed: int = 5, threshold: float = 0.5) -> DataFrame:
+def contaminated(docs: DataFrame, bench: DataFrame, seed: int = 5, threshold: float = 0.5, short: int = SHORT) -> DataFrame:
     """doc_id, item_id, coverage, n_tiles, tiles ("item start:document start:words", comma-joined): a row for each pair."""
     schema = "doc_id long, item_id long, coverage double, n_tiles int, tiles string"
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -200,15 +202,15 @@ def contaminated(docs: DataFrame, bench: DataFrame, seed: int = 5, threshold: fl
                     pa.array([len(g) for *_, g in found], pa.int32()), pa.array([",".join(f"{i}:{d}:{n}" for i, d, n in sorted(g)) for *_, g in found], pa.string()),
                 ], names=["doc_id", "item_id", "coverage", "n_tiles", "tiles"])
 
-    return by_blocks(given, bench, seed, search, schema)
+    return by_blocks(given, bench, seed, search, schema, short)
 
 
-def by_blocks(given: DataFrame, bench: DataFrame, seed: int, search: Callable, schema: str) -> DataFrame:
+def by_blocks(given: DataFrame, bench: DataFrame, seed: int, search: Callable, schema: str, short: int = SHORT) -> DataFrame:
     """What `search` finds in `given`, block by block of the benchmark.  Of several blocks each is searched, its result is written
     and its index is let go before the next one is made."""
     spark = given.sparkSession
     bounded_batches(spark)
-    n, made = blocks(bench, seed)
+    n, made = blocks(bench, seed, short)
     scratch, parts = Scratch(spark, "decontaminate"), []
     for index in made:
         shared = spark.sparkContext.broadcast(index)  # bounded by BLOCK_BYTES
@@ -220,10 +222,10 @@ def by_blocks(given: DataFrame, bench: DataFrame, seed: int, search: Callable, s
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, seed: int = 5, threshold: float = 0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, seed: int = 5, threshold: float = 0.5, short: int = SHORT) -> DataFrame:
     """The rows of docs that no item contaminates; columns unchanged."""
     bounded_batches(docs.sparkSession)
-    n, made = blocks(bench, seed)
+    n, made = blocks(bench, seed, short)
     bad = lambda shared, b: {t for t, *_ in matches(shared.value, *split_words(as_strings(b.column("text"))), threshold)}
 
     if n == 1:
@@ -244,5 +246,5 @@ def decontaminate(docs: DataFrame, bench: DataFrame, seed: int = 5, threshold: f
                 yield b.select(["__g"]).take(pa.array(sorted(bad(shared, b)), pa.int64()))
 
     digest = F.sha2(F.col("text").cast("binary"), 256)
-    gone = by_blocks(docs.select(digest.alias("__g"), F.col("text").cast("string").alias("text")), bench, seed, search, "__g string").distinct()
+    gone = by_blocks(docs.select(digest.alias("__g"), F.col("text").cast("string").alias("text")), bench, seed, search, "__g string", short).distinct()
     return docs.withColumn("__h", digest).join(maybe_broadcast(gone, gone.count()), F.col("__h") == F.col("__g"), "left_anti").drop("__h")

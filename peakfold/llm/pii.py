@@ -172,6 +172,22 @@ class Field:
         return p / p.sum(1, keepdims=True)
 
 
+@lru_cache(1 << 16)
+def lawful(kind: int, text: str) -> bool:
+    """Whether a span of this text may be added as this kind: what the patterns ask of a match holds for what it spells."""
+    token = respelt(text)
+    digits = "".join(DIGIT.findall(token))
+    if kind == 0:
+        m = DOMAIN.search(token)
+        return bool(m and m.start() and set(token[: m.start()]) <= LOCAL)
+    if kind == 1:
+        m = IP.fullmatch(token)
+        return bool(m and all(int(p) <= 255 for p in token.split(".") if len(p) < 20) and max(map(len, token.split("."))) < 20)
+    if kind == 2:
+        return 16 <= len(digits) <= 19 and luhn(digits)
+    return 8 <= len(digits) <= 15
+
+
 @lru_cache(1 << 16)
 def traits(text: str) -> tuple[list[int], list[str]]:
     token = respelt(text)
@@ -319,7 +335,9 @@ def all_added_spans(docs: list[tuple[str, list[tuple[int, int, int]]]], crf: Fie
         got: list[list[tuple[int, int, int]]] = [[] for _ in held]
         for i in np.flatnonzero((labels <= 0) & (best > 0) & (p.max(1) >= least)).tolist():
             k = int(np.searchsorted(begin, i, "right")) - 1
-            got[k].append((int(best[i]) - 1, *held[k][1][0][i - begin[k]]))
+            a, b = held[k][1][0][i - begin[k]]
+            if lawful(int(best[i]) - 1, held[k][0][a:b]):  # agreement alone makes no card of digits that fail the check
+                got[k].append((int(best[i]) - 1, a, b))
         yield from got
 
     n = 0

@@ -11,7 +11,7 @@ the annulus.
 
 Cases: vectors that are null, or hold null or non-finite components, take no part, nor do rows without vec_id or with a
 component of 256 x beyond HUGE, which no array<float> holds; large components are exact; scores beyond 64 bits are the largest (or
-least) 64-bit number, and what ties there goes to the smaller vec_id; shorter vectors count as padded with zeros; every row
+least) 64-bit number, and what ties there goes to the smaller vec_id; shorter vectors, empty ones too, count as padded with zeros; every row
 is a candidate, equal rows too; every row that asks is a query with results of its own, so a query row that is there twice
 has them twice; a query never meets rows of its own vec_id; ties go to the smaller vec_id; fewer candidates than k give
 fewer rows; an empty table gives an empty result; other columns are not read.
@@ -157,7 +157,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, cells: int = 16, sam
     schema = "query_id long, rank int, vec_id long, score long"
     if not known:
         return spark.createDataFrame([], schema)
-    dim = rows.agg(F.max("dim")).first()[0]
+    dim = max(1, rows.agg(F.max("dim")).first()[0])  # vectors may all be empty
     s_ids, s = np.array([r["vec_id"] for r in known]), unpack([r["v"] for r in known], dim)
     pivots = fit_pivots(s, cells)
     reach = distances(s, pivots).min(1)

@@ -311,6 +311,34 @@ def test_message_passing_on_a_tree_is_exact():
     assert np.allclose(got, want / want.sum(1, keepdims=True), atol=1e-3)
 
 
+def test_short_items_are_whole_runs_of_words(spark):
+    """With no least length of items, items of one to four words are found between word boundaries, in any number of documents."""
+    bench = spark.createDataFrame([(1, "alpha"), (2, "beta, gamma"), (3, "x y z"), (4, " .\n"), (5, ""), (6, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "an Alpha b"), (2, "alphabet"), (3, "beta gamma"), (4, "beta x gamma"), (5, "w x y z"), (6, "x y"), (7, "gamma beta"), (8, None), (9, "beta") ], "doc_id long, text string")
+    got = decontaminate.contaminated(docs, bench, seed=5, threshold=0.5, short=0).select("doc_id", "item_id").collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (3, 2), (5, 3)]
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench, short=0).collect()) == [2, 4, 6, 7, 8, 9]
+    assert decontaminate.contaminated(docs, bench).count() == 0
+
+
+def test_added_spans_pass_the_checks_of_their_kind():
+    """Numbers of 16 digits that fail the check digit, repeated and side by side, are never added, whatever the field says; a
+    valid one beside another is."""
+    rng = random.Random(7)
+    number = lambda ok: next(d for d in ("".join(rng.choice("0123456789") for _ in range(16)) for _ in range(10_000)) if pii.luhn(d) == ok)
+    unary = np.zeros((pii.FEATURES, pii.LABELS))
+    for kind in range(4):
+        unary[:] = 0
+        unary[0, 1 + kind] = 9.0  # a field that takes every node for this kind
+        f = pii.Field(unary, np.zeros((pii.LABELS, pii.LABELS)), 3.0)
+        bad, good = number(False), number(True)
+        t = f"no {bad} and {bad} {bad}, {bad[:4]}-{bad[4:8]}-{bad[8:12]}-{bad[12:]} x{bad} 1.2.3.400 1.2.3 {good} {good} 12 1234567890123456789012 a@b jo at x dot org 644-555-7859"
+        got = [t[a:b] for _, a, b in pii.added_spans(t, pii.base_spans(t), f, 0.5)]
+        assert not [x for x in got if bad in x.replace("-", "")]
+        assert got == {0: ["jo at x dot org"], 1: [], 2: got, 3: ["644-555-7859"]}[kind]
+        assert all(pii.luhn("".join(c for c in x if c.isdigit())) for x in got if kind == 2)
+
+
 def test_field_covers_the_text():
     """Nodes without any base span; words are observed; repeated tokens share an edge; a number in several tokens is one node."""
     t = "Call 644-555-7859 then (644-555-7859), or 644 555 7859; x7 a1, jo at x dot org 7"

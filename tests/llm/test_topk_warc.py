@@ -181,3 +181,12 @@ def test_a_replaced_file_is_an_error(spark, tmp_path):
     next((tmp_path / "w").glob("*.gz")).write_bytes(next((tmp_path / "other").glob("*.gz")).read_bytes())
     with pytest.raises(Exception, match="doesn't match the manifest"):
         warc.read_records(spark, f"file://{tmp_path}/w").collect()
+
+
+def test_only_empty_vectors_and_vectors_of_one_value(spark):
+    """All scores are equal, so ties decide; fewer different vectors than cells."""
+    for v in ([], [1.0, 2.0]):
+        df = spark.createDataFrame([(k, v) for k in range(60)], "vec_id long, embedding array<float>")
+        got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, k=3, cells=4).collect())
+        score = sum(int(256 * x) ** 2 for x in v)
+        assert got == [(0, 1, 1, score), (0, 2, 2, score), (0, 3, 3, score), (50, 1, 0, score), (50, 2, 1, score), (50, 3, 2, score)]
