@@ -1,12 +1,10 @@
 """Operator 5: mixing sources to target weights.  DataFrame functions only.
 
 Every source's documents form one stream of words, cut into blocks of a fixed number of words.  The mix is `shards` output
-shards of equally many slots.  Every slot draws a source with the targets' shares as odds, so the counts of the sources in
-a shard are multinomial; the counts, summed up over the shards, say how many slots a source has and which of them are whose.
-A source whose draw is further than `drift` from its target is brought back to that distance, and to its cap where it has
-one: what is missing is added to shards at random, what is too much goes from the last ones.  Slot k of a source takes block
-perm(k mod blocks), where perm is a pseudorandom permutation of the block indices (swap-or-not, so no table and no sort),
-and slots meet blocks in a join on (source, block).
+shards whose slots differ by one at most.  The counts of the sources in a shard are drawn: they are multinomial with the
+targets' shares as odds, given that over all shards each source adds up to its target.  That draw is a pseudorandom
+permutation of all slots of all sources (swap-or-not, so no table and no sort), dealt to the shards in turn.  Slot k of a source takes block
+perm(k mod blocks), by a permutation of the source's block indices, and slots meet blocks in a join on (source, block).
 
 Cases: null or empty texts have size 0 and take nothing; a null source is a source of its own, after all others; repeated
 rows are documents of their own in `mix_plan` and one document in `mix_documents`; an empty table gives an empty result;
@@ -18,15 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakfold.llm.common import Scratch, dense_index, maybe_broadcast, partitions
+from peakfold.llm.common import Scratch, dense_index, partitions
 
 #: Bytes that separate words; every other byte belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a source that are put in order in one task, about.
 BUCKET_ROWS = 100_000
 ROUNDS = 24
-#: Parts of the unit interval by which draws meet the sources' shares.
-CELLS = 4096
 #: Slots that are made from one row.
 CHUNK = 16384
 
@@ -73,23 +69,7 @@ def permuted(k: Column, n: Column, key: Column, inverse: bool = False) -> Column
     return F.aggregate(F.array(*[F.lit(i) for i in rounds]), k.cast("long"), step)
 
 
-def drawn_counts(plan: DataFrame, sources: int, slots: int, shards: int, seed: int, spread: int) -> DataFrame:
-    """skey, shard, drawn: how many of its slots each shard draws from each source.  plan: skey, want.
-
-    `slots` draws in all, nearly equally many a shard; a draw is a number in [0, 1) and takes the source in whose part of that
-    interval it lies.  Parts meet draws in the join of their cells, of which a source has no more than CELLS.
-    """
-    every = Window.partitionBy(F.lit(0))
-    upto = every.orderBy("skey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = plan.select("skey", (F.sum("want").over(upto) / F.sum("want").over(every)).alias("high"), ((F.sum("want").over(upto) - F.col("want")) / F.sum("want").over(every)).alias("low"))
-    parts = parts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))))
-    draws = plan.sparkSession.range(0, slots, 1, max(spread, -(-slots // 1_000_000)))
-    draws = draws.withColumn("u", F.pmod(F.xxhash64("id", F.lit(seed + 2), F.lit(shards)), F.lit(1 << 52)) / (1 << 52)).withColumn("cell", F.floor(F.col("u") * CELLS))
-    met = draws.join(maybe_broadcast(parts, sources + CELLS), "cell").where("low <= u and u < high")
-    return met.groupBy("skey", F.pmod("id", F.lit(shards)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("drawn"))
-
-
-def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 64, shards: int = 64, seed: int = 5, drift: float = 0.01, keep: tuple[str, ...] = (), distinct: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 64, shards: int = 64, seed: int = 5, keep: tuple[str, ...] = (), distinct: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The mix as four tables: placed documents, targets, taken word ranges and slots.
 
     placed: skey, doc_id, size, start (in the source's stream of words) and the columns of `keep`; targets: skey,
@@ -110,15 +90,6 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
 
     plan = targets.withColumn("blocks", F.ceil(F.col("source_size") / block_words).cast("long")).withColumn("cap", F.floor(most * F.col("source_size")).cast("long"))
     plan = plan.withColumn("want", F.least(F.round("target"), F.col("cap")).cast("long")).where("want > 0")
-    known = plan.agg(F.ceil(F.sum("want") / block_words), F.count(F.lit(1))).first()
-    slots_in_all = int(known[0] or 0)
-    counts = scratch.save(drawn_counts(plan, known[1], slots_in_all, shards, seed, partitions(spark)), "counts")  # at most sources * shards rows
-    drawn = counts.groupBy("skey").agg(F.sum("drawn").alias("drawn"))
-    odds = F.col("want") / F.sum("want").over(Window.partitionBy(F.lit(0)))
-    plan = plan.withColumn("odds", odds).join(drawn, "skey", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
-    # The words that the draw gives, held within `drift` of the target, under the cap, and of one word at least.
-    plan = plan.withColumn("got", F.col("want") * F.col("drawn") / (F.col("odds") * slots_in_all))
-    plan = plan.withColumn("want", F.greatest(F.lit(1), F.least(F.round(F.greatest(F.least("got", F.col("want") * (1 + drift)), F.col("want") * (1 - drift))), F.col("cap"))).cast("long"))
     plan = plan.withColumn("tail", F.col("source_size") - (F.col("blocks") - 1) * block_words)
     plan = plan.withColumn("key", F.xxhash64("skey", F.lit(seed)))
     plan = plan.withColumn("tail_at", permuted(F.col("blocks") - 1, F.col("blocks"), F.col("key"), inverse=True))
@@ -129,25 +100,23 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     with_tail = F.ceil((F.col("part") + short) / block_words).cast("long")
     extra = F.when(plain <= F.col("tail_at"), plain).otherwise(F.greatest(with_tail, F.col("tail_at") + 1))
     plan = plan.withColumn("n_slots", F.col("epochs") * F.col("blocks") + F.when(F.col("part") > 0, extra).otherwise(0))
+    sources = targets.count()
+    plan = dense_index(plan, [], F.pmod(F.col("key"), F.lit(max(16, sources // BUCKET_ROWS))), [F.col("skey")], "base", F.col("n_slots"))
     plan = scratch.save(plan, "plan", rows)
+    in_all = plan.agg(F.sum("n_slots")).first()[0] or 0
 
-    # Slots [a, z) of a source are those that a shard drew, in the order of shards; what the draws lack is dealt out by a hash.
-    upto = Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    owned = counts.withColumn("z", F.sum("drawn").over(upto)).select("skey", "shard", (F.col("z") - F.col("drawn")).alias("a"), "z").join(plan, "skey")
-    owned = owned.withColumn("z", F.least("z", "n_slots")).where("a < z")
-    lacking = plan.where("n_slots > drawn").withColumn("shard", F.lit(None).cast("int")).withColumn("a", F.col("drawn")).withColumn("z", F.col("n_slots"))
     # Slots are made in chunks, dealt over all tasks, so that a hot source's list is nowhere in one place.  The number of
     # tasks is given, or Spark would merge them for the few rows that chunks are.
-    names = ["skey", "shard", "a", "z", "blocks", "key", "epochs", "part", "tail", "tail_at"]
-    chunks = owned.select(*names).unionByName(lacking.select(*names))
-    chunks = chunks.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(z - a - 1) div {CHUNK}")))).repartition(partitions(spark), "skey", "a", "c")
-    slots = chunks.withColumn("slot", F.explode(F.sequence(F.col("a") + F.col("c") * CHUNK, F.least(F.col("a") + (F.col("c") + 1) * CHUNK, F.col("z")) - 1)))
+    chunks = plan.where("n_slots > 0").select("skey", "n_slots", "base", "blocks", "key", "epochs", "part", "tail", "tail_at")
+    chunks = chunks.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_slots - 1) div {CHUNK}")))).repartition(partitions(spark), "skey", "c")
+    slots = chunks.withColumn("slot", F.explode(F.sequence(F.col("c") * CHUNK, F.least((F.col("c") + 1) * CHUNK, F.col("n_slots")) - 1)))
     at = F.expr("slot % blocks")
     full = F.when(F.expr("slot % blocks") == F.col("tail_at"), F.col("tail")).otherwise(F.lit(block_words))
     ahead = at * block_words - F.when(F.col("tail_at") < at, short).otherwise(0)
     limit = F.when(F.expr("slot div blocks") < F.col("epochs"), full).otherwise(F.least(full, F.greatest(F.col("part") - ahead, F.lit(0))))
     slots = slots.withColumn("block", permuted(at, F.col("blocks"), F.col("key"))).withColumn("words", limit.cast("long"))
-    slots = slots.withColumn("shard", F.coalesce("shard", F.pmod(F.xxhash64("key", "slot", F.lit(seed + 1)), F.lit(shards)).cast("int"))).withColumn("epoch", F.expr("slot div blocks")).select("skey", "slot", "epoch", "shard", "block", "words")
+    place = permuted(F.col("base") + F.col("slot"), F.lit(in_all).cast("long"), F.xxhash64(F.lit(seed + 1), F.lit(shards)))
+    slots = slots.withColumn("shard", F.pmod(place, F.lit(shards)).cast("int")).withColumn("epoch", F.expr("slot div blocks")).select("skey", "slot", "epoch", "shard", "block", "words")
 
     spans = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}"))))
     # Spark takes what a generator makes to be as small as what it reads and would broadcast it: slots are shuffled.

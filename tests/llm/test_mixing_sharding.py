@@ -62,27 +62,37 @@ def test_mix_meets_its_targets(spark, seed):
 
 
 def test_slots_follow_the_draw(spark):
+    """Shards have equally many slots, sources meet their targets, and counts vary from shard to shard as draws do."""
     df, rows = corpus(spark, n=600)
     sizes = collections.Counter()
     for r in rows:
         sizes[r[3]] += size(r[1])
     want = targets(sizes, (3, 1, 2), 1.5, 2.0)
-    totals = {}
-    for shards, drift in ((16, 0.01), (16, 0.5), (5, 0.5)):
-        _, _, taken, slots = mixing.mix_plan(df, block_words=8, shards=shards, drift=drift)
+    for shards in (16, 5):
+        _, _, taken, slots = mixing.mix_plan(df, block_words=8, shards=shards)
         table = {(r.skey, r.shard): r["count"] for r in slots.groupBy("skey", "shard").count().collect()}
         per_shard = [sum(n for (_, j), n in table.items() if j == k) for k in range(shards)]
+        assert max(per_shard) - min(per_shard) <= 1
         share = want["hot"] / sum(want.values())
         hot = [table.get(("0hot", k), 0) / per_shard[k] for k in range(shards)]
-        # Counts vary from shard to shard as draws do: by about the binomial's standard deviation.
         spread = (share * (1 - share) / (sum(per_shard) / shards)) ** 0.5
-        assert max(per_shard) - min(per_shard) < 0.2 * max(per_shard) and len(set(hot)) > shards // 2
-        assert 0.3 * spread < (sum((x - share) ** 2 for x in hot) / shards) ** 0.5 < 3 * spread
-        totals[shards, drift] = {r.skey: r.n for r in taken.groupBy("skey").agg(F.sum("n").alias("n")).collect()}
+        assert len(set(hot)) > shards // 2 and 0.3 * spread < (sum((x - share) ** 2 for x in hot) / shards) ** 0.5 < 3 * spread
+        totals = {r.skey: r.n for r in taken.groupBy("skey").agg(F.sum("n").alias("n")).collect()}
         for s, w in want.items():
-            got = totals[shards, drift]["1" if s is None else "0" + s]
-            assert got <= 2 * sizes[s] and abs(got - w) <= drift * w + 1
-    assert totals[16, 0.5] != totals[5, 0.5]
+            got = totals["1" if s is None else "0" + s]
+            assert got <= 2 * sizes[s] and abs(got - w) <= 1
+
+
+def test_many_sources_and_sources_larger_than_a_shard(spark):
+    """A source with most of the words, two hundred of a few words each: targets to the word, no empty last shard."""
+    rows = [(k, "a b c " * 300, "en", "large", 0) for k in range(30)] + [(1000 + k, "x y " * (1 + k % 3), "en", f"s{k:03d}", 0) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    _, t, taken, slots = mixing.mix_plan(df, block_words=8, shards=64)
+    per_shard = [r["count"] for r in slots.groupBy("shard").count().collect()]
+    assert len(per_shard) == 64 and max(per_shard) - min(per_shard) <= 1
+    got = {r.skey: r.n for r in taken.groupBy("skey").agg(F.sum("n").alias("n")).collect()}
+    for r in t.collect():
+        assert abs(got.get(r.skey, 0) - r.target) <= 1 and got.get(r.skey, 0) <= 2 * r.source_size
 
 
 def test_permutation_is_one(spark):
