@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Checkpointed, in a folder of our own where the session has none."""
+    """Checkpointed, in a folder of our own where a local session has none; on a cluster spark.checkpoint.dir must name a shared one."""
     spark = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="peakfold-"))
     return df.checkpoint()
 
