@@ -5,27 +5,70 @@ A group is one trace, one candidate or one file pair, small by nature; the group
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def per_group(df: DataFrame, key: list[str], order: list[str], columns: list[str], schema: str, kernel: Callable[..., dict]) -> DataFrame:
-    """kernel(arrays of the group's columns in order) -> dict of arrays; key columns are put in front."""
-    types = dict(df.dtypes)
-    full = ", ".join([f"`{k}` {types[k]}" for k in key] + [schema])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        out = pd.DataFrame(kernel(*[pdf[c].to_numpy() for c in columns]))
-        for i, k in enumerate(key):
-            out.insert(i, k, pdf[k].iloc[0] if len(pdf) else None)
-        return out
+    """kernel(arrays of the group's columns in order) -> dict of arrays; key columns are put in front.
 
-    return df.select(*dict.fromkeys([*key, *order, *columns])).groupBy(*key).applyInPandas(run, full)
+    Rows are dealt out by the key and sorted by Spark; a batch holds many groups, of which the last waits for the next batch.
+    Missing numbers are NaN to the kernel, and NaN is null in the result.
+    """
+    types = dict(df.dtypes)
+    full = StructType.fromDDL(", ".join([f"`{k}` {types[k]}" for k in key] + [schema]))
+    wanted = to_arrow_schema(full)
+    names = list(dict.fromkeys([*key, *order, *columns]))
+
+    def starts(t: pa.Table) -> np.ndarray:
+        """First rows of the groups of t but the first."""
+        new = np.zeros(max(t.num_rows - 1, 0), bool)
+        for k in key:
+            c = t.column(k).combine_chunks()
+            a, z = c[1:], c[:-1]
+            new |= np.asarray(pc.fill_null(pc.not_equal(a, z), False)) | (np.asarray(a.is_null()) != np.asarray(z.is_null()))
+        return np.flatnonzero(new) + 1
+
+    def solved(t: pa.Table, cut: np.ndarray) -> pa.RecordBatch:
+        given = {c: t.column(c).to_numpy() for c in columns}
+        first, end = np.concatenate([[0], cut]).astype(np.int64), np.concatenate([cut, [t.num_rows]]).astype(np.int64)
+        found = [kernel(*[given[c][a:z] for c in columns]) for a, z in zip(first.tolist(), end.tolist())]
+        sizes = [len(next(iter(f.values()))) for f in found]
+        at = pa.array(np.repeat(first, sizes))
+        out = [t.column(k).combine_chunks().take(at) for k in key]
+        for field in list(wanted)[len(key) :]:
+            parts = [f[field.name] for f in found]
+            plain = all(isinstance(p, np.ndarray) and p.dtype != object for p in parts)
+            out.append(pa.array(np.concatenate(parts), from_pandas=True).cast(field.type) if plain else pa.array([v for p in parts for v in p], field.type, from_pandas=True))
+        return pa.RecordBatch.from_arrays(out, schema=wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            edge = len(starts(pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), b.slice(0, 1)]))) if held else 0
+            cut = starts(pa.Table.from_batches([b]))
+            if edge or len(cut):
+                t = pa.Table.from_batches([*held, b])
+                before = t.num_rows - b.num_rows
+                every = np.concatenate([[before] if edge else [], cut + before]).astype(np.int64)
+                last = int(every[-1])
+                yield solved(t.slice(0, last), every[:-1])
+                held = t.slice(last).to_batches()
+            else:
+                held.append(b)
+        if held:
+            yield solved(pa.Table.from_batches(held), np.zeros(0, np.int64))
+
+    return df.select(*names).repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, full)
 
 
 # -- exclusion ---------------------------------------------------------------------------------------------------------

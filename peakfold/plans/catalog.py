@@ -38,14 +38,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from peakfold.plans import catalog_more  # noqa: F401
+    from peakfold.plans import catalog_more, catalog_quant  # noqa: F401
     from peakfold.streaming import queries as streaming
 
     return QUERIES | streaming.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from peakfold.plans import catalog_more  # noqa: F401
+    from peakfold.plans import catalog_more, catalog_quant  # noqa: F401
     from peakfold.streaming import queries as streaming
 
     return SQL | streaming.SQL
