@@ -81,6 +81,20 @@ def xcorr_scores(df: DataFrame) -> DataFrame:
     return df.withColumn("xcorr", run(F.transform("peaks", lambda p: p["mz"]), F.transform("peaks", lambda p: p["intensity"]), F.col("ions")))
 
 
+def xcorr_pair(df: DataFrame) -> DataFrame:
+    """Adds `xcorr_lib` and `xcorr_model` to rows with `peaks`, `library` (both array<struct<mz, intensity>>) and `ions` (array<double>):
+    the spectrum against the library's peaks by their intensities, and against the theoretical ions as equals."""
+    parts = lambda c: (F.transform(c, lambda p: p["mz"]), F.transform(c, lambda p: p["intensity"]))
+
+    @F.pandas_udf("struct<lib: double, model: double>")
+    def run(mz: pd.Series, intensity: pd.Series, lib_mz: pd.Series, lib_intensity: pd.Series, ions: pd.Series) -> pd.DataFrame:
+        rows = [[np.asarray(c, float) for c in r] for r in zip(mz, intensity, lib_mz, lib_intensity, ions)]
+        return pd.DataFrame({"lib": [kernels.xcorr(a, m, y, weights=b) for m, y, a, b, _ in rows], "model": [kernels.xcorr(t, m, y) for m, y, _, _, t in rows]})
+
+    x = df.withColumn("__x", run(*parts("peaks"), *parts("library"), F.col("ions")))
+    return x.withColumns({"xcorr_lib": F.col("__x.lib"), "xcorr_model": F.col("__x.model")}).drop("__x")
+
+
 def isotope_columns(df: DataFrame, sequence: str, peaks: int = 5) -> DataFrame:
     """Adds `isotopes`, the expected isotope distribution of a sequence (modifications left out)."""
 

@@ -460,10 +460,22 @@ def xcorr_vector(mz: np.ndarray, intensity: np.ndarray, width: float = 1.0005079
     return v - (total[z] - total[a] - v) / (2 * around)
 
 
-def xcorr(theoretical: np.ndarray, mz: np.ndarray, intensity: np.ndarray, width: float = 1.0005079, offset: float = 0.4) -> float:
+def xcorr(theoretical: np.ndarray, mz: np.ndarray, intensity: np.ndarray, width: float = 1.0005079, offset: float = 0.4, weights: np.ndarray | None = None) -> float:
+    """Cross-correlation of a spectrum with theoretical ions; with weights each bin counts by the square root of its largest
+    weight, the largest of all as 1."""
     v = xcorr_vector(mz, intensity, width, offset)
-    bins = np.unique((theoretical / width + offset).astype(int))
-    return float(v[bins[bins < len(v)]].sum() * 50 / 1e4)
+    bins = (theoretical / width + offset).astype(int)
+    if weights is None:
+        bins = np.unique(bins)
+        return float(v[bins[bins < len(v)]].sum() * 50 / 1e4)
+    top = float(weights.max(initial=0))
+    if top <= 0:
+        return 0.0
+    bins, back = np.unique(bins, return_inverse=True)
+    high = np.zeros(len(bins))
+    np.maximum.at(high, back, np.sqrt(np.maximum(weights, 0) / top))
+    live = bins < len(v)
+    return float((v[bins[live]] * high[live]).sum() * 50 / 1e4)
 
 
 def isotope_distribution(atoms: np.ndarray, peaks: int = 5) -> np.ndarray:

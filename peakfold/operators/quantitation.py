@@ -121,6 +121,15 @@ def _matrix(member: np.ndarray, x: np.ndarray, v: np.ndarray) -> tuple[np.ndarra
     return names, xs, m
 
 
+def _agreement(x: np.ndarray, m: np.ndarray, width: float, near: float | None, most: int = 5, fewest: int = 3, least: int = 3, weak: float = WEAK) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
+    """(correlation of each row with the local median, whether it is among the selected, first and last of the peak)."""
+    n, median, a, z = local_median(x, m, width, least, near)
+    r = np.round(correlations(n[:, a : z + 1], median[a : z + 1]), 9)
+    place = np.empty(len(r), np.int64)
+    place[np.argsort(-r, kind="stable")] = np.arange(len(r))
+    return r, r >= r[(place < most) & ((r >= weak) | (place < fewest))].min(), (a, z)
+
+
 def peak_ranges(df: DataFrame, key: list[str], x: str, y: str, width: float, least: int = 3, near: str | None = None) -> DataFrame:
     """The peak of every trace (see `peak_range`): key, start, stop, apex as x, points.  `near`: a column of one value a trace."""
 
@@ -147,11 +156,7 @@ def refine_transitions(traces: DataFrame, key: list[str], ion: str, x: str, valu
     def kernel(member, xs, v, *hint):
         names, xs, m = _matrix(member, xs, v)
         at = float(hint[0][0]) if hint and hint[0][0] is not None else None
-        n, median, a, z = local_median(xs, m, width, least, at)
-        r = np.round(correlations(n[:, a : z + 1], median[a : z + 1]), 9)
-        place = np.empty(len(r), np.int64)
-        place[np.argsort(-r, kind="stable")] = np.arange(len(r))
-        selected = r >= r[(place < most) & ((r >= weak) | (place < fewest))].min()
+        r, selected, (a, z) = _agreement(xs, m, width, at, most, fewest, least, weak)
         area, under = areas(xs[a : z + 1], m[:, a : z + 1])
         _, _, a, z = local_median(xs, m[selected], width, least, at)
         many = len(names)
@@ -217,3 +222,46 @@ def quantified(refined: DataFrame, key: list[str], ion: str, most: int = 5) -> D
     used = used.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("correlation"), F.col(ion)))).where(F.col("__r") <= most)
     names = F.transform(F.array_sort(F.collect_list(F.struct(F.col("__r"), F.col(ion).cast("string").alias("name")))), lambda p: p["name"])
     return used.groupBy(*key).agg(F.sum(F.greatest("net", F.lit(0.0))).alias("intensity"), F.count(F.lit(1)).alias("n_ions"), F.array_join(names, ",").alias("ions"), F.avg("correlation").alias("correlation"), F.max("start").alias("start"), F.max("stop").alias("stop"))
+
+
+# -- features of a peak in the traces ------------------------------------------------------------------------------------
+
+
+def cosine_bell(x: np.ndarray, centre: float, deviation: float) -> np.ndarray:
+    """The cosine that stands in for a Gaussian: 0 from two deviations on."""
+    away = np.abs(x - centre)
+    return np.where(away <= 2 * deviation, np.cos(away * np.pi / (4 * deviation)), 0.0) if deviation > 0 else np.zeros(len(x))
+
+
+def shape_features(traces: DataFrame, key: list[str], ion: str, x: str, value: str, precursor: str, centre: str, width: float = 25.0, identifying: float = 0.75, hold: bool = True, **how) -> DataFrame:
+    """How much a candidate's traces around a scan look like one peak.
+
+    traces: key, ion, x, value, precursor (its signal at that x, on every ion's row), centre (x of the scan, one a key).
+    Ions without signal are left out.  Transitions are refined as by `refine_transitions`, with `centre` to be held (unless `hold` is off); then the
+    median of the selected ones is correlated with a bell around the centre (as wide as the range, two thirds of the expected
+    width at least) and with the precursor within the range.
+
+    Returns key, n_good (transitions correlating by 0.75 or more), is_integrated_signal, is_integrated_precursor (0 or 1),
+    correlation_to_gaussian, correlation_to_precursor (0 where the median has no signal in the range), start, stop.
+    """
+
+    def kernel(member, xs, v, p, near):
+        at = float(near[0])
+        names, grid, m = _matrix(member, xs, v)
+        own = _matrix(np.zeros(len(xs), np.int64), xs, p)[2][0]
+        m = m[m.sum(1) > 0]
+        if not len(m):
+            return {"n_good": [0], "is_integrated_signal": [0], "is_integrated_precursor": [0], "correlation_to_gaussian": [0.0], "correlation_to_precursor": [0.0], "start": [grid[0]], "stop": [grid[-1]]}
+        r, selected, _ = _agreement(grid, m, width, at if hold else None, **how)
+        _, median, a, z = local_median(grid, m[selected], width, how.get("least", 3), at if hold else None)
+        inside = (np.arange(len(grid)) >= a) & (np.arange(len(grid)) <= z)
+        held = np.where(inside, own, 0.0)
+        live = median[inside].sum() > 0
+        bell = cosine_bell(grid, at, max(width / 6, (grid[z] - grid[a]) / 4))
+        gaussian, parent = correlations(np.stack([bell, held]), median) if live else (0.0, 0.0)
+        return {
+            "n_good": [int((r >= identifying).sum())], "is_integrated_signal": [int(live and (r >= QUANTITATIVE).any())], "is_integrated_precursor": [int(live and held.sum() > 0)],
+            "correlation_to_gaussian": [float(gaussian)], "correlation_to_precursor": [float(parent)], "start": [grid[a]], "stop": [grid[z]],
+        }
+
+    return per_group(traces.where(F.col(x).isNotNull()), key, [ion, x], [ion, x, value, precursor, centre], "n_good int, is_integrated_signal int, is_integrated_precursor int, correlation_to_gaussian double, correlation_to_precursor double, start double, stop double", kernel)

@@ -120,15 +120,60 @@ def compete(df: DataFrame, key: list[str], score: str, tie: list[str]) -> DataFr
     return x.where("__r = 1").drop("__r")
 
 
+#: Names of the default search's features, in the order of its feature table.
+FEATURES = (
+    "primary", "evalue", "correlation_to_gaussian", "correlation_to_precursor", "is_integrated_signal", "is_integrated_precursor", "n_good_correlation", "hyperscore", "xcorr_lib", "xcorr_model", "fit_score", "n_matched", "n_above", "delta_mean", "isotope_dot",
+    "parent_delta", "ln_sp", "ladder",
+)
+
+
+def scan_scores(matches: DataFrame, width: int, transitions: int = 3, low_resolution: bool = False) -> DataFrame:
+    """candidate, scan, at, primary, correlation_sum, tiers, score of every scan: the default search's score over time."""
+    unit = matches.groupBy("candidate", "scan", "at").agg(F.sqrt(F.sum(F.col("predicted") * F.col("predicted"))).alias("p"), F.sqrt(F.sum(F.col("intensity") * F.col("intensity"))).alias("a"), F.sum(F.col("predicted") * F.col("intensity")).alias("s"), F.count_if(F.col("intensity") > 0).alias("n"))
+    primary = unit.select("candidate", "scan", "at", F.when((F.col("s") > 0) & (F.col("n") > 0), A.hyperscore(F.col("s") / (F.col("p") * F.col("a")), F.col("n"))).otherwise(F.lit(0.0)).alias("primary"))
+    return candidate_scores(primary, trace_scores(matches, ["candidate"], "ion", "at", "intensity", width, transitions), ["candidate"], "at", low_resolution=low_resolution)
+
+
 def default_search(matches: DataFrame, width: int, transitions: int = 3, k: int = 5, low_resolution: bool = False) -> DataFrame:
     """The default search: matches (candidate, group, decoy, scan, at, ion, predicted, intensity), dense over ions and scans, as
     the best separate scans of each candidate; one row a group stays, the winner over target and decoy candidates."""
     from peakfold.operators.kernels import topk_exclusion
 
-    key = ["candidate"]
-    unit = matches.groupBy("candidate", "scan", "at").agg(F.sqrt(F.sum(F.col("predicted") * F.col("predicted"))).alias("p"), F.sqrt(F.sum(F.col("intensity") * F.col("intensity"))).alias("a"), F.sum(F.col("predicted") * F.col("intensity")).alias("s"), F.count_if(F.col("intensity") > 0).alias("n"))
-    primary = unit.select("candidate", "scan", "at", F.when((F.col("s") > 0) & (F.col("n") > 0), A.hyperscore(F.col("s") / (F.col("p") * F.col("a")), F.col("n"))).otherwise(F.lit(0.0)).alias("primary"))
-    scored = candidate_scores(primary, trace_scores(matches, key, "ion", "at", "intensity", width, transitions), key, "at", low_resolution=low_resolution)
-    best = topk_exclusion(scored.where("score > 0"), key, ["at"], "scan", "score", k, width)
+    scored = scan_scores(matches, width, transitions, low_resolution)
+    best = topk_exclusion(scored.where("score > 0"), ["candidate"], ["at"], "scan", "score", k, width)
     names = matches.select("candidate", "group", "decoy").distinct()
     return compete(best.join(names, "candidate"), ["group"], "score", ["candidate", "scan"])
+
+
+def feature_search(matches: DataFrame, scans: DataFrame, width: int, rt_width: float, transitions: int = 3, k: int = 2, low_resolution: bool = False, tolerance: float = 10.0) -> DataFrame:
+    """The default search with its whole feature vector, for the rescoring that follows it.
+
+    matches: candidate, group, decoy, scan, at, rt, ion, ion_type, ion_index, predicted, intensity (square roots), delta, tic,
+    precursor (its signal in that scan), dense over ions and scans; scans: candidate, scan, xcorr_lib, xcorr_model,
+    isotope_dot, parent_delta, for the scans that may be chosen.  `width`: scans of a peak; `rt_width`: its expected width in rt.
+
+    The k + 1 best scans of a candidate are taken, each 2 `width` scans from better ones.  Around each, transitions are
+    refined (`quantitation.shape_features`); scans with fewer than `transitions` well correlating ones give way to those with
+    enough, if the candidate has such.  Returns candidate, group, decoy, scan, rank and FEATURES.
+    """
+    from peakfold.operators.kernels import topk_exclusion
+    from peakfold.operators.quantitation import shape_features
+    from peakfold.operators.statistics import e_value, e_value_fit
+
+    scored = scan_scores(matches, width, transitions, low_resolution)
+    best = topk_exclusion(scored, ["candidate"], ["at"], "scan", "score", k + 1, 2 * width)
+    taken = best.join(matches.select("candidate", "scan", "at", "rt").distinct(), ["candidate", "scan"])
+    # Each taken scan's surroundings: a join on the candidate, of as many rows as a few peaks have.
+    around = matches.select("candidate", F.col("at").alias("__at"), F.col("rt").alias("__x"), "ion", (F.col("intensity") * F.col("intensity")).alias("__v"), "precursor")
+    local = taken.select("candidate", "scan", "at", F.col("rt").alias("__centre")).join(around, "candidate").where(F.abs(F.col("__at") - F.col("at")) <= 2 * width)
+    shape = shape_features(local, ["candidate", "scan"], "ion", "__x", "__v", "precursor", "__centre", rt_width)
+    fit = e_value_fit(scored, ["candidate"], "score")
+    ions = matches.join(taken.select("candidate", "scan"), ["candidate", "scan"])
+    parts = match_features(ions.withColumn("intensity", F.col("intensity") * F.col("intensity")), ["candidate", "scan"], transitions, tolerance)
+    x = taken.withColumnRenamed("score", "primary").join(shape.withColumnRenamed("n_good", "n_good_correlation"), ["candidate", "scan"]).join(parts, ["candidate", "scan"]).join(fit, "candidate").join(scans, ["candidate", "scan"], "left")
+    x = x.withColumn("evalue", F.coalesce(e_value(F.col("primary"), F.col("slope"), F.col("intercept")), F.lit(-1.0)))
+    x = x.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(default)) for c, default in (("xcorr_lib", 0.0), ("xcorr_model", 0.0), ("isotope_dot", 0.0), ("parent_delta", tolerance))})
+    enough = F.col("n_good_correlation") >= transitions
+    x = x.withColumn("__some", F.max(enough).over(Window.partitionBy("candidate"))).where(enough | (~F.col("__some") & (F.col("rank") == 1)))
+    names = matches.select("candidate", "group", "decoy").distinct()
+    return x.join(names, "candidate").select("candidate", "group", "decoy", "scan", "rank", *FEATURES)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from peakfold.operators import features, tracescore
 from peakfold.operators import quantitation as quant
 from peakfold.plans.catalog import query, t
 from peakfold.plans.catalog_more import trace_table
@@ -117,3 +118,40 @@ def precursor_areas(spark, d):
     expected = x.select("user_id", "isotope").distinct().withColumn("share", 1 / (1 + F.col("isotope") * (F.col("user_id") % 3 + 1) / 4))
     r = quant.integrate_precursors(x, expected, ["user_id"], "charge", "isotope", "x", "v", 4.0)
     return r.select("user_id", "charge", "isotope", F.round("correlation", 6).alias("correlation"), "quantitative", F.round("area", 4).alias("area"), F.round("background", 4).alias("background"), "capped", "start", "stop")
+
+
+@query(f"""
+WITH live AS (SELECT user_id AS k, event_type AS ion FROM events GROUP BY ALL HAVING sum(value) > 0),
+{REFINED.replace("tr AS (SELECT", "tr AS (SELECT * FROM (SELECT", 1).replace("LEFT JOIN sv USING (user_id, ion, x))", "LEFT JOIN sv USING (user_id, ion, x)) JOIN live USING (k, ion))", 1)},
+md AS (SELECT DISTINCT k, x, y, a, z, CAST(k % 30 AS DOUBLE) AS c FROM gn),
+pc AS (SELECT user_id AS k, CAST(ts AS DATE) - DATE '2024-01-01' AS x, count(*) AS p FROM events GROUP BY ALL),
+sh AS (SELECT md.*, CASE WHEN x BETWEEN a AND z THEN coalesce(p, 0) ELSE 0 END AS p, greatest(8 / 6, (z - a) / 4) AS dev FROM md LEFT JOIN pc USING (k, x)),
+bl AS (SELECT *, CASE WHEN abs(x - c) <= 2 * dev THEN cos(abs(x - c) * pi() / (4 * dev)) ELSE 0 END AS g FROM sh),
+co AS (SELECT k, any_value(a) AS a, any_value(z) AS z, sum(y) FILTER (x BETWEEN a AND z) > 0 AS live, sum(p) > 0 AS parent,
+  CASE WHEN var_pop(g) > 1e-12 * avg(g * g) AND var_pop(y) > 1e-12 * avg(y * y) THEN least(1, corr(g, y)) ELSE 0 END AS cg, CASE WHEN var_pop(p) > 1e-12 * avg(p * p) AND var_pop(y) > 1e-12 * avg(y * y) THEN least(1, corr(p, y)) ELSE 0 END AS cp FROM bl GROUP BY k),
+ng AS (SELECT k, count(*) FILTER (correlation >= 0.75) AS good, count(*) FILTER (correlation >= 0.9) AS great FROM ar GROUP BY k)
+SELECT k AS user_id, CAST(good AS INTEGER) AS n_good, CAST(live AND great > 0 AS INTEGER) AS is_integrated_signal, CAST(live AND parent AS INTEGER) AS is_integrated_precursor,
+  round(CASE WHEN live THEN cg ELSE 0 END, 6) AS correlation_to_gaussian, round(CASE WHEN live THEN cp ELSE 0 END, 6) AS correlation_to_precursor, CAST(a AS DOUBLE) AS start, CAST(z AS DOUBLE) AS stop FROM co JOIN ng USING (k)
+""")
+def shape_features(spark, d):
+    """Users as candidates, their events a day as the precursor, their ranges not bound to a scan beyond the bell's centre."""
+    days = t(spark, d, "events").groupBy("user_id", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long").alias("at")).agg(F.count(F.lit(1)).alias("p"))
+    x = trace_table(spark, d).join(days, ["user_id", "at"], "left").withColumns({"p": F.coalesce("p", F.lit(0)), "c": (F.col("user_id") % 30).cast("double")})
+    out = quant.shape_features(x, ["user_id"], "ion", "at", "v", "p", "c", 8.0, hold=False)
+    return out.select("user_id", "n_good", "is_integrated_signal", "is_integrated_precursor", F.round("correlation_to_gaussian", 6).alias("correlation_to_gaussian"), F.round("correlation_to_precursor", 6).alias("correlation_to_precursor"), "start", "stop")
+
+
+@query()
+def feature_search(spark, d):
+    """Users as candidates (of pairs, odd ones decoys), event types as ions, days as scans, events a day as the precursor."""
+    e = t(spark, d, "events").withColumn("at", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long"))
+    days = e.groupBy("user_id", "at").agg(F.count(F.lit(1)).cast("double").alias("precursor"), F.sum("value").alias("tic"))
+    x = trace_table(spark, d).join(days, ["user_id", "at"], "left")
+    x = x.select(F.col("user_id").alias("candidate"), F.floor(F.col("user_id") / 2).alias("group"), (F.col("user_id") % 2 == 1).alias("decoy"), F.col("at").alias("scan"), "at", (F.col("at") * 1.0).cast("double").alias("rt"), "ion", F.substring("ion", 1, 1).alias("ion_type"), F.length("ion").alias("ion_index"), (F.length("ion") * 1.0).cast("double").alias("predicted"), F.sqrt("v").alias("intensity"), (F.col("v") % 7 - 3).alias("delta"), F.coalesce("tic", F.lit(0.0)).alias("tic"), F.coalesce("precursor", F.lit(0.0)).alias("precursor"))
+    peaks = e.groupBy(F.col("user_id").alias("candidate"), F.col("at").alias("scan")).agg(F.array_sort(F.collect_list(F.struct((F.col("event_id") % 997 + 100.0).alias("mz"), F.col("value").alias("intensity")))).alias("peaks"))
+    library = e.groupBy(F.col("event_type").alias("type")).agg(F.array_sort(F.collect_set((F.col("event_id") % 97 * 10 + 100.0))).alias("mz"))  # a hundred masses a type
+    one = peaks.withColumn("type", F.element_at(F.array(F.lit("click"), F.lit("error"), F.lit("view")), (F.col("candidate") % 3 + 1).cast("int"))).join(library, "type", "left")
+    scans = features.xcorr_pair(one.withColumns({"ions": F.coalesce("mz", F.array().cast("array<double>")), "library": F.transform(F.coalesce("mz", F.array().cast("array<double>")), lambda m: F.struct(m.alias("mz"), (m % 13).alias("intensity")))}))
+    scans = scans.select("candidate", "scan", "xcorr_lib", "xcorr_model", (F.size("peaks") / (F.size("peaks") + 1.0)).alias("isotope_dot"), (F.size("peaks") * 1.0).alias("parent_delta"))
+    out = tracescore.feature_search(x, scans, 4, 8.0)
+    return out.select("candidate", "group", "decoy", "scan", "rank", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in tracescore.FEATURES])
