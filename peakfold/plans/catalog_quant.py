@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from peakfold.operators import features, tracescore
+from peakfold.operators import alignment, features, tracescore
 from peakfold.operators import quantitation as quant
 from peakfold.plans.catalog import query, t
 from peakfold.plans.catalog_more import trace_table
@@ -155,3 +155,49 @@ def feature_search(spark, d):
     scans = scans.select("candidate", "scan", "xcorr_lib", "xcorr_model", (F.size("peaks") / (F.size("peaks") + 1.0)).alias("isotope_dot"), (F.size("peaks") * 1.0).alias("parent_delta"))
     out = tracescore.feature_search(x, scans, 4, 8.0)
     return out.select("candidate", "group", "decoy", "scan", "rank", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in tracescore.FEATURES])
+
+
+RIDGE = """
+p AS (SELECT event_type AS k, CAST(epoch_us(ts) AS DOUBLE) / 3.6e9 AS x, value AS y FROM events),
+r AS (SELECT k, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p GROUP BY k),
+c AS (SELECT k, CAST(floor((x - x0) / (x1 - x0) * 59 + 0.5) AS INTEGER) AS i, CAST(floor((y - y0) / (y1 - y0) * 39 + 0.5) AS INTEGER) AS j, count(*) AS c FROM p JOIN r USING (k) GROUP BY ALL),
+s AS (SELECT k, least(60 / 40, sum(c) ** (-1 / 6) * sqrt(greatest((sum(c * i * i) - sum(c * i) * sum(c * i) / sum(c)) / sum(c), 0)) / (2 * sqrt(2 * ln(2)))) AS di, least(40 / 40, sum(c) ** (-1 / 6) * sqrt(greatest((sum(c * j * j) - sum(c * j) * sum(c * j) / sum(c)) / sum(c), 0)) / (2 * sqrt(2 * ln(2)))) AS dj FROM c GROUP BY k),
+o AS (SELECT range AS o FROM range(-3, 4)),
+h AS (SELECT k, i + o AS i, j, sum(c * CASE WHEN di > 0 THEN sqrt(greatest(cos(abs(o) * pi() / (4 * di)), 0) * pi() / (8 * di)) ELSE 1 END) AS w FROM c JOIN s USING (k), o WHERE abs(o) <= floor(2 * di + 0.5) AND (abs(o) <= 2 * di) AND i + o BETWEEN 0 AND 59 GROUP BY ALL),
+v AS (SELECT k, i, j + o AS j, round(sum(w * CASE WHEN dj > 0 THEN sqrt(greatest(cos(abs(o) * pi() / (4 * dj)), 0) * pi() / (8 * dj)) ELSE 1 END), 9) AS w FROM h JOIN s USING (k), o WHERE abs(o) <= floor(2 * dj + 0.5) AND abs(o) <= 2 * dj AND j + o BETWEEN 0 AND 39 GROUP BY ALL)"""
+
+
+@query(f"""
+WITH RECURSIVE {RIDGE},
+t AS (SELECT k, i, j FROM v QUALIFY row_number() OVER (PARTITION BY k ORDER BY w DESC, i, j) = 1),
+q AS (
+  SELECT k, d, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j FROM t, (VALUES (1), (-1)) s(d)
+  UNION ALL
+  SELECT k, d, i, CASE WHEN e >= greatest(n, s) OR n = s THEN jj WHEN n > s THEN jj + 1 ELSE jj - 1 END FROM (
+    SELECT q.k, q.d, q.i + q.d AS i, least(greatest(q.j, 1), 38) AS jj, coalesce(a.w, 0) AS e, coalesce(b.w, 0) AS n, coalesce(z.w, 0) AS s
+    FROM q LEFT JOIN v a ON a.k = q.k AND a.i = q.i + q.d AND a.j = least(greatest(q.j, 1), 38) LEFT JOIN v b ON b.k = q.k AND b.i = q.i + q.d AND b.j = least(greatest(q.j, 1), 38) + 1 LEFT JOIN v z ON z.k = q.k AND z.i = q.i + q.d AND z.j = least(greatest(q.j, 1), 38) - 1
+    WHERE q.i + q.d BETWEEN 0 AND 59)
+)
+SELECT DISTINCT k AS event_type, CAST(i AS INTEGER) AS i, round(x0 + i * (x1 - x0) / 59, 4) AS x, round(y0 + j * (y1 - y0) / 39, 6) AS y FROM q JOIN r USING (k)
+""")
+def mass_error_ridge(spark, d):
+    """Event types as runs, hours as times, values as errors."""
+    e = t(spark, d, "events").select("event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9).alias("x"), "value")
+    return alignment.ridge(e, ["event_type"], "x", "value", 60, 40).select("event_type", "i", F.round("x", 4).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(f"""
+WITH {RIDGE}
+SELECT k AS event_type, i, CAST(j AS INTEGER) AS j, round(w, 6) AS weight FROM v WHERE w > 0
+""")
+def rectangle_density(spark, d):
+    e = t(spark, d, "events").select("event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9).alias("x"), "value")
+    grid, _ = alignment.rectangle_density(e, ["event_type"], "x", "value", 60, 40)
+    return grid.where("weight > 0").select("event_type", "i", "j", F.round("weight", 6).alias("weight"))
+
+
+@query()
+def corrected_errors(spark, d):
+    """Event types as runs: errors less their ridge."""
+    e = t(spark, d, "events").select("event_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9).alias("x"), "value")
+    return alignment.corrected_errors(e, ["event_type"], "x", "value", "event_id", 300, 100)
