@@ -1,9 +1,8 @@
-"""XML and SQLite formats.  A file is one unit of work; executors stream through it and yield column batches."""
+"""XML and SQLite formats.  mzML is read in ranges of bytes; of the others a file is one unit of work."""
 
 from __future__ import annotations
 
 import base64
-import io
 import sqlite3
 import struct
 import tempfile
@@ -31,7 +30,7 @@ def decode_array(text: str | None, wide: bool, packed: bool) -> np.ndarray:
     return np.where(np.isfinite(v), v, 0.0)
 
 
-def _spectrum(node, run: str) -> dict:
+def spectrum_row(node, run: str) -> dict:
     par = {}
     for p in node.iter():
         if _local(p.tag) == "cvParam":
@@ -53,25 +52,12 @@ def _spectrum(node, run: str) -> dict:
     }
 
 
-def mzml(spark: SparkSession, path: str, batch: int = 500) -> DataFrame:
-    """Scans of mzML files.  A truncated file is an error, not a shorter table."""
+def mzml(spark: SparkSession, path: str, split: int = 64 << 20) -> DataFrame:
+    """Scans of mzML files, in ranges of `split` bytes.  A truncated file is an error, not a shorter table."""
+    from peakfold.sources.mzml import MzmlSource
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = [c.split(" ")[0] for c in SCANS.split(", ")]
-        for p in parts:
-            for name, content in zip(p.path, p.content):
-                rows = []
-                for _, node in ElementTree.iterparse(io.BytesIO(content)):
-                    if _local(node.tag) == "spectrum":
-                        rows.append(_spectrum(node, name.rsplit("/", 1)[-1]))
-                        node.clear()
-                        if len(rows) == batch:
-                            yield pd.DataFrame(rows, columns=cols)
-                            rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=cols)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCANS)
+    spark.dataSource.register(MzmlSource)
+    return spark.read.format("mzml").option("split", split).load(path)
 
 
 def windows_of(scans: DataFrame) -> DataFrame:

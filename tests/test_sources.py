@@ -105,10 +105,44 @@ def test_mzml(spark, tmp_path):
     w = binary.windows_of(binary.mzml(spark, str(tmp_path / "a.mzml"))).first()
     assert w.duty_cycle == pytest.approx(6) and w.n == 3
     (tmp_path / "bad.mzml").write_text((tmp_path / "a.mzml").read_text()[:900])
-    with pytest.raises(Exception, match="ParseError|no element|mismatched|unclosed"):
+    with pytest.raises(Exception, match="ParseError|no element|mismatched|unclosed|truncated"):
         binary.mzml(spark, str(tmp_path / "bad.mzml")).collect()
 
 
+def test_mzml_in_ranges(spark, tmp_path):
+    """Ranges of any size give what one range gives: no spectrum twice, none lost, whatever is cut in two; folders and patterns."""
+    body = "".join(spectrum_xml(i, 1 + i / 10, [100.5 + i] * (i % 7), [float(i)] * (i % 7)) for i in range(40))
+    (tmp_path / "x").mkdir()
+    whole = f'<?xml version="1.0" encoding="utf-8"?><indexedmzML><mzML xmlns="http://psi.hupo.org/ms/mzml"><run><spectrumList count="40">{body}</spectrumList></run></mzML><indexList/></indexedmzML>\n'
+    for name in ("a.mzML", "b.mzML"):
+        (tmp_path / "x" / name).write_text(whole)
+    (tmp_path / "x" / "notes.txt").write_text("none")
+    say = lambda df: sorted((r.run, r["index"], r.rt, peaks(r)) for r in df.collect())
+    one = say(binary.mzml(spark, str(tmp_path / "x" / "a.mzML")))
+    assert [r[1] for r in one] == list(range(40))
+    for split in (701, 4096, 20_011):
+        df = binary.mzml(spark, f"file://{tmp_path}/x/a.mzML", split)
+        assert say(df) == one and df.rdd.getNumPartitions() == -(-len(whole) // split)
+    assert len(say(binary.mzml(spark, str(tmp_path / "x"), 5000))) == 80 == len(say(binary.mzml(spark, str(tmp_path / "x" / "*.mzML"))))
+    (tmp_path / "cut.mzml").write_text(whole[:-40])
+    (tmp_path / "half.mzml").write_text(whole[: len(whole) // 2])
+    for bad in ("cut.mzml", "half.mzml"):
+        with pytest.raises(Exception, match="truncated"):
+            binary.mzml(spark, str(tmp_path / bad), 3000).collect()
+
+
+def test_mzml_elements():
+    """A tag that lies across a border belongs to the range it starts in."""
+    import io
+
+    from peakfold.sources.mzml import elements
+
+    text = b"<spectrumList><spectrum id='a'>1</spectrum> <spectrum\nid='b'></spectrum></spectrumList>"
+    for k in range(len(text) + 1):
+        got = [*elements(io.BytesIO(text), 0, k), *elements(io.BytesIO(text), k, len(text))]
+        assert got == [b"<spectrum id='a'>1</spectrum>", b"<spectrum\nid='b'></spectrum>"]
+
+
 def test_traml(spark, tmp_path):
     (tmp_path / "a.traml").write_text('<TraML><CompoundList><Peptide id="p1" sequence="PEPK"><cvParam accession="MS:1000041" value="2"/></Peptide></CompoundList><TransitionList><Transition id="t" peptideRef="p1"><Precursor><cvParam accession="MS:1000827" value="300.5"/></Precursor><Product><cvParam accession="MS:1000827" value="147.1"/></Product><cvParam accession="MS:1001226" value="9"/></Transition></TransitionList></TraML>')
     r = binary.traml(spark, str(tmp_path / "a.traml")).first()
