@@ -265,3 +265,88 @@ def shape_features(traces: DataFrame, key: list[str], ion: str, x: str, value: s
         }
 
     return per_group(traces.where(F.col(x).isNotNull()), key, [ion, x], [ion, x, value, precursor, centre], "n_good int, is_integrated_signal int, is_integrated_precursor int, correlation_to_gaussian double, correlation_to_precursor double, start double, stop double", kernel)
+
+
+# -- traces between their points -----------------------------------------------------------------------------------------
+
+
+def natural_spline(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Second derivatives at the knots of the cubic spline that is straight at both ends: the tridiagonal system, swept down and
+    back up once."""
+    n = len(x)
+    m = np.zeros(n)
+    if n < 3:
+        return m
+    h = np.diff(x)
+    slope = np.diff(y) / h
+    upper, right = np.zeros(n), np.zeros(n)
+    for i in range(1, n - 1):
+        pivot = 2 * (h[i - 1] + h[i]) - h[i - 1] * upper[i - 1]
+        upper[i] = h[i] / pivot
+        right[i] = (6 * (slope[i] - slope[i - 1]) - h[i - 1] * right[i - 1]) / pivot
+    for i in range(n - 2, 0, -1):
+        m[i] = right[i] - upper[i] * m[i + 1]
+    return m
+
+
+def spline_at(x: np.ndarray, y: np.ndarray, m: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The spline at given places, not below 0 and 0 outside of the trace."""
+    if len(x) < 2:
+        return np.where(at == x[0], np.maximum(y[0], 0.0), 0.0) if len(x) else np.zeros(len(at))
+    k = np.clip(np.searchsorted(x, at, "right") - 1, 0, len(x) - 2)
+    h = x[k + 1] - x[k]
+    a, b = (x[k + 1] - at) / h, (at - x[k]) / h
+    v = a * y[k] + b * y[k + 1] + ((a**3 - a) * m[k] + (b**3 - b) * m[k + 1]) * h * h / 6
+    return np.where((at < x[0]) | (at > x[-1]), 0.0, np.maximum(v, 0.0))
+
+
+def refined_apex(x: np.ndarray, y: np.ndarray, start: float, stop: float, steps: int = 10, even: float = 0.99, most: int = 60) -> tuple[float, float]:
+    """(place, height) of the spline's apex from start to stop: between the neighbours of the greatest point there, ten places are
+    looked at, then ten around the best of them, until all are within a hundredth of it.  NaN without signal."""
+    inside = np.flatnonzero((x >= start) & (x <= stop) & (y > 0))
+    if not len(inside):
+        return float("nan"), float("nan")
+    top = int(inside[y[inside].argmax()])
+    m = natural_spline(x, y)
+    low, high = max(start, x[max(top - 1, 0)]), min(stop, x[min(top + 1, len(x) - 1)])
+    best, height = float(x[top]), float(y[top])
+    for _ in range(most):
+        if high <= low:
+            break
+        at = low + (high - low) / steps * np.arange(steps)
+        v = spline_at(x, y, m, at)
+        k = int(v.argmax())
+        best, height = float(at[k]), float(v[k])
+        if height <= 0 or v.min() >= even * height:
+            break
+        step = (high - low) / steps
+        low, high = best - step, best + step
+    return best, height
+
+
+def apex_times(df: DataFrame, key: list[str], x: str, y: str, width: float = 25.0, least: int = 3) -> DataFrame:
+    """Of each trace's peak: key, apex (x of the spline's greatest value), height, start, stop.  Of points that share an x the last
+    counts; a trace without signal in its range has no apex."""
+
+    def kernel(xs, ys):
+        xs, ys = xs.astype(float), np.nan_to_num(ys.astype(float))
+        last = np.append(np.diff(xs) > 0, True)
+        xs, ys = xs[last], ys[last]
+        a, z, _ = peak_range(xs, ys, width, least)
+        apex, height = refined_apex(xs, ys, xs[a], xs[z])
+        return {"apex": [apex], "height": [height], "start": [xs[a]], "stop": [xs[z]]}
+
+    return per_group(df.where(F.col(x).isNotNull()), key, [x, y], [x, y], "apex double, height double, start double, stop double", kernel)
+
+
+def resampled(df: DataFrame, key: list[str], x: str, y: str, points: int, low: str, high: str) -> DataFrame:
+    """Traces at `points` even places from the columns low to high (one value of each a key): key, place, x, value of the spline."""
+
+    def kernel(xs, ys, a, z):
+        xs, ys = xs.astype(float), np.nan_to_num(ys.astype(float))
+        last = np.append(np.diff(xs) > 0, True)
+        xs, ys = xs[last], ys[last]
+        at = float(a[0]) + (float(z[0]) - float(a[0])) * np.arange(points) / points
+        return {"place": np.arange(points, dtype=np.int32), "x": at, "value": spline_at(xs, ys, natural_spline(xs, ys), at)}
+
+    return per_group(df.where(F.col(x).isNotNull()), key, [x, y], [x, y, low, high], "place int, x double, value double", kernel)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from peakfold.operators import alignment, features, tracescore
+from peakfold.operators import alignment, features, tracescore, variants
 from peakfold.operators import quantitation as quant
 from peakfold.plans.catalog import query, t
 from peakfold.plans.catalog_more import trace_table
@@ -201,3 +201,58 @@ def corrected_errors(spark, d):
     """Event types as runs: errors less their ridge."""
     e = t(spark, d, "events").select("event_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9).alias("x"), "value")
     return alignment.corrected_errors(e, ["event_type"], "x", "value", "event_id", 300, 100)
+
+
+@query()
+def apex_times(spark, d):
+    """Users' values a day: the spline's apex of each user's peak."""
+    e = t(spark, d, "events").groupBy("user_id", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("double").alias("x")).agg(F.sum("value").alias("y"))
+    return quant.apex_times(e, ["user_id"], "x", "y", 8.0).select("user_id", *[F.round(c, 6).alias(c) for c in ("apex", "height", "start", "stop")])
+
+
+@query("""
+WITH x AS (SELECT l_orderkey AS k, p_retailprice AS mz, l_quantity AS lib, CASE WHEN l_discount > 0.03 THEN l_extendedprice ELSE 0 END AS y, o_totalprice AS mag, l_linenumber + 4 AS len, p_size % 3 AS w FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
+b AS (SELECT p_size % 3 AS w, p_retailprice AS m, sum(1.0 / (p_size + 10)) AS f FROM part WHERE p_partkey % 4 = 0 GROUP BY ALL),
+c AS (SELECT x.w, x.mz, least(1, sum(f)) AS chance FROM (SELECT DISTINCT w, mz FROM x) x JOIN b ON b.w = x.w AND abs(b.m - x.mz) <= greatest(b.m, x.mz) * 100e-6 GROUP BY ALL),
+r AS (SELECT x.*, CASE WHEN y > 0 THEN lib * y END AS p, coalesce(sum(CASE WHEN y > 0 THEN lib * y END) OVER (PARTITION BY k), 0) AS raw, chance FROM x LEFT JOIN c ON c.w = x.w AND c.mz = x.mz)
+SELECT k AS l_orderkey, round(max(raw), 2) AS raw, round(max(raw) / max(mag), 4) AS similarity, round(coalesce(sum(p * mz) / sum(mz) FILTER (y > 0), 0), 2) AS weighted, count(*) FILTER (p > raw / (len + 1)) AS n_above, count(*) FILTER (y > 0) AS n_matched,
+  round(coalesce(sum(chance), 0), 6) AS expected, round(count(*) FILTER (y > 0) - coalesce(sum(chance), 0), 6) AS excess FROM r GROUP BY k
+""")
+def chance_scores(spark, d):
+    """Orders as candidates, their parts' prices as masses, the sizes of parts as windows."""
+    x = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    x = x.select("l_orderkey", F.col("p_retailprice").alias("mz"), F.col("l_quantity").alias("library"), F.when(F.col("l_discount") > 0.03, F.col("l_extendedprice")).otherwise(F.lit(0.0)).alias("intensity"), F.col("o_totalprice").alias("magnitude"), (F.col("l_linenumber") + 4).alias("length"), (F.col("p_size") % 3).alias("window"))
+    b = t(spark, d, "part").where("p_partkey % 4 = 0").groupBy((F.col("p_size") % 3).alias("window"), F.col("p_retailprice").alias("mass")).agg(F.sum(1.0 / (F.col("p_size") + 10)).alias("frequency"))
+    out = variants.chance_scores(x, ["l_orderkey"], b, 100.0)
+    return out.select("l_orderkey", F.round("raw", 2).alias("raw"), F.round("similarity", 4).alias("similarity"), F.round("weighted", 2).alias("weighted"), "n_above", "n_matched", F.round("expected", 6).alias("expected"), F.round("excess", 6).alias("excess"))
+
+
+@query("""
+WITH s AS (SELECT p_partkey, regexp_replace(upper(p_name), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS s FROM part),
+c AS (SELECT 'TCAG'[i + 1] || 'TCAG'[j + 1] || 'TCAG'[k + 1] AS codon, 'FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG'[16 * i + 4 * j + k + 1] AS a FROM range(4) x(i), range(4) y(j), range(4) z(k)),
+n AS (SELECT DISTINCT x.a AS was, y.a AS becomes FROM c x JOIN c y ON CAST(x.codon[1] <> y.codon[1] AS INTEGER) + CAST(x.codon[2] <> y.codon[2] AS INTEGER) + CAST(x.codon[3] <> y.codon[3] AS INTEGER) = 1 WHERE x.a <> y.a AND x.a <> '*' AND y.a <> '*'),
+p AS (SELECT p_partkey, s, unnest(range(1, length(s) + 1)) AS position FROM s)
+SELECT p_partkey, CAST(position AS INTEGER) AS position, was, becomes, substr(s, 1, position - 1) || becomes || substr(s, position + 1) AS variant FROM p JOIN n ON n.was = substr(s, position, 1)
+""")
+def single_variants(spark, d):
+    """Part names as sequences: all that one changed base can make of them."""
+    x = t(spark, d, "part").select("p_partkey", F.regexp_replace(F.upper("p_name"), "[^ACDEFGHIKLMNPQRSTVWY]", "").alias("s"))
+    return variants.single_variants(x, "s").select("p_partkey", "position", "was", "becomes", "variant")
+
+
+@query()
+def checked_decoys(spark, d):
+    """Part names as sequences, against all of them."""
+    x = t(spark, d, "part").select("p_partkey", F.regexp_replace(F.upper("p_name"), "[^ACDEFGHIKLMNPQRSTVWY]", "").alias("s")).where("length(s) > 0")
+    return variants.checked_decoys(x, "s", x.select("s"), tries=10, most_shared=0.4)
+
+
+@query()
+def allele_competition(spark, d):
+    """Users as alleles of ten a site, days as scans, event types' values as masses."""
+    x = trace_table(spark, d).withColumns({"site": F.floor(F.col("user_id") / 10), "mz": F.round(100 + F.length("ion") * 37 + F.col("user_id") % 10 * F.ascii("ion") / 10.0, 3)})
+    primary = x.groupBy("site", "user_id", "at").agg(F.sum(F.sqrt("v")).alias("primary")).withColumn("rt", F.col("at") * 1.0)
+    ions = x.select("site", "user_id", "mz", F.lit(0.05).alias("frequency")).distinct()
+    peaks = x.where("v > 60").select("site", "at", "mz").distinct()
+    out = variants.allele_competition(primary, ions, peaks, ["site"], "user_id", 6.0, 5, 10.0, 3.0, 3)
+    return out.withColumns({c: F.round(c, 6) for c in ("rt", "primary", "localization")})

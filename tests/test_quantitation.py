@@ -1,9 +1,12 @@
 """Quantification against plain loops."""
 
+import math
 import random
 import statistics
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from peakfold.operators import quantitation as q
 
@@ -207,3 +210,50 @@ def test_precursors(spark):
             assert (g["correlation"], g["area"], g["background"]) == pytest.approx((r, area, under), abs=1e-6), (k, t)
             assert (g["capped"], g["start"], g["stop"], g["quantitative"]) == (some, start, stop, round(r, 9) > 0.9)
     assert q.refine_transitions(df.where("1 = 0"), ["k"], "isotope", "x", "y").count() == 0
+
+
+def test_splines_against_a_dense_solve():
+    rng = np.random.default_rng(3)
+    for n in (2, 3, 4, 17):
+        x, y = np.sort(rng.random(n) * 10), rng.random(n)
+        a, b = np.zeros((n, n)), np.zeros(n)
+        a[0, 0] = a[-1, -1] = 1
+        for i in range(1, n - 1):
+            h, k = x[i] - x[i - 1], x[i + 1] - x[i]
+            a[i, i - 1 : i + 2] = h, 2 * (h + k), k
+            b[i] = 6 * ((y[i + 1] - y[i]) / k - (y[i] - y[i - 1]) / h)
+        m = q.natural_spline(x, y)
+        assert np.allclose(m, np.linalg.solve(a, b))
+        assert np.allclose(q.spline_at(x, y, m, x), y) and q.spline_at(x, y, m, np.array([x[0] - 1, x[-1] + 1])).tolist() == [0, 0]
+        # Between knots the second derivative is linear.
+        for i in range(n - 1):
+            t = np.linspace(x[i], x[i + 1], 5)
+            cubic = np.polyfit(t, q.spline_at(x, y + 100, m, t), 3)
+            assert np.allclose(np.polyval(np.polyder(cubic, 2), [x[i], x[i + 1]]), m[i : i + 2], atol=1e-4 * (1 + abs(m).max()))
+
+
+def test_apex_times(spark):
+    x = [float(k) for k in range(21)]
+    bell = lambda c: [round(100 * math.exp(-(((t - c) / 2) ** 2)), 6) for t in x]
+    made = {"a": bell(9.3), "b": bell(11.8), "none": [0.0] * 21, "edge": bell(0.0)}
+    df = spark.createDataFrame([(k, t, y) for k, v in made.items() for t, y in zip(x, v)] + [("one", 4.0, 7.0), ("twice", 1.0, 2.0), ("twice", 1.0, 5.0)], "k string, x double, y double")
+    got = {r["k"]: r for r in q.apex_times(df, ["k"], "x", "y", 5.0).collect()}
+    for k, c in (("a", 9.3), ("b", 11.8)):
+        assert abs(got[k]["apex"] - c) < 0.15 and got[k]["height"] == pytest.approx(100, rel=0.02) and got[k]["start"] < c < got[k]["stop"]
+    assert got["none"]["apex"] is None and got["edge"]["apex"] < 0.5 and (got["one"]["apex"], got["one"]["height"]) == (4.0, 7.0) and got["twice"]["height"] == 5.0
+    s = df.where("k = 'a'").withColumns({"low": F.lit(2.0), "high": F.lit(18.0)})
+    r = q.resampled(s, ["k"], "x", "y", 50, "low", "high").orderBy("place").collect()
+    assert len(r) == 50 and max(r, key=lambda p: p["value"])["x"] == pytest.approx(9.3, abs=0.3) and all(abs(p["value"] - 100 * math.exp(-(((p["x"] - 9.3) / 2) ** 2))) < 1 for p in r)
+
+
+def test_shapes_of_a_peak(spark):
+    """One clean peak with its precursor, one of noise, one without signal."""
+    x = [float(k) for k in range(25)]
+    rng = random.Random(1)
+    bell = [math.exp(-(((t - 12) / 2) ** 2)) for t in x]
+    rows = [("peak", i, t, 10 * (i + 1) * b, 5 * b, 12.0) for i in range(4) for t, b in zip(x, bell)]
+    rows += [("noise", i, t, rng.random() * 10, rng.random(), 12.0) for i in range(4) for t in x] + [("none", 0, t, 0.0, 1.0, 12.0) for t in x]
+    got = {r["k"]: r for r in q.shape_features(spark.createDataFrame(rows, "k string, ion int, x double, y double, p double, c double"), ["k"], "ion", "x", "y", "p", "c", 6.0).collect()}
+    p = got["peak"]
+    assert (p["n_good"], p["is_integrated_signal"], p["is_integrated_precursor"]) == (4, 1, 1) and p["correlation_to_gaussian"] > 0.8 and p["correlation_to_precursor"] > 0.95 and p["start"] < 12 < p["stop"]
+    assert got["noise"]["correlation_to_gaussian"] < 0.8 and tuple(got["none"])[1:6] == (0, 0, 0, 0.0, 0.0)
