@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """Checkpointed, in a folder of our own where a local session has none; on a cluster spark.checkpoint.dir must name a shared one."""
     spark = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
@@ -31,13 +31,13 @@ def bridge_components(bridge: DataFrame, item: str, group: str, most_rounds: int
     Rounds grow with the logarithm of the longest path, and go on until nothing changes."""
     pairs = bridge.select(F.col(item).alias("i"), F.col(group).alias("a")).where("a is not null").distinct()
     first = pairs.where("i is not null").groupBy("i").agg(F.min("a").alias("b"))
-    now = _kept(pairs.join(first, "i").where("a <> b").select("a", "b").distinct())
+    now = checkpointed(pairs.join(first, "i").where("a <> b").select("a", "b").distinct())
     mark = None
     for _ in range(most_rounds):
         large = _star(now).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        now = _kept(small)
+        now = checkpointed(small)
         seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if seen == mark:
             break

@@ -847,7 +847,13 @@ def merge_scans(spark, d):
 # -- 9 kernels (no exact SQL; brute force in the tests) ----------------------------------------------------------------
 
 
-@query()
+@query("""
+WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS i FROM events),
+a AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, i) = 1),
+f AS (SELECT e.* FROM e JOIN a USING (user_id) WHERE abs(e.i - a.i) > 4), b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, i) = 1),
+g AS (SELECT f.* FROM f JOIN b USING (user_id) WHERE abs(f.i - b.i) > 4), c AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, i) = 1)
+SELECT user_id, event_id, value AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, 1 AS rank FROM a UNION ALL SELECT *, 2 AS rank FROM b UNION ALL SELECT *, 3 AS rank FROM c)
+""")
 def topk_exclusion(spark, d):
     return kernels.topk_exclusion(t(spark, d, "events"), ["user_id"], ["ts"], "event_id", "value", 3, 4)
 

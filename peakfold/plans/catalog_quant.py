@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from peakfold.operators import alignment, features, tracescore, variants
 from peakfold.operators import quantitation as quant
+from peakfold.plans import transfer
 from peakfold.plans.catalog import query, t
 from peakfold.plans.catalog_more import trace_table
 
@@ -256,3 +257,52 @@ def allele_competition(spark, d):
     peaks = x.where("v > 60").select("site", "at", "mz").distinct()
     out = variants.allele_competition(primary, ions, peaks, ["site"], "user_id", 6.0, 5, 10.0, 3.0, 3)
     return out.withColumns({c: F.round(c, 6) for c in ("rt", "primary", "localization")})
+
+
+def line_times(spark, d):
+    """Line numbers as runs, parts as sequences, at times that run with the part's key."""
+    return t(spark, d, "lineitem").select(F.concat(F.lit("r"), F.col("l_linenumber").cast("string")).alias("run"), F.col("l_partkey").cast("string").alias("modseq"), (F.col("l_partkey") / 50 * (1 + F.col("l_linenumber") / 40) + F.col("l_linenumber") + F.col("l_quantity") / 100).alias("rt"))
+
+
+@query("""
+WITH p AS (SELECT DISTINCT 'r' || l_linenumber AS run, l_partkey FROM lineitem)
+SELECT x.run AS a, y.run AS b, count(*) AS n FROM p x JOIN p y ON x.l_partkey = y.l_partkey AND x.run < y.run GROUP BY ALL
+""")
+def shared_counts(spark, d):
+    return transfer.shared_counts(line_times(spark, d))
+
+
+@query()
+def tree_alignment(spark, d):
+    return transfer.tree_alignment(line_times(spark, d)).select("run", "modseq", F.round("rt", 6).alias("rt"), F.round("aligned", 6).alias("aligned"), "root")
+
+
+@query()
+def all_peak_locations(spark, d):
+    return transfer.all_peak_locations(line_times(spark, d)).select("run", "modseq", F.round("rt", 6).alias("rt"), "observed")
+
+
+@query()
+def empirical_alignment(spark, d):
+    """Lines 1 and 2 to 7 of a part as pairs of runs."""
+    x = line_times(spark, d).groupBy("run", "modseq").agg(F.min("rt").alias("rt"))
+    pairs = x.where("run <> 'r1'").join(x.where("run = 'r1'").select("modseq", F.col("rt").alias("seed")), "modseq")
+    return alignment.empirical_alignment(pairs, ["run"], "seed", "rt", "modseq").select("run", "modseq", *[F.round(c, 6).alias(c) for c in ("warped", "delta", "probability")])
+
+
+@query()
+def source_times(spark, d):
+    """Years of orders as sources of one library a clerk's last digit, customers as spectra."""
+    o = t(spark, d, "orders").select((F.col("o_orderkey") % 10).alias("library"), F.col("o_custkey").alias("id"), F.year("o_orderdate").alias("source"), (F.col("o_custkey") / 10 + F.year("o_orderdate") % 100 + F.col("o_totalprice") / 1e6).alias("rt"), (F.col("o_orderkey") % 2).alias("best"))
+    return transfer.source_times(o, ["library"]).select("library", "id", F.round("rt", 6).alias("rt"))
+
+
+@query()
+def transferred_peaks(spark, d):
+    """Users as sequences: the first half of the month as the reference, the second as a run."""
+    x = t(spark, d, "events").groupBy("user_id", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("double").alias("rt")).agg(F.sum("value").alias("intensity"))
+    x = x.withColumnRenamed("user_id", "modseq")
+    bounds = transfer.reference_shapes(x.where("rt < 15"), 6.0)
+    pairs = x.where("rt < 15").select(F.lit("second").alias("run"), F.col("rt").alias("reference_rt"), (F.col("rt") + 15).alias("rt")).distinct()
+    out = transfer.transferred_peaks(bounds, pairs, x.where("rt >= 15").withColumn("run", F.lit("second")), 6.0)
+    return out.select("run", "modseq", "transferred", *[F.round(c, 6).alias(c) for c in ("start", "stop", "correlation", "area", "background", "net")])
