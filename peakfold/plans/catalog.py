@@ -393,7 +393,7 @@ def protein_matrix(spark, d):
     """Union, score join, total-intensity normalisation, members of few groups only, rollup to a matrix in long form."""
     o = t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice").distinct()
     n = agg.tic_normalize(o, "l_suppkey", "l_extendedprice")
-    few = o.select("l_partkey", "l_suppkey").distinct().groupBy("l_partkey").agg(F.count(F.lit(1)).alias("c")).where("c <= 30").select("l_partkey")
+    few = t(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct().groupBy("l_partkey").agg(F.count(F.lit(1)).alias("c")).where("c <= 30").select("l_partkey")
     s = t(spark, d, "supplier").join(joins.small_side(t(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), "n_name")
     p = t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     x = n.join(few, "l_partkey", "left_semi").join(p, "l_partkey").join(s, "l_suppkey")
@@ -517,10 +517,10 @@ def interpolate_trace(spark, d):
 P_VALUE = "CAST(rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC) AS DOUBLE) / (count(*) OVER (PARTITION BY l_returnflag) * 50)"
 
 
-def p_values(spark, d):
+def p_values(spark, d, ranges):
     from pyspark.sql import Window
 
-    x, ranges = t(spark, d, "lineitem"), ranges_for(t(spark, d, "lineitem"))
+    x = t(spark, d, "lineitem")
     if ranges > 1:
         # Of the table's few groups none is ordered in one task.
         key = ["l_returnflag", "l_extendedprice"]
@@ -537,7 +537,8 @@ r AS (SELECT *, count(*) OVER (PARTITION BY l_returnflag ORDER BY p) AS rank, co
 SELECT l_returnflag, l_orderkey, l_extendedprice, round(least(1.0, min(n * p / rank) OVER (PARTITION BY l_returnflag ORDER BY p DESC)), 9) AS q FROM r
 """)
 def bh_adjust(spark, d):
-    return st.benjamini_hochberg(p_values(spark, d), ["l_returnflag"], "p", ranges=ranges_for(t(spark, d, "lineitem"))).select("l_returnflag", "l_orderkey", "l_extendedprice", F.round("q", 9).alias("q"))
+    ranges = ranges_for(t(spark, d, "lineitem"))
+    return st.benjamini_hochberg(p_values(spark, d, ranges), ["l_returnflag"], "p", ranges=ranges).select("l_returnflag", "l_orderkey", "l_extendedprice", F.round("q", 9).alias("q"))
 
 
 @query("""

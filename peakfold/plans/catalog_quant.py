@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from peakfold.operators import alignment, features, tracescore, variants
+from peakfold.operators import alignment, features, merging, tracescore, variants
 from peakfold.operators import quantitation as quant
 from peakfold.plans import transfer
 from peakfold.plans.catalog import query, t
@@ -306,3 +306,18 @@ def transferred_peaks(spark, d):
     pairs = x.where("rt < 15").select(F.lit("second").alias("run"), F.col("rt").alias("reference_rt"), (F.col("rt") + 15).alias("rt")).distinct()
     out = transfer.transferred_peaks(bounds, pairs, x.where("rt >= 15").withColumn("run", F.lit("second")), 6.0)
     return out.select("run", "modseq", "transferred", *[F.round(c, 6).alias(c) for c in ("start", "stop", "correlation", "area", "background", "net")])
+
+
+@query()
+def merged_spectra(spark, d):
+    """Orders' lines as spectra of a part each, prices as masses."""
+    x = t(spark, d, "lineitem").select("l_suppkey", "l_orderkey", (F.col("l_orderkey") % 100).cast("double").alias("rt"), F.col("l_extendedprice").alias("mz"), F.col("l_quantity").alias("y"))
+    out = merging.merged_spectra(x, ["l_suppkey"], "l_orderkey", "rt", "mz", "y", 2000.0, 50, 500.0)
+    return out.select("l_suppkey", *[F.round(c, 6).alias(c) for c in ("mz", "intensity", "rt")], "n_spectra")
+
+
+@query()
+def combined_peaks(spark, d):
+    """Events of a user as peaks, values as masses."""
+    x = t(spark, d, "events").select("user_id", (F.col("value") + 100).alias("mz"), (F.col("event_id") % 97 + 1.0).alias("y"))
+    return merging.combined_peaks(x, ["user_id"], "mz", "y", 5000.0).select("user_id", F.round("mz", 6).alias("mz"), F.round("y", 6).alias("y"))

@@ -121,3 +121,38 @@ def predicted(df: DataFrame, client: Callable[[list[str]], list[float]], column:
         return pd.Series([x for a in range(0, len(v), batch) for x in client(v.iloc[a : a + batch].tolist())], index=v.index, dtype=float)
 
     return df.withColumn(out, ask(F.col(column)))
+
+
+def write_quant_reports(peptides: DataFrame, proteins: DataFrame, path: str) -> None:
+    """Reports of quantities for other tools, each a folder of text files under `path`.
+
+    peptides: modseq, seq, accessions, run, intensity, n_ions; proteins: accessions, run, intensity, n_peptides, sequences.
+    peptides and proteins (a row each, a column a run, 0 where a run has none), diffacto (plain sequence and protein by run, empty
+    where a run has none), diffacto_samples (run and sample group) and variation (of each peptide over the runs: mean, deviation and
+    their ratio).
+    """
+    runs = [r[0] for r in peptides.select("run").distinct().orderBy("run").collect()]  # a column each
+    tab = lambda df, name: df.write.mode("overwrite").csv(f"{path}/{name}", sep="\t", header=True)
+    wide = peptides.groupBy("modseq", F.col("accessions").alias("Protein")).pivot("run", runs).agg(F.sum("intensity"))
+    sizes = peptides.groupBy("modseq").agg(F.max("n_ions").alias("numFragments"))
+    out = wide.join(sizes, "modseq").select(F.col("modseq").alias("Peptide"), "Protein", "numFragments", *[F.coalesce(F.col(f"`{r}`"), F.lit(0.0)).alias(r) for r in runs])
+    tab(out.orderBy("Peptide"), "peptides")
+    wide = proteins.groupBy(F.col("accessions").alias("Protein")).pivot("run", runs).agg(F.sum("intensity"))
+    sizes = proteins.groupBy(F.col("accessions").alias("Protein")).agg(F.max("n_peptides").alias("NumPeptides"), F.max("sequences").alias("PeptideSequences"))
+    tab(wide.join(sizes, "Protein").select("Protein", "NumPeptides", "PeptideSequences", *[F.coalesce(F.col(f"`{r}`"), F.lit(0.0)).alias(r) for r in runs]).orderBy("Protein"), "proteins")
+    peptides.groupBy(F.col("seq").alias("sequences"), F.col("accessions").alias("Protein")).pivot("run", runs).agg(F.sum("intensity")).orderBy("sequences").write.mode("overwrite").csv(f"{path}/diffacto", header=True)
+    groups = peptides.select("run").distinct().withColumn("sample", F.concat(F.lit("S"), (F.array_position(F.array(*[F.lit(r) for r in runs]), F.col("run"))).cast("string")))
+    groups.orderBy("run").write.mode("overwrite").csv(f"{path}/diffacto_samples", sep="\t")
+    spread = peptides.groupBy("modseq", "run").agg(F.sum("intensity").alias("x")).groupBy("modseq").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("stdev"))
+    tab(spread.withColumn("cv", F.try_divide("stdev", "mean")).orderBy("modseq"), "variation")
+
+
+def write_localizations(df: DataFrame, path: str) -> None:
+    """Localised forms as a table: modseq, annotation, rt, score, n_ions, n_mods, site_specific, localized, ions, localizing_intensity,
+    total_intensity under the names that other tools read."""
+    # The columns of the format, in its order.
+    names = {
+        "modseq": "peptideModSeq", "annotation": "localizationPeptideModSeq", "rt": "retentionTimeApexInSeconds", "score": "localizationScore", "n_ions": "numIdentificationPeaks", "n_mods": "numberOfMods", "site_specific": "isSiteSpecific", "localized": "isLocalized",
+        "ions": "localizingIons", "localizing_intensity": "localizingIntensity", "total_intensity": "totalIntensity",
+    }
+    df.select(*[F.col(k).alias(v) for k, v in names.items()]).write.mode("overwrite").csv(path, sep="\t", header=True)
