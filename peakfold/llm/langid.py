@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakfold.llm.common import bounded_batches
@@ -242,9 +242,10 @@ def judged_by_halves(langs: list[str], rows: list[tuple[str, str]]) -> Normal:
     return normal_of(judged, len(langs)) if judged else Normal(np.zeros(len(langs)), np.ones(len(langs)), 0.0, -np.inf)
 
 
-def fit(docs: DataFrame, learn: Column, most: int, normal: bool = False) -> Model:
-    """Train on about `most` documents, in equal parts of each language those of the smallest hash of doc_id, in one task.
-    `normal`: find out what is normal for texts of the languages, too.
+def fit(docs: DataFrame, learn: Column, most: int, normal: bool = False, most_bytes: int = 64 << 20) -> Model:
+    """Train on about `most` documents, in equal parts of each language those of the smallest hash of doc_id, in one task; rows
+    that share a doc_id count once (the least language and text), and of each language at most an equal part of `most_bytes`, and
+    the document that goes beyond it.  `normal`: find out what is normal for texts of the languages, too.
 
     Only the model comes to the driver: a table of fixed length for each language.
     """
@@ -256,7 +257,10 @@ def fit(docs: DataFrame, learn: Column, most: int, normal: bool = False) -> Mode
     # A threshold on the hash keeps about `each` rows of a language without any sort.
     limits = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, each / n))])
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    taught = known.where(u < limits[F.col("lang")]).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text"))
+    taught = known.where(u < limits[F.col("lang")]).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    taught = taught.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x")).select("doc_id", "x.lang", "x.text")
+    before = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)  # of about `most` rows
+    taught = taught.withColumn("__b", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).where(F.col("__b") < most_bytes // len(counts)).drop("__b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((k, i, t or "") for b in batches for i, k, t in zip(*[b.column(c).to_pylist() for c in ("doc_id", "lang", "text")]))

@@ -6,7 +6,7 @@ leaves, whole groups in turn; a group larger than a shard asks in parts.  Docume
 end, so that row counts are at most one apart (law `rows`).
 
 Cases: null texts have 0 bytes and are a group of their own kind (null links only with null); a null doc_id is a value
-like any other; repeated rows are linked as equal texts; ties between shards go to the smaller mixed hash; an empty table gives an
+like any other; repeated rows are linked as equal texts; ties between shards go to the greater mixed hash of group and shard; an empty table gives an
 empty result; only doc_id, text and the columns asked for are read.
 """
 

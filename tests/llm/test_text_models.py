@@ -311,6 +311,22 @@ def test_message_passing_on_a_tree_is_exact():
     assert np.allclose(got, want / want.sum(1, keepdims=True), atol=1e-3)
 
 
+def test_language_training_is_bounded(spark):
+    """Rows of one doc_id count once, and long texts stop at the bytes that are given; the model is that of what is left."""
+    rows = [(7, "the cat sat on the mat " * 5, "en")] * 3000 + [(7, "another text", "en")] + [(k, f"der hund und die katze {k} " * 400, "de") for k in range(100, 160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.fit(docs, F.lit(True), most=8000, most_bytes=200_000)
+    hashed = {r[1]: r[0] for r in docs.where("lang = 'de'").select(F.xxhash64("doc_id"), "doc_id").distinct().collect()}
+    size, left = 0, []
+    for k in sorted(hashed, key=lambda d: (hashed[d], d)):
+        if size < 100_000:
+            left.append(k)
+        size += len(f"der hund und die katze {k} " * 400)
+    assert 5 < len(left) < 15
+    want = langid.train([f"der hund und die katze {k} " * 400 for k in sorted(left)] + ["another text"], ["de"] * len(left) + ["en"])
+    assert m.langs == want.langs and all(np.array_equal(a, b) for a, b in zip(vars(m).values(), vars(want).values()) if isinstance(a, np.ndarray))
+
+
 def test_short_items_are_whole_runs_of_words(spark):
     """With no least length of items, items of one to four words are found between word boundaries, in any number of documents."""
     bench = spark.createDataFrame([(1, "alpha"), (2, "beta, gamma"), (3, "x y z"), (4, " .\n"), (5, ""), (6, None)], "item_id long, text string")
