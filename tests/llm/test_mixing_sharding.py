@@ -172,3 +172,52 @@ def test_large_groups_are_split(spark, monkeypatch):
     for r in rows:
         split[r.text].add(r.shard)
     assert sum(len(split[f"t{i}"]) for i in range(9)) <= 25 and len(rows) == 600
+
+
+def plain_propagation(rows, shards, quota, tie, rounds=4, bits=10):
+    """rows: (doc, g, h), of groups smaller than a shard; tie: hash of (g, shard).  The same law told document by document."""
+    n = collections.Counter(g for _, g, _ in rows)
+    at = {d: h % shards for d, _, h in rows}
+    linked = [r for r in rows if n[r[1]] > 1]
+    order = lambda b: lambda r: ((r[1] % 2**64) >> (64 - b), r[1], r[2])
+    for _ in range(rounds):
+        held = collections.Counter(at[d] for d, _, _ in linked)
+        near = collections.defaultdict(collections.Counter)
+        for d, g, _ in linked:
+            near[g][at[d]] += 1
+        to = {}
+        for g, c in near.items():
+            pull, _, shard = max((k if held[s] <= quota else -1, tie[g, s], s) for s, k in c.items())
+            to[g] = shard if pull >= 0 else max((k, tie[g, s], s) for s, k in c.items())[2]
+        stay = collections.Counter(at[d] for d, g, _ in linked if at[d] == to[g])
+        asked = collections.defaultdict(list)
+        for r in sorted((r for r in linked if at[r[0]] != to[r[1]]), key=order(bits)):
+            asked[to[r[1]]].append(r[0])
+        for s, ds in asked.items():
+            for rank, d in enumerate(ds):
+                if stay[s] + rank < quota:
+                    at[d] = s
+    kept, over = collections.Counter(), []
+    for r in sorted(linked, key=order(bits)):
+        if kept[at[r[0]]] < quota:
+            kept[at[r[0]]] += 1
+        else:
+            over.append(r)
+    free = sorted(over + [r for r in rows if n[r[1]] == 1], key=order(bits + 4))
+    room = [s for s in range(shards) for _ in range(quota + (s < len(rows) - quota * shards) - kept[s])]
+    return at | {r[0]: s for r, s in zip(free, room)}
+
+
+def test_propagation_against_a_plain_one(spark):
+    """Groups of two to thirty equal texts and single ones: every document ends in the shard that the plain version gives it."""
+    rng = random.Random(9)
+    texts = [f"t{k}" for k in range(60) for _ in range(rng.choice([1, 1, 2, 3, 9, 30]))]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    shards, quota = 7, len(texts) // 7
+    assert max(collections.Counter(texts).values()) <= 0.8 * quota
+    seeded = df.select("doc_id", F.xxhash64(F.sha2(F.col("text").cast("binary"), 256), F.lit(6)).alias("g")).withColumn("h", F.xxhash64("doc_id", "g", F.lit(6)))
+    rows = [tuple(r) for r in seeded.collect()]
+    ties = seeded.select("g").distinct().withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("g", "shard", F.xxhash64("g", "shard")).collect()
+    want = plain_propagation(rows, shards, quota, {(r[0], r[1]): r[2] for r in ties})
+    assert {r.doc_id: r.shard for r in sharding.shard_documents(df, shards=shards).collect()} == want
