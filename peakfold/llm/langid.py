@@ -60,6 +60,10 @@ def letters_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return n, np.where(n > 0, table.argmax(1), -1)
 
 
+#: Texts that are judged, and words whose n-grams are counted, at once.
+PART, WORDS = 100, 1 << 13
+
+
 def bare(words: list[str]) -> list[str]:
     return [(w if w.isascii() else unicodedata.normalize("NFC", w)).lower().strip(".,;:!?\"'()[]{}") or w for w in words]
 
@@ -187,8 +191,9 @@ def train(texts: list[str], langs: list[str], penalty: float = PENALTY, buckets:
     for k, lang in enumerate(names):
         codes, _, words = split_words(pa.array([t for t, x in zip(texts, langs) if x == lang], pa.large_string()))
         often = np.bincount(codes, minlength=len(words))
-        who, where = grams(bare(words), SIZES, buckets)
-        counts[:, k] += np.bincount(where, np.sqrt(often[who]), minlength=buckets)
+        for a in range(0, len(words), WORDS):
+            who, where = grams(bare(words[a : a + WORDS]), SIZES, buckets)
+            counts[:, k] += np.bincount(where, np.sqrt(often[a + who]), minlength=buckets)
         n, script = letters_of(words)
         np.add.at(scripts[:, k], np.maximum(script, 0), n * often)
     score = np.log((counts + alpha) / (counts.sum(0) + alpha * buckets))
@@ -236,9 +241,10 @@ def judged_by_halves(langs: list[str], rows: list[tuple[str, str]]) -> Normal:
     for k in (0, 1):
         m = train([t for _, t in rows[k::2]], [x for x, _ in rows[k::2]])
         other = [(x, t) for x, t in rows[1 - k :: 2] if x in m.langs]
-        if other:
-            text, label, value = different_words(m, *label_words(m, pa.array([t for _, t in other], pa.large_string())))
-            judged.append((text, np.array([langs.index(x) for x in m.langs], np.int64)[label], value))
+        own = np.array([langs.index(x) for x in m.langs], np.int64)
+        for a in range(0, len(other), PART):  # what is looked at at once
+            text, label, value = different_words(m, *label_words(m, pa.array([t for _, t in other[a : a + PART]], pa.large_string())))
+            judged.append((text, own[label], value))
     return normal_of(judged, len(langs)) if judged else Normal(np.zeros(len(langs)), np.ones(len(langs)), 0.0, -np.inf)
 
 
