@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,19 +112,30 @@ def consensus_peaks(df: DataFrame, key: list[str], mz: str, intensity: str, gap_
     """Peaks of many spectra merged with the least m/z of their group that is within a tolerance: mean m/z, count, total
     intensity.  A long chain of neighbours is cut at every peak that is too far from where its group began.
 
-    Chains are found by a window; only what is in one chain is gathered, distinct m/z with their sums, and walked in order.
+    Equal m/z are added up before the shuffle; a key's distinct m/z are walked in order, from group to group by bisection.
     """
-    w = Window.partitionBy(*key).orderBy(mz)
-    far = F.col(mz) - F.lag(mz).over(w) > F.col(mz) * (gap_ppm * 1e-6)
-    same = df.groupBy(*key, mz).agg(F.count(F.lit(1)).alias("__n"), F.sum(intensity).alias("__t"))
-    x = same.withColumn("__new", F.coalesce(far, F.lit(True)).cast("int")).withColumn("__c", F.sum("__new").over(w))
-    chain = x.groupBy(*key, "__c").agg(F.array_sort(F.collect_list(F.col(mz).cast("double"))).alias("__m"))
-    begins = F.aggregate("__m", F.array().cast("array<double>"), lambda s, m: F.when((F.size(s) == 0) | (m - F.element_at(s, -1) > F.element_at(s, -1) * (gap_ppm * 1e-6)), F.array_append(s, m)).otherwise(s))
-    x = x.join(chain.select(*key, "__c", begins.alias("__s")), [*key, "__c"]).withColumn("__i", F.array_max(F.filter("__s", lambda s: s <= F.col(mz))))
-    out = x.groupBy(*key, "__i").agg((F.sum(F.col(mz) * F.col("__n")) / F.sum("__n")).alias("mz"), F.sum("__n").alias("n"), F.sum("__t").alias("intensity"))
+    from peakfold.operators.kernels import per_group
+
+    same = df.where(F.col(mz).isNotNull()).groupBy(*key, F.col(mz).cast("double").alias("__m")).agg(F.count(F.lit(1)).alias("__n"), F.coalesce(F.sum(intensity), F.lit(0.0)).cast("double").alias("__t"))
+
+    def kernel(m, n, total):
+        starts, i = [], 0
+        while i < len(m):
+            starts.append(i)
+            reach = m[i] * (gap_ppm * 1e-6)
+            j = int(np.searchsorted(m, m[i] + reach, "right"))
+            while j < len(m) and m[j] - m[i] <= reach:  # what rounding of the sum left out
+                j += 1
+            while m[j - 1] - m[i] > reach:
+                j -= 1
+            i = j
+        count = np.add.reduceat(n, starts)
+        return {"mz": np.add.reduceat(m * n, starts) / count, "n": count, "intensity": np.add.reduceat(total, starts)}
+
+    out = per_group(same, key, ["__m"], ["__m", "__n", "__t"], "mz double, n long, intensity double", kernel)
     if top is not None:
         out = out.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), F.desc("intensity"), "mz"))).where(F.col("__r") <= top).drop("__r")
-    return out.drop("__i")
+    return out
 
 
 def weighted_consensus(df: DataFrame, key: list[str], mz: str, intensity: str, correlation: str, width: float, most_bad: float = 0.2, good: float = 0.75) -> DataFrame:

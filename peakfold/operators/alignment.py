@@ -126,27 +126,25 @@ def _with_next(path: DataFrame, key: list[str]) -> DataFrame:
 # -- mixtures of empirical densities --------------------------------------------------------------------------------------
 
 
-def empirical_posterior(delta: np.ndarray, bins: int = 100, rounds: int = 10) -> np.ndarray:
+def empirical_posterior(delta: np.ndarray, bins: int = 400, rounds: int = 10) -> np.ndarray:
     """Probability of being a match for each deviation, by a mixture whose two components are densities of the data themselves.
 
-    Matches begin as a bell around the median (a quarter of the middle half wide, doubled), the rest as even; each round
-    draws both densities anew from the points weighted by what they are likely to be, and keeps that of matches falling to
-    both sides of its mode.
+    Matches begin as a bell around the median, as wide as the middle half.  Each round draws both densities anew from the
+    points, weighted by what they are likely to be: that of matches narrowly smoothed and falling to both sides of its mode,
+    that of the rest smoothed over an eighth of the range, for without such shapes two free densities couldn't be told apart.
     """
     if len(delta) < 2 or delta.max() <= delta.min():
         return np.ones(len(delta))
     low, high = float(delta.min()), float(delta.max())
-    grid = np.linspace(low, high, bins)
-    h = max(1.06 * float(delta.std()) * len(delta) ** -0.2, (high - low) / bins)
-    at = np.clip(np.round((delta - low) / (high - low) * (bins - 1)).astype(int), 0, bins - 1)
-    reach = np.arange(bins) * (grid[1] - grid[0])
-    kernel = np.where(reach <= 2 * h, np.cos(np.minimum(reach / (4 * h), 0.5) * np.pi), 0.0)
-    blur = kernel[np.abs(np.arange(bins)[:, None] - np.arange(bins)[None, :])]
-    middle = float(np.median(delta))
-    wide = max(float(np.subtract(*np.percentile(delta, [75, 25]))) / 2, h)
-    post = 0.5 * np.exp(-0.5 * ((delta - middle) / wide) ** 2) + 0.25
+    step = (high - low) / (bins - 1)
+    at = np.clip(np.round((delta - low) / step).astype(int), 0, bins - 1)
+    half = float(np.subtract(*np.percentile(delta, [75, 25])))
+    narrow = max(0.9 * min(float(delta.std()), half / 1.34 if half > 0 else np.inf) * len(delta) ** -0.2, step)
+    away = np.abs(np.arange(bins)[:, None] - np.arange(bins)[None, :]) * step
+    blur, wide = (np.where(away <= 2 * h, np.cos(np.minimum(away / (4 * h), 0.5) * np.pi), 0.0) for h in (narrow, (high - low) / 8))
+    post = 0.9 * np.exp(-0.5 * ((delta - float(np.median(delta))) / max(half, step)) ** 2) + 0.05
     for _ in range(rounds):
-        own, rest = (np.bincount(at, weights=w, minlength=bins) @ blur for w in (post, 1 - post))
+        own, rest = (np.bincount(at, weights=w, minlength=bins) @ k for w, k in ((post, blur), (1 - post, wide / wide.sum(0))))
         top = int(own.argmax())
         own[top:], own[: top + 1] = np.minimum.accumulate(own[top:]), np.minimum.accumulate(own[: top + 1][::-1])[::-1]
         share = float(np.clip(post.mean(), 0.01, 0.99))

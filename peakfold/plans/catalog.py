@@ -375,9 +375,19 @@ def best_integration(spark, d):
     return t(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max("l_extendedprice").alias("top"))
 
 
-@query()
+@query("""
+WITH RECURSIVE r AS (SELECT l_partkey, l_orderkey, l_linenumber, l_extendedprice, l_discount, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_discount) AS i FROM lineitem),
+b AS (
+  SELECT *, i AS pos FROM r WHERE i = 1
+  UNION ALL
+  SELECT b.l_partkey, CASE WHEN x THEN r.l_orderkey ELSE b.l_orderkey END, CASE WHEN x THEN r.l_linenumber ELSE b.l_linenumber END, CASE WHEN x THEN r.l_extendedprice ELSE b.l_extendedprice END, CASE WHEN x THEN r.l_discount ELSE b.l_discount END, b.i, r.i
+  FROM b JOIN r ON r.l_partkey = b.l_partkey AND r.i = b.pos + 1,
+    LATERAL (SELECT b.l_extendedprice < 0.9 * r.l_extendedprice OR (r.l_extendedprice >= 0.9 * b.l_extendedprice AND abs(r.l_discount) < abs(b.l_discount)) AS x)
+)
+SELECT l_partkey, l_orderkey, l_linenumber, l_extendedprice, l_discount FROM b QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY pos DESC) = 1
+""")
 def best_with_hysteresis(spark, d):
-    """Order-dependent fold, run in a declared order; brute force in the tests."""
+    """Order-dependent fold, run in a declared order."""
     x = t(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")
     return agg.best_with_hysteresis(x, ["l_partkey"], "l_extendedprice", "l_discount", ["l_orderkey", "l_linenumber", "l_extendedprice"])
 
@@ -517,10 +527,11 @@ def interpolate_trace(spark, d):
 P_VALUE = "CAST(rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC) AS DOUBLE) / (count(*) OVER (PARTITION BY l_returnflag) * 50)"
 
 
-def p_values(spark, d, ranges):
+def p_values(spark, d, ranges=None):
     from pyspark.sql import Window
 
     x = t(spark, d, "lineitem")
+    ranges = ranges or ranges_for(x)
     if ranges > 1:
         # Of the table's few groups none is ordered in one task.
         key = ["l_returnflag", "l_extendedprice"]
@@ -859,7 +870,20 @@ def topk_exclusion(spark, d):
     return kernels.topk_exclusion(t(spark, d, "events"), ["user_id"], ["ts"], "event_id", "value", 3, 4)
 
 
-@query()
+@query("""
+WITH e AS (SELECT user_id AS k, CAST(epoch_us(ts) AS DOUBLE) / 1e6 AS x, value AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+a AS (SELECT k, n, y AS top, i AS apex, x AS ax FROM e QUALIFY row_number() OVER (PARTITION BY k ORDER BY y DESC, i) = 1),
+w AS (SELECT e.k, e.i, e.y, a.n, a.top, a.apex, sign(e.i - a.apex) AS side, abs(e.i - a.apex) AS far FROM e JOIN a USING (k) WHERE e.i <> a.apex),
+l AS (SELECT *, least(top, coalesce(min(y) OVER (PARTITION BY k, side ORDER BY far ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), top)) AS low FROM w),
+g AS (SELECT *, sum(CAST(y <= low AS INTEGER)) OVER (PARTITION BY k, side ORDER BY far) AS grp FROM l),
+r AS (SELECT *, sum(CAST(y > low + 0.2 * top AS INTEGER)) OVER (PARTITION BY k, side, grp ORDER BY far) AS rises FROM g),
+s AS (SELECT k, side, min(far) FILTER (y < 0.01 * top OR (y > low AND rises >= 2)) AS stop FROM r GROUP BY ALL),
+b AS (SELECT r.k, r.side, max(far) FILTER (y <= low AND (stop IS NULL OR far < stop)) AS best FROM r JOIN s USING (k, side) GROUP BY ALL),
+p AS (SELECT a.k, a.n, a.ax, a.apex - coalesce(max(best) FILTER (side < 0), 0) AS a, a.apex + coalesce(max(best) FILTER (side > 0), 0) AS z FROM a LEFT JOIN b USING (k) GROUP BY a.k, a.n, a.ax, a.apex),
+q AS (SELECT k, n, ax, CASE WHEN z - a < 2 THEN greatest(0, a - 1) ELSE a END AS a, CASE WHEN z - a < 2 THEN least(n - 1, z + 1) ELSE z END AS z FROM p),
+t AS (SELECT k, n, ax, CASE WHEN z - a < 2 THEN greatest(0, a - 1) ELSE a END AS a, CASE WHEN z - a < 2 THEN least(n - 1, z + 1) ELSE z END AS z FROM q)
+SELECT t.k AS user_id, u.x AS start, v.x AS stop, ax AS apex, t.z - t.a + 1 AS points FROM t JOIN e u ON u.k = t.k AND u.i = t.a JOIN e v ON v.k = t.k AND v.i = t.z
+""")
 def peak_bounds(spark, d):
     return kernels.bounds(t(spark, d, "events").select("user_id", micros().alias("x"), "value"), ["user_id"], "x", "value")
 

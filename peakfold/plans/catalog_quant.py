@@ -248,7 +248,24 @@ def checked_decoys(spark, d):
     return variants.checked_decoys(x, "s", x.select("s"), tries=10, most_shared=0.4)
 
 
-@query()
+@query(f"""
+WITH {TRACES},
+q AS (SELECT k // 10 AS site, k, ion, x AS tm, v, round(100 + length(ion) * 37 + k % 10 * ascii(ion) / 10.0, 3) AS mz FROM tr),
+pr AS (SELECT site, k, tm, sum(sqrt(v)) AS p FROM q GROUP BY ALL),
+ga AS (SELECT *, (p + exp(-0.72) * (coalesce(lag(p) OVER w, 0) + coalesce(lead(p) OVER w, 0)) + exp(-2.88) * (coalesce(lag(p, 2) OVER w, 0) + coalesce(lead(p, 2) OVER w, 0)))
+  / (1 + exp(-0.72) * (CAST(lag(p) OVER w IS NOT NULL AS INTEGER) + CAST(lead(p) OVER w IS NOT NULL AS INTEGER)) + exp(-2.88) * (CAST(lag(p, 2) OVER w IS NOT NULL AS INTEGER) + CAST(lead(p, 2) OVER w IS NOT NULL AS INTEGER))) AS a
+  FROM pr WINDOW w AS (PARTITION BY k ORDER BY tm)),
+st AS (SELECT k, tm AS start FROM pr QUALIFY row_number() OVER (PARTITION BY k ORDER BY p DESC, tm) = 1),
+io AS (SELECT DISTINCT site, k, mz FROM q),
+te AS (SELECT * FROM io x WHERE NOT EXISTS (SELECT 1 FROM io y WHERE y.site = x.site AND y.k <> x.k AND abs(y.mz - x.mz) <= greatest(x.mz, y.mz) * 1e-5)),
+pk AS (SELECT DISTINCT site, tm, mz FROM q WHERE v > 60),
+lo AS (SELECT k, tm, count(*) * -log10(0.05) AS l, count(*) AS n FROM (SELECT DISTINCT te.k, te.mz, pk.tm FROM te JOIN pk ON pk.site = te.site AND abs(pk.mz - te.mz) <= greatest(pk.mz, te.mz) * 1e-5) GROUP BY ALL),
+be AS (SELECT ga.site, ga.k, ga.tm, ga.p, coalesce(l, 0) AS l, coalesce(n, 0) AS n FROM ga JOIN st USING (k) LEFT JOIN lo ON lo.k = ga.k AND lo.tm = ga.tm WHERE abs(ga.tm - start) < 6
+  QUALIFY row_number() OVER (PARTITION BY ga.k ORDER BY round(coalesce(l, 0), 9) DESC, round(a, 9) DESC, ga.tm) = 1),
+fl AS (SELECT *, round(l, 9) >= 3 AND n >= 3 AS localized FROM be)
+SELECT site, k AS user_id, tm AS "at", CAST(tm AS DOUBLE) AS rt, round(p, 6) AS primary, round(l, 6) AS localization, n AS n_ions, localized,
+  CASE WHEN bool_or(localized) OVER (PARTITION BY site) THEN localized ELSE row_number() OVER (PARTITION BY site ORDER BY p DESC, k) = 1 END AS reported FROM fl
+""")
 def allele_competition(spark, d):
     """Users as alleles of ten a site, days as scans, event types' values as masses."""
     x = trace_table(spark, d).withColumns({"site": F.floor(F.col("user_id") / 10), "mz": F.round(100 + F.length("ion") * 37 + F.col("user_id") % 10 * F.ascii("ion") / 10.0, 3)})

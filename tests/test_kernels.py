@@ -200,3 +200,32 @@ def test_modes_of_groups(spark):
     got = {r.g: r.mode for r in st.kde_mode(spark.createDataFrame([*rows, ("a", None)], "g string, v double"), ["g"], "v").collect()}
     for g in "abcd":
         assert got[g] == pytest.approx(k.mode(np.array([v for h, v in rows if h == g])), abs=1e-9)
+
+
+def test_groups_across_batches(spark):
+    """Groups that lie across Arrow batches, a null key, keys of several columns, empty results, lists and missing numbers."""
+    import random
+
+    rng = random.Random(1)
+    rows = [(rng.choice([None, "a", "b", "c"]), rng.choice([None, 1, 2]), i, None if i % 11 == 0 else float(rng.randint(0, 9))) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, m int, i int, v double").repartition(4)
+
+    def kernel(i, v):
+        if i[0] % 5 == 0:
+            return {"n": np.zeros(0, np.int64), "s": [], "all": []}
+        return {"n": np.array([len(i)]), "s": [float(np.nansum(v))], "all": [[int(x) for x in i]]}
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    want = {}
+    for g, m, i, v in rows:
+        want.setdefault((g, m), []).append((i, v))
+    want = {g: (len(x), sum(v or 0 for _, v in x), sorted(i for i, _ in x)) for g, x in want.items() if min(i for i, _ in x) % 5}
+    try:
+        for batch in ("7", "1", "10000"):
+            spark.conf.set(key, batch)
+            got = {(r["k"], r["m"]): (r["n"], r["s"], r["all"]) for r in k.per_group(df, ["k", "m"], ["i"], ["i", "v"], "n long, s double, all array<int>", kernel).collect()}
+            assert got == want
+    finally:
+        spark.conf.set(key, before)
+    assert k.per_group(df.where("1 = 0"), ["k"], ["i"], ["i", "v"], "n long, s double, all array<int>", kernel).count() == 0
