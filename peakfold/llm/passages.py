@@ -40,7 +40,7 @@ PAGE = 1 << 20
 #: Words of an anchor, a power of two, and of a block.
 GRAM = 8
 #: Suffixes of a group of prefixes, about.
-LEAVES = 30_000
+LEAVES = 400_000
 LAST = (1 << 63) - 1
 BASE = 0x9E3779B97F4A7C15
 SPACE = np.zeros(256, bool)
