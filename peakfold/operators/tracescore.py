@@ -80,7 +80,7 @@ def match_features(ions: DataFrame, key: list[str], used: int = 3, tolerance: fl
 
     n_matched, n_above (over tic / (1 + ions squared)), delta_mean and delta_abs of the `used` + 1 most intense ions (the
     tolerance stands for missing ones in the latter), dot, hyperscore (+2, not below 0), fit_score (ln 1 / squared error over
-    ions on both sides, +1, not below 0), ln_sp (preliminary score, at least 1), ladder (most matched ions of one type).
+    ions on both sides, +1, not below 0; 0 for an error of 1e-12 or less, which is rounding), ln_sp (preliminary score, at least 1), ladder (most matched ions of one type).
     """
     ranked = ions.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("intensity"), F.desc("delta"))))
     whole = Window.partitionBy(*key)
@@ -98,7 +98,7 @@ def match_features(ions: DataFrame, key: list[str], used: int = 3, tolerance: fl
     f = f.join(ladder, key, "left").withColumn("ladder", F.coalesce("ladder", F.lit(0).cast("long")))
     sp = F.greatest(F.lit(1.0), F.col("__s") * F.col("n_matched") * (1 + 0.075 * F.col("ladder")) / F.col("__n"))
     f = f.withColumn("hyperscore", F.when((F.col("dot") > 0) & (F.col("n_matched") > 0), A.hyperscore(F.col("dot"), F.col("n_matched"))).otherwise(F.lit(0.0)))
-    f = f.withColumn("fit_score", F.when(F.col("__e") > 0, F.greatest(F.lit(0.0), 1 - F.ln("__e"))).otherwise(F.lit(0.0)))
+    f = f.withColumn("fit_score", F.when(F.col("__e") > 1e-12, F.greatest(F.lit(0.0), 1 - F.ln("__e"))).otherwise(F.lit(0.0)))
     return f.withColumn("ln_sp", F.ln(sp)).drop("__e", "__s", "__n")
 
 

@@ -92,3 +92,10 @@ def test_xcorr_pair(spark):
     assert a["xcorr_model"] == pytest.approx((v[bin_of(150.1)] + v[bin_of(275.2)]) * 50 / 1e4)
     high = sum(v[bin_of(m)] * math.sqrt(y / 9.0) for m, y in library if bin_of(m) < len(v))
     assert a["xcorr_lib"] == pytest.approx(high * 50 / 1e4) and (b["xcorr_lib"], b["xcorr_model"]) == (0.0, 0.0)
+
+
+def test_rounding_is_no_error_of_the_fit(spark):
+    """Six equal ions: their unit lengths differ by rounding only, which is a perfect fit and scores 0."""
+    rows = [(1, "b", 3, 48.0, 68301.45, 0.5, 1e5)] * 6
+    ions = spark.createDataFrame(rows, "k int, ion_type string, ion_index int, predicted double, intensity double, delta double, tic double")
+    assert tracescore.match_features(ions, ["k"]).first().fit_score == 0
