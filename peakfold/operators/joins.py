@@ -119,10 +119,13 @@ def anchors(df: DataFrame, key: str, run: str, value: str) -> DataFrame:
 
 def substring_join(pieces: DataFrame, whole: DataFrame, piece: str, text: str, k: int = 6) -> DataFrame:
     """Pairs where a piece occurs in a text: an equi-join on the piece's first k letters against the text's k-mers, then
-    a check at that place.  Adds `position`, from 0; a piece shorter than k can't match."""
+    a check at that place.  Adds `position`, from 0; a piece shorter than k can't match.
+
+    Spark takes the k-mers for no more bytes than their texts, so it is told not to broadcast them; counted few pieces are.
+    """
     grams = whole.withColumn("__at", F.explode(F.sequence(F.lit(0), F.greatest(F.length(text) - k, F.lit(0)))))
-    grams = grams.withColumn("__g", F.substr(F.col(text), F.col("__at") + 1, F.lit(k)))
-    p = pieces.where(F.length(piece) >= k).withColumn("__h", F.substr(F.col(piece), F.lit(1), F.lit(k)))
+    grams = grams.withColumn("__g", F.substr(F.col(text), F.col("__at") + 1, F.lit(k))).hint("merge")
+    p = small_side(pieces.where(F.length(piece) >= k)).withColumn("__h", F.substr(F.col(piece), F.lit(1), F.lit(k)))
     hit = p.join(grams, (F.col("__h") == F.col("__g")) & (F.substr(F.col(text), F.col("__at") + 1, F.length(piece)) == F.col(piece)))
     return hit.withColumn("position", F.col("__at")).drop("__at", "__g", "__h")
 
