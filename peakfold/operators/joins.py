@@ -139,19 +139,36 @@ def covered_share(hits: DataFrame, key: list[str], text: str, piece: str) -> Dat
     return counts.join(cover, key)
 
 
+def near_keys(texts: DataFrame, most: int, blocks: int) -> DataFrame:
+    """__c (given), __len, __k, __rest: keys of which two texts of a length with at most `most` mismatches share one.  By pigeonhole on
+    `blocks` = most + 1 parts and five more, they are the same in all but `most` parts: a key is what is left without these."""
+    from itertools import combinations
+
+    assert blocks == most + 1
+    parts = blocks + 5
+    n = F.length("__c")
+    cut = [(F.floor(n * k / parts) + 1).cast("int") for k in range(parts + 1)]
+    rest = lambda out: F.concat_ws("\u0000", *[F.substr("__c", cut[k], cut[k + 1] - cut[k]) for k in range(parts) if k not in out])
+    return texts.select("__c", n.alias("__len"), F.posexplode(F.array(*[rest(out) for out in combinations(range(parts), most)])).alias("__k", "__rest"))
+
+
 def similar_sequences(df: DataFrame, ident: str, sequence: str, most: int = 2, blocks: int = 3) -> DataFrame:
-    """Pairs of equal length with at most `most` mismatches, similar residues equal.  By pigeonhole one of `blocks` =
-    most + 1 equal parts of two such sequences is the same, so the join is on (length, part number, part)."""
+    """Pairs of equal length with at most `most` mismatches, similar residues equal.  Only different texts are joined, by
+    `near_keys`; rows that share a text are paired afterwards, by their text."""
     from peakfold.functions.sequences import collapse_similar, mismatches
 
-    assert blocks == most + 1
-    n = F.length(sequence)
-    part = lambda k: F.substr(collapse_similar(F.col(sequence)), (F.floor(n * k / blocks) + 1).cast("int"), (F.floor(n * (k + 1) / blocks) - F.floor(n * k / blocks)).cast("int"))
-    x = df.select(F.col(ident), F.col(sequence), n.alias("__len"), F.posexplode(F.array(*[part(k) for k in range(blocks)])).alias("__k", "__part"))
-    a = x.select(F.col(ident).alias("id_a"), F.col(sequence).alias("seq_a"), "__len", "__k", "__part")
-    b = x.select(F.col(ident).alias("id_b"), F.col(sequence).alias("seq_b"), "__len", "__k", "__part")
-    both = a.join(b, ["__len", "__k", "__part"]).where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b", "seq_a", "seq_b").distinct()
-    return both.withColumn("mismatches", mismatches(F.col("seq_a"), F.col("seq_b"))).where(F.col("mismatches") <= most).select("id_a", "id_b", "mismatches")
+    rows = df.select(F.col(ident).alias("__i"), F.col(sequence).alias("__s"), collapse_similar(F.col(sequence)).alias("__c")).where("__c IS NOT NULL").distinct()
+    keys = near_keys(rows.select("__c").distinct(), most, blocks)
+    # The sides below are larger than Spark takes them for, so none is broadcast.
+    a, b = (keys.select(F.col("__c").alias(c), "__len", "__k", "__rest").hint("merge") for c in ("__a", "__b"))
+    near = a.join(b, ["__len", "__k", "__rest"]).where(F.col("__a") < F.col("__b")).select("__a", "__b")
+    # Texts with one mismatch meet in one key, others in several.
+    near = (near if most == 1 else near.distinct()).withColumn("mismatches", mismatches(F.col("__a"), F.col("__b"))).where(F.col("mismatches") <= most)
+    x, y = (rows.select(F.col("__c").alias(c), F.col("__i").alias(i)).hint("merge") for c, i in (("__a", "__x"), ("__b", "__y")))
+    apart = near.join(x, "__a").join(y, "__b").where(F.col("__x") != F.col("__y"))
+    apart = apart.select(F.least("__x", "__y").alias("id_a"), F.greatest("__x", "__y").alias("id_b"), "mismatches")
+    same = x.join(y, F.col("__a") == F.col("__b")).where(F.col("__x") < F.col("__y")).select(F.col("__x").alias("id_a"), F.col("__y").alias("id_b"), F.lit(0).alias("mismatches"))
+    return apart.unionByName(same)
 
 
 def first_match(rows: DataFrame, lookup: DataFrame, key: list[str], order: list) -> DataFrame:

@@ -22,3 +22,17 @@ def test_kmers_are_not_broadcast(spark):
     got = joins.substring_join(pieces, whole, "piece", "whole")
     assert built(got) == ["BuildLeft"]
     assert sorted((r.piece, r.whole, r.position) for r in got.collect()) == sorted((f"abcde{p}", f"zabcde{w}", 1) for p in range(1000) for w in range(200) if str(w).startswith(str(p)))
+
+
+def test_far_texts_do_not_meet(spark):
+    """Rows of equal and of near texts, all alike in their first half: what a plan's joins give is not much more than the pairs."""
+    rng = random.Random(3)
+    rows = [(i, f"000{rng.randrange(10000):04d}") for i in range(1500)] + [(1500 + i, "0007777") for i in range(30)] + [(2000, None), (2001, "77")]
+    got = joins.similar_sequences(spark.createDataFrame(rows, "id long, x string"), "id", "x", 1, 2)
+    pairs = sorted(tuple(r) for r in got.collect())
+    near = lambda a, b: sum(p != q for p, q in zip(a, b))
+    live = [r for r in rows if r[1]]
+    assert pairs == sorted((a, b, near(x, y)) for a, x in live for b, y in live if a < b and len(x) == len(y) and near(x, y) <= 1)
+    keys = joins.near_keys(spark.createDataFrame(sorted({r[1] for r in live}), "string").withColumnRenamed("value", "__c"), 1, 2)
+    met = keys.groupBy("__len", "__k", "__rest").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0]
+    assert met == len({(x, y) for _, x in live for _, y in live if x < y and len(x) == len(y) and near(x, y) == 1})
