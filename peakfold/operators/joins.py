@@ -30,13 +30,23 @@ def range_semi(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
     return range_join(points, ranges, at, low, high, width, extra, "left_semi")
 
 
-def band_join(left: DataFrame, right: DataFrame, a: str, b: str, ppm: float, extra: Column | None = None, how: str = "inner") -> DataFrame:
-    """Rows with |a - b| <= ppm of the larger; positive values.  Bins are on the log scale, where the tolerance is a constant."""
+def band_join(left: DataFrame, right: DataFrame, a: str, b: str, ppm: float, extra: Column | None = None, how: str = "inner", deal: tuple[int, list[str], list[str]] | None = None) -> DataFrame:
+    """Rows with |a - b| <= ppm of the larger; positive values.  Bins are on the log scale, where the tolerance is a constant, and
+    twice as wide, so a right row goes to the one or two bins that its band meets.
+
+    Spark takes the repeated rows for no more bytes than the rows, so it is told not to broadcast them.  `deal` = (tasks, left
+    columns, right columns that `extra` holds equal) deals both sides out to that many tasks, for joins that give far more rows than they read.
+    """
     import math
 
-    step = math.log1p(ppm * 1e-6) * 2
-    x = left.withColumn("__bin", F.floor(F.ln(F.col(a)) / step))
-    y = right.withColumn("__bin2", F.explode(F.array(*[F.floor(F.ln(F.col(b)) / step) + k for k in (-1, 0, 1)])))
+    reach = -math.log1p(-ppm * 1e-6) * (1 + 1e-9) + 1e-12
+    step = 2 * reach
+    place = lambda c, d=0.0: F.floor((F.ln(F.col(c)) + d) / step)
+    x = left.withColumn("__bin", place(a))
+    y = right.withColumn("__bin2", F.explode(F.array_distinct(F.array(place(b, -reach), place(b, reach))))).hint("merge")
+    if deal:
+        tasks, own, other = deal
+        x, y = x.repartition(tasks, "__bin", *own), y.repartition(tasks, "__bin2", *other).hint("merge")
     on = (F.col("__bin") == F.col("__bin2")) & (F.abs(F.col(a) - F.col(b)) <= F.greatest(F.col(a), F.col(b)) * (ppm * 1e-6))
     return x.join(y, on if extra is None else on & extra, how).drop("__bin", "__bin2")
 

@@ -159,7 +159,7 @@ def band_join(spark, d):
     p = t(spark, d, "part")
     a = p.select(F.col("p_partkey").alias("a"), F.col("p_retailprice").alias("pa"), F.col("p_size").alias("sa"))
     b = p.select(F.col("p_partkey").alias("b"), F.col("p_retailprice").alias("pb"), F.col("p_size").alias("sb"))
-    return joins.band_join(a, b, "pa", "pb", 150, (F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b"))).select("a", "b")
+    return joins.band_join(a, b, "pa", "pb", 150, (F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")), deal=(ranges_for(p, 10_000), ["sa"], ["sb"])).select("a", "b")
 
 
 @query("""

@@ -36,3 +36,11 @@ def test_far_texts_do_not_meet(spark):
     keys = joins.near_keys(spark.createDataFrame(sorted({r[1] for r in live}), "string").withColumnRenamed("value", "__c"), 1, 2)
     met = keys.groupBy("__len", "__k", "__rest").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0]
     assert met == len({(x, y) for _, x in live for _, y in live if x < y and len(x) == len(y) and near(x, y) == 1})
+
+
+def test_many_pairs_are_dealt_out(spark, tmp_path):
+    """Tasks follow the rows, though the rows' bytes would fit in one."""
+    spark.range(45_000).select(F.col("id").alias("p_partkey"), (900 + F.col("id") % 1000 / 10).alias("p_retailprice"), (F.col("id") % 50).cast("int").alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    got = catalog.queries()["band_join"](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == 5
+    assert built(got) == []
