@@ -5,6 +5,7 @@ A group is one trace, one candidate or one file pair, small by nature; the group
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -404,23 +405,50 @@ def lda_semi_supervised(df: DataFrame, features: list[str], decoy: str, ident: s
 
 def parsimony(members: dict[str, set], error: dict) -> list[tuple[list[str], set, float]]:
     """Greedy groups: the group of least error, then of largest sum of 1 - error over what it still claims, then the later
-    name, takes all its items; equal sets are one group; groups that claim nothing are dropped."""
+    name, takes all its items; equal sets are one group; groups that claim nothing are dropped.
+
+    Groups only get worse as others claim, so they wait in a heap, and one that is no longer as good as it was goes back; an item
+    is claimed once, so all updates together are as many as groups have items.  Sums are of integers, hence exact.
+    """
     merged: dict[frozenset, list[str]] = {}
     for name, items in members.items():
         merged.setdefault(frozenset(items), []).append(name)
-    left = {tuple(sorted(v)): set(k) for k, v in merged.items()}
+    names, sets = [], []
+    for items, name in sorted(((k, tuple(sorted(v))) for k, v in merged.items()), key=lambda p: p[1], reverse=True):
+        names.append(name)
+        sets.append(sorted(items, key=lambda i: error[i], reverse=True))
+    parts = {e: (1 - float(e)).as_integer_ratio() for e in set(error.values())}
+    unit = max((d for _, d in parts.values()), default=1)
+    worth = {i: parts[e][0] * (unit // parts[e][1]) for i, e in error.items()}
+    holders: dict = {}
+    for g, items in enumerate(sets):
+        for i in items:
+            holders.setdefault(i, []).append(g)
+    sums = [sum(worth[i] for i in items) for items in sets]
+    taken = set()
+    # Numbers of groups fall with their names, so the later name comes first.
+    heap = [(error[items[-1]], -sums[g], g) for g, items in enumerate(sets) if items]
+    heapq.heapify(heap)
     out = []
-    while left:
-        rank = {g: (min((error[i] for i in s), default=1.0), -sum(1 - error[i] for i in s)) for g, s in left.items() if s}
-        rank = {g: r for g, r in rank.items() if r[1] < 0}
-        if not rank:
-            break
-        low = min(rank.values())
-        best = max(g for g, r in rank.items() if r == low)
-        claimed = left.pop(best)
-        out.append((list(best), claimed, low[0]))
-        for s in left.values():
-            s -= claimed
+    while heap:
+        g = heap[0][2]
+        left = sets[g]
+        while left and left[-1] in taken:
+            left.pop()
+        if not left or sums[g] <= 0:
+            heapq.heappop(heap)
+            continue
+        now = (error[left[-1]], -sums[g], g)
+        if now != heap[0]:
+            heapq.heapreplace(heap, now)
+            continue
+        heapq.heappop(heap)
+        claimed = {i for i in left if i not in taken}
+        out.append((list(names[g]), claimed, now[0]))
+        taken |= claimed
+        for i in claimed:
+            for h in holders[i]:
+                sums[h] -= worth[i]
     return out
 
 

@@ -44,3 +44,19 @@ def test_many_pairs_are_dealt_out(spark, tmp_path):
     got = catalog.queries()["band_join"](spark, str(tmp_path))
     assert got.rdd.getNumPartitions() == 5
     assert built(got) == []
+
+
+def test_parsimony_looks_at_an_item_a_few_times():
+    class Counted(dict):
+        looks = 0
+
+        def __getitem__(self, key):
+            Counted.looks += 1
+            return dict.__getitem__(self, key)
+
+    rng = random.Random(5)
+    error = Counted({i: rng.randrange(11) / 100 for i in range(2000)})
+    members = {str(g): set(rng.sample(range(2000), 20)) for g in range(400)}
+    got = k.parsimony(members, error)
+    assert sorted(i for _, s, _ in got for i in s) == sorted(set().union(*members.values()))
+    assert Counted.looks < 10 * 400 * 20
