@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from peakfold.functions import chemistry as chem
 from peakfold.functions import sequences as seq
 from peakfold.operators import windows as win
-from peakfold.operators.joins import band_anti, band_join, small_side
+from peakfold.operators.joins import SMALL, band_anti, band_join, small_side
 
 # The standard genetic code, residues of the codons in the order of BASES at each place; * ends.
 BASES = "TCAG"
@@ -101,25 +101,29 @@ def checked_decoys(df: DataFrame, sequence: str, background: DataFrame, tries: i
     first of `tries` shuffles that is no sequence of the background and, if `most_shared` is given, shares at most that part of
     the target's ions; the last shuffle if none is (`attempt` is tries + 1 then).
 
-    All tries are laid out at once and meet the background (one column of sequences) in one join, instead of a join a try.
+    All tries are laid out at once and meet the background (one column of sequences) in one join, instead of a join a try.  A
+    decoy depends on nothing but its sequence, so each different sequence is tried once, however many rows have it.
     """
+    own = df.select(sequence).distinct()
     t = seq.tokens(F.col(sequence))
     first = F.struct(reversed_inside(t).alias("t"), F.lit(0).alias("k"))
     more = lambda prev, k: F.struct(shuffled_inside(prev, F.lit(k)).alias("t"), F.lit(k).alias("k"))
-    x = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__c0", first)
+    x = own.withColumn("__c0", first)
     for k in range(1, tries + 1):
         x = x.withColumn(f"__c{k}", more(F.col(f"__c{k - 1}.t"), k))
     names = [f"__c{k}" for k in range(tries + 1)]
-    each = x.select(*df.columns, "__id", F.explode(F.array(*names)).alias("__c")).withColumn("decoy", F.array_join("__c.t", "")).withColumn("attempt", F.col("__c.k")).drop("__c")
+    each = x.select(sequence, F.explode(F.array(*names)).alias("__c")).withColumn("decoy", F.array_join("__c.t", "")).withColumn("attempt", F.col("__c.k")).drop("__c")
     known = background.select(F.col(background.columns[0]).alias("decoy")).distinct().withColumn("__taken", F.lit(True))
     each = each.join(known, "decoy", "left")
     ok = F.col("__taken").isNull()
     if most_shared is not None:
         ok = ok & (shared_ions(seq.strip_modifications(F.col(sequence)), seq.strip_modifications(F.col("decoy")), ppm) <= most_shared)
-    best = each.withColumn("__ok", ok).groupBy("__id").agg(
-        F.coalesce(F.min(F.when(F.col("__ok"), F.struct("attempt", "decoy"))), F.struct(F.lit(tries + 1).alias("attempt"), F.max(F.struct("attempt", "decoy"))["decoy"].alias("decoy"))).alias("__b"), *[F.first(c).alias(c) for c in df.columns]
-    )
-    return best.select(*df.columns, F.col("__b.decoy").alias("decoy"), F.col("__b.attempt").alias("attempt"))
+    best = each.withColumn("__ok", ok).groupBy(F.col(sequence).alias("__s")).agg(
+        F.coalesce(F.min(F.when(F.col("__ok"), F.struct("attempt", "decoy"))), F.struct(F.lit(tries + 1).alias("attempt"), F.max(F.struct("attempt", "decoy"))["decoy"].alias("decoy"))).alias("__b")
+    )
+    if own.limit(SMALL + 1).count() <= SMALL:
+        best = F.broadcast(best)  # a row a sequence, counted
+    return df.join(best, F.col(sequence).eqNullSafe(F.col("__s"))).select(*df.columns, F.col("__b.decoy").alias("decoy"), F.col("__b.attempt").alias("attempt"))
 
 
 # -- alleles that compete ------------------------------------------------------------------------------------------------

@@ -121,3 +121,17 @@ def test_chance_scores(spark):
         g = got[k]
         assert (g["raw"], g["similarity"], g["weighted"], g["expected"]) == pytest.approx((raw, raw / 7 if k % 3 else 0.0, sum(r[2] * r[3] * r[1] for r in hit) / sum(r[1] for r in hit) if hit else 0.0, expected))
         assert (g["n_above"], g["n_matched"]) == (sum(r[2] * r[3] > raw / (r[5] + 1) for r in hit), len(hit)) and g["excess"] == pytest.approx(len(hit) - expected)
+
+
+def test_decoys_are_tried_once_a_sequence(spark):
+    """Rows that repeat a sequence add no tries: the rows that meet the background are as many as different sequences make."""
+    few = spark.createDataFrame([(k, s) for k in range(4) for s in ("PEPTIDEK", "AAAAK", "LNDSTR", None)], "id int, s string")
+    many = few.unionByName(few.withColumn("id", F.col("id") + 4))
+
+    def asked(df):
+        out = v.checked_decoys(df, "s", df.select("s"), tries=3)
+        rows = {r["id"]: r for r in out.where("s = 'LNDSTR'").collect()}
+        assert len({(r["decoy"], r["attempt"]) for r in rows.values()}) == 1 and out.count() == df.count()
+        return out._jdf.queryExecution().optimizedPlan().toString()
+
+    assert [asked(d).split("Generate explode")[1].count("Aggregate [s#") for d in (few, many)] == [1, 1]
