@@ -8,20 +8,29 @@ from pyspark.sql import functions as F
 from peakfold.functions.distributions import gaussian_sf
 
 
+def at_levels(df: DataFrame, levels: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with the columns that the levels (a row a value of `by`, nulls too) have besides."""
+    names = {c: f"__l_{c}" for c in by}
+    on = F.lit(True)
+    for c, n in names.items():
+        on = on & F.col(c).eqNullSafe(F.col(n))
+    return df.join(levels.withColumnsRenamed(names), on).drop(*names.values())
+
+
 def benjamini_hochberg(df: DataFrame, group: list[str], p: str, out: str = "q", ranges: int = 1) -> DataFrame:
     """Adjusted p-values per group: the least of n p' / rank over all p' at or above p.  Ties share one value.
 
-    With `ranges` over 1 a group's order is cut into that many ranges, so no task sorts a whole group.
+    Rows of one p are counted first, and only the counts are ordered.  With `ranges` over 1 a group's order is cut into that
+    many ranges, so no task sorts a whole group.
     """
-    from peakfold.operators.running import running
+    from peakfold.operators.running import few_groups, running
 
-    x = running(df, group, p, {"__rank": ("sum", F.lit(1))}, ranges=ranges)
-    if ranges == 1:
-        x = x.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*group)))
-    else:
-        x = x.join(df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")), group)
+    x = df.groupBy(*group, p).agg(F.count(F.lit(1)).alias("__c"))
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    x = at_levels(x, F.broadcast(sizes) if few_groups(df, group) else sizes, group)
+    x = running(x, group, p, {"__rank": ("sum", F.col("__c"))}, ranges=ranges)
     x = running(x, group, p, {"__least": ("min", F.col("__n") * F.col(p) / F.col("__rank"))}, descending=True, ranges=ranges)
-    return x.withColumn(out, F.least(F.lit(1.0), F.col("__least"))).drop("__n", "__rank", "__least")
+    return at_levels(df, x.select(*group, p, F.least(F.lit(1.0), F.col("__least")).alias(out)), [*group, p])
 
 
 def pi0(df: DataFrame, group: list[str], p: str, low: float = 0.05, high: float = 1.0) -> DataFrame:
@@ -49,18 +58,25 @@ def top_share(df: DataFrame, group: list[str], score: str, share: float) -> Data
     return df.join(cut, group).where(F.col(score) >= F.col("__c")).drop("__c")
 
 
-def tdc_q_values(df: DataFrame, group: list[str], score: str, decoy: Column, out: str = "q", higher: bool = True, ranges: int = 1) -> DataFrame:
-    """Target-decoy q-values: running decoys / targets from the best score, then the running minimum from the worst.
+def tdc_levels(df: DataFrame, group: list[str], score: str, decoy: Column, out: str = "q", higher: bool = True, ranges: int = 1) -> DataFrame:
+    """group, score, q of every different score: target-decoy q-values, running decoys / targets from the best score, then the
+    running minimum from the worst.
 
-    Without targets so far the rate is 1.  Equal scores share one value, so their order can't matter.  With `ranges` over 1
-    a group's order is cut into that many ranges, so no task sorts a whole group.
+    Without targets so far the rate is 1.  Equal scores share one value, so they are counted first and only the counts are ordered.
+    With `ranges` over 1 a group's order is cut into that many ranges, so no task sorts a whole group.
     """
     from peakfold.operators.running import running
 
-    x = running(df, group, score, {"__d": ("sum", decoy.cast("long")), "__t": ("sum", (~decoy).cast("long"))}, descending=higher, ranges=ranges)
+    x = df.groupBy(*group, score).agg(F.sum(decoy.cast("long")).alias("__nd"), F.sum((~decoy).cast("long")).alias("__nt"))
+    x = running(x, group, score, {"__d": ("sum", F.col("__nd")), "__t": ("sum", F.col("__nt"))}, descending=higher, ranges=ranges)
     x = x.withColumn("__f", F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("__d"), F.col("__t")), F.lit(1.0))))
     x = running(x, group, score, {"__q": ("min", F.col("__f"))}, descending=not higher, ranges=ranges)
-    return x.withColumn(out, F.col("__q")).drop("__d", "__t", "__f", "__q")
+    return x.select(*group, score, F.col("__q").alias(out))
+
+
+def tdc_q_values(df: DataFrame, group: list[str], score: str, decoy: Column, out: str = "q", higher: bool = True, ranges: int = 1) -> DataFrame:
+    """Rows with the target-decoy q-value of their score."""
+    return at_levels(df, tdc_levels(df, group, score, decoy, out, higher, ranges), [*group, score])
 
 
 def compete(df: DataFrame, key: list[str], score: str, tie: list) -> DataFrame:

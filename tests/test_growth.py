@@ -60,3 +60,14 @@ def test_parsimony_looks_at_an_item_a_few_times():
     got = k.parsimony(members, error)
     assert sorted(i for _, s, _ in got for i in s) == sorted(set().union(*members.values()))
     assert Counted.looks < 10 * 400 * 20
+
+
+def test_equal_values_are_ordered_once(spark):
+    """Windows of the error rates see different values, not rows."""
+    from peakfold.operators import statistics as st
+
+    df = spark.range(20_000).select((F.col("id") % 2).alias("g"), (F.col("id") % 7 / 8).alias("p"), (F.col("id") % 3 == 0).alias("decoy"))
+    for got in (st.benjamini_hochberg(df, ["g"], "p"), st.tdc_q_values(df, ["g"], "p", F.col("decoy"))):
+        assert got.count() == 20_000
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate [g#" in plan.rsplit("Window [", 1)[1]
