@@ -32,18 +32,10 @@ def first_seen(df: DataFrame, at: str, keys: list[str], late: str = "1 hour") ->
     return df.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def running_cycles(df: DataFrame, key: str, at: str) -> DataFrame:
-    """Per key and batch the number of rows so far and the mean gap so far, from a state of three numbers."""
-
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, low, high = state.get if state.exists else (0, float("inf"), float("-inf"))
-        for p in parts:
-            n, low, high = n + len(p), min(low, float(p[at].min())), max(high, float(p[at].max()))
-        state.update((n, low, high))
-        yield pd.DataFrame({key: [k[0]], "n": [n], "cycle": [(high - low) / (n - 1) if n > 1 else None]})
-
-    kind = dict(df.dtypes)[key]
-    return df.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, cycle double", "n long, low double, high double", "update", GroupStateTimeout.NoTimeout)
+def extents(df: DataFrame, at: str, length: str, keys: list[str], late: str = "1 hour") -> DataFrame:
+    """Rows of each key and window, with the first and last time; extents of several windows add up to a key's mean gap."""
+    g = df.withWatermark(at, late).groupBy(F.window(at, length).alias("w"), *keys)
+    return g.agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("low"), F.max(at).alias("high")).select(F.col("w.start").alias("start"), *keys, "n", "low", "high")
 
 
 def demultiplex_stream(df: DataFrame, run: str, cycle: str, window: str, mz: str, intensity: str) -> DataFrame:
