@@ -150,13 +150,14 @@ def allele_competition(primary: DataFrame, ions: DataFrame, peaks: DataFrame, ba
     Gaussian weights over `scans`, then to the earlier scan.  It is localised with a score of `minimum` and `fewest` such
     ions.  All localised forms are reported; a batch without any reports its form of the greatest primary there.
 
-    Returns batch, form, at, rt, primary, localization, n_ions, localized, reported; forms without a scan have no row.
+    Returns batch, form, at, rt, primary, localization, n_ions, localized, reported; forms without a scan have no row.  Tables here hold
+    a row a scan, which Spark takes for fewer where they were laid out by `explode`; none of them is broadcast.
     """
     own = [*batch, form]
     order = win.over(own, ["at"])
     p = primary.withColumn("__avg", win.gaussian_average("primary", order, scans))
     start = p.groupBy(*own).agg(F.min_by("rt", F.struct(-F.col("primary"), F.col("at"))).alias("__rt"))
-    near = p.join(start, own).where(F.abs(F.col("rt") - F.col("__rt")) < width)
+    near = p.join(start.hint("merge"), own).where(F.abs(F.col("rt") - F.col("__rt")) < width)
     telling = telling_ions(ions, batch, form, "mz", ppm).select(*own, F.col("mz").alias("__ion"), "frequency").distinct()
     named = peaks.select(*[F.col(b).alias(f"__{b}") for b in batch], F.col("at").alias("__at"), F.col("mz").alias("__peak"))
     same = F.lit(True)
@@ -164,7 +165,7 @@ def allele_competition(primary: DataFrame, ions: DataFrame, peaks: DataFrame, ba
         same = same & (F.col(b) == F.col(f"__{b}"))
     hits = band_join(telling, named, "__ion", "__peak", ppm, same).select(*own, "__ion", "frequency", F.col("__at").alias("at")).distinct()
     local = hits.groupBy(*own, "at").agg(F.sum(-F.log10("frequency")).alias("localization"), F.count(F.lit(1)).alias("n_ions"))
-    x = near.join(local, [*own, "at"], "left").withColumns({"localization": F.coalesce("localization", F.lit(0.0)), "n_ions": F.coalesce("n_ions", F.lit(0))})
+    x = near.join(local.hint("merge"), [*own, "at"], "left").withColumns({"localization": F.coalesce("localization", F.lit(0.0)), "n_ions": F.coalesce("n_ions", F.lit(0))})
     best = Window.partitionBy(*own).orderBy(F.desc(F.round("localization", 9)), F.desc(F.round("__avg", 9)), "at")
     x = x.withColumn("__r", F.row_number().over(best)).where("__r = 1").withColumn("localized", (F.round("localization", 9) >= minimum) & (F.col("n_ions") >= fewest))
     any_ = F.max("localized").over(Window.partitionBy(*batch))

@@ -71,3 +71,15 @@ def test_equal_values_are_ordered_once(spark):
         assert got.count() == 20_000
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate [g#" in plan.rsplit("Window [", 1)[1]
+
+
+def test_streams_hold_no_result_on_the_driver(spark):
+    """Rows come from files, not from a table in the driver's memory."""
+    for name in ("stream_session", "stream_cycles", "stream_window_agg"):
+        plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MemoryPlan" not in plan and "parquet" in plan, name
+
+
+def test_dense_tables_are_not_broadcast(spark):
+    """Users times days times types are laid out from a small table, and no join builds them on the driver."""
+    assert built(catalog.queries()["allele_competition"](spark, SF)) == []
