@@ -61,7 +61,7 @@ def tier_weight(correlation: Column) -> Column:
 def trace_scores(traces: DataFrame, key: list[str], ion: str, at: str, value: str, width: int, transitions: int = 3) -> DataFrame:
     """Per scan of each candidate: median, summed correlation (averaged over width / 2, per transition), tiers."""
     x = local_share(traces, key, ion, at, value, round(width * 1.5))
-    x = x.join(upper_median(x, key, at, "share", transitions), [*key, at])
+    x = x.join(upper_median(x, key, at, "share", transitions).hint("merge"), [*key, at])
     x = sliding_correlation(x, key, ion, at, value, "median", width)
     s = x.groupBy(*key, at).agg(F.max("median").alias("median"), F.sum("correlation").alias("__c"), F.sum(tier_weight(F.col("correlation"))).alias("tiers"))
     s = win.filled_average(s, key, [at], "__c", max(1, width // 2), "__a")
@@ -70,7 +70,7 @@ def trace_scores(traces: DataFrame, key: list[str], ion: str, at: str, value: st
 
 def candidate_scores(primary: DataFrame, traces: DataFrame, key: list[str], at: str, score: str = "primary", low_resolution: bool = False) -> DataFrame:
     """Primary score of each scan times its summed correlation, and times its tiers for noisy instruments."""
-    x = primary.join(traces, [*key, at])
+    x = primary.join(traces.hint("merge"), [*key, at])
     return x.withColumn("score", F.col(score) * F.col("correlation_sum") * (F.col("tiers") if low_resolution else F.lit(1.0)))
 
 
@@ -95,7 +95,7 @@ def match_features(ions: DataFrame, key: list[str], used: int = 3, tolerance: fl
         ((F.sum(F.when(near, F.abs("delta"))) + tolerance * F.greatest(F.lit(0), used - F.count_if(near))) / used).alias("delta_abs"), F.sum(F.col("__p") * F.col("__a")).alias("dot"),
         F.coalesce(F.sum(F.when(both, (F.col("__p") - F.col("__a")) * (F.col("__p") - F.col("__a")))), F.lit(0.0)).alias("__e"), F.sum("intensity").alias("__s"), F.max("__n").alias("__n"),
     )
-    f = f.join(ladder, key, "left").withColumn("ladder", F.coalesce("ladder", F.lit(0).cast("long")))
+    f = f.join(ladder.hint("merge"), key, "left").withColumn("ladder", F.coalesce("ladder", F.lit(0).cast("long")))
     sp = F.greatest(F.lit(1.0), F.col("__s") * F.col("n_matched") * (1 + 0.075 * F.col("ladder")) / F.col("__n"))
     f = f.withColumn("hyperscore", F.when((F.col("dot") > 0) & (F.col("n_matched") > 0), A.hyperscore(F.col("dot"), F.col("n_matched"))).otherwise(F.lit(0.0)))
     f = f.withColumn("fit_score", F.when(F.col("__e") > 1e-12, F.greatest(F.lit(0.0), 1 - F.ln("__e"))).otherwise(F.lit(0.0)))
@@ -142,7 +142,7 @@ def default_search(matches: DataFrame, width: int, transitions: int = 3, k: int
     scored = scan_scores(matches, width, transitions, low_resolution)
     best = topk_exclusion(scored.where("score > 0"), ["candidate"], ["at"], "scan", "score", k, width)
     names = matches.select("candidate", "group", "decoy").distinct()
-    return compete(best.join(names, "candidate"), ["group"], "score", ["candidate", "scan"])
+    return compete(best.join(names.hint("merge"), "candidate"), ["group"], "score", ["candidate", "scan"])
 
 
 def feature_search(matches: DataFrame, scans: DataFrame, width: int, rt_width: float, transitions: int = 3, k: int = 2, low_resolution: bool = False, tolerance: float = 10.0) -> DataFrame:
@@ -154,7 +154,8 @@ def feature_search(matches: DataFrame, scans: DataFrame, width: int, rt_width: f
 
     The k + 1 best scans of a candidate are taken, each 2 `width` scans from better ones.  Around each, transitions are
     refined (`quantitation.shape_features`); scans with fewer than `transitions` well correlating ones give way to those with
-    enough, if the candidate has such.  Returns candidate, group, decoy, scan, rank and FEATURES.
+    enough, if the candidate has such.  Returns candidate, group, decoy, scan, rank and FEATURES.  Matches are dense, so Spark may take
+    them for far fewer than they are: no table is broadcast.
     """
     from peakfold.operators.kernels import topk_exclusion
     from peakfold.operators.quantitation import shape_features
@@ -162,18 +163,18 @@ def feature_search(matches: DataFrame, scans: DataFrame, width: int, rt_width: f
 
     scored = scan_scores(matches, width, transitions, low_resolution)
     best = topk_exclusion(scored, ["candidate"], ["at"], "scan", "score", k + 1, 2 * width)
-    taken = best.join(matches.select("candidate", "scan", "at", "rt").distinct(), ["candidate", "scan"])
+    taken = best.join(matches.select("candidate", "scan", "at", "rt").distinct().hint("merge"), ["candidate", "scan"])
     # Each taken scan's surroundings: a join on the candidate, of as many rows as a few peaks have.
     around = matches.select("candidate", F.col("at").alias("__at"), F.col("rt").alias("__x"), "ion", (F.col("intensity") * F.col("intensity")).alias("__v"), "precursor")
-    local = taken.select("candidate", "scan", "at", F.col("rt").alias("__centre")).join(around, "candidate").where(F.abs(F.col("__at") - F.col("at")) <= 2 * width)
+    local = taken.select("candidate", "scan", "at", F.col("rt").alias("__centre")).join(around.hint("merge"), "candidate").where(F.abs(F.col("__at") - F.col("at")) <= 2 * width)
     shape = shape_features(local, ["candidate", "scan"], "ion", "__x", "__v", "precursor", "__centre", rt_width)
     fit = e_value_fit(scored, ["candidate"], "score")
-    ions = matches.join(taken.select("candidate", "scan"), ["candidate", "scan"])
+    ions = matches.join(taken.select("candidate", "scan").hint("merge"), ["candidate", "scan"])
     parts = match_features(ions.withColumn("intensity", F.col("intensity") * F.col("intensity")), ["candidate", "scan"], transitions, tolerance)
-    x = taken.withColumnRenamed("score", "primary").join(shape.withColumnRenamed("n_good", "n_good_correlation"), ["candidate", "scan"]).join(parts, ["candidate", "scan"]).join(fit, "candidate").join(scans, ["candidate", "scan"], "left")
+    x = taken.withColumnRenamed("score", "primary").join(shape.withColumnRenamed("n_good", "n_good_correlation").hint("merge"), ["candidate", "scan"]).join(parts.hint("merge"), ["candidate", "scan"]).join(fit.hint("merge"), "candidate").join(scans.hint("merge"), ["candidate", "scan"], "left")
     x = x.withColumn("evalue", F.coalesce(e_value(F.col("primary"), F.col("slope"), F.col("intercept")), F.lit(-1.0)))
     x = x.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(default)) for c, default in (("xcorr_lib", 0.0), ("xcorr_model", 0.0), ("isotope_dot", 0.0), ("parent_delta", tolerance))})
     enough = F.col("n_good_correlation") >= transitions
     x = x.withColumn("__some", F.max(enough).over(Window.partitionBy("candidate"))).where(enough | (~F.col("__some") & (F.col("rank") == 1)))
     names = matches.select("candidate", "group", "decoy").distinct()
-    return x.join(names, "candidate").select("candidate", "group", "decoy", "scan", "rank", *FEATURES)
+    return x.join(names.hint("merge"), "candidate").select("candidate", "group", "decoy", "scan", "rank", *FEATURES)

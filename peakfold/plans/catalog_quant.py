@@ -147,7 +147,7 @@ def feature_search(spark, d):
     """Users as candidates (of pairs, odd ones decoys), event types as ions, days as scans, events a day as the precursor."""
     e = t(spark, d, "events").withColumn("at", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long"))
     days = e.groupBy("user_id", "at").agg(F.count(F.lit(1)).cast("double").alias("precursor"), F.sum("value").alias("tic"))
-    x = trace_table(spark, d).join(days, ["user_id", "at"], "left")
+    x = trace_table(spark, d).join(days.hint("merge"), ["user_id", "at"], "left")
     x = x.select(F.col("user_id").alias("candidate"), F.floor(F.col("user_id") / 2).alias("group"), (F.col("user_id") % 2 == 1).alias("decoy"), F.col("at").alias("scan"), "at", (F.col("at") * 1.0).cast("double").alias("rt"), "ion", F.substring("ion", 1, 1).alias("ion_type"), F.length("ion").alias("ion_index"), (F.length("ion") * 1.0).cast("double").alias("predicted"), F.sqrt("v").alias("intensity"), (F.col("v") % 7 - 3).alias("delta"), F.coalesce("tic", F.lit(0.0)).alias("tic"), F.coalesce("precursor", F.lit(0.0)).alias("precursor"))
     peaks = e.groupBy(F.col("user_id").alias("candidate"), F.col("at").alias("scan")).agg(F.array_sort(F.collect_list(F.struct((F.col("event_id") % 997 + 100.0).alias("mz"), F.col("value").alias("intensity")))).alias("peaks"))
     library = e.groupBy(F.col("event_type").alias("type")).agg(F.array_sort(F.collect_set((F.col("event_id") % 97 * 10 + 100.0))).alias("mz"))  # a hundred masses a type
