@@ -14,6 +14,7 @@ from peakfold.operators import aggregates as agg
 from peakfold.operators import joins, scans, setops, tracescore
 from peakfold.operators import statistics as st
 from peakfold.operators import windows as win
+from peakfold.operators.running import ranges_for
 from peakfold.plans import flows, reports
 from peakfold.plans.catalog import MODSEQ, micros, query, t
 
@@ -198,7 +199,7 @@ def trace_table(spark, d):
     e = t(spark, d, "events").select("user_id", F.col("event_type").alias("ion"), F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long").alias("at"), "value")
     grid = e.groupBy("user_id").agg(F.lit(1).alias("__one")).drop("__one").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))))
     grid = grid.withColumn("ion", F.explode(F.array(*[F.lit(k) for k in sorted(r[0] for r in e.select("ion").distinct().collect())])))  # a handful of types
-    return grid.join(e.groupBy("user_id", "ion", "at").agg(F.sum("value").alias("v")), ["user_id", "ion", "at"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    return grid.join(e.groupBy("user_id", "ion", "at").agg(F.sum("value").alias("v")).hint("merge"), ["user_id", "ion", "at"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
 
 
 @query("""
@@ -362,7 +363,10 @@ WITH x AS (SELECT l_orderkey AS k, l_partkey AS ion, sum(CASE WHEN l_discount >
 SELECT k AS l_orderkey, count(DISTINCT ion) AS ions, round(sum(i), 2) AS signal FROM x WHERE i > 0 GROUP BY 1 HAVING count(DISTINCT ion) >= 2
 """)
 def ion_counts(spark, d):
-    x = t(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_partkey").alias("ion_mz")).agg(F.sum(F.when(F.col("l_discount") > 0.02, F.col("l_extendedprice")).otherwise(F.lit(0.0))).alias("intensity"))
+    x = t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_discount", "l_extendedprice")
+    # Nearly as many ions as rows: dealt out once, so that no task adds up more than about a million.
+    x = x.repartition(ranges_for(x, 1_000_000) + spark.sparkContext.defaultParallelism, "l_orderkey")
+    x = x.groupBy("l_orderkey", F.col("l_partkey").alias("ion_mz")).agg(F.sum(F.when(F.col("l_discount") > 0.02, F.col("l_extendedprice")).otherwise(F.lit(0.0))).alias("intensity"))
     return reports.ion_counts(x, ["l_orderkey"], 2).withColumn("signal", F.round("signal", 2))
 
 
