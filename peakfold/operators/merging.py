@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakfold.operators.kernels import per_group
+from peakfold.operators.running import ranges_for
 
 
 def _near(masses: list[float], m: float, ppm: float) -> int:
@@ -74,7 +75,8 @@ def merged_spectra(df: DataFrame, key: list[str], spectrum: str, rt: str, mz: st
     their mean.  More of them are added up in bins of `width`, whose number is rounded, and rt is the least.
     """
     p = df.where(F.col(mz).isNotNull() & F.col(intensity).isNotNull() & F.col(rt).isNotNull())
-    each = p.groupBy(*key, spectrum).agg(F.min(F.col(rt).cast("double")).alias("__rt"))
+    # Nearly as many spectra as rows: dealt out first, so that no task adds up more than about a million before and after a shuffle.
+    each = p.select(*key, spectrum, rt).repartition(ranges_for(df, 1_000_000) + df.sparkSession.sparkContext.defaultParallelism, *key, spectrum).groupBy(*key, spectrum).agg(F.min(F.col(rt).cast("double")).alias("__rt"))
     size = each.groupBy(*key).agg(F.count(F.lit(1)).alias("n_spectra"), F.avg("__rt").alias("__mean"), F.min("__rt").alias("__least"))
     x = p.select(*key, spectrum, rt, mz, intensity).join(size, key)
     binned = x.where(F.col("n_spectra") > most).groupBy(*key, F.floor(F.col(mz) / width + 0.5).alias("__b")).agg(F.sum(intensity).cast("double").alias("intensity")).where("intensity > 0").select(*key, (F.col("__b") * width).alias("mz"), "intensity")
