@@ -12,8 +12,12 @@ and are all of them if that passage's interval is deeper than `least`, so then t
 there, each branch begins a group.  Pages get back the least documents of the groups, and remove what starts in a smaller
 document.
 
-Pages are a bucketed table whose ids are chosen so that every task writes to one bucket: writing them shuffles nothing, and
-neither do the two joins that bring answers to pages.
+Buckets travel in bundles, one row a page and bundle.  Pages and bundles grow with the root of the text, so that these rows
+grow about as the text does and not with its square (see `layout`).
+
+Pages are a bucketed table whose ids are chosen so that every task writes a stripe of STRIPE bytes to one bucket and the next to
+another: writing them shuffles nothing, neither do the two joins that bring answers to pages, and a table of few large files is
+still read by many tasks.
 
 A passage or anchor that very many documents share is sent once a page, whatever the number of its documents.  Equal
 texts are told apart by a digest first: all but the first are removed whole.
@@ -29,6 +33,7 @@ import functools
 import gc
 import hashlib
 import itertools
+import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,11 +45,16 @@ from pyspark.sql import functions as F
 
 from peakfold.llm.common import Scratch, maybe_broadcast, partitions
 
-PAGE = 1 << 20
+#: Bytes of a page of a text of GROWS bytes or less; at most PAGE_GROWS times that in a larger one.
+PAGE, GROWS, PAGE_GROWS = 1 << 20, 1 << 30, 8
+#: Bytes of pages that a task writes to one bucket.
+STRIPE = 1 << 25
 #: Bytes of a gram; anchors are the least of least - GRAM + 1 neighbouring grams.
 GRAM = 20
 #: Anchors of a bucket, about.
 BUCKET = 150_000
+#: Anchors of a bundle of buckets, about, and how many times that at most in a larger text.
+BUNDLE, BUNDLE_GROWS = 500_000, 4
 KEY = np.uint64((1 << 40) - 1)
 LAST = (1 << 63) - 1
 #: In place of a left byte: several, or the start of a document.
@@ -52,6 +62,15 @@ DIVERSE = -2
 BASE = 0x9E3779B97F4A7C15
 
 
+def layout(total: int, spread: int, least: int) -> tuple[int, int, int]:
+    """(bytes of a page, buckets, buckets of a bundle) for `total` bytes of text and `spread` tasks."""
+    grown = max(1.0, total / GROWS) ** 0.5
+    count = -(-total * 2 // (least - GRAM + 2))
+    bundles = max(2 * spread, math.ceil(count / (BUNDLE * min(grown, BUNDLE_GROWS))))
+    per = max(1, -(-count // (bundles * BUCKET)))
+    return int(PAGE * min(grown, PAGE_GROWS)), bundles * per, per
+
+
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the GRAM bytes from every position, by doubling."""
     m = [pow(BASE, 1 << k, 1 << 64) for k in range(5)]
@@ -79,14 +98,13 @@ def least_grams(data: np.ndarray, least: int, block: int = 1 << 15) -> tuple[np.
         z = min(n, a + block)
         h = gram_hashes(data[a : z + least - 1])
         hashes[a : a + len(h)] = h
-        v, off, size = (h >> np.uint64(32)).astype(np.uint32), np.zeros(len(h), np.uint8), 1
+        place = np.arange(len(h), dtype=np.uint64)
+        v, size = (h >> np.uint64(32) << np.uint64(32)) | place, 1  # of equal hashes the leftmost is the least
         while size < w:
             d = min(size, w - size)
-            right = v[d:] < v[:-d]
-            off = np.where(right, off[d:] + np.uint8(d), off[:-d])
             v = np.minimum(v[d:], v[:-d])
             size += d
-        out[a:z] = off
+        out[a:z] = (v & np.uint64(0xFFFFFFFF)) - place[: len(v)]
     return hashes, out
 
 
@@ -121,9 +139,9 @@ def distinct_keys(h: np.ndarray, doc: np.ndarray, buckets: int) -> tuple[np.ndar
     return u, lo < hi, back
 
 
-def by_bucket(u: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(bucket, begin, end) of each bucket in sorted keys."""
-    b = u >> np.uint64(40)
+def by_bucket(u: np.ndarray, per: int = 1) -> Iterator[tuple[int, int, int]]:
+    """(bucket, begin, end) of each bucket in sorted keys, or of each bundle of `per` buckets."""
+    b = (u >> np.uint64(40)) // np.uint64(per)
     cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else []
     for a, z in zip(cut, [*cut[1:], len(b)]):
         yield int(b[a]), int(a), int(z)
@@ -138,19 +156,21 @@ def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndar
     after = np.minimum(ends[doc] - last - least, extra)
     out[:, 2] = (first > starts[doc]) + 2 * after
     size = (last - first + least + after).astype(np.int64)
-    for k in range(wide):
-        live = size >= k if k else out[:, 2] % 2 > 0
-        out[live, 3 + k] = data[first[live] - 1 + k]
+    if len(at):
+        near = np.lib.stride_tricks.sliding_window_view(np.pad(data, (1, wide)), wide)[first]  # from the byte to the left
+        near *= np.arange(wide) <= size[:, None]
+        near[:, 0] *= out[:, 2] % 2
+        out[:, 3:] = near
     return out
 
 
-def shared_contexts(data, ends, ids, bits: dict[int, bytes], buckets: int, least: int, extra: int = 0):
+def shared_contexts(data, ends, ids, bits: dict[int, bytes], buckets: int, least: int, extra: int = 0, per: int = 1):
     """Distinct contexts of a page's shared anchors: (bucket of each, context rows, least doc_id, and of every shared
-    anchor: first start, document, place of its context)."""
+    anchor: first start, document, place of its context).  Bits are by bundle of `per` buckets."""
     at, h, first, last, doc = anchors(data, ends, least)
     u, _, back = distinct_keys(h, doc, buckets)
     keep = np.zeros(len(u), bool)
-    for b, a, z in by_bucket(u):
+    for b, a, z in by_bucket(u, per):
         if b in bits:
             keep[a:z] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=z - a).astype(bool)
     live = keep[back] if len(back) else np.zeros(0, bool)
@@ -163,12 +183,18 @@ def shared_contexts(data, ends, ids, bits: dict[int, bytes], buckets: int, least
 
 
 def distinct_rows(rows: np.ndarray, lead: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(index of one row of each kind, kind of each row), kinds sorted by `lead` and then bytes."""
+    """(index of one row of each kind, kind of each row), kinds sorted by `lead` and then by a hash of their bytes."""
     if not len(rows):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     pad = -rows.shape[1] % 8
     words = np.ascontiguousarray(np.pad(rows, ((0, 0), (0, pad)))).view(">u8").astype(np.uint64)
-    order = sorted_by([lead.astype(np.uint64), *words.T] if lead is not None else [*words.T])
+    key = np.zeros(len(rows), np.uint64)
+    for c in words.T:
+        key = (key ^ c) * np.uint64(BASE)
+        key ^= key >> np.uint64(32)
+    if lead is not None:
+        key = (lead.astype(np.uint64) << np.uint64(40)) | (key >> np.uint64(24))
+    order = sorted_by([key, *words.T])
     new = (words[order][1:] != words[order][:-1]).any(1)
     if lead is not None:
         new |= lead[order][1:] != lead[order][:-1]
@@ -181,16 +207,24 @@ def distinct_rows(rows: np.ndarray, lead: np.ndarray | None = None) -> tuple[np.
 def sorted_by(cols: list[np.ndarray]) -> np.ndarray:
     """Order by the columns in turn: by the first, then those groups again in which a later one differs."""
     order = np.argsort(cols[0])
-    tied = cols[0][order][1:] == cols[0][order][:-1]
-    differ = np.zeros(len(tied), bool)
-    for c in cols[1:]:
-        differ |= c[order][1:] != c[order][:-1]
-    group = np.concatenate([[0], np.cumsum(~tied)]) if len(order) else order
-    mixed = np.zeros(len(order), bool)
-    mixed[group[1:][differ & tied]] = True
-    again = mixed[group]
-    part = order[again]
-    order[again] = part[np.lexsort([*[c[part] for c in cols[:0:-1]], group[again]])]
+    again, own = np.arange(len(order)), cols[0][order]  # places that may still change, what they are grouped by
+    for k in range(1, len(cols)):
+        tied = own[1:] == own[:-1]
+        differ = np.zeros(len(tied), bool)
+        for c in cols[k:]:
+            v = c[order[again]]
+            differ |= v[1:] != v[:-1]
+        group = np.concatenate([[0], np.cumsum(~tied)]) if len(again) else again
+        mixed = np.zeros(len(again), bool)
+        mixed[group[1:][differ & tied]] = True
+        live = mixed[group]
+        if not live.any():
+            break
+        again, group = again[live], group[live]
+        v = cols[k][order[again]]
+        by = np.lexsort([v, group])
+        order[again], v = order[again][by], v[by]
+        own = np.concatenate([[0], np.cumsum((v[1:] != v[:-1]) | (group[1:] != group[:-1]))])  # by is a permutation within groups
     return order
 
 
@@ -206,13 +240,10 @@ def suffix_array(rows: np.ndarray, least: int, extra: int = 0) -> tuple[np.ndarr
     row = np.repeat(np.arange(len(rows)), count)
     o = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     padded = np.pad(rows, ((0, 0), (0, 8 * words)))
-    eight = np.zeros((len(rows), rows.shape[1] + 8 * (words - 1)), np.uint64)
-    for k in range(8):
-        eight <<= np.uint64(8)
-        eight |= padded[:, k : k + eight.shape[1]]
-    spot = row * eight.shape[1] + 4 + o
-    cols = [eight.ravel()[spot + 8 * j] for j in range(words)]
-    del eight
+    eight = np.ndarray((max(0, padded.size - 7),), ">u8", padded.tobytes(), strides=(1,))  # of the bytes from every place
+    spot = row * padded.shape[1] + 4 + o
+    cols = [eight[spot + 8 * j].astype(np.uint64) for j in range(words)]
+    del eight, padded
     over = 8 * words - (least + extra)
     cols[-1] = cols[-1] >> np.uint64(8 * over) << np.uint64(8 * over)
     order = sorted_by(cols)
@@ -295,6 +326,29 @@ def least_documents(rows: np.ndarray, low: np.ndarray, least: int, extra: int) -
     return np.repeat(np.arange(len(rows)), count), out[last]
 
 
+def answers_by_bucket(own: np.ndarray, rows: np.ndarray, low: np.ndarray, least: int, extra: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Answers to contexts of several buckets (`own` of each), bucket by bucket: runs of passages of one context with one least
+    doc_id.  (number of runs of each context, its first run, passages of each run, least doc_id of each)."""
+    runs, begin = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    sizes, documents, base = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], 0
+    order = np.argsort(own, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], own[order][1:] != own[order][:-1], [True]])) if len(own) else order
+    for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        at = order[a:z]
+        part = rows[at]
+        one, place = distinct_rows(part)
+        m = np.full(len(one), LAST)
+        np.minimum.at(m, place, low[at])
+        row, doc = least_documents(part[one], m, least, extra)
+        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (doc[1:] != doc[:-1])]))
+        n = np.bincount(row[first], minlength=len(one))
+        runs[at], begin[at] = n[place], (base + np.cumsum(n) - n)[place]
+        sizes.append(np.diff(np.append(first, len(row))).astype(np.uint8))
+        documents.append(doc[first])
+        base += len(first)
+    return runs, begin, np.concatenate(sizes), np.concatenate(documents)
+
+
 def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket in which Spark's bucketBy puts a long: its Murmur3 hash (fixed constants) modulo the buckets."""
     u32 = np.uint32
@@ -311,12 +365,20 @@ def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
     return h.view(np.int32).astype(np.int64) % buckets
 
 
-def ids_in_bucket(task: int, buckets: int) -> Iterator[int]:
-    """Distinct ids of a task, all of one bucket."""
-    start = task << 40
+def ids_in_bucket(task: int, buckets: int, stripe: int | None = None) -> Iterator[int]:
+    """Distinct ids of a task, all of one bucket, or with `stripe` that many of one bucket and as many of the next, which lies far
+    from it; all buckets have their turn."""
+    stride = next(k for k in itertools.count(max(1, int(buckets * 0.618))) if math.gcd(k, buckets) == 1)
+    start, bucket, left = task << 40, task % buckets, stripe
     while True:
         ids = np.arange(start, start + 16 * buckets)
-        yield from ids[bucket_of(ids, buckets) == task % buckets].tolist()
+        for i in ids[bucket_of(ids, buckets) == bucket].tolist():
+            yield i
+            if stripe:
+                left -= 1
+                if not left:
+                    bucket, left = (bucket + stride) % buckets, stripe
+                    break
         start += len(ids)
 
 
@@ -359,6 +421,7 @@ class Shared:
     bits: DataFrame
     marked: DataFrame
     buckets: int
+    per: int
     spread: int
     total: int
 
@@ -377,12 +440,12 @@ def shared_anchors(docs: DataFrame, least: int, within: bool = False) -> Shared:
     slim = scratch.save(slim.join(first, "g"), "first", rows_in)
     copies = scratch.save(slim.where("d > f").select(F.col("d").alias("cd"), F.col("g").alias("cg")).distinct(), "copies", rows_in)
     total = slim.where("d = f").agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = int(max(spread, -(-total * 2 // (least - GRAM + 2) // BUCKET)))
+    most, buckets, per = layout(total, spread, least)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        serial = ids_in_bucket(TaskContext.get().partitionId(), spread)
+        serial = ids_in_bucket(TaskContext.get().partitionId(), spread, max(1, STRIPE // most))
         held, size = [], 0
 
         def page():
@@ -393,7 +456,7 @@ def shared_anchors(docs: DataFrame, least: int, within: bool = False) -> Shared:
 
         for b in batches:
             for d, t, g in zip(*[b.column(c).to_pylist() for c in ("d", "text", "g")]):
-                if held and size + len(t) > PAGE:
+                if held and size + len(t) > most:
                     yield page()
                 held.append((d, t, g))
                 size += len(t)
@@ -414,7 +477,7 @@ def shared_anchors(docs: DataFrame, least: int, within: bool = False) -> Shared:
             if within:
                 two = np.bincount(back, minlength=len(u)) > 1
             low = np.ascontiguousarray(u.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
-            parts = list(by_bucket(u))
+            parts = list(by_bucket(u, per))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in parts], pa.int32()), pa.array([page] * len(parts), pa.int64()), pa.array([low[a:z].tobytes() for _, a, z in parts], pa.binary()), pa.array([np.packbits(two[a:z]).tobytes() for _, a, z in parts], pa.binary())], names=["bucket", "page", "keys", "two"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,49 +500,41 @@ def shared_anchors(docs: DataFrame, least: int, within: bool = False) -> Shared:
     bits = scratch.save(bits.groupBy("page").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits")), "bits", total // PAGE * 2000)
     release(bits)
     marked = pages.join(bits.hint("shuffle_hash"), "page")  # bits of a page are a few kB
-    return Shared(scratch, slim, pages, bits, marked, buckets, spread, total)
+    return Shared(scratch, slim, pages, bits, marked, buckets, per, spread, total)
 
 
 def dedup(docs: DataFrame, least: int = 50) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start:end of removed bytes, comma-joined)."""
     x = shared_anchors(docs, least)
     extra = -least % 8
-    scratch, slim, pages, bits, marked, buckets, spread, total = x.scratch, x.slim, x.pages, x.bits, x.marked, x.buckets, x.spread, x.total
+    scratch, slim, pages, bits, marked, buckets, per, spread, total = x.scratch, x.slim, x.pages, x.bits, x.marked, x.buckets, x.per, x.spread, x.total
 
     def send_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page, ids, ends, data, (own_bits,) in page_rows(batches, ("bits",)):
-            bucket, ctx, low, *_ = shared_contexts(data, ends, ids, {x["bucket"]: x["bits"] for x in own_bits}, buckets, least, extra)
-            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-            parts = list(zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)]))
-            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in parts], pa.int32()), pa.array([page] * len(parts), pa.int64()), pa.array([ctx[a:z].tobytes() for a, z in parts], pa.binary()), pa.array([low[a:z].tobytes() for a, z in parts], pa.binary())], names=["bucket", "page", "ctx", "low"])
+            bucket, ctx, low, *_ = shared_contexts(data, ends, ids, {x["bucket"]: x["bits"] for x in own_bits}, buckets, least, extra, per)
+            parts = list(by_bucket(bucket.astype(np.uint64) << np.uint64(40), per))
+            own = (bucket % per).astype("<u2")
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in parts], pa.int32()), pa.array([page] * len(parts), pa.int64()), *[pa.array([x[a:z].tobytes() for _, a, z in parts], pa.binary()) for x in (own, ctx, low)]], names=["bucket", "page", "own", "ctx", "low"])
 
     width = 2 * least - GRAM + 4 + extra
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, held in grouped(batches, "bucket", ("page", "ctx", "low")):
-            ctx = np.frombuffer(b"".join(c for _, c, _ in held), np.uint8).reshape(-1, width)
+        for bucket, held in grouped(batches, "bucket", ("page", "own", "ctx", "low")):
+            own = np.frombuffer(b"".join(x for _, x, *_ in held), "<u2")
+            ctx = np.frombuffer(b"".join(c for *_, c, _ in held), np.uint8).reshape(-1, width)
             low = np.frombuffer(b"".join(x for *_, x in held), np.int64)
-            one, place = distinct_rows(ctx)
-            m = np.full(len(one), LAST)
-            np.minimum.at(m, place, low)
-            row, doc = least_documents(ctx[one], m, least, extra)
-            # Runs of passages of one context with one answer.
-            new = np.concatenate([[True], (row[1:] != row[:-1]) | (doc[1:] != doc[:-1])])
-            at = np.flatnonzero(new)
-            size = np.diff(np.concatenate([at, [len(row)]])).astype(np.uint8)
-            runs = np.bincount(row[at], minlength=len(one))
-            begin = np.cumsum(runs) - runs
-            got, k = [], 0
-            for page, c, _ in held:
-                n = len(c) // width
-                mine = place[k : k + n]
-                k += n
-                r = runs[mine]
-                spot = np.repeat(begin[mine] - (np.cumsum(r) - r), r) + np.arange(r.sum())
-                got.append((page, r.astype(np.uint8).tobytes(), size[spot].tobytes(), doc[at][spot].tobytes()))
+            cut = np.cumsum([0, *(len(x) // 2 for _, x, *_ in held)])
+            pages_ = [p for p, *_ in held]
+            held.clear()
+            runs, begin, sizes, docs_ = answers_by_bucket(own, ctx, low, least, extra)
+            got = []
+            for page, a, z in zip(pages_, cut, cut[1:]):
+                r = runs[a:z]
+                spot = np.repeat(begin[a:z] - (np.cumsum(r) - r), r) + np.arange(r.sum())
+                got.append((page, r.astype(np.uint8).tobytes(), sizes[spot].tobytes(), docs_[spot].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([bucket] * len(got), pa.int32()), *[pa.array([g[j] for g in got], pa.binary()) for j in (1, 2, 3)]], names=["page", "bucket", "runs", "sizes2", "docs"])
 
-    asked = marked.select("page", "ids", "sizes", "data", "bits").mapInArrow(send_contexts, "bucket int, page long, ctx binary, low binary")
+    asked = marked.select("page", "ids", "sizes", "data", "bits").mapInArrow(send_contexts, "bucket int, page long, own binary, ctx binary, low binary")
     told = asked.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(decide, "page long, bucket int, runs binary, sizes2 binary, docs binary")
     told = scratch.save(told.groupBy("page").agg(F.collect_list(F.struct("bucket", "runs", "sizes2", "docs")).alias("told")), "told", total // PAGE * 2000)
     release(told)
@@ -488,7 +543,7 @@ def dedup(docs: DataFrame, least: int = 50) -> DataFrame:
         for _, ids, ends, data, (own_bits, answers, gs) in page_rows(batches, ("bits", "told", "gs")):
             mark = np.zeros(len(data) + 1, np.int64)
             if answers:
-                _, ctx, _, begin, doc, place = shared_contexts(data, ends, ids, {x["bucket"]: x["bits"] for x in own_bits}, buckets, least, extra)
+                _, ctx, _, begin, doc, place = shared_contexts(data, ends, ids, {x["bucket"]: x["bits"] for x in own_bits}, buckets, least, extra, per)
                 answers = sorted(answers, key=lambda x: x["bucket"])  # as shared_contexts sorts them
                 runs = np.frombuffer(b"".join(x["runs"] for x in answers), np.uint8).astype(np.int64)
                 sizes = np.frombuffer(b"".join(x["sizes2"] for x in answers), np.uint8).astype(np.int64)
@@ -551,12 +606,12 @@ def repeat_groups(docs: DataFrame, least: int = 50) -> DataFrame:
     """
     x = shared_anchors(docs, least, within=True)
     extra = -least % 8
-    buckets, spread = x.buckets, x.spread
+    buckets, per, spread = x.buckets, x.per, x.spread
     schema = "repeat long, length long, doc_id long, start long, page long, at long, more boolean"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page, ids, ends, data, (own_bits,) in page_rows(batches, ("bits",)):
-            bucket, ctx, _, begin, doc, place = shared_contexts(data, ends, ids, {b["bucket"]: b["bits"] for b in own_bits}, buckets, least, extra)
+            bucket, ctx, _, begin, doc, place = shared_contexts(data, ends, ids, {b["bucket"]: b["bits"] for b in own_bits}, buckets, least, extra, per)
             starts = np.concatenate([[0], ends[:-1]])
             yield pa.RecordBatch.from_arrays([pa.array(bucket[place].astype(np.int32)), pa.array([r.tobytes() for r in ctx[place]], pa.binary()), pa.array(ids[doc]), pa.array(begin - starts[doc]), pa.array(np.full(len(doc), page)), pa.array(begin)], names=["bucket", "ctx", "d", "start", "page", "at"])
 

@@ -185,3 +185,36 @@ def test_clean_up(spark):
     assert Scratch.roots and any(t.name.startswith("pages_") for t in spark.catalog.listTables())
     clean_up(spark)
     assert not Scratch.roots and not any(t.name.startswith("pages_") for t in spark.catalog.listTables())
+
+
+def test_messages_grow_with_the_text():
+    """A row for each page and bundle: ten times the text makes about ten times the rows (with pages and buckets of one size: a hundred)."""
+    rows = {}
+    for total in (1 << 30, 10 << 30):
+        page, buckets, per = repeats.layout(total, 200, 50)
+        rows[total] = total // page * (buckets // per)
+        assert total * 2 // 32 / buckets <= repeats.BUCKET
+    assert rows[10 << 30] <= 12 * rows[1 << 30]
+
+
+def test_a_task_writes_to_all_buckets_in_turn():
+    """One large file is one task, whose pages are read by as many tasks as there are buckets."""
+    ids = [i for _, i in zip(range(24), repeats.ids_in_bucket(5, 8, 3))]
+    got = repeats.bucket_of(np.array(ids), 8).tolist()
+    assert len(set(ids)) == 24 and sorted(got) == sorted(list(range(8)) * 3) and all(len(set(got[k : k + 3])) == 1 for k in range(0, 24, 3))
+
+
+def test_buckets_of_a_bundle_are_decided_apart():
+    rng = np.random.default_rng(9)
+    data = rng.integers(97, 100, 4000).astype(np.uint8)
+    data[2000:2300] = data[100:400]
+    ends = np.array([1500, 4000])
+    at, _, first, last, doc = repeats.anchors(data, ends, 50)
+    rows = repeats.contexts(data, np.array([0, 1500]), ends, at, first, last, doc, 50, 6)
+    own, low = rng.integers(0, 3, len(rows)), doc + 7
+    runs, begin, sizes, said = repeats.answers_by_bucket(own, rows, low, 50, 6)
+    for k in range(3):
+        place = np.flatnonzero(own == k)
+        _, want = repeats.least_documents(rows[place], low[place], 50, 6)
+        got = np.concatenate([np.repeat(said[begin[i] : begin[i] + runs[i]], sizes[begin[i] : begin[i] + runs[i]]) for i in place])
+        assert got.tolist() == want.tolist()
