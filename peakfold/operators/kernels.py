@@ -157,8 +157,11 @@ def demultiplex_factor(before: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 def bandwidth(x: np.ndarray) -> float:
     """Silverman's rule with the population deviation."""
-    s = float(x.std()) if len(x) else 0.0
-    return max(1.06 * s * max(len(x), 1) ** -0.2, 1e-9)
+    return bandwidth_of(float(x.std()) if len(x) else 0.0, len(x))
+
+
+def bandwidth_of(deviation: float, n: int) -> float:
+    return max(1.06 * deviation * max(n, 1) ** -0.2, 1e-9)
 
 
 def density(x: np.ndarray, grid: np.ndarray, width: float | None = None) -> np.ndarray:
@@ -219,9 +222,15 @@ def ridge(x: np.ndarray, y: np.ndarray, cells: int = 300) -> tuple[np.ndarray, n
     neighbour.  The density is a binned count blurred along both axes."""
     gx, gy = np.linspace(x.min(), x.max(), cells + 1), np.linspace(y.min(), y.max(), cells + 1)
     g, _, _ = np.histogram2d(x, y, [gx, gy])
-    for axis, v in ((0, x), (1, y)):
-        step = (v.max() - v.min()) / cells
-        n = int(np.clip(np.ceil(2 * bandwidth(v) / max(step, 1e-12)), 1, cells // 4))
+    return crest(g, gx, gy, bandwidth(x), bandwidth(y))
+
+
+def crest(g: np.ndarray, gx: np.ndarray, gy: np.ndarray, width_x: float, width_y: float) -> tuple[np.ndarray, np.ndarray]:
+    """The ridge of counts g in a square grid between the edges gx and gy."""
+    cells = len(g)
+    for axis, (v, width) in enumerate(((gx, width_x), (gy, width_y))):
+        step = (v[-1] - v[0]) / cells
+        n = int(np.clip(np.ceil(2 * width / max(step, 1e-12)), 1, cells // 4))
         kernel = np.cos(np.arange(-n, n + 1) / n * np.pi / 2)
         g = np.apply_along_axis(lambda c: np.convolve(c, kernel, "same"), axis, g)
     i, j = np.unravel_index(np.argmax(g), g.shape)
@@ -239,11 +248,15 @@ def ridge(x: np.ndarray, y: np.ndarray, cells: int = 300) -> tuple[np.ndarray, n
     return cx[ux], pava(np.array([cy[path[path[:, 0] == u, 1]].mean() for u in ux]))
 
 
+def along(kx: np.ndarray, ky: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Interpolation between knots, beyond them at their pace of one."""
+    return lambda v: np.interp(v, kx, ky) + np.where(v < kx[0], v - kx[0], 0) + np.where(v > kx[-1], v - kx[-1], 0)
+
+
 def align(x: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
     """Model of y by x: the ridge for more than 20 points, a line for 3 to 20, identity below."""
     if len(x) > 20 and x.min() < x.max() and y.min() < y.max():
-        kx, ky = ridge(x, y)
-        return lambda v: np.interp(v, kx, ky) + np.where(v < kx[0], v - kx[0], 0) + np.where(v > kx[-1], v - kx[-1], 0)
+        return along(*ridge(x, y))
     if len(x) > 2 and x.min() < x.max():
         m, b = np.polyfit(x, y, 1)
         return lambda v: m * v + b

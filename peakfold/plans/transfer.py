@@ -3,7 +3,11 @@ boundaries taken over from a reference, times across a library's sources."""
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,23 +68,114 @@ def run_tree(peptides: DataFrame) -> list[tuple[str, str | None, int]]:
     return out
 
 
+#: Cells of the density on each axis, as `kernels.ridge` has them, and grids of counts that a task holds.
+CELLS, HELD = 300, 64
+
+
+def alignments(pairs: DataFrame, key: list[str], x: str, y: str) -> dict[tuple, tuple[str, list[float], list[float]]]:
+    """By key (kind, xs, ys) of the model that `kernels.align` makes of the pairs (key, x, y): the knots of a ridge, or slope and
+    offset of a line; keys that stay as they are have none.
+
+    Tasks count their pairs in the cells of a grid, and only the counts of a key meet, so its pairs may be any number.  Pairs are
+    read up to three times.  A model has at most CELLS knots, which come to the driver.
+    """
+    p = pairs.select(*key, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    numbers = [f(c).alias(f"{n}{c}") for c in ("__x", "__y") for n, f in (("low", F.min), ("high", F.max), ("sd", F.stddev_pop))]
+    known = {tuple(r[k] for k in key): r for r in p.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *numbers).collect()}
+    out, grids, short = {}, {}, False
+    for k, r in known.items():
+        if r["n"] > 20 and r["low__x"] < r["high__x"] and r["low__y"] < r["high__y"]:
+            grids[k] = (len(grids), r["low__x"], r["high__x"], r["low__y"], r["high__y"])
+        elif r["n"] > 20 and r["low__x"] < r["high__x"]:
+            out[k] = ("line", [0.0], [r["low__y"]])
+        elif r["n"] > 2 and r["low__x"] < r["high__x"]:
+            short = True
+    edges = lambda a, z: np.linspace(a, z, CELLS + 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def told():
+            for k, g in held.items():
+                cell = np.flatnonzero(g)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), k)), pa.array(cell), pa.array(g.ravel()[cell].astype(np.int64))], names=["k", "cell", "c"])
+
+        for b in batches:
+            u, v = (b.column(c).to_numpy(zero_copy_only=False) for c in ("__x", "__y"))
+            for name, at in rows_by(b, key):
+                if name not in grids:
+                    continue
+                k, *ends = grids[name]
+                if k not in held and len(held) == HELD:
+                    yield from told()
+                    held.clear()
+                g, _, _ = np.histogram2d(u[at], v[at], [edges(*ends[:2]), edges(*ends[2:])])
+                held[k] = held[k] + g if k in held else g
+        yield from told()
+
+    if grids:
+        names = list(grids)
+        widths = [tuple(kernels.bandwidth_of(known[n][f"sd{c}"], known[n]["n"]) for c in ("__x", "__y")) for n in names]
+
+        def kernel(k, cell, c):
+            g = np.zeros(CELLS * CELLS)
+            g[cell] = c
+            _, *ends = grids[names[int(k[0])]]
+            kx, ky = kernels.crest(g.reshape(CELLS, CELLS), edges(*ends[:2]), edges(*ends[2:]), *widths[int(k[0])])
+            return {"x": kx, "y": ky}
+
+        counts = p.mapInArrow(count, "k long, cell long, c long").groupBy("k", "cell").agg(F.sum("c").alias("c")).withColumn("of", F.col("k"))
+        for r in per_group(counts, ["k"], ["cell"], ["of", "cell", "c"], "x double, y double", kernel).orderBy("k", "x").collect():
+            _, xs, ys = out.setdefault(names[r["k"]], ("ridge", [], []))
+            xs.append(r["x"])
+            ys.append(r["y"])
+    if short:
+        few = p.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n BETWEEN 3 AND 20").drop("n")
+        same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in key])
+        some = p.join(few.withColumnsRenamed({k: f"__of_{k}" for k in key}), same, "left_semi")
+
+        def fit(xs, ys):
+            xs, ys = xs.astype(float), ys.astype(float)
+            return dict(zip(("slope", "offset"), ([float(v)] for v in np.polyfit(xs, ys, 1)))) if xs.min() < xs.max() else {"slope": [], "offset": []}
+
+        for r in per_group(some, key, ["__x", "__y"], ["__x", "__y"], "slope double, offset double", fit).collect():
+            out.setdefault(tuple(r[k] for k in key), ("line", [r["slope"]], [r["offset"]]))
+    return out
+
+
+def rows_by(b: pa.RecordBatch, key: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """(key, its rows) of a batch."""
+    code = np.zeros(b.num_rows, np.int64)
+    for k in key:
+        d = b.column(k).dictionary_encode(null_encoding="encode")
+        code = code * max(len(d.dictionary), 1) + np.asarray(d.indices)
+    order = np.argsort(code, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+        if len(at):
+            yield tuple(b.column(k)[int(at[0])].as_py() for k in key), at
+
+
 def warped_by(pairs: DataFrame, queries: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
     """Queries (key, x, ...) with `warped`: y of the model that `kernels.align` makes of the pairs (key, x, y) of their key; keys
-    without pairs stay as they are."""
+    without pairs stay as they are.  Queries are not shuffled."""
     names = [c for c in queries.columns if c not in (*key, x)]
     types = dict(queries.dtypes)
-    both = pairs.select(*key, F.lit(True).alias("__pair"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), *[F.lit(None).cast(types[c]).alias(c) for c in names])
-    both = both.unionByName(queries.select(*key, F.lit(False).alias("__pair"), F.col(x).cast("double").alias("__x"), F.lit(None).cast("double").alias("__y"), *names))
+    models = alignments(pairs, key, x, y)
 
-    def kernel(pair, xs, ys, *rest):
-        pair, xs = pair.astype(bool), xs.astype(float)
-        u, v = xs[pair], ys[pair].astype(float)
-        at = xs[~pair]
-        warped = kernels.align(u, v)(at) if len(u) else at
-        return {x: at, "warped": warped, **{c: r[~pair] for c, r in zip(names, rest)}}
+    def warp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b.column(x).to_numpy(zero_copy_only=False)
+            w = v.copy()
+            for name, at in rows_by(b, key):
+                kind, xs, ys = models.get(name, ("", [], []))
+                if kind == "ridge":
+                    w[at] = kernels.along(np.array(xs), np.array(ys))(v[at])
+                elif kind == "line":
+                    w[at] = xs[0] * v[at] + ys[0]
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in key], *[pa.array(f, from_pandas=True) for f in (v, w)], *[b.column(c) for c in names]], names=[*key, x, "warped", *names])
 
-    more = "".join(f", `{c}` {types[c]}" for c in names)
-    return per_group(both, key, ["__x", "__pair"], ["__pair", "__x", "__y", *names], f"`{x}` double, warped double{more}", kernel)
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in key], f"`{x}` double, warped double", *[f"`{c}` {types[c]}" for c in names]])
+    return queries.select(*key, F.col(x).cast("double").alias(x), *names).mapInArrow(warp, schema)
 
 
 def tree_alignment(peptides: DataFrame) -> DataFrame:
@@ -104,7 +199,7 @@ def tree_alignment(peptides: DataFrame) -> DataFrame:
     for depth in range(1, max(d for *_, d in tree) + 1):
         own = named.where(F.col("depth") == depth)
         above = done.select(F.col("run").alias("parent"), "modseq", F.col("aligned").alias("__to"))
-        pairs = own.join(above, ["parent", "modseq"]).select("run", "rt", "__to")
+        pairs = checkpointed(own.join(above, ["parent", "modseq"]).select("run", "rt", "__to"))
         found = warped_by(pairs, own.select("run", "rt", "modseq", "root"), ["run"], "rt", "__to")
         done = checkpointed(done.unionByName(found.select("run", "modseq", "rt", F.col("warped").alias("aligned"), "root")))
     return done
@@ -119,7 +214,7 @@ def all_peak_locations(peptides: DataFrame) -> DataFrame:
     The run with most sequences is the seed and others are aligned to it.  A sequence that the seed lacks has the seed's time
     from the first run (by name) that has it; times that a run didn't observe are the seed's, warped into it.
     """
-    best = _times(peptides)
+    best = checkpointed(_times(peptides))
     seed_run = small_side(st.seed_run(best, "run").select(F.col("run").alias("__seed")))  # one row
     seed = best.join(seed_run, F.col("run") == F.col("__seed")).select("modseq", F.col("rt").alias("seed_rt"))
     others = best.join(seed_run, F.col("run") == F.col("__seed"), "left_anti")

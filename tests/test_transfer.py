@@ -4,9 +4,11 @@ import math
 import random
 import sqlite3
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from peakfold.operators import kernels
 from peakfold.plans import transfer
 
 
@@ -100,3 +102,22 @@ def test_times_of_a_librarys_sources(spark, tmp_path):
     assert all(got[k] == pytest.approx(true[k]) for k in range(60))
     assert max(abs(got[k] - true[k]) for k in range(60, 120)) < 3
     assert transfer.source_times(spark.createDataFrame([], "k string, id long, rt double, source long, best int"), ["k"]).where(F.lit(True)).count() == 0
+
+
+def test_models_come_from_counts(spark, monkeypatch):
+    """No task sees all pairs of a run (before, a run was one group), and the models are those of `kernels.align`."""
+    rng = np.random.default_rng(4)
+    rows = [("big", float(v), float(v + np.sin(v / 9) + rng.normal(0, 0.2))) for v in rng.uniform(0, 60, 500)]
+    rows += [("line", float(v), 2.0 * v + 1) for v in range(9)] + [("flat", float(v), 3.0) for v in range(30)] + [("two", 0.0, 1.0), ("two", 1.0, 5.0)] + [(None, float(v), v / 2) for v in range(40)]
+    pairs = spark.createDataFrame(rows, "run string, x double, y double").repartition(4)
+    asked = [(r, v, k) for r in ("big", "line", "flat", "two", "none", None) for k, v in enumerate((-5.0, 3.25, 41.5, 80.0, None))]
+    sizes = []
+    monkeypatch.setattr(transfer, "per_group", lambda df, *rest: sizes.append(df.count()) or kernels.per_group(df, *rest))
+    got = {(r["run"], r["k"]): r for r in transfer.warped_by(pairs, spark.createDataFrame(asked, "run string, x double, k int"), ["run"], "x", "y").collect()}
+    assert len(got) == len(asked) and max(sizes) < len(rows)
+    for run, v, k in asked:
+        own = sorted((x, y) for r, x, y in rows if r == run)
+        model = kernels.align(*map(np.array, zip(*own))) if own else lambda u: u
+        assert got[run, k]["x"] == v and (got[run, k]["warped"] is None if v is None else got[run, k]["warped"] == pytest.approx(float(model(np.array([v]))[0]), abs=1e-9)), (run, v)
+    none = pairs.where("1 = 0")
+    assert transfer.warped_by(none, none, ["run"], "x", "y").count() == 0
