@@ -6,7 +6,11 @@ A group is one trace, one candidate or one file pair, small by nature; the group
 from __future__ import annotations
 
 import heapq
+import itertools
+import os
+import tempfile
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -416,68 +420,260 @@ def lda_semi_supervised(df: DataFrame, features: list[str], decoy: str, ident: s
 # -- parsimony ---------------------------------------------------------------------------------------------------------
 
 
-def parsimony(members: dict[str, set], error: dict) -> list[tuple[list[str], set, float]]:
-    """Greedy groups: the group of least error, then of largest sum of 1 - error over what it still claims, then the later
-    name, takes all its items; equal sets are one group; groups that claim nothing are dropped.
+#: Pairs of an item and a group that a step of the parsimony holds at once; holders of an item in one row.
+PAIRS, HOLDERS = 1 << 21, 500
+
+
+class _Numbers:
+    """Integers in a file without a name: appended in turn, read by position, so that memory holds only what is asked for."""
+
+    def __init__(self, kind: type):
+        self.kind, self.n, self.file = np.dtype(kind), 0, tempfile.TemporaryFile()
+
+    def add(self, x: np.ndarray) -> None:
+        self.file.write(np.ascontiguousarray(x, self.kind).data)
+        self.n += len(x)
+
+    def read(self, a: int, z: int) -> np.ndarray:
+        return np.frombuffer(os.pread(self.file.fileno(), (z - a) * self.kind.itemsize, a * self.kind.itemsize), self.kind)
+
+
+def _worth(errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """1 - error as an exact integer of 2 ** 53 parts, in two limbs, so that sums are exact."""
+    w = (1 - errors) * float(1 << 26)
+    high = np.floor(w)
+    low = ((w - high) * (1 << 27)).astype(np.int64)
+    return (high.astype(np.int64) if not len(w) or w.max() < 1 << 31 else np.array([int(h) for h in high], object)), low
+
+
+def _by_group(holders: _Numbers, ends: np.ndarray, place: np.ndarray, groups: int) -> tuple[np.ndarray, Iterator[tuple[int, int, np.ndarray]]]:
+    """Turns groups of items into items of groups: where the groups begin, and (first group, group after the last, their items by rising place)."""
+    n = len(ends)
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    cuts = [0]
+    while cuts[-1] < n:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, begins[cuts[-1]] + PAIRS, "right"))))
+    sizes = np.zeros(groups, np.int64)
+    for a, z in zip(cuts, cuts[1:]):
+        sizes += np.bincount(holders.read(int(begins[a]), int(ends[z - 1])), minlength=groups)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    bucket = first[:-1] // PAIRS
+
+    def parts() -> Iterator[tuple[int, int, np.ndarray]]:
+        held = [_Numbers(np.int64) for _ in range(int(bucket[-1]) + 1 if groups else 0)]
+        for a, z in zip(cuts, cuts[1:]):
+            g = holders.read(int(begins[a]), int(ends[z - 1])).astype(np.int64)
+            key = g * n + np.repeat(place[a:z], ends[a:z] - begins[a:z])
+            if len(held) == 1:
+                held[0].add(key)
+                continue
+            of = bucket[g].astype(np.uint16)
+            order = np.argsort(of, kind="stable")
+            edge = np.searchsorted(of[order], np.arange(len(held) + 1))
+            for k in np.flatnonzero(np.diff(edge)).tolist():
+                held[k].add(key[order[edge[k] : edge[k + 1]]])
+        for k, h in enumerate(held):
+            if h.n:
+                h.file.flush()
+                key = np.sort(h.read(0, h.n))
+                yield int(np.searchsorted(bucket, k)), int(np.searchsorted(bucket, k, "right")), (key % n).astype(np.int32)
+            h.file.close()
+
+    return first, parts()
+
+
+def _covers(names: list[str], holders: _Numbers, ends: np.ndarray, errors: np.ndarray) -> Iterator[tuple[list[int], np.ndarray, float]]:
+    """Greedy groups over any number of components.  holders: the groups (numbers into names) of each item in turn, up to `ends`.
+    Gives groups of equal items by name, the items they claim and the least error of these.
 
     Groups only get worse as others claim, so they wait in a heap, and one that is no longer as good as it was goes back; an item
-    is claimed once, so all updates together are as many as groups have items.  Sums are of integers, hence exact.
+    is claimed once, so all updates together are as many as groups have items.  Memory holds a few numbers for each item and each
+    group; the pairs stay in files.
     """
-    merged: dict[frozenset, list[str]] = {}
-    for name, items in members.items():
-        merged.setdefault(frozenset(items), []).append(name)
-    names, sets = [], []
-    for items, name in sorted(((k, tuple(sorted(v))) for k, v in merged.items()), key=lambda p: p[1], reverse=True):
-        names.append(name)
-        sets.append(sorted(items, key=lambda i: error[i], reverse=True))
-    parts = {e: (1 - float(e)).as_integer_ratio() for e in set(error.values())}
-    unit = max((d for _, d in parts.values()), default=1)
-    worth = {i: parts[e][0] * (unit // parts[e][1]) for i, e in error.items()}
-    holders: dict = {}
-    for g, items in enumerate(sets):
-        for i in items:
-            holders.setdefault(i, []).append(g)
-    sums = [sum(worth[i] for i in items) for items in sets]
-    taken = set()
-    # Numbers of groups fall with their names, so the later name comes first.
-    heap = [(error[items[-1]], -sums[g], g) for g, items in enumerate(sets) if items]
+    holders.file.flush()
+    order = np.argsort(-errors, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    error = errors[order]
+    high, low = _worth(error)
+    first, parts = _by_group(holders, ends, place, len(names))
+    sums, rest = np.zeros(len(names), high.dtype), np.zeros(len(names), np.int64)
+    tail = np.full(len(names), -1, np.int64)
+    items = _Numbers(np.int32)
+    same: dict[bytes, list[int]] = {}
+    for a, z, ids in parts:
+        items.add(ids)
+        at = first[a : z + 1] - first[a]
+        held = np.flatnonzero(np.diff(at))
+        sums[a + held] = np.add.reduceat(high[ids], at[held])
+        rest[a + held] = np.add.reduceat(low[ids], at[held])
+        tail[a + held] = ids[at[held + 1] - 1]
+        for g in held.tolist():
+            same.setdefault(blake2b(ids[at[g] : at[g + 1]].data, digest_size=24).digest(), []).append(a + g)
+    items.file.flush()
+    rank = np.empty(len(names), np.int64)
+    rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+    equal = {}
+    for members in same.values():
+        members.sort(key=rank.__getitem__)
+        equal[members[0]] = members
+    del same
+    end = first[1:].copy()
+    taken = np.zeros(len(order), bool)
+
+    def now(g: int) -> tuple | None:
+        """How good the group is, by what it still claims."""
+        total = (int(sums[g]) << 27) + int(rest[g])
+        if total <= 0:
+            return None
+        while taken[tail[g]]:
+            a = max(int(first[g]), int(end[g]) - 64)
+            ids = items.read(a, int(end[g]))
+            free = np.flatnonzero(~taken[ids])
+            end[g] = a + (free[-1] + 1 if len(free) else 0)
+            if len(free):
+                tail[g] = ids[free[-1]]
+        return float(error[tail[g]]), -total, -int(rank[g]), g
+
+    heap = [k for k in map(now, equal) if k]
     heapq.heapify(heap)
-    out = []
     while heap:
-        g = heap[0][2]
-        left = sets[g]
-        while left and left[-1] in taken:
-            left.pop()
-        if not left or sums[g] <= 0:
-            heapq.heappop(heap)
-            continue
-        now = (error[left[-1]], -sums[g], g)
-        if now != heap[0]:
-            heapq.heapreplace(heap, now)
+        g = heap[0][3]
+        k = now(g)
+        if k != heap[0]:
+            heapq.heapreplace(heap, k) if k else heapq.heappop(heap)
             continue
         heapq.heappop(heap)
-        claimed = {i for i in left if i not in taken}
-        out.append((list(names[g]), claimed, now[0]))
-        taken |= claimed
-        for i in claimed:
-            for h in holders[i]:
-                sums[h] -= worth[i]
-    return out
+        own = items.read(int(first[g]), int(end[g]))
+        own = own[~taken[own]]
+        taken[own] = True
+        claimed = order[own]
+        stops = ends[claimed]
+        starts = np.where(claimed > 0, ends[claimed - 1], 0)
+        step = np.cumsum(stops - starts) // PAIRS
+        for a, z in itertools.pairwise([0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(own)]):
+            met = np.concatenate([holders.read(x, y) for x, y in zip(starts[a:z].tolist(), stops[a:z].tolist())])
+            each = np.repeat(own[a:z], stops[a:z] - starts[a:z])
+            np.subtract.at(sums, met, high[each])
+            np.subtract.at(rest, met, low[each])
+        yield equal[g], claimed, k[0]
+    items.file.close()
+
+
+def parsimony(members: dict[str, set], error: dict) -> list[tuple[list[str], set, float]]:
+    """Greedy groups: the group of least error, then of largest sum of 1 - error over what it still claims, then the later
+    name, takes all its items; equal sets are one group; groups that claim nothing are dropped."""
+    names, held = list(members), {}
+    for g, name in enumerate(names):
+        for i in members[name]:
+            held.setdefault(i, []).append(g)
+    items, holders = list(held), _Numbers(np.int32)
+    for i in items:
+        holders.add(np.array(held[i]))
+    ends = np.cumsum([len(held[i]) for i in items], dtype=np.int64)
+    errors = np.array([error[i] for i in items], float)
+    return [([names[g] for g in same], {items[i] for i in claimed.tolist()}, e) for same, claimed, e in _covers(names, holders, ends, errors)]
+
+
+def _changes(c: pa.Array) -> np.ndarray:
+    """Whether a row differs from the one before; the first does."""
+    a, z = c[1:], c[:-1]
+    new = np.asarray(pc.fill_null(pc.not_equal(a, z), False)) | (np.asarray(a.is_null()) != np.asarray(z.is_null()))
+    return np.concatenate([[True], new])[: len(c)]
+
+
+def _codes(c: pa.Array) -> np.ndarray:
+    """A number for each different value, null too."""
+    return np.asarray(c.dictionary_encode(null_encoding="encode").indices)
 
 
 def parsimony_groups(bridge: DataFrame, item: str, group: str, error: str, component: str) -> DataFrame:
-    """bridge (component, item, group, error): groups per connected component: members, items claimed, least error."""
-
-    def kernel(items, groups, errors):
-        members: dict[str, set] = {}
-        err = {}
-        for i, g, e in zip(items, groups, errors.astype(float)):
-            members.setdefault(str(g), set()).add(i)
-            err[i] = min(e, err.get(i, 1.0))
-        got = parsimony(members, err)
-        return {"members": [";".join(g) for g, _, _ in got], "n_items": np.array([len(s) for _, s, _ in got], np.int64), "least_error": np.array([e for *_, e in got], float)}
-
-    return per_group(bridge, [component], [item, group], [item, group, error], "members string, n_items long, least_error double", kernel)
+    """bridge (component, item, group, error): groups per connected component: members, items claimed, least error.
+
+    An item has its least error, 1 at most and if none is known; each null item is one of its own.  Tasks put the groups of each
+    item in a row; the rows of a component meet in one task, which keeps the pairs in files (`_covers`).
+    """
+    types = dict(bridge.dtypes)
+    rows_of = StructType.fromDDL(f"c {types[component]}, i {types[item]}, piece int, e double, holders array<{types[group]}>")
+    found_of = StructType.fromDDL(f"`{component}` {types[component]}, members string, n_items long, least_error double")
+    rows, found = to_arrow_schema(rows_of), to_arrow_schema(found_of)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lists(t: pa.Table) -> pa.RecordBatch:
+            i, g = t["i"].combine_chunks(), t["g"].combine_chunks()
+            at, of_c, of_g = np.cumsum(_changes(i) | np.asarray(i.is_null())), _codes(t["c"].combine_chunks()), _codes(g)
+            order = np.lexsort((of_g, of_c, at))
+            at, of_c, of_g = at[order], of_c[order], of_g[order]
+            new = np.concatenate([[True], (at[1:] != at[:-1]) | (of_c[1:] != of_c[:-1])])
+            keep = new | np.concatenate([[True], of_g[1:] != of_g[:-1]])
+            at = np.flatnonzero(new)
+            e = np.fmin(np.fmin.reduceat(t["e"].to_numpy()[order], at), 1.0)
+            size = np.add.reduceat(keep.astype(np.int64), at)
+            pieces = -(-size // HOLDERS)
+            of = np.repeat(np.arange(len(at)), pieces)
+            piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            edge = np.append((np.cumsum(size) - size)[of] + piece * HOLDERS, size.sum())
+            holders = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), g.take(pa.array(order[keep])), type=rows.field("holders").type)
+            where = pa.array(order[at[of]])
+            return pa.RecordBatch.from_arrays([t["c"].combine_chunks().take(where), i.take(where), pa.array(piece, pa.int32()), pa.array(e[of]), holders], schema=rows)
+
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            i = b["i"]
+            new = _changes(i)
+            new[0] = not held or _changes(pa.concat_arrays([held[-1]["i"][-1:], i[:1]]))[1]
+            new |= np.asarray(i.is_null())
+            last = int(np.flatnonzero(new)[-1]) if new.any() else -1
+            if held and last >= 0 or last > 0:
+                yield lists(pa.Table.from_batches([*held, b.slice(0, last)]))
+                held = [b.slice(last)]
+            else:
+                held.append(b)
+        if held:
+            yield lists(pa.Table.from_batches(held))
+
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, owner, known, table = [], [], [], {}
+        sizes, begun, errors = [], [], []
+        holders = _Numbers(np.int32)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            c, held = b["c"], b["holders"]
+            new = _changes(c)
+            new[0] = not known or known[-1] != c.slice(0, 1)
+            sizes.append(np.asarray(held.value_lengths()).astype(np.int64))
+            begun.append(np.asarray(b["piece"]) == 0)
+            errors.append(np.asarray(b["e"]))
+            for a, z in itertools.pairwise(sorted({0, *np.flatnonzero(new).tolist(), b.num_rows})):
+                if new[a]:
+                    table = {}
+                    known.append(c.slice(a, 1))
+                d = held.slice(a, z - a).flatten().dictionary_encode(null_encoding="encode")
+                number = []
+                for name in map(str, d.dictionary.to_pylist()):
+                    if name not in table:
+                        table[name] = len(names)
+                        names.append(name)
+                        owner.append(len(known) - 1)
+                    number.append(table[name])
+                holders.add(np.array(number, np.int32)[np.asarray(d.indices)])
+        if not names:
+            return
+        ends, at = np.cumsum(np.concatenate(sizes)), np.flatnonzero(np.concatenate(begun))
+        of = pa.concat_arrays(known)
+        groups = _covers(names, holders, ends[np.append(at[1:], len(ends)) - 1], np.concatenate(errors)[at])
+        del sizes, begun, errors, known
+        while part := [(owner[g[0]], ";".join(names[x] for x in g), len(claimed), e) for g, claimed, e in itertools.islice(groups, 10_000)]:
+            c, members, n, e = zip(*part)
+            yield pa.RecordBatch.from_arrays([of.take(pa.array(c)), pa.array(members, pa.string()), pa.array(n, pa.int64()), pa.array(e, pa.float64())], schema=found)
+
+    c, i, g = F.col(component).alias("c"), F.col(item).alias("i"), F.col(group).alias("g")
+    own = F.when(F.col("i").isNull(), F.col("g"))
+    pairs = bridge.select(c, i, g, F.col(error).cast("double").alias("e")).repartition("i", own).sortWithinPartitions("i")
+    return pairs.mapInArrow(packed, rows_of).repartition("c").sortWithinPartitions("c", "i", "piece").drop("i").mapInArrow(solved, found_of)
 
 
 # -- spectra -----------------------------------------------------------------------------------------------------------

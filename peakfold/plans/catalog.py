@@ -912,7 +912,7 @@ def lda_semisup(spark, d):
 @query()
 def parsimony_groups(spark, d):
     b = t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("grp")).agg(F.min("l_discount").alias("error"))
-    return kernels.parsimony_groups(b.join(bridge_components(b, "item", "grp"), "grp"), "item", "grp", "error", "component")
+    return kernels.parsimony_groups(b.join(joins.small_side(bridge_components(b, "item", "grp")), "grp"), "item", "grp", "error", "component")
 
 
 @query()
