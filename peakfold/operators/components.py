@@ -47,8 +47,8 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _linked(pairs: DataFrame) -> DataFrame:
-    """a, b with the components of pairs i, a: tasks link the groups of each item, and give each group of LINKED pairs (or itself) with
-    one of those it is linked to there.  So a task gives no more rows than groups, however many items join them."""
+    """a, b with the components of pairs i, a: tasks link the groups of each item, and give each group of LINKED pairs with
+    the least that it is linked to there.  So they give no more rows than groups, however many items join them, and mostly the same ones."""
     kind = dict(pairs.dtypes)["a"]
     schema = StructType.fromDDL(f"a {kind}, b {kind}")
     wanted = to_arrow_schema(schema)
@@ -57,9 +57,11 @@ def _linked(pairs: DataFrame) -> DataFrame:
         t = pa.Table.from_batches(held)
         i, a = t["i"].combine_chunks(), t["a"].combine_chunks().dictionary_encode()
         same = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(i[1:], i[:-1]), False)))
-        at = np.asarray(a.indices)
-        root = _roots(len(a.dictionary), at[same], at[same + 1])
-        return pa.RecordBatch.from_arrays([a.dictionary, a.dictionary.take(pa.array(root))], schema=wanted)
+        order = pc.sort_indices(a.dictionary)
+        groups, rank = a.dictionary.take(order), np.empty(len(order), np.int64)
+        rank[np.asarray(order)] = np.arange(len(order))
+        at = rank[np.asarray(a.indices)]
+        return pa.RecordBatch.from_arrays([groups, groups.take(pa.array(_roots(len(groups), at[same], at[same + 1])))], schema=wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

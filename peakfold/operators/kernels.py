@@ -457,7 +457,7 @@ def _by_group(holders: _Numbers, ends: np.ndarray, place: np.ndarray, groups: in
     for a, z in zip(cuts, cuts[1:]):
         sizes += np.bincount(holders.read(int(begins[a]), int(ends[z - 1])), minlength=groups)
     first = np.concatenate([[0], np.cumsum(sizes)])
-    bucket = first[:-1] // PAIRS
+    bucket = first[:-1] // max(PAIRS, int(first[-1]) >> 8)
 
     def parts() -> Iterator[tuple[int, int, np.ndarray]]:
         held = [_Numbers(np.int64) for _ in range(int(bucket[-1]) + 1 if groups else 0)]

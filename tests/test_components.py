@@ -6,7 +6,7 @@ import resource
 import pyarrow as pa
 import pytest
 
-from peakfold.operators import kernels
+from peakfold.operators import components, kernels
 from peakfold.operators.components import bridge_components
 from peakfold.plans import catalog
 
@@ -36,6 +36,24 @@ def test_components(spark, n):
     assert len(got) == len({r.grp for r in got}) and {r.grp: r.component for r in got} == least_reached(pairs)
 
 
+def test_components_in_many_steps(spark, monkeypatch):
+    """Tasks link a few pairs at once; an item goes on in the next step."""
+    rng = random.Random(7)
+    pairs = [(f"i{rng.randrange(300)}", f"g{rng.randrange(200):03d}") for _ in range(200)] + [("long", f"h{j:03d}") for j in range(60)] + [(None, "h007"), (None, "k")]
+    df = spark.createDataFrame(pairs, "item string, grp string").coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(components, "LINKED", 3)
+    spark.conf.set(key, "2")
+    try:
+        got = components.bridge_components(df, "item", "grp").collect()
+        links = components._linked(df.selectExpr("item as i", "grp as a")).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert len(got) == len({r.grp for r in got}) and {r.grp: r.component for r in got} == least_reached(pairs)
+    assert len(links) > len(got) and all(r.b <= r.a for r in links)
+
+
 def test_no_pairs(spark):
     assert bridge_components(spark.createDataFrame([], "item int, grp int"), "item", "grp").count() == 0
 
