@@ -85,6 +85,8 @@ def bridge_components(bridge: DataFrame, item: str, group: str, most_rounds: int
     Rounds grow with the logarithm of the longest path, and go on until nothing changes."""
     pairs = bridge.select(F.col(item).alias("i"), F.col(group).alias("a")).where("a is not null")
     begun = checkpointed(_linked(pairs).distinct())
+    # The shuffles of what was checkpointed stay on disk until the driver collects its garbage.
+    bridge.sparkSession.sparkContext._jvm.System.gc()
     now = begun.where("a <> b")
     mark = None
     for _ in range(most_rounds):
